@@ -39,8 +39,9 @@ def source_targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     full = F.coalesce(F.sum("source_size").over(before), F.lit(0)) * epochs
     budget = F.sum("source_size").over(Window.partitionBy())
     level = (budget - full) / F.sum("weight").over(after)
-    levels = totals.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("source_size") * epochs)
-    found = F.min(F.when(F.col("fits"), F.col("level"))).over(Window.partitionBy())
+    levels = totals.withColumn("level", level)
+    # the level rises while sources must be full and falls once more than these are
+    found = F.max("level").over(Window.partitionBy())
     return levels.withColumn("found", found).select(
         "source", "source_rows", "source_size", "weight", F.least((F.col("source_size") * epochs).cast("double"), F.col("weight") * F.coalesce("found", F.lit(0.0))).alias("target")
     )
@@ -86,7 +87,7 @@ with d as (
 s as (select source, sum(size) as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from d group by source),
 l as (select *, cast((sum(source_size) over () - 3 * coalesce(sum(source_size) over (order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) as double)
     / cast(sum(weight) over (order by source_size / weight, source nulls last rows between current row and unbounded following) as double) as level from s),
-t as (select source, source_size, weight, least(cast(3 * source_size as double), weight * coalesce(min(case when level * weight <= 3 * source_size then level end) over (), 0)) as target from l),
+t as (select source, source_size, weight, least(cast(3 * source_size as double), weight * coalesce(max(level) over (), 0)) as target from l),
 p as (select d.*, t.source_size, t.target, t.weight, sum(size) over (partition by d.source order by place, size rows unbounded preceding) as upto
   from d join t on d.source is not distinct from t.source)
 select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, target,

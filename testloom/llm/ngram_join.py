@@ -150,8 +150,8 @@ def _frequencies(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, of, df = np.unique(values, return_inverse=True, return_counts=True)
         df = np.full(len(values), COMMON_DF) if common else df[of]
         keep = df > 1
-        found.append((sigs[first[owner[keep]]].astype(">u8"), values[keep].view(np.int64), df[keep].astype(np.int64)))
-    sig = np.concatenate([f[0] for f in found])
+        found.append((sigs[first[owner[keep]]], values[keep].view(np.int64), df[keep].astype(np.int64)))
+    sig = np.concatenate([f[0] for f in found]).astype(">u8")
     flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())])
     return pa.table({"sig": flat.cast(pa.binary()), "shingle": np.concatenate([f[1] for f in found]), "df": np.concatenate([f[2] for f in found])})
 
