@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ SHINGLE = 4
 THRESHOLD = 85  # per cent
 #: Documents whose shingles share one bucket of the frequency count, on average.
 BUCKET_DOCS = 2000
+#: Index entries that share one bucket of lists, on average.
+BUCKET_ENTRIES = 20_000
 #: A shingle in this share of all documents, or more, is common: at most (mean set size /
 #: COMMON_SHARE) shingles are, so the list of common ones is broadcast.
 COMMON_SHARE = 0.005
@@ -69,6 +72,22 @@ class Sets:
                 self.sets[i] = w.roll.of(w.starts[a : a + 1], w.ends[b - 1 : b])
 
 
+def codes(values: np.ndarray) -> np.ndarray:
+    """48 bits of shingle hashes: enough for the index, whose candidates are verified on whole sets."""
+    return values >> np.uint64(16)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """48-bit codes in six bytes each."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -86,7 +105,7 @@ def _classes(shingle: int):
             for rows, sets in _each(batch, 1, shingle):
                 sigs = [signature(s) for s in sets]
                 own = {g: s for g, s in zip(sigs, sets, strict=True)}
-                values, counts = np.unique(np.concatenate(list(own.values())), return_counts=True)
+                values, counts = np.unique(codes(np.concatenate(list(own.values()))), return_counts=True)
                 common = counts >= max(2, COMMON_SHARE * len(own))
                 v, c = values[common].view(np.int64), counts[common].astype(np.int64)
                 k, m = len(rows), len(v)
@@ -100,7 +119,7 @@ def _classes(shingle: int):
 
 
 def _postings(shingle: int, n_buckets: int, common):
-    """Shingles of every class by bucket, packed: sorted by class, with the run lengths."""
+    """Codes of every class's shingles by bucket, packed: sorted by class, with the run lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_last = common.value
@@ -110,7 +129,7 @@ def _postings(shingle: int, n_buckets: int, common):
                 if not own:
                     continue
                 sigs = list(own)
-                values = np.concatenate(list(own.values()))
+                values = codes(np.concatenate(list(own.values())))
                 owner = np.repeat(np.arange(len(sigs)), [len(s) for s in own.values()])
                 is_common = np.isin(values, rare_last)
                 # common shingles only pass through: they are dealt by class
@@ -122,7 +141,7 @@ def _postings(shingle: int, n_buckets: int, common):
                 out = ([], [], [], [], [])
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     who, runs = np.unique(owner[a:b], return_counts=True)
-                    for column, x in zip(out, (int(bucket[a]), bool(is_common[a]), values[a:b].tobytes(), b"".join(sigs[i] for i in who), runs.astype(np.uint32).tobytes()), strict=True):
+                    for column, x in zip(out, (int(bucket[a]), bool(is_common[a]), packed(values[a:b]), b"".join(sigs[i] for i in who), runs.astype(np.uint32).tobytes()), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1]), *(pa.array(x, pa.binary()) for x in out[2:])], ["bucket", "common", "shingles", "sigs", "runs"])
 
@@ -136,7 +155,7 @@ def _frequencies(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = [r for r in table.to_pylist() if r["common"] == common]
         if not rows:
             continue
-        values = np.frombuffer(b"".join(r["shingles"] for r in rows), np.uint64)
+        values = unpacked(b"".join(r["shingles"] for r in rows))
         sigs = np.frombuffer(b"".join(r["sigs"] for r in rows), ">u8").reshape(-1, 2).astype(np.uint64)
         runs = np.frombuffer(b"".join(r["runs"] for r in rows), np.uint32)
         _, number = np.unique(sigs[:, 0] ^ (sigs[:, 1] * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
@@ -161,40 +180,65 @@ def size_block(n: np.ndarray, t: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / t) + 1e-9).astype(np.int64)
 
 
-def list_pairs(n: np.ndarray, at: np.ndarray, group: np.ndarray, home: np.ndarray, t: int, leaders: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one block of one index list, as two index arrays.
+def list_pairs(n: np.ndarray, at: np.ndarray, group: np.ndarray, home: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one block of one index list, as two index arrays: all pairs of entries
+    of different groups that neither size nor position excludes.
 
-    home: whether an entry belongs to this block or visits from the one below. leaders: only
-    the pairs of each entry with the two entries before it in order of size. Otherwise all
-    pairs of entries of different groups that neither size nor position excludes.
+    home: whether an entry belongs to this block or visits from the one below.
     """
     order = np.lexsort((at, n))
     n, at, group, home = n[order], at[order], group[order], home[order]
-    left, right = [], []
-    if len(np.unique(group)) < 2:
-        return order[:0], order[:0]
+    left, right = [order[:0]], [order[:0]]
+    low = np.searchsorted(n, -((-t * n) // 100))  # sets below are too small
     for j in range(1, len(n)):
-        low = int(np.searchsorted(n, -((-t * n[j]) // 100)))  # sets below are too small
-        low = max(low, j - 2) if leaders else low
-        i = np.arange(low, j)
+        i = np.arange(low[j], j)
+        i = i[(group[i] != group[j]) & (home[i] | home[j])]
         # the intersection is at most the shared shingle and what follows it in either set
-        bound = np.minimum(n[i] - at[i], n[j] - at[j])
-        i = i[(group[i] != group[j]) & (bound >= _least_overlap(n[i], n[j], t)) & (home[i] | home[j])]
+        i = i[np.minimum(n[i] - at[i], n[j] - at[j]) >= _least_overlap(n[i], n[j], t)]
         left.append(i)
         right.append(np.full(len(i), j))
     i, j = np.concatenate(left), np.concatenate(right)
     return order[i], order[j]
 
 
+def leader_pairs(key: np.ndarray, n: np.ndarray, at: np.ndarray, home: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each entry with the two before it in its block, in order of size; all blocks at once."""
+    order = np.lexsort((at, n, key))
+    key, n, at, home = key[order], n[order], at[order], home[order]
+    left, right = [], []
+    for back in (1, 2):
+        i, j = np.arange(len(n) - back), np.arange(back, len(n))
+        ok = (key[i] == key[j]) & (home[i] | home[j]) & (100 * n[i] >= t * n[j])
+        ok &= np.minimum(n[i] - at[i], n[j] - at[j]) >= _least_overlap(n[i], n[j], t)
+        left.append(i[ok])
+        right.append(j[ok])
+    return order[np.concatenate(left)], order[np.concatenate(right)]
+
+
 def _candidates(t: int, leaders: bool):
+    """Pairs of all blocks in one bucket of the index, each pair once."""
+
     def run(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        n, at = table.column("n").to_numpy(), table.column("at").to_numpy()
-        sigs, groups = table.column("sig").combine_chunks(), table.column("grp").combine_chunks()
-        group = pa.array(groups).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        i, j = list_pairs(n, at, group, table.column("home").to_numpy(zero_copy_only=False), t, leaders)
-        swap = np.array([a > b for a, b in zip(sigs.take(pa.array(i)).to_pylist(), sigs.take(pa.array(j)).to_pylist(), strict=True)], bool)
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pa.table({"a": sigs.take(pa.array(i)), "b": sigs.take(pa.array(j))})
+        n, at, home = table.column("n").to_numpy(), table.column("at").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
+        sigs = table.column("sig").combine_chunks().dictionary_encode()
+        who, names = sigs.indices.to_numpy(zero_copy_only=False).astype(np.int64), sigs.dictionary
+        group = table.column("grp").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        _, key = np.unique(np.column_stack((table.column("shingle").to_numpy(), table.column("block").to_numpy())), axis=0, return_inverse=True)
+        if leaders:
+            i, j = leader_pairs(key, n, at, home, t)
+        else:
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.diff(key[order])) + 1
+            found = []
+            for part in np.split(order, cuts):
+                if len(part) > 1 and (group[part] != group[part[0]]).any():
+                    x, y = list_pairs(n[part], at[part], group[part], home[part], t)
+                    found.append((part[x], part[y]))
+            i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        pairs = np.unique(np.sort(np.column_stack((who[i], who[j])), axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        a, b = names.take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))
+        return pa.table({"a": pa.compute.if_else(pa.compute.less(a, b), a, b), "b": pa.compute.if_else(pa.compute.less(a, b), b, a)})
 
     return run
 
@@ -263,13 +307,14 @@ def jaccard_groups(documents: DataFrame, shingle: int = SHINGLE, threshold: int
     index = materialize(index.join(alive, "shingle"))
     sets = _survivors(rows, docs, index.select("sig").distinct(), shingle, kind)
 
-    pairs = _pairs(index.withColumn("grp", F.col("sig")), threshold, leaders=True)
+    n_lists = max(8, index.count() // BUCKET_ENTRIES)
+    pairs = _pairs(index.withColumn("grp", F.col("sig")), threshold, True, n_lists)
     first = materialize(_measured(pairs, sets))
     linked = materialize(_linked(first, threshold))
     groups = connected(linked)
     # what the leaders leave: pairs between different groups
     named = index.join(groups, index.sig == groups.node, "left").withColumn("grp", F.coalesce("root", "sig")).drop("node", "root")
-    rest = materialize(_pairs(named, threshold, leaders=False).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = materialize(_pairs(named, threshold, False, n_lists).join(first.select("a", "b"), ["a", "b"], "left_anti"))
     leaders = _leaders(linked)
     later = _derived(rest, leaders, sets, threshold)
     groups = connected(linked.select("a", "b").union(later))
@@ -299,14 +344,15 @@ def _survivors(rows: DataFrame, docs: DataFrame, sigs: DataFrame, shingle: int,
     return materialize(found.mapInArrow(run, "want binary, sig binary, n long, shingles binary").where("want = sig").select("sig", "n", "shingles").dropDuplicates(["sig"]))
 
 
-def _pairs(index: DataFrame, t: int, leaders: bool) -> DataFrame:
+def _pairs(index: DataFrame, t: int, leaders: bool, n_buckets: int) -> DataFrame:
     block = F.expr(f"cast(floor(ln(greatest(n, 1)) / ln(100.0D / {t}) + 1e-9) as long)")
     cut = index.withColumn("block", block)
     cut = cut.withColumn("home", F.lit(True)).union(cut.withColumn("block", F.col("block") + 1).withColumn("home", F.lit(False)))
     if not leaders:  # a list of one group has nothing left to find
         open_ = cut.groupBy("shingle", "block").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 != g1").select("shingle", "block")
         cut = cut.join(open_, ["shingle", "block"])
-    return cut.groupBy("shingle", "block").applyInArrow(_candidates(t, leaders), "a binary, b binary").distinct()
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("shingle", "block"), F.lit(n_buckets)))
+    return cut.groupBy("bucket").applyInArrow(_candidates(t, leaders), "a binary, b binary").distinct()
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
