@@ -10,8 +10,9 @@ Exact self-join of shingle sets under a Jaccard threshold, as connected groups.
 3. Index lists are cut into blocks by set size; a set meets only its own block and the
    next, and inside a block pairs are skipped by size and by the positions of the shared
    shingle, which bound the intersection.
-4. Answers are derived from similar sets: every set is first checked against one leader of
-   each of its lists. Groups found so far are merged; later pairs inside a group are never
+   A sketch of each set bounds the difference and skips most of what is left.
+4. Answers are derived from similar sets: every entry of a list is first checked against the
+   two entries before it that its sketch is nearest to. Groups found so far are merged; later pairs inside a group are never
    looked at, and for pairs between groups the intersection of their leaders, corrected by
    the known differences to the leaders, accepts or rejects most without another look at
    the sets. Only the rest is intersected.
@@ -36,6 +37,11 @@ SHINGLE = 4
 THRESHOLD = 85  # per cent
 #: Documents whose shingles share one bucket of the frequency count, on average.
 BUCKET_DOCS = 2000
+#: Bits of a set's sketch, partners each entry of a list is first checked against, and pairs
+#: of a list that are looked at together.
+SKETCH_BITS = 512
+NEAREST = 2
+STRIP_PAIRS = 1 << 18
 #: Index entries that share one bucket of lists, on average.
 BUCKET_ENTRIES = 20_000
 #: A shingle in this share of all documents, or more, is common: at most (mean set size /
@@ -180,42 +186,47 @@ def size_block(n: np.ndarray, t: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / t) + 1e-9).astype(np.int64)
 
 
-def list_pairs(n: np.ndarray, at: np.ndarray, group: np.ndarray, home: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one block of one index list, as two index arrays: all pairs of entries
-    of different groups that neither size nor position excludes.
+def parity(values: np.ndarray) -> bytes:
+    """SKETCH_BITS parities of a set: two sets differ in at least as many shingles as bits."""
+    return np.packbits((np.bincount((values % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
 
-    home: whether an entry belongs to this block or visits from the one below.
+
+def list_pairs(n: np.ndarray, at: np.ndarray, group: np.ndarray, home: np.ndarray, bits: np.ndarray, t: int, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one block of one index list, as two index arrays.
+
+    Pairs of different groups that neither size, position nor sketch excludes; with `nearest`,
+    of each entry only those with the entries before it that differ least by the sketch.
+    home: whether an entry belongs to this block or visits from the one below. Entries are
+    in order of size, and rows of the pair matrix are made a strip at a time.
     """
     order = np.lexsort((at, n))
-    n, at, group, home = n[order], at[order], group[order], home[order]
+    n, at, group, home, bits = n[order], at[order], group[order], home[order], bits[order]
     left, right = [order[:0]], [order[:0]]
-    low = np.searchsorted(n, -((-t * n) // 100))  # sets below are too small
-    for j in range(1, len(n)):
-        i = np.arange(low[j], j)
-        i = i[(group[i] != group[j]) & (home[i] | home[j])]
+    strip = max(1, STRIP_PAIRS // len(n))
+    for a in range(0, len(n), strip):
+        j = np.arange(a, min(len(n), a + strip))
+        low = int(np.searchsorted(n, -((-t * n[a]) // 100)))  # sets below are too small for all of the strip
+        i = np.arange(low, j[-1] + 1)
+        need = _least_overlap(n[i][None], n[j][:, None], t)
         # the intersection is at most the shared shingle and what follows it in either set
-        i = i[np.minimum(n[i] - at[i], n[j] - at[j]) >= _least_overlap(n[i], n[j], t)]
-        left.append(i)
-        right.append(np.full(len(i), j))
-    i, j = np.concatenate(left), np.concatenate(right)
-    return order[i], order[j]
-
-
-def leader_pairs(key: np.ndarray, n: np.ndarray, at: np.ndarray, home: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each entry with the two before it in its block, in order of size; all blocks at once."""
-    order = np.lexsort((at, n, key))
-    key, n, at, home = key[order], n[order], at[order], home[order]
-    left, right = [], []
-    for back in (1, 2):
-        i, j = np.arange(len(n) - back), np.arange(back, len(n))
-        ok = (key[i] == key[j]) & (home[i] | home[j]) & (100 * n[i] >= t * n[j])
-        ok &= np.minimum(n[i] - at[i], n[j] - at[j]) >= _least_overlap(n[i], n[j], t)
-        left.append(i[ok])
-        right.append(j[ok])
+        ok = np.minimum((n[i] - at[i])[None], (n[j] - at[j])[:, None]) >= need
+        ok &= (i[None] < j[:, None]) & (home[i][None] | home[j][:, None]) & (group[i][None] != group[j][:, None])
+        y, x = np.nonzero(ok)
+        differ = np.bitwise_count(bits[i[x]] ^ bits[j[y]]).sum(1, dtype=np.int64)
+        close = differ <= n[i[x]] + n[j[y]] - 2 * need[y, x]
+        x, y, differ = x[close], y[close], differ[close]
+        if nearest and len(x):
+            by = np.lexsort((differ, y))
+            x, y = x[by], y[by]
+            first = np.concatenate(([True], y[1:] != y[:-1]))
+            rank = np.arange(len(y)) - np.maximum.accumulate(np.where(first, np.arange(len(y)), 0))
+            x, y = x[rank < nearest], y[rank < nearest]
+        left.append(i[x])
+        right.append(j[y])
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def _candidates(t: int, leaders: bool):
+def _candidates(t: int, nearest: int):
     """Pairs of all blocks in one bucket of the index, each pair once."""
 
     def run(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -223,22 +234,21 @@ def _candidates(t: int, leaders: bool):
         sigs = table.column("sig").combine_chunks().dictionary_encode()
         who, names = sigs.indices.to_numpy(zero_copy_only=False).astype(np.int64), sigs.dictionary
         group = table.column("grp").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
         _, key = np.unique(np.column_stack((table.column("shingle").to_numpy(), table.column("block").to_numpy())), axis=0, return_inverse=True)
-        if leaders:
-            i, j = leader_pairs(key, n, at, home, t)
-        else:
-            order = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.diff(key[order])) + 1
-            found = []
-            for part in np.split(order, cuts):
-                if len(part) > 1 and (group[part] != group[part[0]]).any():
-                    x, y = list_pairs(n[part], at[part], group[part], home[part], t)
-                    found.append((part[x], part[y]))
-            i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        order = np.argsort(key, kind="stable")
+        ends = np.flatnonzero(np.diff(key[order], append=-1)) + 1
+        found = []
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            part = order[a:b]
+            if b - a > 1 and (group[part] != group[part[0]]).any():
+                x, y = list_pairs(n[part], at[part], group[part], home[part], bits[part], t, nearest)
+                found.append((part[x], part[y]))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         pairs = np.unique(np.sort(np.column_stack((who[i], who[j])), axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         a, b = names.take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))
-        return pa.table({"a": pa.compute.if_else(pa.compute.less(a, b), a, b), "b": pa.compute.if_else(pa.compute.less(a, b), b, a)})
+        less = pa.compute.less(a, b)
+        return pa.table({"a": pa.compute.if_else(less, a, b), "b": pa.compute.if_else(less, b, a)})
 
     return run
 
@@ -308,13 +318,14 @@ def jaccard_groups(documents: DataFrame, shingle: int = SHINGLE, threshold: int
     sets = _survivors(rows, docs, index.select("sig").distinct(), shingle, kind)
 
     n_lists = max(8, index.count() // BUCKET_ENTRIES)
-    pairs = _pairs(index.withColumn("grp", F.col("sig")), threshold, True, n_lists)
+    index = index.join(sets.select("sig", "bits"), "sig")
+    pairs = _pairs(index.withColumn("grp", F.col("sig")), threshold, NEAREST, n_lists)
     first = materialize(_measured(pairs, sets))
     linked = materialize(_linked(first, threshold))
     groups = connected(linked)
     # what the leaders leave: pairs between different groups
     named = index.join(groups, index.sig == groups.node, "left").withColumn("grp", F.coalesce("root", "sig")).drop("node", "root")
-    rest = materialize(_pairs(named, threshold, False, n_lists).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = materialize(_pairs(named, threshold, 0, n_lists).join(first.select("a", "b"), ["a", "b"], "left_anti"))
     leaders = _leaders(linked)
     later = _derived(rest, leaders, sets, threshold)
     groups = connected(linked.select("a", "b").union(later))
@@ -326,33 +337,33 @@ def jaccard_groups(documents: DataFrame, shingle: int = SHINGLE, threshold: int
 
 
 def _survivors(rows: DataFrame, docs: DataFrame, sigs: DataFrame, shingle: int, kind: str) -> DataFrame:
-    """(sig, n, shingles) of the classes in the index, from one document of each."""
+    """(sig, n, shingles, bits) of the classes in the index, from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in _each(batch, 0, shingle):
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["want", "sig", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary())], ["want", "sig", "n", "shingles", "bits"])
 
     one = docs.join(sigs, "sig").groupBy("sig").agg(F.min("id").alias("id"))
     found = rows.join(one, "id").select("raw", F.col("sig").alias("want"))
     nameless = docs.join(sigs, "sig").groupBy("sig").agg(F.max("id").alias("id")).where("id is null").select(F.col("sig").alias("want"))
     if not nameless.isEmpty():  # classes whose rows all lack an id: found by their set
-        every = rows.where("id is null").select("raw", F.lit(None).cast("binary").alias("want")).mapInArrow(run, "want binary, sig binary, n long, shingles binary")
-        extra = every.join(nameless.withColumnRenamed("want", "sig"), "sig").select("sig", "n", "shingles")
-        own = found.mapInArrow(run, "want binary, sig binary, n long, shingles binary").where("want = sig").select("sig", "n", "shingles")
+        every = rows.where("id is null").select("raw", F.lit(None).cast("binary").alias("want")).mapInArrow(run, "want binary, sig binary, n long, shingles binary, bits binary")
+        extra = every.join(nameless.withColumnRenamed("want", "sig"), "sig").select("sig", "n", "shingles", "bits")
+        own = found.mapInArrow(run, "want binary, sig binary, n long, shingles binary, bits binary").where("want = sig").select("sig", "n", "shingles", "bits")
         return materialize(own.union(extra).dropDuplicates(["sig"]))
-    return materialize(found.mapInArrow(run, "want binary, sig binary, n long, shingles binary").where("want = sig").select("sig", "n", "shingles").dropDuplicates(["sig"]))
+    return materialize(found.mapInArrow(run, "want binary, sig binary, n long, shingles binary, bits binary").where("want = sig").select("sig", "n", "shingles", "bits").dropDuplicates(["sig"]))
 
 
-def _pairs(index: DataFrame, t: int, leaders: bool, n_buckets: int) -> DataFrame:
+def _pairs(index: DataFrame, t: int, nearest: int, n_buckets: int) -> DataFrame:
+    """Candidate pairs (a, b) of an index (sig, n, shingle, at, grp, bits)."""
     block = F.expr(f"cast(floor(ln(greatest(n, 1)) / ln(100.0D / {t}) + 1e-9) as long)")
     cut = index.withColumn("block", block)
     cut = cut.withColumn("home", F.lit(True)).union(cut.withColumn("block", F.col("block") + 1).withColumn("home", F.lit(False)))
-    if not leaders:  # a list of one group has nothing left to find
-        open_ = cut.groupBy("shingle", "block").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 != g1").select("shingle", "block")
-        cut = cut.join(open_, ["shingle", "block"])
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("shingle", "block"), F.lit(n_buckets)))
-    return cut.groupBy("bucket").applyInArrow(_candidates(t, leaders), "a binary, b binary").distinct()
+    # a list of one entry or group has nothing to find, a list without a home entry neither
+    open_ = cut.groupBy("shingle", "block").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.max("home").alias("own")).where("g0 != g1 and own").select("shingle", "block")
+    cut = cut.join(open_, ["shingle", "block"]).withColumn("bucket", F.pmod(F.xxhash64("shingle", "block"), F.lit(n_buckets)))
+    return cut.groupBy("bucket").applyInArrow(_candidates(t, nearest), "a binary, b binary").distinct()
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
