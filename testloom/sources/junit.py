@@ -85,8 +85,10 @@ def scan_junit_issues(spark: SparkSession, path: str) -> DataFrame:
     Empty files, which the text reader skips, are found by comparison with the file list.
     """
     docs = read_reports(spark, path)
-    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"))
-    empty = listed.join(docs.select("file_path"), "file_path", "left_anti").withColumn("has_root", F.lit(False)).withColumn("n_roots", F.lit(0)).withColumn("broken", F.lit(False)).withColumn("value", F.lit(""))
+    # the readers skip empty files, their file index does not
+    listed = spark.createDataFrame([(p,) for p in spark.read.format("binaryFile").load(path).inputFiles()], "file_path string")
+    name = F.regexp_replace("file_path", "^file:/+", "file:///")
+    empty = listed.withColumn("file_path", name).join(docs.select(name.alias("file_path")), "file_path", "left_anti").select("file_path", F.lit(False).alias("has_root"), F.lit(0).alias("n_roots"), F.lit(False).alias("broken"), F.lit("").alias("value"))
     n_roots = F.regexp_count("value", F.lit(r"<testsuites[\s/>]"))
     broken = F.coalesce(F.col("r._corrupt_record").isNotNull(), F.lit(False))
     rows = docs.select("file_path", "has_root", n_roots.alias("n_roots"), broken.alias("broken"), "value").unionByName(empty)
