@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testloom.llm.common import ascii_lower
+from testloom.llm.common import ascii_lower, materialize
 
 PRIMES = (2147483647, 2147483629)
 BASE = 263
@@ -93,7 +93,8 @@ def exact_dedup(documents: DataFrame, text_col: str = "text", id_col: str = "doc
     and fingerprint move for the comparison: each goes to the text that stays, never to
     the other copies, so a group of n copies costs n comparisons.
     """
-    rows = with_fingerprints(documents, text_col, id_col)
+    # small rows that four steps read: written once, so texts are hashed once
+    rows = materialize(with_fingerprints(documents, text_col, id_col))
     text = F.encode(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), "UTF-8")
     groups = rows.groupBy("fp", "n_bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     several = groups.where("group_size > 1 and keep_id is not null")
