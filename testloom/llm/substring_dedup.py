@@ -21,12 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testloom.llm.common import WordBlock, blocks, joined_words, materialize, sliding, word_count
+from testloom.llm.common import WordBlock, blocks, materialize, sliding
 
 LENGTH = 50
 SEED = 25
 
 
+def normalised(raw: bytes | None) -> bytes:
+    """The words of a text joined by one blank; bytes.split() knows just the rule's white space."""
+    return b" ".join((raw or b"").split())
+
+
 class Stretches:
     """All stretches of `length` words of a block of documents and their seeds."""
 
@@ -41,18 +46,20 @@ class Stretches:
         return w.roll.of(w.starts[starts], w.ends[starts + self.length - 1]).view(np.int64)
 
 
-def _seeds(length: int, seed: int):
+def _scan(length: int, seed: int):
+    """Key, number of words and distinct seeds of every text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = [], []
-            for block in blocks((i, v) for i, x in enumerate(batch.column(1)) if (v := x.as_py())):
-                s = Stretches([v for _, v in block], length, seed)
+            texts = [normalised(x.as_py()) for x in batch.column(2)]
+            seeds: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+            for block in blocks((i, t) for i, t in enumerate(texts) if t):
+                s = Stretches([t for _, t in block], length, seed)
                 for (i, _), (a, b) in zip(block, s.ranges, strict=True):
-                    if b > a:
-                        found.append(own := np.unique(s.seeds[a:b]))
-                        keys.append(np.full(len(own), i))
-            if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(found))], ["key", "seed"])
+                    seeds[i] = np.unique(s.seeds[a:b])
+            keys = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
+            counts = pa.array([t.count(b" ") + bool(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, counts, pa.array(seeds, pa.list_(pa.int64()))], ["id", "tie", "key", "n_words", "seeds"])
 
     return run
 
@@ -63,7 +70,7 @@ def _extensions(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared = batch.column(2)
-            for block in blocks((i, v) for i, x in enumerate(batch.column(1)) if (v := x.as_py())):
+            for block in blocks((i, normalised(x.as_py())) for i, x in enumerate(batch.column(1))):
                 s = Stretches([v for _, v in block], length, seed)
                 keys, starts, firsts = [], [], []
                 for (i, _), (a, b) in zip(block, s.ranges, strict=True):
@@ -83,7 +90,7 @@ def _remove(length: int):
         for batch in batches:
             removed, kept = [], []
             for text, starts in zip(batch.column(1), batch.column(2), strict=True):
-                words = text.as_py().split(b" ")
+                words = text.as_py().split()
                 steps = np.zeros(len(words) + 1, np.int64)
                 at = starts.values.to_numpy()
                 np.add.at(steps, at, 1)
@@ -103,23 +110,22 @@ def repeated_stretches(documents: DataFrame, length: int = LENGTH, seed: int = S
     first_id is the smallest id with it. removals: key, n_removed, kept (UTF-8) for word
     sequences of which the first document loses words.
     """
-    joined = F.encode(joined_words(F.col(text_col)), "UTF-8")
-    rows = documents.select(F.col(id_col).alias("id"), F.unhex(F.sha2(joined, 256)).alias("key"), word_count(F.col(text_col)).alias("n_words"))
-    firsts = rows.where("id is not null").groupBy("key").agg(F.min("id").alias("first_id"))
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").select("id", joined.alias("words"))
-    texts = texts.select("id", F.unhex(F.sha2(F.col("words"), 256)).alias("key"), "words")
-    scanned = texts.select("key", "words").mapInArrow(_seeds(length, seed), "key binary, seed long")
-    counted = scanned.groupBy("seed").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("seed")
+    kind = documents.schema[id_col].dataType.simpleString()
+    texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.encode(text_col, "UTF-8").alias("raw"))
+    # one pass over the texts: small rows that all later steps start from
+    rows = materialize(texts.mapInArrow(_scan(length, seed), f"id {kind}, tie long, key binary, n_words long, seeds array<long>"))
+    named = rows.where("id is not null")
+    firsts = named.groupBy("key").agg(F.min(F.struct("id", "tie")).alias("x")).select("key", F.col("x.id").alias("first_id"), F.col("x.tie").alias("tie"))
+    scanned = named.select("key", F.explode("seeds").alias("seed"))
+    several = scanned.groupBy("seed").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("seed")
     # seeds that several word sequences share, by word sequence
-    shared = materialize(scanned.join(counted, "seed").distinct())
-    by_key = shared.groupBy("key").agg(F.collect_list("seed").alias("seeds")).join(firsts, "key")
-    held = texts.join(by_key.withColumnRenamed("first_id", "id"), ["id", "key"]).dropDuplicates(["key"])
-    kind = texts.schema["id"].dataType.simpleString()
-    spots = materialize(held.select(F.struct("key", "id").alias("key"), "words", "seeds").mapInArrow(_extensions(length, seed), f"key struct<key: binary, id: {kind}>, stretch long, start int").select("key.*", "stretch", "start"))
+    shared = scanned.join(several, "seed").groupBy("key").agg(F.collect_set("seed").alias("seeds")).join(firsts, "key").withColumnRenamed("first_id", "id")
+    held = materialize(texts.join(shared, ["id", "tie"]).dropDuplicates(["key"]).select(F.struct("key", "id").alias("key"), "raw", "seeds"))
+    spots = materialize(held.mapInArrow(_extensions(length, seed), f"key struct<key: binary, id: {kind}>, stretch long, start int").select("key.*", "stretch", "start"))
     first_in = spots.groupBy("stretch").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("stretch", "least")
-    gone = spots.join(first_in, "stretch").where("id > least").groupBy("id", "key").agg(F.collect_set("start").alias("starts"))
-    removals = texts.join(gone, ["id", "key"]).dropDuplicates(["key"]).select("key", "words", "starts").mapInArrow(_remove(length), "key binary, n_removed long, kept binary")
-    return rows.join(firsts, "key", "left"), removals
+    gone = spots.join(first_in, "stretch").where("id > least").groupBy("key").agg(F.collect_set("start").alias("starts"))
+    removals = held.select("key.key", "raw").join(gone, "key").mapInArrow(_remove(length), "key binary, n_removed long, kept binary")
+    return rows.select("id", "key", "n_words").join(firsts.select("key", "first_id"), "key", "left"), removals
 
 
 def substring_dedup(documents: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
