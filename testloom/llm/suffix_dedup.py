@@ -12,6 +12,7 @@ search of each one's strings in the others.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testloom.llm.common import Rolling, blocks, materialize, sliding
+from testloom.llm.common import Rolling, materialize, sliding
 
 LENGTH = 200
 GRAM = 32
@@ -174,20 +175,25 @@ def _anchors(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
 
 
 def _scan(length: int, gram: int):
-    """Anchors of every text with the times they stand in it."""
+    """Key, size and anchors of every text, with the times each stands in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int32))
         for batch in batches:
-            rows, values, times = [], [], []
-            for i, x in enumerate(batch.column(1)):
-                if (raw := x.as_py()) and len(raw) >= length:
+            keys, sizes, anchors, times = [], [], [], []
+            for x in batch.column(2):
+                raw = x.as_py() or b""
+                v, n = none
+                if len(raw) >= length:
                     h, _, chosen = _anchors(np.frombuffer(raw, np.uint8), length, gram)
                     v, n = np.unique(h[chosen], return_counts=True)
-                    rows.append(np.full(len(v), i))
-                    values.append(v.view(np.int64))
-                    times.append(n.astype(np.int32))
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(values)), pa.array(np.concatenate(times))], ["key", "anchor", "times"])
+                keys.append(hashlib.sha256(raw).digest())
+                sizes.append(len(raw))
+                anchors.append(v.view(np.int64))
+                times.append(n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(anchors, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], ["id", "tie", "key", "n_bytes", "anchors", "times"]
+            )
 
     return run
 
@@ -264,24 +270,25 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, i
     them lose everything. Rows need no id: repeated rows are copies like any other. Extra
     columns are ignored, an empty table gives no rows.
     """
-    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = documents.select(F.col(id_col).alias("id"), F.unhex(F.sha2(raw, 256)).alias("key"), F.octet_length(raw).cast("long").alias("n_bytes"))
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
-    texts = documents.select(raw.alias("raw")).select(F.unhex(F.sha2(F.col("raw"), 256)).alias("key"), "raw")
-    scanned = texts.mapInArrow(_scan(length, gram), "key binary, anchor long, times int")
+    kind = documents.schema[id_col].dataType.simpleString()
+    texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.encode(text_col, "UTF-8").alias("raw"))
+    # one pass over the texts: small rows that all later steps start from
+    rows = materialize(texts.mapInArrow(_scan(length, gram), f"id {kind}, tie long, key binary, n_bytes long, anchors array<long>, times array<int>"))
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "tie")).alias("one"))
+    scanned = rows.select("key", F.explode(F.arrays_zip("anchors", "times")).alias("x")).select("key", F.col("x.anchors").alias("anchor"), F.col("x.times").alias("times"))
     twice = scanned.groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.max("times").alias("times")).where("least != most or times > 1").select("anchor")
-    shared = materialize(scanned.join(twice, "anchor").select("key", "anchor").distinct())
-    by_key = shared.groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
-    held = texts.join(by_key, "key").dropDuplicates(["key"])
-    pieces = held.select("key", "raw", "anchors").mapInArrow(_stretches(length, gram), "key binary, anchor long, start long, part binary")
+    shared = scanned.join(twice, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")).join(copies, "key").select("key", "anchors", F.col("one.id").alias("one_id"), F.col("one.tie").alias("one_tie"))
+    held = texts.join(shared, texts.id.eqNullSafe(shared.one_id) & (texts.tie == shared.one_tie))
+    held = materialize(held.select("key", "raw", "anchors").dropDuplicates(["key"]))
+    pieces = held.mapInArrow(_stretches(length, gram), "key binary, anchor long, start long, part binary")
     pieces = materialize(pieces.withColumn("part_key", F.unhex(F.sha2(F.concat(F.encode(F.col("anchor").cast("string"), "UTF-8"), F.lit(b":"), F.col("part")), 256))))
     n_shards = max(1, -(-pieces.count() // SHARD_ROWS))
     different = pieces.groupBy("anchor", "part_key", "part").agg(F.count("*").alias("times")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
     found = different.groupBy("shard").applyInArrow(_repeats(length), "part_key binary, offsets array<long>").where(F.size("offsets") > 0)
     runs = pieces.select("key", "start", "part_key").join(found, "part_key").select("key", F.transform("offsets", lambda o: o + F.col("start")).alias("runs"))
     gone = runs.groupBy("key").agg(F.collect_list("runs").alias("runs"))
-    removals = texts.join(gone, "key").dropDuplicates(["key"]).mapInArrow(_remove(length), "key binary, n_removed long, n_spans long, kept binary")
-    out = rows.join(copies, "key").join(removals, "key", "left")
+    removals = held.select("key", "raw").join(gone, "key").mapInArrow(_remove(length), "key binary, n_removed long, n_spans long, kept binary")
+    out = rows.select("id", "key", "n_bytes").join(copies.select("key", "copies"), "key").join(removals, "key", "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     kept = F.when(all_gone, F.encode(F.lit(""), "UTF-8")).otherwise(F.col("kept"))
     zero = F.lit(0).cast("long")
