@@ -43,6 +43,8 @@ TOKENS = re.compile(
     re.S | re.I,
 )
 ATTRIBUTES = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Parts of a class that say what an element lacks or what stands beside it.
+ASIDE = re.compile(r"\b(?:has|no|with|without|non|hide)[-_]\w+|\b\w+[-_]free\b", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
@@ -78,7 +80,7 @@ def _is_labelled(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "role" and value.lower() in ROLES:
             return True
         if name in ("class", "id") and tag != "main":
-            labels = {w.lower() for w in WORDS.findall(value)}
+            labels = {w.lower() for w in WORDS.findall(ASIDE.sub("", value))}
             if labels & LABELS or ("header" in labels and not in_article and not labels & {"article", "post", "entry"}):
                 return tag != "article" or bool(labels & {"comment", "comments", "ad", "advert", "advertisement", "promo", "related"})
     return False
@@ -135,8 +137,6 @@ def read_blocks(page: str) -> tuple[list[Block], dict[int, tuple[str, int]]]:
         number = len(elements)
         elements[number] = (tag, stack[-1][0])
         kept = stack[-1][2] and not _is_labelled(tag, m[4] or m[7] or "", any(x[1] in ("article", "main") for x in stack))
-        if tag in INLINE and not kept and stack[-1][2] and block is not None:
-            pass  # text of a labelled inline element is left out of its block
         stack.append((number, tag, kept))
         links += tag == "a"
     for b in found:
