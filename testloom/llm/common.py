@@ -39,11 +39,28 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Lets Spark drop a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: lineage ends there.
+
+    Later steps read the written table, so the shuffle files that made it are let go as
+    soon as it is whole; while it is being written, lost ones are made again as usual.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(c: Column) -> Column:
