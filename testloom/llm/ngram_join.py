@@ -8,14 +8,13 @@ Exact self-join of shingle sets under a Jaccard threshold, as connected groups.
    either; shingles of one class only can't be shared, so few sets have any entry in the
    index, and shared boilerplate comes last in the order.
 3. Index lists are cut into blocks by set size; a set meets only its own block and the
-   next, and inside a block pairs are skipped by size and by the positions of the shared
-   shingle, which bound the intersection.
-   A sketch of each set bounds the difference and skips most of what is left.
+   next. Inside a block pairs are skipped by size, by the positions of the shared shingle,
+   which bound the intersection, and by sketches, which bound the difference.
 4. Answers are derived from similar sets: every entry of a list is first checked against the
-   two entries before it that its sketch is nearest to. Groups found so far are merged; later pairs inside a group are never
-   looked at, and for pairs between groups the intersection of their leaders, corrected by
-   the known differences to the leaders, accepts or rejects most without another look at
-   the sets. Only the rest is intersected.
+   two entries before it that its sketch is nearest to. Groups found so far are merged;
+   later pairs inside a group are never looked at, and for pairs between groups the
+   intersection of their leaders, corrected by the known differences to the leaders,
+   accepts or rejects most without another look at the sets. Only the rest is intersected.
 
 No pair inside a group of near copies has to be enumerated once the group is connected.
 """
@@ -28,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from testloom.llm.common import WordBlock, blocks, materialize
@@ -273,6 +272,7 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    trace = _trace(edges)
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -280,12 +280,16 @@ def connected(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower).where("u != v").distinct()
         new = materialize(small)
-        same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
-        edges = new
-        if same:
+        edges, last, trace = new, trace, _trace(new)
+        if trace == last:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _trace(edges: DataFrame) -> Row:
+    """Number of edges and sums of two hashes of them: tells whether a round changed anything."""
+    return edges.agg(F.count("*"), *(F.sum(F.xxhash64(*c).cast("decimal(38,0)")) for c in (("u", "v"), ("v", "u")))).first()
+
+
 def jaccard_groups(documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, sig.
 
