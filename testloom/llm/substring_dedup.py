@@ -65,7 +65,7 @@ def _scan(length: int, seed: int):
 
 
 def _extensions(length: int, seed: int):
-    """Hash of every stretch whose seed is shared, with its first word."""
+    """Hash of every stretch whose seed is shared, with the words it starts at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +78,16 @@ def _extensions(length: int, seed: int):
                     starts.append(at)
                     firsts.append(at - a)
                     keys.append(np.full(len(at), i))
-                at = np.concatenate(starts)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(keys))), pa.array(s.hashes(at)), pa.array(np.concatenate(firsts), pa.int32())], ["key", "stretch", "start"])
+                at, first, key = np.concatenate(starts), np.concatenate(firsts), np.concatenate(keys)
+                if not len(at):
+                    continue
+                # one row for a stretch and document, however often it stands there
+                h = s.hashes(at)
+                order = np.lexsort((first, h, key))
+                h, first, key = h[order], first[order], key[order]
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]))))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(h)), pa.int32()), pa.array(first, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(key[new])), pa.array(h[new]), lists], ["key", "stretch", "starts"])
 
     return run
 
@@ -121,9 +128,9 @@ def repeated_stretches(documents: DataFrame, length: int = LENGTH, seed: int = S
     # seeds that several word sequences share, by word sequence
     shared = scanned.join(several, "seed").groupBy("key").agg(F.collect_set("seed").alias("seeds")).join(firsts, "key").withColumnRenamed("first_id", "id")
     held = materialize(texts.join(shared, ["id", "tie"]).dropDuplicates(["key"]).select(F.struct("key", "id").alias("key"), "raw", "seeds"))
-    spots = materialize(held.mapInArrow(_extensions(length, seed), f"key struct<key: binary, id: {kind}>, stretch long, start int").select("key.*", "stretch", "start"))
+    spots = materialize(held.mapInArrow(_extensions(length, seed), f"key struct<key: binary, id: {kind}>, stretch long, starts array<int>").select("key.*", "stretch", "starts"))
     first_in = spots.groupBy("stretch").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("stretch", "least")
-    gone = spots.join(first_in, "stretch").where("id > least").groupBy("key").agg(F.collect_set("start").alias("starts"))
+    gone = spots.join(first_in, "stretch").where("id > least").groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     removals = held.select("key.key", "raw").join(gone, "key").mapInArrow(_remove(length), "key binary, n_removed long, kept binary")
     return rows.select("id", "key", "n_words").join(firsts.select("key", "first_id"), "key", "left"), removals
 
