@@ -277,7 +277,8 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, i
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "tie")).alias("one"))
     scanned = rows.select("key", F.explode(F.arrays_zip("anchors", "times")).alias("x")).select("key", F.col("x.anchors").alias("anchor"), F.col("x.times").alias("times"))
     twice = scanned.groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.max("times").alias("times")).where("least != most or times > 1").select("anchor")
-    shared = scanned.join(twice, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")).join(copies, "key").select("key", "anchors", F.col("one.id").alias("one_id"), F.col("one.tie").alias("one_tie"))
+    shared = scanned.join(twice, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")).join(copies, "key")
+    shared = materialize(shared.select("key", "anchors", F.col("one.id").alias("one_id"), F.col("one.tie").alias("one_tie")))
     held = texts.join(shared, texts.id.eqNullSafe(shared.one_id) & (texts.tie == shared.one_tie))
     held = materialize(held.select("key", "raw", "anchors").dropDuplicates(["key"]))
     pieces = held.mapInArrow(_stretches(length, gram), "key binary, anchor long, start long, part binary")
