@@ -126,7 +126,7 @@ def repeated_stretches(documents: DataFrame, length: int = LENGTH, seed: int = S
     scanned = named.select("key", F.explode("seeds").alias("seed"))
     several = scanned.groupBy("seed").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("seed")
     # seeds that several word sequences share, by word sequence
-    shared = scanned.join(several, "seed").groupBy("key").agg(F.collect_set("seed").alias("seeds")).join(firsts, "key").withColumnRenamed("first_id", "id")
+    shared = materialize(scanned.join(several, "seed").groupBy("key").agg(F.collect_set("seed").alias("seeds")).join(firsts, "key").withColumnRenamed("first_id", "id"))
     held = materialize(texts.join(shared, ["id", "tie"]).dropDuplicates(["key"]).select(F.struct("key", "id").alias("key"), "raw", "seeds"))
     spots = materialize(held.mapInArrow(_extensions(length, seed), f"key struct<key: binary, id: {kind}>, stretch long, starts array<int>").select("key.*", "stretch", "starts"))
     first_in = spots.groupBy("stretch").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("stretch", "least")
