@@ -27,8 +27,8 @@ ORDER = 3
 #: Bytes with a code of their own; the others share one symbol.
 SYMBOLS = 64
 #: Labelled texts a language learns from, and bytes of them: the bound of the sample.
-SAMPLE_TEXTS = 1500
-SAMPLE_BYTES = 4_000_000
+SAMPLE_TEXTS = 1000
+SAMPLE_BYTES = 2_000_000
 #: Contexts of full order seen fewer times than this are dropped from the trees.
 LEAST_CONTEXT = 2
 UNKNOWN = "und"
@@ -36,7 +36,7 @@ UNKNOWN = "und"
 
 def _codes(symbols: np.ndarray, order: int) -> np.ndarray:
     """Number of the `order` symbols before each position, base SYMBOLS."""
-    out = np.zeros(len(symbols), np.int64)
+    out = np.zeros(len(symbols), np.int32)  # SYMBOLS ** (ORDER + 1) fits
     for back in range(order, 0, -1):
         out[back:] = out[back:] * SYMBOLS + symbols[:-back] if back < len(symbols) else out[back:]
     return out
@@ -52,7 +52,8 @@ class Model:
         self.symbol_of = np.zeros(256, np.uint8)
         known = np.argsort(-seen, kind="stable")[: SYMBOLS - 1]
         self.symbol_of[known] = np.arange(1, SYMBOLS, dtype=np.uint8)
-        streams = {k: self.symbol_of[v].astype(np.int64) for k, v in joined.items()}
+        streams = {k: self.symbol_of[v].astype(np.int32) for k, v in joined.items()}
+        del joined
         full = sum((np.bincount(_codes(s, ORDER), minlength=SYMBOLS**ORDER) for s in streams.values()), np.zeros(SYMBOLS**ORDER, np.int64))
         contexts = np.flatnonzero(full >= LEAST_CONTEXT)
         shorter = SYMBOLS ** (ORDER - 1)
@@ -61,7 +62,7 @@ class Model:
         self.row_of[contexts] = shorter + np.arange(len(contexts), dtype=np.int32)
         self.bits = np.empty(((shorter + len(contexts)) * SYMBOLS, len(self.languages)), np.float32)
         for i, k in enumerate(self.languages):
-            self.bits[:, i] = -np.log2(self._chances(streams[k], contexts)).ravel()
+            self.bits[:, i] = -np.log2(self._chances(streams.pop(k), contexts)).ravel()
 
     @staticmethod
     def _chances(stream: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -82,7 +83,7 @@ class Model:
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language; texts of at least one byte."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + ORDER
-        symbols = self.symbol_of[np.frombuffer(b"".join(b"\n" * ORDER + t for t in texts), np.uint8)].astype(np.int64)
+        symbols = self.symbol_of[np.frombuffer(b"".join(b"\n" * ORDER + t for t in texts), np.uint8)].astype(np.int32)
         bits = self.bits[self.row_of[_codes(symbols, ORDER)] * np.int64(SYMBOLS) + symbols]
         ends = np.cumsum(lengths)
         edges = np.column_stack((ends - lengths + ORDER, ends)).ravel()[:-1]
