@@ -226,8 +226,15 @@ def _repeats(length: int):
     def run(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts = [x.as_py() for x in table.column("part").combine_chunks()]
         times = table.column("times").to_numpy()
-        found = repeats(parts, length)
-        offsets = [np.arange(len(p) - length + 1) if t > 1 else f for p, t, f in zip(parts, times.tolist(), found, strict=True)]
+        _, anchor, stretches = np.unique(table.column("anchor").to_numpy(), return_inverse=True, return_counts=True)
+        # equal strings have one anchor: a stretch that stands twice and is the only one of its
+        # anchor repeats as a whole and can't meet any other
+        lone = (times > 1) & (stretches[anchor] == 1)
+        found = iter(repeats([p for p, x in zip(parts, lone.tolist(), strict=True) if not x], length))
+        offsets = []
+        for p, n, x in zip(parts, times.tolist(), lone.tolist(), strict=True):
+            own = None if x else next(found)
+            offsets.append(np.arange(len(p) - length + 1) if n > 1 else own)
         return pa.table({"part_key": table.column("part_key"), "offsets": pa.array([_runs(o) for o in offsets], pa.list_(pa.int64()))})
 
     return run
