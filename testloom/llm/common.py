@@ -34,8 +34,7 @@ def shared_path(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "testloom-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = os.path.join(tempfile.gettempdir(), "testloom-checkpoints")  # unset: a local run
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
