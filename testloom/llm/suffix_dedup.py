@@ -7,7 +7,8 @@ repeat. These stretches are dealt out by anchor; equal ones are counted, and of
 different ones of a shard a suffix array is made by Larsson-Sadakane refinement. Kasai's
 common prefixes of neighbours then tell which strings of 200 bytes start twice. A shard
 larger than SHARD_BYTES is cut into several suffix arrays, which are merged by binary
-search of each one's strings in the others.
+search of each one's strings in the others. Stretches of an anchor with more bytes than
+that are dealt over several tasks, whose strings are merged by a shuffle of their hashes.
 """
 
 from __future__ import annotations
@@ -115,6 +116,7 @@ class Shard:
     """Suffix array of some stretches; each is ended by its number of rows, never matched."""
 
     def __init__(self, stretches: list[bytes], length: int):
+        self.n_stretches = len(stretches)
         self.data = np.frombuffer(b"".join(stretches), np.uint8)
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
         ends = np.cumsum(sizes)
@@ -140,8 +142,8 @@ class Shard:
                 a.repeated |= keys[place] == a.keys
 
 
-def repeats(stretches: list[bytes], length: int) -> list[np.ndarray]:
-    """For every stretch, offsets at which a string starts that starts elsewhere too."""
+def shards(stretches: list[bytes], length: int) -> list[Shard]:
+    """Merged shards of SHARD_BYTES each, of the stretches in order."""
     lists: list[list[bytes]] = [[]]
     size = 0
     for s in stretches:
@@ -150,14 +152,19 @@ def repeats(stretches: list[bytes], length: int) -> list[np.ndarray]:
             size = 0
         lists[-1].append(s)
         size += len(s)
-    shards = [Shard(x, length) for x in lists]
-    for i, a in enumerate(shards):
-        for b in shards[:i]:
+    made = [Shard(x, length) for x in lists]
+    for i, a in enumerate(made):
+        for b in made[:i]:
             a.meet(b)
+    return made
+
+
+def repeats(stretches: list[bytes], length: int) -> list[np.ndarray]:
+    """For every stretch, offsets at which a string starts that starts elsewhere too."""
     out: list[np.ndarray] = []
-    for shard, own in zip(shards, lists, strict=True):
+    for shard in shards(stretches, length):
         at = np.sort(shard.at[shard.repeated])
-        cuts = np.searchsorted(shard.owner[at], np.arange(len(own) + 1))
+        cuts = np.searchsorted(shard.owner[at], np.arange(shard.n_stretches + 1))
         out += [shard.offset[at[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return out
 
@@ -240,6 +247,69 @@ def _repeats(length: int):
     return run
 
 
+def _strings(length: int):
+    """Hashes of the different strings of a shard, by bucket, and whether each starts twice in it."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = [x.as_py() for x in table.column("part")]
+        twice = table.column("times").to_numpy() > 1
+        hashes, again, first = [], [], 0
+        for shard in shards(parts, length):
+            hashes.append(shard.keys)
+            again.append(shard.repeated | twice[first + shard.owner[shard.at]])
+            first += shard.n_stretches
+        values, of = np.unique(np.concatenate(hashes), return_inverse=True)
+        again = np.bincount(of, np.concatenate(again)) > 0
+        bucket = (values % np.uint64(table.column("cuts")[0].as_py())).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        values, again, bucket = values[order], again[order], bucket[order]
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])).tolist()
+        pieces = list(zip(edge[:-1], edge[1:], strict=True))
+        n = len(pieces)
+        return pa.table({
+            "anchor": pa.array([key[0].as_py()] * n, pa.int64()), "shard": pa.array([key[1].as_py()] * n, pa.int64()), "bucket": pa.array(bucket[edge[:-1]], pa.int64()),
+            "hashes": pa.array([values[a:b].tobytes() for a, b in pieces], pa.binary()), "again": pa.array([again[a:b].tobytes() for a, b in pieces], pa.binary()),
+        })
+
+    return run
+
+
+def _merged(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Of each shard's hashes in a bucket those that start twice, in it or in two shards."""
+    lists = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+    again = np.frombuffer(b"".join(x.as_py() for x in table.column("again")), bool)
+    _, of, shards_with = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    keep = np.split(again | (shards_with[of] > 1), np.cumsum([len(x) for x in lists])[:-1])
+    return pa.table({"anchor": table.column("anchor"), "shard": table.column("shard"), "hashes": pa.array([x[k].tobytes() for x, k in zip(lists, keep, strict=True)], pa.binary())})
+
+
+def _placed(length: int):
+    """Offsets of a shard's stretches at which one of its repeated strings starts."""
+
+    def run(own: pa.Table, merged: pa.Table) -> pa.Table:
+        parts = [x.as_py() for x in own.column("part")]
+        known = np.frombuffer(b"".join(x.as_py() for x in merged.column("hashes")), np.uint64)
+        roll = Rolling(np.frombuffer(b"".join(parts), np.uint8))
+        sizes = np.array([len(p) for p in parts])
+        counts = sizes - length + 1
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = np.repeat(np.cumsum(sizes) - sizes, counts) + offset
+        hit = np.isin(roll.of(start, start + length), known)
+        found = [_runs(np.flatnonzero(x)) for x in np.split(hit, np.cumsum(counts)[:-1])]
+        return pa.table({"part_key": own.column("part_key"), "offsets": pa.array(found, pa.list_(pa.int64()))})
+
+    return run
+
+
+def _repeats_of_heavy(pieces: DataFrame, heavy: DataFrame, length: int) -> DataFrame:
+    """(part_key, offsets) for stretches of anchors too large for one task, dealt over `cuts` shards each."""
+    different = pieces.join(F.broadcast(heavy), "anchor").groupBy("anchor", "cuts", "part_key", "part").agg(F.count("*").alias("times"))
+    dealt = materialize(different.withColumn("shard", F.pmod(F.xxhash64("part_key"), "cuts")))
+    strings = dealt.groupBy("anchor", "shard").applyInArrow(_strings(length), "anchor long, shard long, bucket long, hashes binary, again binary")
+    merged = strings.groupBy("anchor", "bucket").applyInArrow(_merged, "anchor long, shard long, hashes binary")
+    return dealt.groupBy("anchor", "shard").cogroup(merged.groupBy("anchor", "shard")).applyInArrow(_placed(length), "part_key binary, offsets array<long>")
+
+
 def _runs(starts: np.ndarray) -> np.ndarray:
     """Sorted starts as first, last, first, last, ... of runs without gap."""
     if not len(starts):
@@ -290,9 +360,18 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, i
     held = materialize(held.select("key", "raw", "anchors").dropDuplicates(["key"]))
     pieces = held.mapInArrow(_stretches(length, gram), "key binary, anchor long, start long, part binary")
     pieces = materialize(pieces.withColumn("part_key", F.unhex(F.sha2(F.concat(F.encode(F.col("anchor").cast("string"), "UTF-8"), F.lit(b":"), F.col("part")), 256))))
-    n_shards = max(1, -(-pieces.count() // SHARD_ROWS))
-    different = pieces.groupBy("anchor", "part_key", "part").agg(F.count("*").alias("times")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
-    found = different.groupBy("shard").applyInArrow(_repeats(length), "part_key binary, offsets array<long>").where(F.size("offsets") > 0)
+    # anchors with more bytes than a shard: at most as many as there are shards
+    weights = pieces.groupBy("anchor").agg(F.sum(F.length("part")).alias("bytes"))
+    heavy = materialize(weights.where(F.col("bytes") > SHARD_BYTES).select("anchor", F.ceil(2 * F.col("bytes") / SHARD_BYTES).alias("cuts")))
+    any_heavy = not heavy.isEmpty()
+    light = pieces.join(F.broadcast(heavy), "anchor", "left_anti") if any_heavy else pieces
+    n_rows, n_bytes = pieces.agg(F.count("*"), F.coalesce(F.sum(F.length("part")), F.lit(0))).first()
+    n_shards = max(1, -(-n_rows // SHARD_ROWS), -(-n_bytes // SHARD_BYTES))
+    different = light.groupBy("anchor", "part_key", "part").agg(F.count("*").alias("times")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
+    found = different.groupBy("shard").applyInArrow(_repeats(length), "part_key binary, offsets array<long>")
+    if any_heavy:
+        found = found.union(_repeats_of_heavy(pieces, heavy, length))
+    found = found.where(F.size("offsets") > 0)
     runs = pieces.select("key", "start", "part_key").join(found, "part_key").select("key", F.transform("offsets", lambda o: o + F.col("start")).alias("runs"))
     gone = runs.groupBy("key").agg(F.collect_list("runs").alias("runs"))
     removals = held.select("key", "raw").join(gone, "key").mapInArrow(_remove(length), "key binary, n_removed long, n_spans long, kept binary")

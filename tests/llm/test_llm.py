@@ -309,6 +309,36 @@ def test_suffix_shards(monkeypatch, size):
         assert [g.tolist() for g in suffix_dedup.repeats(texts, n)] == [[i for i in range(len(s) - n + 1) if count[s[i : i + n]] > 1] for s in texts]
 
 
+def test_suffix_heavy_anchor_is_dealt_over_shards(spark, monkeypatch):
+    """Boilerplate in differing surroundings: no task holds all stretches of its anchor."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    rng = random.Random(9)
+    boilerplate = bytes(rng.choice(b"abcdefgh") for _ in range(120))
+    ends = [bytes(rng.choice(b"ijklmnop") for _ in range(150)) for _ in range(12)]
+    texts = [rng.choice(ends) + boilerplate + rng.choice(ends) if i % 3 else bytes(rng.choice(b"qrst") for _ in range(150)) + boilerplate + ends[0] for i in range(90)]
+
+    def bounded(make):
+        def factory(length):
+            run = make(length)
+
+            def checked(key, table):
+                assert sum(len(x.as_py()) for x in table.column("part")) <= 2 * 4000
+                return run(key, table)
+
+            return checked
+
+        return factory
+
+    for name in ("_repeats", "_strings"):
+        monkeypatch.setattr(suffix_dedup, name, bounded(getattr(suffix_dedup, name, suffix_dedup._repeats)), raising=False)
+    count = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    for r in suffix_dedup.suffix_dedup(frame(spark, [t.decode() for t in texts])).collect():
+        t = texts[r.doc_id]
+        gone = {p for i in range(len(t) - 199) if count[t[i : i + 200]] > 1 for p in range(i, i + 200)}
+        kept = bytes(b for p, b in enumerate(t) if p not in gone)
+        assert (r.n_removed, r.kept_sha256) == (len(gone), hashlib.sha256(kept).hexdigest()), r.doc_id
+
+
 def test_suffix_array_is_sorted():
     data = np.frombuffer(b"banana bandana banana", np.uint8)
     order, rank = suffix_dedup.suffix_array(data, 64)
