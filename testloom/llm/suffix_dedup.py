@@ -72,8 +72,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, limit
     """lcp[i]: bytes that suffixes order[i - 1] and order[i] have in common, up to `limit`.
 
     Kasai's bound, that going one byte on loses at most one common byte, holds for whole
-    runs: where the pair (p - 1, q - 1) are neighbours too, the prefix is one less than
-    theirs. Only the heads of such runs are compared, eight bytes at a time.
+    runs: where the pair (p - 1, q - 1) are neighbours too and begin with one byte, the
+    prefix is one less than theirs. Only the heads of such runs are compared.
     """
     n = len(data)
     lcp = np.zeros(n, np.int64)
@@ -82,7 +82,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, limit
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     head = np.ones(n, bool)
-    head[1:] = (before[1:] <= 0) | (before[:-1] < 0) | (before[:-1] + 1 != before[1:])
+    head[1:] = (before[1:] <= 0) | (before[:-1] < 0) | (before[:-1] + 1 != before[1:]) | (data[:-1] != data[before[:-1]])
     head &= before >= 0
     heads = np.flatnonzero(head)
     ends = np.append(heads[1:], n)

@@ -309,6 +309,13 @@ def test_suffix_shards(monkeypatch, size):
         assert [g.tolist() for g in suffix_dedup.repeats(texts, n)] == [[i for i in range(len(s) - n + 1) if count[s[i : i + n]] > 1] for s in texts]
 
 
+def test_suffix_prefixes_after_neighbours_without_common_byte():
+    rng = random.Random(4)
+    for _ in range(20):
+        x = bytes(rng.choice(b"CDEFGHIJKLMNOPQ") for _ in range(300))
+        assert [g.tolist() for g in suffix_dedup.repeats([b"A" + x, b"B" + x], 200)] == [list(range(1, 102))] * 2
+
+
 def test_suffix_heavy_anchor_is_dealt_over_shards(spark, monkeypatch):
     """Boilerplate in differing surroundings: no task holds all stretches of its anchor."""
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
