@@ -16,7 +16,9 @@ Exact self-join of shingle sets under a Jaccard threshold, as connected groups.
    intersection of their leaders, corrected by the known differences to the leaders,
    accepts or rejects most without another look at the sets. Only the rest is intersected.
 
-No pair inside a group of near copies has to be enumerated once the group is connected.
+No pair inside a group of near copies has to be enumerated once the group is connected. A
+list of more than LIST_ENTRIES is dealt over tasks: for the first look by chance, twice;
+then pairs of parts of the list meet, without those inside its largest group.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from testloom.llm.common import WordBlock, blocks, materialize
@@ -43,6 +45,8 @@ NEAREST = 2
 STRIP_PAIRS = 1 << 18
 #: Index entries that share one bucket of lists, on average.
 BUCKET_ENTRIES = 20_000
+#: Entries of a list that one task pairs; a longer list is dealt over several.
+LIST_ENTRIES = 10_000
 #: A shingle in this share of all documents, or more, is common: at most (mean set size /
 #: COMMON_SHARE) shingles are, so the list of common ones is broadcast.
 COMMON_SHARE = 0.005
@@ -190,16 +194,21 @@ def parity(values: np.ndarray) -> bytes:
     return np.packbits((np.bincount((values % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
 
 
-def list_pairs(n: np.ndarray, at: np.ndarray, group: np.ndarray, home: np.ndarray, bits: np.ndarray, t: int, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
+#: Side of an entry that meets all others of its part of a list.
+ANY = 2
+
+
+def list_pairs(n: np.ndarray, at: np.ndarray, group: np.ndarray, home: np.ndarray, bits: np.ndarray, side: np.ndarray, t: int, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one block of one index list, as two index arrays.
 
     Pairs of different groups that neither size, position nor sketch excludes; with `nearest`,
     of each entry only those with the entries before it that differ least by the sketch.
-    home: whether an entry belongs to this block or visits from the one below. Entries are
+    home: whether an entry belongs to this block or visits from the one below. side: 0 or 1
+    where only pairs of both sides are asked for, else ANY. Entries are
     in order of size, and rows of the pair matrix are made a strip at a time.
     """
     order = np.lexsort((at, n))
-    n, at, group, home, bits = n[order], at[order], group[order], home[order], bits[order]
+    n, at, group, home, bits, side = n[order], at[order], group[order], home[order], bits[order], side[order]
     left, right = [order[:0]], [order[:0]]
     strip = max(1, STRIP_PAIRS // len(n))
     for a in range(0, len(n), strip):
@@ -210,6 +219,7 @@ def list_pairs(n: np.ndarray, at: np.ndarray, group: np.ndarray, home: np.ndarra
         # the intersection is at most the shared shingle and what follows it in either set
         ok = np.minimum((n[i] - at[i])[None], (n[j] - at[j])[:, None]) >= need
         ok &= (i[None] < j[:, None]) & (home[i][None] | home[j][:, None]) & (group[i][None] != group[j][:, None])
+        ok &= (side[i][None] != side[j][:, None]) | (side[j] == ANY)[:, None]
         y, x = np.nonzero(ok)
         differ = np.bitwise_count(bits[i[x]] ^ bits[j[y]]).sum(1, dtype=np.int64)
         close = differ <= n[i[x]] + n[j[y]] - 2 * need[y, x]
@@ -234,14 +244,15 @@ def _candidates(t: int, nearest: int):
         who, names = sigs.indices.to_numpy(zero_copy_only=False).astype(np.int64), sigs.dictionary
         group = table.column("grp").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
-        _, key = np.unique(np.column_stack((table.column("shingle").to_numpy(), table.column("block").to_numpy())), axis=0, return_inverse=True)
+        side = table.column("side").to_numpy()
+        _, key = np.unique(np.column_stack([table.column(c).to_numpy() for c in ("shingle", "block", "part")]), axis=0, return_inverse=True)
         order = np.argsort(key, kind="stable")
         ends = np.flatnonzero(np.diff(key[order], append=-1)) + 1
         found = []
         for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             part = order[a:b]
             if b - a > 1 and (group[part] != group[part[0]]).any():
-                x, y = list_pairs(n[part], at[part], group[part], home[part], bits[part], t, nearest)
+                x, y = list_pairs(n[part], at[part], group[part], home[part], bits[part], side[part], t, nearest)
                 found.append((part[x], part[y]))
         i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         pairs = np.unique(np.sort(np.column_stack((who[i], who[j])), axis=1), axis=0)
@@ -365,11 +376,49 @@ def _pairs(index: DataFrame, t: int, nearest: int, n_buckets: int) -> DataFrame:
     cut = index.withColumn("block", block)
     cut = cut.withColumn("home", F.lit(True)).union(cut.withColumn("block", F.col("block") + 1).withColumn("home", F.lit(False)))
     # a list of one entry or group has nothing to find, a list without a home entry neither
-    open_ = cut.groupBy("shingle", "block").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.max("home").alias("own")).where("g0 != g1 and own").select("shingle", "block")
-    cut = cut.join(open_, ["shingle", "block"]).withColumn("bucket", F.pmod(F.xxhash64("shingle", "block"), F.lit(n_buckets)))
+    open_ = cut.groupBy("shingle", "block").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.max("home").alias("own"), F.count("*").alias("d")).where("g0 != g1 and own")
+    open_ = materialize(open_.select("shingle", "block", "d"))
+    whole = cut.join(open_.where(F.col("d") <= LIST_ENTRIES).drop("d"), ["shingle", "block"])
+    whole = whole.withColumn("part", F.lit(0).cast("long")).withColumn("side", F.lit(ANY)).withColumn("bucket", F.pmod(F.xxhash64("shingle", "block"), F.lit(n_buckets)))
+    long = open_.where(F.col("d") > LIST_ENTRIES)
+    if not long.isEmpty():
+        dealt = (_by_chance if nearest else _by_parts)(cut, long).select(*cut.columns, "part", "side")
+        whole = whole.unionByName(dealt.withColumn("bucket", F.xxhash64("shingle", "block", "part")))
+    cut = whole
     return cut.groupBy("bucket").applyInArrow(_candidates(t, nearest), "a binary, b binary").distinct()
 
 
+def _by_chance(cut: DataFrame, long: DataFrame) -> DataFrame:
+    """Entries of long lists, each dealt by chance to two parts of its list."""
+    dealt = cut.join(F.broadcast(long), ["shingle", "block"]).withColumn("round", F.explode(F.array(F.lit(1), F.lit(2))))
+    part = F.pmod(F.xxhash64("sig", "shingle", "round"), F.ceil(F.col("d") / LIST_ENTRIES))
+    return dealt.withColumn("part", F.shiftleft(F.col("round").cast("long"), 40) + part).withColumn("side", F.lit(ANY))
+
+
+def _by_parts(cut: DataFrame, long: DataFrame) -> DataFrame:
+    """Entries of long lists, dealt so that any two meet in one part if they aren't both of the list's largest group.
+
+    The largest group of a list and the rest of it are cut separately; every part of the
+    rest meets every other and itself, and every part of the largest group.
+    """
+    ours = cut.join(F.broadcast(long), ["shingle", "block"])
+    groups = ours.groupBy("shingle", "block", "grp").agg(F.count("*").alias("c"))
+    sizes = groups.groupBy("shingle", "block").agg(F.max(F.struct("c", "grp")).alias("top"), F.sum("c").alias("d"))
+    sizes = materialize(sizes.select("shingle", "block", F.col("top.grp").alias("mass"), F.ceil(F.col("top.c") / LIST_ENTRIES).alias("n_mass"), F.ceil((F.col("d") - F.col("top.c")) / LIST_ENTRIES).alias("n_rest")))
+    ours = cut.join(F.broadcast(sizes), ["shingle", "block"]).withColumn("in_mass", F.col("grp") == F.col("mass"))
+    ours = ours.withColumn("k", F.pmod(F.xxhash64("sig", "shingle"), F.when(F.col("in_mass"), F.col("n_mass")).otherwise(F.col("n_rest"))))
+    k = F.col("k")
+
+    def place(kind: int, low: Column, high: Column, side: Column) -> Column:
+        return F.struct((F.lit(kind << 50) + F.shiftleft(low, 25) + high).alias("part"), side.alias("side"))
+
+    rest, mass = F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1), F.sequence(F.lit(0).cast("long"), F.col("n_mass") - 1)
+    among = F.transform(rest, lambda j: place(1, F.least(k, j), F.greatest(k, j), F.when(j == k, ANY).otherwise((k > j).cast("int"))))
+    across = F.transform(mass, lambda j: place(2, k, j, F.lit(0)))
+    places = F.when(F.col("in_mass"), F.transform(rest, lambda j: place(2, j, k, F.lit(1)))).otherwise(F.concat(among, across))
+    return ours.withColumn("x", F.explode(places)).withColumns({"part": F.col("x.part"), "side": F.col("x.side")})
+
+
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n, m, both): set sizes and intersection of each pair."""
     x = sets.select(F.col("sig").alias("a"), F.col("n"), F.col("shingles").alias("x"))

@@ -246,6 +246,41 @@ def test_near_copies_in_a_chain(spark, monkeypatch):
     assert {r.component_id for r in ngram_join.jaccard_groups(frame(spark, texts)).collect()} == {0}
 
 
+def test_long_lists_are_dealt_over_tasks(spark, monkeypatch):
+    """Sets of shared passages: no part of a list is longer than some LIST_ENTRIES, groups stay exact."""
+    monkeypatch.setattr(ngram_join, "LIST_ENTRIES", 8, raising=False)
+    monkeypatch.setattr(ngram_join, "COMMON_LEAST", 5)
+    rng = random.Random(6)
+    passages = [[f"p{k}w{i}" for i in range(8)] for k in range(9)]
+    texts = [" ".join(w for k in rng.sample(range(9), 5) for w in passages[k]) for _ in range(70)]
+    base = [f"b{i}" for i in range(120)]
+    for i in range(60):
+        near = base.copy()
+        near[2 * i] = near[2 * i - 4]
+        texts.append(" ".join(near))
+    make = ngram_join._candidates
+
+    def checked(t, nearest):
+        run = make(t, nearest)
+
+        def bounded(key, table):
+            lists = Counter(zip(*(table.column(c).to_pylist() for c in ("shingle", "block", "part") if c in table.column_names), strict=True))
+            assert max(lists.values()) <= 4 * 8
+            return run(key, table)
+
+        return bounded
+
+    monkeypatch.setattr(ngram_join, "_candidates", checked)
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (words(t) for t in texts)]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(frame(spark, texts)).collect()} == dict(enumerate(root))
+
+
 def test_mixing(docs):
     rows = mixing.mix_sources(docs).join(docs.select("doc_id", "source", "text"), "doc_id").collect()
     by = {}
