@@ -5,7 +5,8 @@ it. Text length and punctuation are summed per path and divided by the blocks of
 path; both ratios are smoothed over neighbouring blocks in page order and fused, and
 blocks above the threshold are content. The content's container then gives the whole
 article: its blocks in page order, headings and short paragraphs included, without what
-markup itself calls navigation, advert, comment and so on.
+markup itself calls navigation, advert, comment and so on. The container holds all content;
+where most of it is in an <article>, that is the container, and content outside is added.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SMOOTHING = np.array([0.06136, 0.24477, 0.38774, 0.24477, 0.06136])
 #: Share of the fused ratios' standard deviation that content has at least.
 THRESHOLD = 0.5
-#: Share of the content's characters that its container holds.
+#: Share of the content's characters in an article that makes it the container.
 HELD = 0.8
 
 
@@ -169,26 +170,32 @@ def fused_ratios(blocks: list[Block]) -> np.ndarray:
 def main_blocks(page: str) -> list[str]:
     """Texts of the article's blocks, in page order."""
     blocks, elements = read_blocks(page)
-    blocks = [b for b in blocks if b.kept and not (b.linked >= 0.9 * len(b.text) and not b.path.endswith(("/p", "/h1", "/h2", "/h3")))]
+    every = [b for b in blocks if b.kept]
+    # lists of links aren't looked at by the ratios and only stay where the article is sure
+    links = {id(b) for b in every if b.linked >= 0.9 * len(b.text) and not b.path.endswith(("/p", "/h1", "/h2", "/h3"))}
+    articles = {e for e, (tag, _) in elements.items() if tag in ("article", "main")}
+    blocks = [b for b in every if id(b) not in links]
     if not blocks:
-        return []
+        return [b.text for b in every if not articles.isdisjoint(b.chain)]
     fused = fused_ratios(blocks)
     chosen = fused >= THRESHOLD * fused.std()
     if not chosen.any():
         chosen[:] = True
-    weight = np.array([len(b.text) for b in blocks]) * chosen
+    picked = [b for b, x in zip(blocks, chosen.tolist(), strict=True) if x]
+    total = sum(len(b.text) for b in picked)
     held: dict[int, int] = {}
-    for b, w in zip(blocks, weight.tolist(), strict=True):
+    for b in picked:
         for e in b.chain:
-            held[e] = held.get(e, 0) + w
-    container = max((e for e, w in held.items() if w >= HELD * weight.sum()), key=lambda e: e)
+            held[e] = held.get(e, 0) + len(b.text)
+    # where most of the content is in an article, that is the container, else what holds all of it
+    at = max(e for e, w in held.items() if w >= HELD * total)
+    while at and at not in articles:
+        at = elements[at][1]
+    container = at or max(e for e, w in held.items() if w == total)
     while container and elements[container][0] not in HOLDERS:
         container = elements[container][1]
-    at = container
-    while at and elements[at][0] not in ("article", "main"):
-        at = elements[at][1]
-    container = at or container
-    return [b.text for b in blocks if container in b.chain]
+    paths, own = {b.path for b in picked}, {id(b) for b in picked}
+    return [b.text for b in every if id(b) in own or (container in b.chain and (id(b) not in links or b.path in paths or not articles.isdisjoint(b.chain)))]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -152,6 +152,16 @@ def test_html_round_trip(spark):
     assert {r.text for r in out if r.page_id == 43} == {"only. text", ""}
 
 
+def test_html_content_outside_the_largest_part():
+    lead, body = "Lead, with words. " * 8, "Body, with more words. " * 65
+    page = "<html><body><div class='story'><h1>Head</h1><div class='lead'><p>{}</p></div><div class='body'>{}</div></div></body></html>"
+    assert html_extract.main_blocks(page.format(lead, body)) == ["Head", lead.strip(), body.strip()]
+    two = f"<html><body><section><p>{body}</p></section><section><p>{lead}</p></section></body></html>"
+    assert html_extract.main_blocks(two) == [body.strip(), lead.strip()]
+    linked = f"<html><body><ul><li><a href='/'>Menu</a></li></ul><article><p>{body}</p><h4><a href='/a'>Part</a></h4><ul><li><a href='/b'>Item</a></li></ul></article></body></html>"
+    assert html_extract.main_blocks(linked) == [body.strip(), "Part", "Item"]
+
+
 def test_decontaminate(spark, docs):
     def tokens(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
