@@ -9,8 +9,11 @@ from pyspark.sql.types import StructType
 from testloom.functions.text import truncated
 from testloom.functions.times import legal_seconds, parsed_time
 
-#: Depth of suites inside suites that is read; cases of inner suites belong to the outermost.
+#: Depth of suites inside suites in the schema; cases of inner suites belong to the outermost,
+#: and tags of suites further down are left out before the file is parsed.
 DEPTH = 4
+#: Tags of suites, and what may hold text that only looks like one.
+_TAGS = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<testsuite(?:\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)?>|</testsuite\s*>"""
 _ATTRIBUTES = "_name: string, _file: string, _filepath: string, _time: string, _timestamp: string"
 _STATUS = "array<struct<_message: string, _type: string, _VALUE: string>>"
 _CASE = f"struct<{_ATTRIBUTES}, _classname: string, _id: string, _line: string, _attempt_number: string, failure: {_STATUS}, error: {_STATUS}, skipped: {_STATUS}, `system-out`: array<string>, `system-err`: array<string>, rerunFailure: {_STATUS}, flakyFailure: {_STATUS}, _VALUE: string>"
@@ -33,18 +36,39 @@ def _all_cases(suite: Column, depth: int = DEPTH) -> Column:
     return F.concat(own, F.coalesce(F.flatten(F.transform(suite["testsuite"], lambda s: _all_cases(s, depth - 1))), none))
 
 
+def _step(tag: Column) -> Column:
+    """1 where a suite begins, -1 where one ends."""
+    return F.when(tag.startswith("</"), -1).when(tag.startswith("<testsuite") & ~tag.endswith("/>"), 1).otherwise(0)
+
+
+def _shallow(value: Column) -> Column:
+    """The file without the tags of suites deeper than DEPTH; their content stays in the suite around."""
+    tags = F.regexp_extract_all(value, F.lit(_TAGS), F.lit(0))
+    deepest = F.aggregate(tags, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda a, t: F.struct((a["d"] + _step(t)).alias("d"), F.greatest(a["m"], a["d"] + _step(t)).alias("m")), lambda a: a["m"])
+
+    def add(a: Column, x: Column) -> Column:
+        depth = a["d"] + _step(x["tag"])
+        left_out = (_step(x["tag"]) != 0) & (F.greatest(a["d"], depth) > DEPTH)
+        return F.struct(depth.alias("d"), F.concat(a["s"], F.when(left_out, "").otherwise(F.coalesce(x["tag"], F.lit(""))), x["text"]).alias("s"))
+
+    # the text before the first tag has no tag before it
+    pieces = F.zip_with(F.concat(F.array(F.lit("")), tags), F.split(value, _TAGS), lambda t, x: F.struct(t.alias("tag"), x.alias("text")))
+    whole = F.aggregate(pieces, F.struct(F.lit(0).alias("d"), F.lit("").alias("s")), add, lambda a: a["s"])
+    return F.when(deepest > DEPTH, whole).otherwise(value)
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """file_path, modified, value, r (the parsed document), is_report of each file that isn't empty."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     has_root = F.col("value").rlike(r"<testsuites?[\s/>]")
-    return files.withColumn("r", F.when(has_root, F.from_xml("value", _schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))).withColumn("has_root", has_root)
+    return files.withColumn("r", F.when(has_root, F.from_xml(_shallow(F.col("value")), _schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))).withColumn("has_root", has_root)
 
 
 def scan_junit(spark: SparkSession, path: str) -> DataFrame:
     """One row per case with its outermost suite.
 
     Texts and attributes are trimmed and cut to 8,000 bytes. `error` and `failure` are
-    FAILURE; where a case has several kinds the first in the document counts. Files that
+    FAILURE; cases may stand at any depth. Where a case has several kinds the first in the document counts. Files that
     aren't reports, are broken or empty give no row; see scan_junit_issues.
     """
     docs = read_reports(spark, path).where("r is not null and r._corrupt_record is null")

@@ -129,6 +129,19 @@ def test_junit_scan(spark, tmp_path):
     assert ("c.xml", "no reports found") in found and ("e.xml", "no reports found") in found
 
 
+def test_junit_scan_of_deep_suites(spark, tmp_path):
+    """Cases at any depth belong to the outermost suite; text that only looks like a tag stays."""
+    xml = '<testcase name="z"/>'
+    for k in range(12, 0, -1):
+        xml = f'<testsuite name="s{k}" note="a > b"><testsuite name="e"/><!-- <testsuite> --><testcase name="c{k}"><system-out><![CDATA[<testsuite name="no">]]></system-out></testcase>{xml}</testsuite>'
+    (tmp_path / "a.xml").write_text(f"<testsuites>{xml}<testsuite name='flat'><testcase name='f'/></testsuite></testsuites>")
+    (tmp_path / "b.xml").write_text(f"<testsuites>{xml.removesuffix('</testsuite>')}</testsuites>")
+    rows = junit.scan_junit(spark, str(tmp_path)).collect()
+    assert sorted((r.parent_name, r.name) for r in rows) == sorted([("flat", "f"), ("s1", "z")] + [("s1", f"c{k}") for k in range(1, 13)])
+    assert {r.system_out for r in rows if r.name.startswith("c")} == {'<testsuite name="no">'}
+    assert {(r.file_path[-5:], r.level) for r in junit.scan_junit_issues(spark, str(tmp_path)).collect()} >= {("b.xml", 3)}
+
+
 def test_runner_logs(spark, tmp_path):
     d = tmp_path / "runner" / "_diag"
     d.mkdir(parents=True)
