@@ -1,18 +1,20 @@
 """Helpers shared by the training-data operators.
 
-Hashing works on one byte buffer that holds a block of documents: a running
-polynomial sum over the buffer gives the hash of any substring with one
-subtraction and one multiplication, so n-gram hashes of a block are plain numpy
-expressions without a Python loop over words.
+Hashing works on one byte buffer that holds a block of documents. Words are hashed
+eight bytes at a time; the hash of k words in a row is built by doubling from the
+hashes of 1, 2, 4, ... words, each pair of which is mixed without any algebra that
+repetitive texts could cancel. So n-gram hashes of a block are plain numpy expressions
+without a Python loop over words.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share."""
+    """A fresh folder under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a folder of this machine will only do if all tasks run in it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "testloom-checkpoints")  # unset: a local run
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "testloom-checkpoints")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -62,6 +69,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(c, UPPER, UPPER.lower())
@@ -84,43 +100,77 @@ def text_key(text: Column) -> Column:
 
 # --- hashing inside Python tasks -------------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    size = 1 << max(12, int(n).bit_length())
-    return _powers(int(base), size)[:n]
+_U = np.uint64
+#: Odd multipliers of the two hashes; any would do.
+_LEFT = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+_RIGHT = (_U(0xD6E8FEB86659FD93), _U(0xFF51AFD7ED558CCD))
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes, so that order and low bits look random."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-class Rolling:
-    """Hashes of substrings of one buffer."""
-
-    def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * powers(_BASE, n), out=self.sums[1:])
-        self.shift = powers(_INVERSE, n + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.shift[start])
+    x = x ^ (x >> _U(32))
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    return x
+
+
+def chained(a: np.ndarray, b: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Hash of two strings in a row from their hashes; kind 0 and 1 are independent."""
+    return mix(a * _LEFT[kind] + (b ^ (b >> _U(29))) * _RIGHT[kind] + _U(kind + 1))
+
+
+def windows(items: np.ndarray, k: int, kind: int = 0, stride: int = 1) -> np.ndarray:
+    """Hash of the k items from each item on, `stride` places apart, of hashes of items."""
+    if len(items) <= (k - 1) * stride:
+        return items[:0]
+    out, have, step, size = None, 0, items, 1
+    while True:
+        if k & size:
+            out = step if out is None else chained(out[: len(step) - have * stride], step[have * stride :], kind)
+            have += size
+        if have == k:
+            return out
+        step = chained(step[: -size * stride], step[size * stride :], kind)
+        size *= 2
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number; zeros follow the last byte."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf),), "<u8", padded, strides=(1,)).astype(np.uint64)
+
+
+def byte_hashes(buf: np.ndarray, length: int, kind: int = 0) -> np.ndarray:
+    """Hash of the `length` bytes from each byte on."""
+    if length < 8:
+        return windows(mix(buf.astype(np.uint64) + _LEFT[kind]), length, kind)
+    if len(buf) < length:
+        return np.zeros(0, np.uint64)
+    items = mix(eights(buf)[: len(buf) - 7] + _LEFT[kind])
+    out = windows(items, length // 8, kind, 8)
+    return chained(out[: len(buf) - length + 1], items[length - 8 :], kind) if length % 8 else out
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word buf[starts[i]:ends[i]]."""
+    eight, sizes = eights(buf), ends - starts
+    out = mix(sizes.astype(np.uint64) + _LEFT[0])
+    at, active = 0, np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    while len(active):
+        left = sizes[active] - at
+        out[active] = chained(out[active], mix((eight[starts[active] + at] & _MASK[np.minimum(left, 8)]) + _RIGHT[1]))
+        at += 8
+        active = active[left > 8]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def sliding(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -148,25 +198,21 @@ def blocks(rows: Iterator[tuple[int, bytes]], limit: int = BLOCK_BYTES) -> Itera
 
 
 class WordBlock:
-    """Documents whose words are joined by one blank, each ended by a blank."""
+    """Words `[^\\x20\\x09-\\x0D]+` of some documents in one buffer."""
 
     def __init__(self, docs: list[bytes]):
-        """docs: normalised texts of at least one word each."""
         self.buf = np.frombuffer(b" ".join(docs) + b" ", np.uint8)
-        self.ends = np.flatnonzero(self.buf == 32)
-        self.starts = np.empty_like(self.ends)
-        self.starts[0] = 0
-        self.starts[1:] = self.ends[:-1] + 1
-        lengths = np.fromiter((len(d) + 1 for d in docs), np.int64, len(docs))
+        blank = SPACE[self.buf]
+        before = np.concatenate(([True], blank[:-1]))
+        self.starts, self.ends = np.flatnonzero(before & ~blank), np.flatnonzero(blank & ~before)
+        offsets = np.cumsum([0, *(len(d) + 1 for d in docs)])
         #: first word of every document, and the number of all words
-        self.first = np.concatenate(([0], np.searchsorted(self.ends, np.cumsum(lengths) - 1) + 1))
-        self.roll = Rolling(self.buf)
+        self.first = np.searchsorted(self.starts, offsets)
+        self.hashes = word_hashes(self.buf, self.starts, self.ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; those that leave a document are no use."""
-        if len(self.starts) < k:
-            return np.zeros(0, np.uint64)
-        return self.roll.of(self.starts[: len(self.starts) - k + 1], self.ends[k - 1 :])
+        return windows(self.hashes, k)

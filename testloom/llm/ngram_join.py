@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from testloom.llm.common import WordBlock, blocks, materialize
+from testloom.llm.common import WordBlock, blocks, materialize, release, windows
 
 SHINGLE = 4
 THRESHOLD = 85  # per cent
@@ -67,18 +67,14 @@ class Sets:
     """Sorted shingle hashes of a block of texts; a short text is one shingle."""
 
     def __init__(self, texts: list[bytes], shingle: int):
-        normal = [b" ".join(t.lower().split()) for t in texts]
-        filled = [i for i, t in enumerate(normal) if t]
         self.sets = [np.zeros(0, np.uint64)] * len(texts)
-        if not filled:
-            return
-        w = WordBlock([normal[i] for i in filled])
+        w = WordBlock([t.lower() for t in texts])
         grams = w.grams(shingle)
-        for i, a, b in zip(filled, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+        for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
             if b - a >= shingle:
                 self.sets[i] = np.unique(grams[a : b - shingle + 1])
-            else:
-                self.sets[i] = w.roll.of(w.starts[a : a + 1], w.ends[b - 1 : b])
+            elif a < b:
+                self.sets[i] = windows(w.hashes[a:b], b - a, 1)
 
 
 def codes(values: np.ndarray) -> np.ndarray:
@@ -263,16 +259,6 @@ def _candidates(t: int, nearest: int):
     return run
 
 
-def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        both = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both.append(int((x[place] == y).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], ["a", "b", "both"])
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph of edges (a, b); root is the smallest node of the component.
 
@@ -291,6 +277,7 @@ def connected(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower).where("u != v").distinct()
         new = materialize(small)
+        release(edges)
         edges, last, trace = new, trace, _trace(new)
         if trace == last:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -325,11 +312,13 @@ def jaccard_groups(documents: DataFrame, shingle: int = SHINGLE, threshold: int
     classes = docs.groupBy("sig").agg(F.min("id").alias("least"), F.first("n").alias("n"))
     gathered = shared.groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("s")).join(classes.select("sig", "n"), "sig")
     alone = F.col("n") - F.size("s")
-    open_ = F.expr(f"n + floor(-{threshold} * n / 100.0D) + 1").cast("long") - alone
+    # one entry more than the prefix filter asks for: two shingles of a set may share a code
+    open_ = F.expr(f"n + floor(-{threshold} * n / 100.0D) + 2").cast("long") - alone
     entries = gathered.where(open_ > 0).select("sig", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(open_, F.lit(0)).cast("int"))))
     index = materialize(entries.select("sig", "n", F.col("col.shingle").alias("shingle"), (F.col("alone") + F.col("pos")).cast("long").alias("at")))
     alive = index.groupBy("shingle").agg(F.count("*").alias("d")).where("d > 1").select("shingle")
-    index = materialize(index.join(alive, "shingle"))
+    every, index = index, materialize(index.join(alive, "shingle"))
+    release(every)
     sets = _survivors(rows, docs, index.select("sig").distinct(), shingle, kind)
 
     n_lists = max(8, index.count() // BUCKET_ENTRIES)
@@ -357,17 +346,17 @@ def _survivors(rows: DataFrame, docs: DataFrame, sigs: DataFrame, shingle: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in _each(batch, 0, shingle):
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary())], ["want", "sig", "n", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary())], ["want", "sig", "n", "shingles", "bits"])
 
     one = docs.join(sigs, "sig").groupBy("sig").agg(F.min("id").alias("id"))
     found = rows.join(one, "id").select("raw", F.col("sig").alias("want"))
     nameless = docs.join(sigs, "sig").groupBy("sig").agg(F.max("id").alias("id")).where("id is null").select(F.col("sig").alias("want"))
     if not nameless.isEmpty():  # classes whose rows all lack an id: found by their set
-        every = rows.where("id is null").select("raw", F.lit(None).cast("binary").alias("want")).mapInArrow(run, "want binary, sig binary, n long, shingles binary, bits binary")
+        every = rows.where("id is null").select("raw", F.lit(None).cast("binary").alias("want")).mapInArrow(run, "want binary, sig binary, n long, shingles array<long>, bits binary")
         extra = every.join(nameless.withColumnRenamed("want", "sig"), "sig").select("sig", "n", "shingles", "bits")
-        own = found.mapInArrow(run, "want binary, sig binary, n long, shingles binary, bits binary").where("want = sig").select("sig", "n", "shingles", "bits")
+        own = found.mapInArrow(run, "want binary, sig binary, n long, shingles array<long>, bits binary").where("want = sig").select("sig", "n", "shingles", "bits")
         return materialize(own.union(extra).dropDuplicates(["sig"]))
-    return materialize(found.mapInArrow(run, "want binary, sig binary, n long, shingles binary, bits binary").where("want = sig").select("sig", "n", "shingles", "bits").dropDuplicates(["sig"]))
+    return materialize(found.mapInArrow(run, "want binary, sig binary, n long, shingles array<long>, bits binary").where("want = sig").select("sig", "n", "shingles", "bits").dropDuplicates(["sig"]))
 
 
 def _pairs(index: DataFrame, t: int, nearest: int, n_buckets: int) -> DataFrame:
@@ -423,8 +412,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n, m, both): set sizes and intersection of each pair."""
     x = sets.select(F.col("sig").alias("a"), F.col("n"), F.col("shingles").alias("x"))
     y = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("y"))
-    joined = pairs.join(x.select("a", "x"), "a").join(y.select("b", "y"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_intersect, "a binary, b binary, both long").join(x.select("a", "n"), "a").join(y.select("b", "m"), "b")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
 
 
 def _linked(measured: DataFrame, t: int) -> DataFrame:
@@ -457,8 +445,8 @@ def _derived(rest: DataFrame, leaders: DataFrame, sets: DataFrame, t: int) -> Da
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents with one row of each group, that of the smallest id; columns stay."""
     groups = jaccard_groups(documents, shingle, threshold, id_col, text_col)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return documents.join(kept, documents[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col)).distinct()
+    return documents.alias("d").join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"k.{id_col}")), "left_semi")
 
 
 ORACLE_SQL = r"""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testloom.llm.common import Rolling, materialize, sliding
+from testloom.llm.common import byte_hashes, eights, materialize, mix, sliding
 
 LENGTH = 200
 GRAM = 32
@@ -112,6 +112,19 @@ def rank_order(order: np.ndarray) -> np.ndarray:
     return out
 
 
+def same_bytes(x: np.ndarray, at: np.ndarray, y: np.ndarray, there: np.ndarray, length: int) -> np.ndarray:
+    """Whether `length` bytes of x and y from the given places on are the same."""
+    same = np.ones(len(at), bool)
+    if length < 8:
+        for k in range(length):
+            same &= x[at + k] == y[there + k]
+        return same
+    x8, y8 = eights(x), eights(y)
+    for k in (*range(0, length - 8, 8), length - 8):
+        same &= x8[at + k] == y8[there + k]
+    return same
+
+
 class Shard:
     """Suffix array of some stretches; each is ended by its number of rows, never matched."""
 
@@ -130,16 +143,25 @@ class Shard:
         group = np.cumsum(lcp < length)
         at, group = order[valid], group[valid]
         _, self.group, sizes = np.unique(group, return_inverse=True, return_counts=True)
-        self.at, self.repeated = at, sizes[self.group] > 1
-        self.keys = Rolling(self.data).of(at, at + length)
+        self.at, self.repeated, self.length = at, sizes[self.group] > 1, length
+
+    def keys(self, kind: int = 0) -> np.ndarray:
+        """Hashes of the strings, in the order of the suffix array."""
+        return byte_hashes(self.data, self.length, kind)[self.at]
 
     def meet(self, other: Shard) -> None:
-        """Merge with another shard: mark strings that both hold, by binary search in sorted keys."""
-        for a, b in ((self, other), (other, self)):
-            keys = np.sort(b.keys)
-            place = np.minimum(np.searchsorted(keys, a.keys), len(keys) - 1) if len(keys) else np.zeros(0, np.int64)
-            if len(keys):
-                a.repeated |= keys[place] == a.keys
+        """Merge with another shard: mark strings that both hold, by binary search in sorted keys.
+
+        A string counts as found only if its bytes are those of the string that was found.
+        """
+        keys = self.keys(), other.keys()
+        if not len(keys[0]) or not len(keys[1]):
+            return
+        for a, own, b, theirs in ((self, keys[0], other, keys[1]), (other, keys[1], self, keys[0])):
+            order = np.argsort(theirs)
+            place = order[np.minimum(np.searchsorted(theirs, own, sorter=order), len(order) - 1)]
+            hit = np.flatnonzero(theirs[place] == own)
+            a.repeated[hit[same_bytes(a.data, a.at[hit], b.data, b.at[place[hit]], a.length)]] = True
 
 
 def shards(stretches: list[bytes], length: int) -> list[Shard]:
@@ -175,7 +197,11 @@ def repeats(stretches: list[bytes], length: int) -> list[np.ndarray]:
 def _anchors(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each gram, least hash of each string, whether each gram is an anchor)."""
     n, width = len(buf), length - gram + 1
-    h = Rolling(buf).of(np.arange(n - gram + 1), np.arange(gram, n + 1))
+    eight = eights(buf)[: n - 7]  # a gram has eight bytes or more; its hash only chooses the anchor
+    h = eight[: n - gram + 1]
+    for k in (*range(8, gram - 8, 8), gram - 8) if gram > 8 else ():
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + eight[k : k + n - gram + 1]
+    h = mix(h)
     least = sliding(h, width, np.minimum)
     padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
     return h, least, sliding(padded, width, np.maximum) == h
@@ -247,20 +273,31 @@ def _repeats(length: int):
     return run
 
 
+def distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of 128-bit hashes in order, and the place of each row among them."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    rows = pairs[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    of = np.empty(len(rows), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return rows[new], of
+
+
 def _strings(length: int):
-    """Hashes of the different strings of a shard, by bucket, and whether each starts twice in it."""
+    """128-bit hashes of the different strings of a shard, by bucket, and whether each starts twice in it."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts = [x.as_py() for x in table.column("part")]
         twice = table.column("times").to_numpy() > 1
         hashes, again, first = [], [], 0
         for shard in shards(parts, length):
-            hashes.append(shard.keys)
+            hashes.append(np.column_stack((shard.keys(), shard.keys(1))))
             again.append(shard.repeated | twice[first + shard.owner[shard.at]])
             first += shard.n_stretches
-        values, of = np.unique(np.concatenate(hashes), return_inverse=True)
+        values, of = distinct(np.concatenate(hashes))
         again = np.bincount(of, np.concatenate(again)) > 0
-        bucket = (values % np.uint64(table.column("cuts")[0].as_py())).astype(np.int64)
+        bucket = (values[:, 0] % np.uint64(table.column("cuts")[0].as_py())).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         values, again, bucket = values[order], again[order], bucket[order]
         edge = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])).tolist()
@@ -276,10 +313,10 @@ def _strings(length: int):
 
 def _merged(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Of each shard's hashes in a bucket those that start twice, in it or in two shards."""
-    lists = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+    lists = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for x in table.column("hashes")]
     again = np.frombuffer(b"".join(x.as_py() for x in table.column("again")), bool)
-    _, of, shards_with = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    keep = np.split(again | (shards_with[of] > 1), np.cumsum([len(x) for x in lists])[:-1])
+    _, of = distinct(np.concatenate(lists))
+    keep = np.split(again | (np.bincount(of)[of] > 1), np.cumsum([len(x) for x in lists])[:-1])
     return pa.table({"anchor": table.column("anchor"), "shard": table.column("shard"), "hashes": pa.array([x[k].tobytes() for x, k in zip(lists, keep, strict=True)], pa.binary())})
 
 
@@ -288,13 +325,15 @@ def _placed(length: int):
 
     def run(own: pa.Table, merged: pa.Table) -> pa.Table:
         parts = [x.as_py() for x in own.column("part")]
-        known = np.frombuffer(b"".join(x.as_py() for x in merged.column("hashes")), np.uint64)
-        roll = Rolling(np.frombuffer(b"".join(parts), np.uint8))
+        known = np.frombuffer(b"".join(x.as_py() for x in merged.column("hashes")), np.uint64).reshape(-1, 2)
+        data = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(p) for p in parts])
         counts = sizes - length + 1
         offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         start = np.repeat(np.cumsum(sizes) - sizes, counts) + offset
-        hit = np.isin(roll.of(start, start + length), known)
+        strings = np.column_stack([byte_hashes(data, length, kind)[start] for kind in (0, 1)])
+        _, of = distinct(np.concatenate((known, strings)))
+        hit = np.isin(of[len(known) :], of[: len(known)])
         found = [_runs(np.flatnonzero(x)) for x in np.split(hit, np.cumsum(counts)[:-1])]
         return pa.table({"part_key": own.column("part_key"), "offsets": pa.array(found, pa.list_(pa.int64()))})
 
@@ -366,7 +405,8 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, i
     any_heavy = not heavy.isEmpty()
     light = pieces.join(F.broadcast(heavy), "anchor", "left_anti") if any_heavy else pieces
     n_rows, n_bytes = pieces.agg(F.count("*"), F.coalesce(F.sum(F.length("part")), F.lit(0))).first()
-    n_shards = max(1, -(-n_rows // SHARD_ROWS), -(-n_bytes // SHARD_BYTES))
+    # half full on average, so that chance overfills few
+    n_shards = max(1, -(-n_rows // SHARD_ROWS), -(-2 * n_bytes // SHARD_BYTES))
     different = light.groupBy("anchor", "part_key", "part").agg(F.count("*").alias("times")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
     found = different.groupBy("shard").applyInArrow(_repeats(length), "part_key binary, offsets array<long>")
     if any_heavy:

@@ -391,6 +391,58 @@ def test_suffix_heavy_anchor_is_dealt_over_shards(spark, monkeypatch):
         assert (r.n_removed, r.kept_sha256) == (len(gone), hashlib.sha256(kept).hexdigest()), r.doc_id
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_repetitive_words_are_told_apart(spark, n):
+    """Thue-Morse words and their complements, for which hashes by polynomials modulo 2**64 are equal."""
+    rest = " ".join(f"w{i}" for i in range(60))
+    a, b = thue_morse(n), thue_morse(n, "ba")
+    texts = [f"{rest} {a}", f"{rest} {b}", f"{a} {rest}", f"{b} {rest}", " ".join(f"x{i}" for i in range(49)) + " " + a, " ".join(f"x{i}" for i in range(49)) + " " + b]
+    df = frame(spark, texts)
+    least = {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - 49):
+            least.setdefault(tuple(w[i : i + 50]), d)
+    for r in substring_dedup.substring_dedup(df).collect():
+        w = texts[r.doc_id].split()
+        assert r.n_removed == len({p for i in range(len(w) - 49) if least[tuple(w[i : i + 50])] < r.doc_id for p in range(i, i + 50)})
+    few = frame(spark, [a, b, f"{a} {a} {a} {a}", f"{b} {b} {b} {b}", f"{a} {b} {a} {b}"])
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(few).collect()} == {i: i for i in range(5)}
+    count = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    for r in suffix_dedup.suffix_dedup(df).collect():
+        t = texts[r.doc_id]
+        assert r.n_removed == len({p for i in range(len(t) - 199) if count[t[i : i + 200]] > 1 for p in range(i, i + 200)})
+
+
+def test_extensions_are_maximal(spark):
+    """Occurrences of one seed that agree with different others, to the left, to the right and not at all."""
+    rng = random.Random(12)
+    core = [f"c{i}" for i in range(30)]
+
+    def side(k):
+        return [f"s{k}_{i}" for i in range(40)]
+
+    texts = []
+    for _ in range(60):
+        left, right = side(rng.randrange(3)), side(rng.randrange(3, 6))
+        for x in (left, right):
+            if rng.random() < 0.6:
+                x[rng.randrange(40)] = f"odd{rng.randrange(4)}"
+        texts.append(" ".join(left + core * rng.choice([1, 1, 2]) + right))
+    least = {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - 49):
+            least.setdefault(tuple(w[i : i + 50]), d)
+    for r in substring_dedup.substring_dedup(frame(spark, texts)).collect():
+        w = texts[r.doc_id].split()
+        assert r.n_removed == len({p for i in range(len(w) - 49) if least[tuple(w[i : i + 50])] < r.doc_id for p in range(i, i + 50)}), r.doc_id
+
+
 def test_suffix_array_is_sorted():
     data = np.frombuffer(b"banana bandana banana", np.uint8)
     order, rank = suffix_dedup.suffix_array(data, 64)
