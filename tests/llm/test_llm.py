@@ -298,11 +298,46 @@ def test_mixing(docs):
         assert r.size == len(words(r.text)) and 0 <= r.taken <= 3 * r.size
         by.setdefault(r.source, []).append(r)
     assert sum(v[0].target for v in by.values()) == pytest.approx(sum(r.size for r in rows))
+    total = sum(r.size for r in rows)
     for v in by.values():
-        assert v[0].source_size == sum(r.size for r in v) and abs(sum(r.taken for r in v) - v[0].target) < 1 and v[0].target <= 3 * v[0].source_size
+        assert v[0].source_size == sum(r.size for r in v) and v[0].target <= 3 * v[0].source_size
+        assert abs(sum(r.taken for r in v) - v[0].target) <= max(r.size for r in v) / mixing.PIECES + 1
+    assert total - max(r.size for r in rows) / mixing.PIECES - 1 <= sum(r.taken for r in rows) <= total
     assert sorted((r.doc_id, r.taken) for r in mixing.mix_sources(docs.repartition(7)).collect()) == sorted((r.doc_id, r.taken) for r in rows)
 
 
+@pytest.mark.parametrize("bucket", [2, 2000])
+def test_mixing_cut_follows_finish_time(spark, monkeypatch, bucket):
+    """The queue is that of a plain loop: shuffled documents by finish time until the budget is spent."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(mixing, "COARSE", 3)
+    rng = random.Random(31)
+    docs = [(i, " ".join(["w"] * rng.choice([0, 1, 7, 60, 700])), rng.choice(["a", "b", "b", "b", None, "c"])) for i in range(150)]
+    rows = {r.doc_id: r for r in mixing.mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    by, queue = {}, []
+    for i, t, s in docs:
+        by.setdefault(s, []).append((hashlib.md5(f"mix:{i}".encode()).hexdigest(), len(words(t)), i))
+    for s, v in by.items():
+        size, target, at = sum(n for _, n, _ in v), rows[v[0][2]].target, 0
+        for k in range(3):
+            for _, n, i in sorted(v):
+                step = -(-n // mixing.PIECES) or 1
+                if n and at / target < 1:
+                    cuts = [n] if (at + n) / target <= 1 else [*range(step, n, step), n]
+                    queue += [((at + b) / target, b - a, i) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+                at += n
+        assert at == 3 * size
+    budget, taken, spent = sum(n for v in by.values() for _, n, _ in v), Counter(), 0
+    for finish in sorted({f for f, _, _ in queue}):
+        together = [(n, i) for f, n, i in queue if f == finish]
+        if spent + sum(n for n, _ in together) > budget:
+            break
+        spent += sum(n for n, _ in together)
+        for n, i in together:
+            taken[i] += n
+    assert {i: r.taken for i, r in rows.items()} == {i: taken[i] for i, _, _ in docs}
+
+
 @pytest.mark.parametrize("sizes", [[("a", 5), ("b", 1), ("c", 100)], [("a", 1000), ("b", 1), ("c", 1), (None, 3)], [("a", 0), ("b", 0)], [("a", 7)]])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(sizes, "source string, size long")
