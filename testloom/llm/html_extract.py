@@ -3,16 +3,20 @@
 A tolerant reader turns a page into blocks, each with the path of tags from the root to
 it. Text length and punctuation are summed per path and divided by the blocks of that
 path; both ratios are smoothed over neighbouring blocks in page order and fused, and
-blocks above the threshold are content. The content's container then gives the whole
-article: its blocks in page order, headings and short paragraphs included, without what
-markup itself calls navigation, advert, comment and so on. The container holds all content;
-where most of it is in an <article>, that is the container, and content outside is added.
+paths above the threshold are content. Elements whose class or id names what they are
+(an advert, comments, ...) weigh less in the fusion; what HTML itself sets apart (nav,
+footer, form, ...) is no block at all.
+
+The chosen blocks give the content's container: the <article> or <main> that holds most
+of them, else the element that holds all. What the article has besides them, such as
+headings and one-word paragraphs, is added from the container.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,181 +25,289 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of HTML: elements by the way they are laid out.
+# Fixed values of HTML: elements by the way they are laid out and used.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    """a abbr acronym audio b bdi bdo big br button canvas cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small
+    span strike strong sub sup time tt u var video wbr""".split()
 )
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|xmp|noframes"
+RAW = frozenset("script style noscript template svg math iframe object textarea select title xmp noframes".split())
 NEVER = frozenset("nav footer aside form button dialog menu head fieldset datalist audio video canvas map".split())
 #: An open element that a start tag of the same group ends, up to the given container.
 ENDS = {"p": (), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+HOLDERS = frozenset("article main section div td body html center".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+# Words by which pages call what isn't the article, and words that go with them.
 LABELS = frozenset(
     """ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar comment comments commentlist
-    disqus respond reply replies nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices
+    disqus respond reply replies nav navbar navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices
     notification popup modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended
     recommendations trending widget widgets pagination pager toolbar copyright disclaimer alert skip outbrain taboola""".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-HOLDERS = frozenset("article main section div td body html center".split())
-
-TOKENS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)",
-    re.S | re.I,
+LAYOUT = frozenset(
+    """area bar block bottom box btn button buttons container content custom footer form global group header icons inner item items left link links list main page
+    panel posts primary right row secondary section site slot thread top unit wrap wrapper""".split()
 )
+
 ATTRIBUTES = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-#: Parts of a class that say what an element lacks or what stands beside it.
-ASIDE = re.compile(r"\b(?:has|no|with|without|non|hide)[-_]\w+|\b\w+[-_]free\b", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+END_OF = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
-#: Weights of the Gaussian that smooths a block's ratios with its neighbours'.
-SMOOTHING = np.array([0.06136, 0.24477, 0.38774, 0.24477, 0.06136])
-#: Share of the fused ratios' standard deviation that content has at least.
-THRESHOLD = 0.5
+#: Weights of the Gaussian that smooths a block's ratios with its neighbours', and what
+#: a neighbour of another path has of its weight.
+SMOOTHING = (0.06136, 0.24477, 0.38774, 0.24477, 0.06136)
+OTHER_PATH = 0.25
+#: Characters and punctuation marks of a block that count; beyond, it is simply long.
+LONG_TEXT, LONG_MARKS = 400, 20
+#: Share of the mean fused ratio, by characters, that content has at least.
+THRESHOLD = 0.3
+#: Weight of a labelled path in the fusion.
+LABELLED = 0.05
 #: Share of the content's characters in an article that makes it the container.
 HELD = 0.8
+#: Share of its characters in links from which a block is a list of links.
+LINKED = 0.9
+
+
+@dataclass(slots=True)
+class Element:
+    tag: str
+    parent: int
+    path: int  # number of the path of block elements down to it
+    block: int  # the innermost block element: itself or one above
+    labelled: bool
+    never: bool
+    in_article: bool
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    chain: tuple[int, ...]
-    path: str
-    kept: bool
+    element: int
+    path: int
+    labelled: bool
+    in_article: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
+    def is_links(self) -> bool:
+        return self.linked >= LINKED * len(self.text)
 
-def _is_labelled(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in NEVER or (tag == "header" and not in_article):
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
-    for m in ATTRIBUTES.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value.lower() in ROLES:
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) of a page in one pass: kind is `text`, `start` or `end`; rest is
+    the text or the attributes. Comments, declarations and raw elements are left out."""
+    at, size = 0, len(page)
+    last = {c: page.rfind(c) for c in ">\"'"}  # nothing is looked for where it can't be
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = size
+        if lt > at:
+            yield "text", "", page[at:lt]
+        if lt >= size:
+            return
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            at = page.find(">", lt) + 1 if last[">"] > lt else size
+            continue
+        closing = page.startswith("</", lt)
+        name = NAME.match(page, lt + 1 + closing)
+        if name is None or last[">"] < name.end():
+            yield "text", "", "<"
+            at = lt + 1
+            continue
+        end = tag_end(page, name.end(), last)
+        tag, rest = name[0].lower(), page[name.end() : end]
+        at = end + 1
+        if tag in RAW and not closing:
+            if not rest.endswith("/") or tag not in ("svg", "math"):
+                found = END_OF[tag].search(page, at)
+                at = found.end() if found else size
+            continue
+        yield "end" if closing else "start", tag, rest
+
+
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Place of the `>` that ends a tag; one in quotes doesn't, unless no other follows."""
+    first = end = page.find(">", at)
+    while True:
+        quotes = [q for c in "\"'" if 0 <= (q := page.find(c, at, end)) < last[c]]
+        if not quotes:
+            return end
+        quote = min(quotes)
+        at = page.find(page[quote], quote + 1) + 1
+        if at > end:
+            if last[">"] < at:
+                return first
+            end = page.find(">", at)
+
+
+def names_boilerplate(value: str) -> bool:
+    """Whether a class or id consists of words for what isn't the article, and layout words."""
+    for name in value.split():
+        found = {w.lower() for w in WORDS.findall(name)}
+        if found & LABELS and all(w in LABELS or w in LAYOUT or w.isdigit() for w in found):
             return True
-        if name in ("class", "id") and tag != "main":
-            labels = {w.lower() for w in WORDS.findall(ASIDE.sub("", value))}
-            if labels & LABELS or ("header" in labels and not in_article and not labels & {"article", "post", "entry"}):
-                return tag != "article" or bool(labels & {"comment", "comments", "ad", "advert", "advertisement", "promo", "related"})
     return False
 
 
-def read_blocks(page: str) -> tuple[list[Block], dict[int, tuple[str, int]]]:
-    """Blocks of a page in order; tag and parent of every element."""
-    stack: list[tuple[int, str, bool]] = [(0, "#", True)]  # element, tag, kept
-    elements: dict[int, tuple[str, int]] = {0: ("#", -1)}
+def judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """(never, labelled): whether HTML sets an element apart, and whether its name does."""
+    labelled = False
+    for m in ATTRIBUTES.finditer(attributes) if attributes else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)) or (name == "role" and value.lower() in ROLES):
+            return tag not in ("html", "body"), False
+        if name in ("class", "id") and tag not in INLINE and tag not in ("html", "body", "main"):
+            labelled = labelled or names_boilerplate(value)
+    return tag in NEVER or (tag == "header" and not in_article), labelled
+
+
+def read_blocks(page: str) -> tuple[list[Block], list[Element], list[str]]:
+    """Blocks of a page in order, its elements (parents first), and its paths by number."""
+    elements = [Element("#", -1, 0, 0, False, False, False)]
+    stack, open_ = [0], Counter()
+    paths, texts = {(-1, "#", False): 0}, ["#"]
     found: list[Block] = []
     block: Block | None = None
-    links = 0
-    for m in TOKENS.finditer(page):
-        text = m[8]
-        if text is not None:
+
+    def close(down_to: int) -> None:
+        while len(stack) > down_to:
+            open_[elements[stack.pop()].tag] -= 1
+
+    for kind, tag, rest in tokens(page):
+        top = elements[stack[-1]]
+        if kind == "text":
+            if top.never or (block is None and rest.isspace()):
+                continue
             if block is None:
-                if text.isspace():
-                    continue
-                held = [x for x in stack if x[1] not in INLINE]
-                block = Block(tuple(x[0] for x in held), "/".join(x[1] for x in held), stack[-1][2])
+                block = Block(top.block, top.path, elements[top.block].labelled, top.in_article)
                 found.append(block)
-            text = html.unescape(text) if "&" in text else text
-            if stack[-1][2] or not block.kept:
-                block.parts.append(text)
-                block.linked += len(text) if links else 0
-            continue
-        tag = m[3] or m[6]
-        if tag is None:
-            continue
-        tag, closing = tag.lower(), m[2] or m[5]
-        if tag == "br":
-            if block is not None:
-                block.parts.append(" ")
-            continue
-        if tag in VOID:
-            block = None if tag == "hr" else block
+            rest = html.unescape(rest) if "&" in rest else rest
+            block.parts.append(rest)
+            block.linked += len(rest.strip()) if open_["a"] else 0
             continue
+        if tag == "br" and block is not None:
+            block.parts.append(" ")
         if tag not in INLINE:
             block = None
-        if closing:
-            if any(x[1] == tag for x in stack):
-                while (gone := stack.pop())[1] != tag:
-                    links -= gone[1] == "a"
-                links -= tag == "a"
+        if tag in VOID:
+            continue
+        if kind == "end":
+            if open_[tag]:
+                while elements[stack[-1]].tag != tag:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
             continue
-        if tag not in INLINE and any(x[1] == "p" for x in stack) and tag not in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            _end(stack, "p", ())
-            links = sum(x[1] == "a" for x in stack)
-        if tag in ENDS:
-            _end(stack, tag, ENDS[tag])
-            links = sum(x[1] == "a" for x in stack)
-        if (m[4] or m[7] or "").endswith("/") and tag not in INLINE and tag not in HOLDERS:
+        if tag not in INLINE and open_["p"] and tag not in ENDS:
+            _end(stack, elements, "p", close)
+        if tag in ENDS and open_[tag]:
+            _end(stack, elements, tag, close)
+        if rest.endswith("/") and tag not in INLINE and tag not in HOLDERS:
             continue
+        parent = elements[stack[-1]]
         number = len(elements)
-        elements[number] = (tag, stack[-1][0])
-        kept = stack[-1][2] and not _is_labelled(tag, m[4] or m[7] or "", any(x[1] in ("article", "main") for x in stack))
-        stack.append((number, tag, kept))
-        links += tag == "a"
+        never, labelled = (True, False) if parent.never else judged(tag, rest, parent.in_article)
+        path, inner = parent.path, parent.block
+        if tag not in INLINE:
+            labelled = labelled or elements[inner].labelled
+            key, inner = (path, tag, labelled), number
+            path = paths.setdefault(key, len(paths))
+            if path == len(texts):
+                texts.append(tag)
+        elements.append(Element(tag, stack[-1], path, inner, labelled, never, parent.in_article or tag in ("article", "main")))
+        stack.append(number)
+        open_[tag] += 1
     for b in found:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in found if b.text], elements
+        b.parts = []
+    return [b for b in found if b.text], elements, texts
 
 
-def _end(stack: list[tuple[int, str, bool]], tag: str, within: tuple[str, ...]) -> None:
+def _end(stack: list[int], elements: list[Element], tag: str, close) -> None:
     for at in range(len(stack) - 1, 0, -1):
-        if stack[at][1] == tag:
-            del stack[at:]
-            return
-        if stack[at][1] in within or (not within and stack[at][1] in HOLDERS | {"td", "li", "blockquote"}):
-            return
+        name = elements[stack[at]].tag
+        if name == tag:
+            return close(at)
+        if name in ENDS[tag] or (not ENDS[tag] and (name in HOLDERS or name in ("li", "blockquote"))):
+            return None
 
 
-def fused_ratios(blocks: list[Block]) -> np.ndarray:
-    """Smoothed text and punctuation ratios of the blocks' tag paths, fused."""
-    paths = {p: i for i, p in enumerate(dict.fromkeys(b.path for b in blocks))}
-    of = np.array([paths[b.path] for b in blocks])
-    nodes = np.bincount(of)
+def fused_ratios(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed text and punctuation ratios of the blocks' tag paths, fused; and the path of each block."""
+    _, of = np.unique([b.path for b in blocks], return_inverse=True)
+    nodes, places = np.bincount(of), np.arange(len(of))
     ratios = []
-    for values in ([len(b.text) - min(b.linked, len(b.text)) for b in blocks], [len(PUNCTUATION.findall(b.text)) for b in blocks]):
+    for values in ([min(LONG_TEXT, max(0, len(b.text) - b.linked)) for b in blocks], [min(LONG_MARKS, len(PUNCTUATION.findall(b.text))) for b in blocks]):
         ratio = (np.bincount(of, values) / nodes)[of]
-        padded = np.concatenate(([ratio[0]] * 2, ratio, [ratio[-1]] * 2))
-        ratios.append(np.convolve(padded, SMOOTHING, "valid"))
-    return np.sqrt(ratios[0] * ratios[1])
+        weights = sums = np.zeros(len(of))
+        for k, weight in enumerate(SMOOTHING):
+            near = np.clip(places + k - len(SMOOTHING) // 2, 0, len(of) - 1)
+            w = np.where(of[near] == of, weight, weight * OTHER_PATH)
+            weights, sums = weights + w, sums + w * ratio[near]
+        ratios.append(sums / weights)
+    return np.sqrt(ratios[0] * ratios[1]) * label_weights(blocks), of
+
+
+def label_weights(blocks: list[Block]) -> np.ndarray:
+    return np.where([b.labelled for b in blocks], LABELLED, 1.0)
+
+
+def chosen_blocks(blocks: list[Block]) -> np.ndarray:
+    """Whether each block is content: those of the paths whose mean fused ratio is high enough."""
+    fused, of = fused_ratios(blocks)
+    mean = np.bincount(of, fused) / np.bincount(of)
+    return (mean >= THRESHOLD * np.average(fused, weights=[len(b.text) for b in blocks] * label_weights(blocks)))[of]
+
+
+def container_of(picked: list[Block], elements: list[Element]) -> int:
+    """The article that holds most of the picked characters, else the holder of all of them."""
+    inside = np.zeros(len(elements), np.int64)
+    for b in picked:
+        inside[b.element] += len(b.text)
+    for e in range(len(elements) - 1, 0, -1):  # parents come first
+        inside[elements[e].parent] += inside[e]
+    total = inside[0]
+    articles = [e for e, x in enumerate(elements) if x.tag in ("article", "main") and inside[e] >= HELD * total]
+    if articles:
+        return max(articles)
+    at = int(np.flatnonzero(inside == total)[-1])
+    while at and elements[at].tag not in HOLDERS:
+        at = elements[at].parent
+    return at
 
 
 def main_blocks(page: str) -> list[str]:
     """Texts of the article's blocks, in page order."""
-    blocks, elements = read_blocks(page)
-    every = [b for b in blocks if b.kept]
-    # lists of links aren't looked at by the ratios and only stay where the article is sure
-    links = {id(b) for b in every if b.linked >= 0.9 * len(b.text) and not b.path.endswith(("/p", "/h1", "/h2", "/h3"))}
-    articles = {e for e, (tag, _) in elements.items() if tag in ("article", "main")}
-    blocks = [b for b in every if id(b) not in links]
+    blocks, elements, paths = read_blocks(page)
+    # lists of links outside an article aren't looked at by the ratios
+    blocks = [b for b in blocks if b.in_article or not b.is_links() or paths[b.path] in ("p", "h1", "h2", "h3")]
     if not blocks:
-        return [b.text for b in every if not articles.isdisjoint(b.chain)]
-    fused = fused_ratios(blocks)
-    chosen = fused >= THRESHOLD * fused.std()
-    if not chosen.any():
-        chosen[:] = True
-    picked = [b for b, x in zip(blocks, chosen.tolist(), strict=True) if x]
-    total = sum(len(b.text) for b in picked)
-    held: dict[int, int] = {}
-    for b in picked:
-        for e in b.chain:
-            held[e] = held.get(e, 0) + len(b.text)
-    # where most of the content is in an article, that is the container, else what holds all of it
-    at = max(e for e, w in held.items() if w >= HELD * total)
-    while at and at not in articles:
-        at = elements[at][1]
-    container = at or max(e for e, w in held.items() if w == total)
-    while container and elements[container][0] not in HOLDERS:
-        container = elements[container][1]
-    paths, own = {b.path for b in picked}, {id(b) for b in picked}
-    return [b.text for b in every if id(b) in own or (container in b.chain and (id(b) not in links or b.path in paths or not articles.isdisjoint(b.chain)))]
+        return []
+    chosen = chosen_blocks(blocks)
+    container = container_of([b for b, x in zip(blocks, chosen, strict=True) if x], elements)
+    within = np.zeros(len(elements), bool)
+    within[container] = True
+    for e in range(container + 1, len(elements)):
+        within[e] = within[elements[e].parent]
+    is_article = elements[container].tag in ("article", "main")
+    first, last = np.flatnonzero(chosen)[[0, -1]]
+    out = []
+    for i, b in enumerate(blocks):
+        # an article is whole; elsewhere what stands between its parts belongs to it, and the headings before
+        beside = first <= i <= last or (i < first and all(paths[x.path][0] == "h" for x in blocks[i:first]))
+        added = within[b.element] and not b.labelled and (is_article or (paths[b.path] in TEXTUAL and beside))
+        if chosen[i] or added:
+            out.append(b.text)
+    return out
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -162,6 +162,66 @@ def test_html_content_outside_the_largest_part():
     assert html_extract.main_blocks(linked) == [body.strip(), "Part", "Item"]
 
 
+def test_html_keeps_what_only_looks_set_apart():
+    text = "Real words, and a few more of them. " * 6
+    page = "<html><body><nav><a href='/'>Home</a></nav><article><h1>Head</h1>{}</article><footer>Foot, er.</footer></body></html>"
+    for inner, want in [
+        (f"<p><span class='share'>Share this.</span>{text}</p>", ["Share this." + text.strip()]),
+        (f"<p>{text}</p><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul>", [text.strip(), "One", "Two"]),
+        (f"<p class='notice-board'>{text}</p><p class='related-work'>Short.</p><div class='no-ads'>x</div>", [text.strip(), "Short.", "x"]),
+        (f"<p>{text}</p><div class='cookie-notice'><p>We use cookies.</p></div><div class='comment-list'><p>A reader, says so.</p></div>", [text.strip()]),
+    ]:
+        assert html_extract.main_blocks(page.format(inner)) == ["Head", *want]
+
+
+UNLABELLED = (
+    "<html><body><div class='x1'><div><ul><li><a href='/'>Menu item one</a></li><li><a href='/b'>Another, item.</a></li></ul></div></div><div class='x2'><div><h2>Title of it</h2><p>{}</p><p>Short.</p><p>{}</p></div></div>"
+    "<div class='x3'><span>Call us now</span></div><div class='x4'><table><tr><td>12</td><td>Rate it</td></tr></table></div></body></html>"
+)
+
+
+def test_html_is_decided_by_the_ratios(monkeypatch):
+    """A page without article, label or set-apart element: only tag-path ratios tell its text from the rest."""
+    texts = ["Long text, with points; and more of it. " * 7, "More text, with more points. " * 9]
+    page, want = UNLABELLED.format(*texts), ["Title of it", texts[0].strip(), "Short.", texts[1].strip()]
+    assert html_extract.main_blocks(page) == want
+    real = html_extract.fused_ratios
+    for other in (np.ones, lambda n: np.random.default_rng(1).random(n)):
+        monkeypatch.setattr(html_extract, "fused_ratios", lambda b, f=other: (f(len(b)), real(b)[1]))
+        assert html_extract.main_blocks(page) != want
+
+
+def test_html_ratios_by_hand():
+    blocks, _, _ = html_extract.read_blocks("<body><h1>Head, er</h1><p>One, two. <a href='/'>three</a></p><div class='ads'><p>Buy!</p></div><p>four</p></body>")
+    fused, _ = html_extract.fused_ratios(blocks)
+    text = {("h1",): 8 / 1, ("p",): (len("One, two.") + 1 + len("four")) / 2, ("ads",): 4 / 1}
+    marks = {("h1",): 1 / 1, ("p",): 2 / 2, ("ads",): 1 / 1}
+    paths = [("h1",), ("p",), ("ads",), ("p",)]
+
+    def smooth(values):
+        out = []
+        for i in range(len(values)):
+            near = [min(max(i + k - 2, 0), len(values) - 1) for k in range(5)]
+            w = [x * (1 if paths[j] == paths[i] else html_extract.OTHER_PATH) for x, j in zip(html_extract.SMOOTHING, near, strict=True)]
+            out.append(sum(x * values[j] for x, j in zip(w, near, strict=True)) / sum(w))
+        return out
+
+    t, m = smooth([text[p] for p in paths]), smooth([marks[p] for p in paths])
+    assert np.allclose(fused, [(a * b) ** 0.5 * (html_extract.LABELLED if p == ("ads",) else 1) for a, b, p in zip(t, m, paths, strict=True)])
+
+
+@pytest.mark.parametrize("piece", ["<div>x, y. ", "<a ", '<a "', "<p>a<li>b<table><tr>c", "<div class='a", "<b>x "])
+def test_html_of_unclosed_tags_is_linear(piece):
+    import time
+
+    def seconds(n):
+        began = time.thread_time()
+        html_extract.main_blocks(piece * (n // len(piece)))
+        return time.thread_time() - began
+
+    assert min(seconds(400_000) for _ in range(2)) < 10 * min(seconds(100_000) for _ in range(3)) + 0.2
+
+
 def test_decontaminate(spark, docs):
     def tokens(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
