@@ -23,7 +23,7 @@ def held_out() -> F.Column:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(documents.where(~held_out()))
-    return language_id.predict(documents.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return language_id.predict(documents.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,8 +118,48 @@ def test_language_id_pieces_equal_whole(spark, monkeypatch):
     whole = model.code_lengths([text])[0]
     parts = sum(model.code_lengths([text[max(0, at - 3) : at + 64]])[0] - (model.code_lengths([text[at - 3 : at]])[0] if at else 0) for at in range(0, len(text), 64))
     assert np.allclose(whole, parts, rtol=1e-4)
-    p = model._chances(model.symbol_of[np.frombuffer(b"\n\n\nabcabc" * 9, np.uint8)].astype(np.int64), np.array([5, 9]))
-    assert np.allclose(p.sum(1), 1)
+
+def test_language_id_code_lengths_by_brute_force():
+    """Code lengths of a plain tree of dictionaries with escapes, byte by byte."""
+    rng = random.Random(21)
+    texts = {"a": [bytes(rng.choice(b"abcd ") for _ in range(200)) for _ in range(3)], "b": [bytes(rng.choice(b"bcxyz\xc3\xa9 ") for _ in range(150)) for _ in range(4)], "c": ["да нет".encode()]}
+    model = language_id.Model(texts)
+
+    def coded(language, text):
+        counts = {}
+        stream = b"".join(b"\n\n\n" + t for t in texts[language])
+        for i in range(3, len(stream)):
+            for k in range(4):
+                counts.setdefault(stream[i - k : i], Counter())[stream[i]] += 1
+        text, bits = b"\n\n\n" + text, 0.0
+        for i in range(3, len(text)):
+            for k in (3, 2, 1, 0):
+                c = counts.get(text[i - k : i])
+                if not c:
+                    continue
+                if text[i] in c:
+                    bits += np.log2((sum(c.values()) + len(c)) / c[text[i]])
+                    break
+                bits += np.log2((sum(c.values()) + len(c)) / len(c))
+            else:
+                bits += 8
+        return bits
+
+    probes = [bytes(rng.choice(b"abcdxyz q\xc3\xa9") for _ in range(rng.randint(1, 60))) for _ in range(30)] + ["нет, да".encode(), b"\x00\xff\xfe", b"\n\n\n\n"]
+    got = model.code_lengths(probes)
+    assert np.allclose(got, [[coded(k, t) for k in "abc"] for t in probes], rtol=1e-4)
+
+
+def test_language_id_learns_every_language(spark, monkeypatch):
+    """One long text, many copies, null and repeated ids: bounded, and nothing is forgotten."""
+    monkeypatch.setattr(language_id, "SAMPLE_TEXTS", 20)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 60_000)
+    rows = [(None, "lange Rede, kurzer Sinn " * 50_000, "de")] + [(1, "une copie", "fr")] * 500 + [(1, f"texte {i}", "fr") for i in range(10)] + [(None, f"some text {i} " * 40, "en") for i in range(400)]
+    seen = {}
+    monkeypatch.setattr(language_id, "Model", seen.update)
+    language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(seen) == {"de", "en", "fr"} and [len(t) for t in seen["de"]] == [language_id.TEXT_BYTES] and len(seen["fr"]) == 11
+    assert all(len(v) <= 20 and sum(map(len, v)) <= 60_000 for v in seen.values()) and len(seen["en"]) > 5
 
 
 PAGE = (
