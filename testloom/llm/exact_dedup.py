@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from testloom.llm.common import ascii_lower, materialize
@@ -22,8 +22,10 @@ PRIMES = (2147483647, 2147483629)
 BASE = 263
 #: Bytes of a chunk; a sum of 2**14 products below 2**39 fits 64 bits.
 CHUNK = 1 << 14
-#: Bytes of a chunk of the final comparison.
+#: Bytes of a chunk of the final comparison, and of a piece of a huge text: whole CHUNKs.
 COMPARED = 1 << 20
+#: Bytes from which a text is hashed in pieces by several tasks.
+HUGE = 1 << 23
 
 
 def _powers(prime: int) -> np.ndarray:
@@ -60,18 +62,41 @@ class Fingerprints:
 
 
 def with_fingerprints(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, n_bytes, fp (the two fingerprints in one long) and text_sha256 of each normalised text."""
+    """id, n_bytes, fp (the two fingerprints in one long) and text_sha256 of each normalised text.
+
+    Texts of more than HUGE bytes are dealt over tasks in pieces; the pieces' fingerprints
+    are combined by a small aggregate, once for all copies of a text.
+    """
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints()
         for batch in batches:
-            found = [prints.of(t.as_buffer()) for t in batch.column(2)]
+            found = np.array([prints.of(t.as_buffer()) for t in batch.column(2)], np.int64).reshape(-1, 2)
             lengths = [t.as_buffer().size for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array([a << 31 | b for a, b in found], pa.int64()), batch.column(1)], ["id", "n_bytes", "fp", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "text_sha256", "n_bytes", "a", "b"])
+
+    text = normalised(text_col)
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))  # lower-casing A-Z keeps it
+    texts = documents.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("text_sha256"), text.alias("raw"), size.alias("n"))
+    kind = texts.schema["id"].dataType.simpleString()
+    fp = (F.shiftleft(F.col("a"), 31) + F.col("b")).alias("fp")
+    small = texts.where(F.col("n") <= HUGE).select("id", "text_sha256", "raw").mapInArrow(fingerprint, f"id {kind}, text_sha256 string, n_bytes long, a long, b long")
+    small = small.select("id", "n_bytes", fp, "text_sha256")
+    huge = texts.where(F.col("n") > HUGE)
+    pieces = chunks(huge.withColumnRenamed("text_sha256", "sha"), "sha").groupBy("sha", "at").agg(F.min("chunk").alias("chunk"))
+    hashed = pieces.select("at", "sha", "chunk").mapInArrow(fingerprint, "id int, text_sha256 string, n_bytes long, a long, b long")
+    ordered = hashed.groupBy("text_sha256").agg(F.reverse(F.array_sort(F.collect_list(F.struct("id", "a", "b")))).alias("parts"))
+
+    def combined(part: str, prime: int) -> Column:
+        shift = pow(BASE, COMPARED, prime)
+        return F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: (x[part] + acc * shift) % prime).alias(part)
+
+    whole = ordered.select("text_sha256", combined("a", PRIMES[0]), combined("b", PRIMES[1])).select("text_sha256", fp)
+    return small.unionByName(huge.select("id", F.col("n").cast("long").alias("n_bytes"), "text_sha256").join(whole, "text_sha256"))
+
 
-    text = F.encode(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), "UTF-8")
-    rows = documents.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("text_sha256"), text.alias("raw"))
-    return rows.mapInArrow(fingerprint, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, fp long, text_sha256 string")
+def normalised(text_col: str) -> Column:
+    return F.encode(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), "UTF-8")
 
 
 def chunks(texts: DataFrame, *keys: str) -> DataFrame:
@@ -90,26 +115,19 @@ def exact_dedup(documents: DataFrame, text_col: str = "text", id_col: str = "doc
     rows. Extra columns are ignored.
 
     Only small rows are shuffled for the grouping, and only texts that agree in length
-    and fingerprint move for the comparison: each goes to the text that stays, never to
-    the other copies, so a group of n copies costs n comparisons.
+    and fingerprint with others are compared: every such row, with or without id, with one
+    text of its group, chunk by chunk, so a group of n copies costs n comparisons. That one
+    text is small beside its copies, so Spark splits a large group over tasks.
     """
     # small rows that four steps read: written once, so texts are hashed once
     rows = materialize(with_fingerprints(documents, text_col, id_col))
-    text = F.encode(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), "UTF-8")
-    groups = rows.groupBy("fp", "n_bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    several = groups.where("group_size > 1 and keep_id is not null")
-    # the copies' ids with the id that stays, and both texts by chunks
-    members = rows.join(several, ["fp", "n_bytes"]).where("id < keep_id").select("id", "keep_id", "n_bytes", "fp").distinct()
-    source = documents.select(F.col(id_col).alias("id"), text.alias("raw"))
-    left = chunks(source.join(members, "id"), "id", "keep_id", "fp")
-    right = chunks(source.join(several.select(F.col("keep_id").alias("id"), F.col("fp").alias("of")), "id"), "id", "of").dropDuplicates(["id", "of", "at"])
-    unequal = (
-        left.alias("a")
-        .join(right.alias("b"), (F.col("a.keep_id") == F.col("b.id")) & (F.col("a.fp") == F.col("b.of")) & (F.col("a.at") == F.col("b.at")))
-        .where(~F.col("a.chunk").eqNullSafe(F.col("b.chunk")))
-        .select(F.col("a.fp").alias("fp"))
-        .distinct()
-    )
+    one = rows.groupBy("fp", "n_bytes").agg(F.min("text_sha256").alias("model"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # pre-aggregated: copies of a text are one row here
+    members = rows.select("fp", "n_bytes", "text_sha256").distinct().join(one, ["fp", "n_bytes"]).select("fp", F.col("text_sha256").alias("sha"), "model")
+    texts = documents.select(normalised(text_col).alias("raw")).withColumn("sha", F.sha2("raw", 256))
+    left = chunks(texts.join(members.select("fp", "sha", "model"), "sha"), "fp", "model")
+    right = chunks(texts.join(one.select(F.col("model").alias("sha")).distinct(), "sha"), "sha").groupBy("sha", "at").agg(F.min("chunk").alias("other"))
+    unequal = left.join(right, (F.col("model") == F.col("sha")) & (left.at == right.at)).where(~F.col("chunk").eqNullSafe(F.col("other"))).select("fp").distinct()
     # a fingerprint under which texts differ is refined by the digest of the whole text
     refined = rows.join(unequal.withColumn("clash", F.lit(True)), "fp", "left").withColumn("part", F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit("")))
     final = refined.groupBy("fp", "n_bytes", "part").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -117,14 +135,12 @@ def exact_dedup(documents: DataFrame, text_col: str = "text", id_col: str = "doc
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents without the copies; columns stay. Rows that repeat an id and its text collapse to one."""
-    key = F.sha2(F.encode(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), "UTF-8"), 256)
-    kept = exact_dedup(documents, text_col, id_col).where("kept").groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_times"))
-    rows = documents.withColumn("_key", key)
-    rows = rows.join(kept, rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha"))).drop("_id", "_sha")
-    once = rows.where("_times = 1").drop("_times", "_key")
-    repeated = rows.where("_times > 1").dropDuplicates([id_col, "_key"]).drop("_times", "_key")
-    return once.unionByName(repeated)
+    """documents without the copies; columns stay, whatever their names. Rows that repeat an id and its text collapse to one."""
+    kept = exact_dedup(documents, text_col, id_col).where("kept").groupBy(F.col(id_col).alias("id"), "text_sha256").agg(F.count("*").alias("times"))
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.sha2(normalised(text_col), 256).alias("sha"))
+    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("text_sha256"))).select("row", "own_id", "sha", "times")
+    once = rows.where("times = 1").select("row.*")
+    return once.unionByName(rows.where("times > 1").dropDuplicates(["own_id", "sha"]).select("row.*"))
 
 
 ORACLE_SQL = """
