@@ -9,15 +9,20 @@ whole windows, and the words of every occurrence are hit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testloom.llm.common import ascii_lower, text_key
+from testloom.llm.common import ascii_lower, materialize, text_key
 
 WINDOW = 13
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The set of windows is broadcast up to this many; beyond, Spark may choose the join.
 BROADCAST_WINDOWS = 2_000_000
+#: Texts whose hashes or keys are broadcast, up to this many.
+BROADCAST_TEXTS = 1_000_000
 NO_ITEMS = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing
 
 
@@ -48,58 +53,74 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, spans, key.
 
     Null or empty texts and texts without words have no hit. Equal texts share one
-    verification, wherever they are, so groups of copies cost a row each. An item
+    verification, wherever they are: one row of each text is scanned for windows. An item
     without id is looked for but never listed; repeated items count once. Empty
-    benchmark: nothing is hit. Extra columns are ignored.
+    benchmark: nothing is hit. Extra columns are ignored. spans and key (a digest of the
+    text) are null for documents that hold no gram of any window.
 
-    Broadcast: the windows, only while their counted number is under
-    BROADCAST_WINDOWS; a larger benchmark goes by the join Spark chooses.
+    Broadcast: the windows, only while their counted number is at most BROADCAST_WINDOWS,
+    and hashes of texts that hold a gram, only while these are at most BROADCAST_TEXTS;
+    beyond, Spark chooses the join.
     """
-    windows = benchmark_windows(benchmark, window)
+    windows = materialize(benchmark_windows(benchmark, window))
     sizes = windows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `window` rows
-    small = sum(r.n for r in sizes) <= BROADCAST_WINDOWS
-    known = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    counted = texts.select("id", "key", F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    lengths = sorted(r.length for r in sizes)
-    if lengths:
-        gram = {n: max(1, n // 2) for n in lengths}
-        seeds = [windows.where(F.col("length") == n).select(F.split("window", " ").alias("w")).select(F.explode(_grams("w", gram[n], 1)).alias("gram")) for n in lengths]
-        seed = seeds[0]
-        for more in seeds[1:]:
-            seed = seed.union(more)
-        scanned = texts.select("key", words(F.col("text")).alias("w"))
-        scanned = scanned.select("key", F.explode(F.flatten(F.array(*(_grams("w", gram[n], n - gram[n] + 1) for n in lengths)))).alias("gram"))
-        candidates = scanned.join(known(seed.distinct()), "gram", "left_semi").select("key").distinct()
-        found = texts.join(candidates, "key", "left_semi").select("key", words(F.col("text")).alias("w"))
-        found = found.select("key", F.explode(F.flatten(F.array(*(_windows("w", n) for n in lengths)))).alias("x")).select("key", "x.*")
-        found = found.join(known(windows), ["length", "window"])
-        hits = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-        zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit"))
-        covered = F.aggregate(
-            "spans", zero,
-            lambda acc, s: F.struct(F.greatest(acc["end"], s["start"] + s["length"] - 1).alias("end"), (acc["hit"] + F.greatest(F.lit(0), s["start"] + s["length"] - 1 - F.greatest(acc["end"], s["start"] - 1))).alias("hit")),
-            lambda acc: acc["hit"],
-        )
-        hits = hits.select("key", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "spans")
-        counted = counted.join(hits, "key", "left")
-    else:
-        counted = counted.select("*", F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("long").alias("n_items"), F.lit(None).cast("string").alias("items_sha256"), F.lit(None).cast("array<struct<start:int,length:int>>").alias("spans"))
+    known = _broadcast_if(sum(r.n for r in sizes) <= BROADCAST_WINDOWS)
+    text, lengths = F.col(text_col), sorted(r.length for r in sizes)
+    texts = documents.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    n_words = F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+    none = F.lit(None)
+    if not lengths:
+        clean = texts.select("id", n_words)
+        return _result(clean.select("*", none.cast("binary").alias("key"), *(none.cast(kind).alias(c) for c, kind in HITS.items())), id_col)
+    gram = {n: max(1, n // 2) for n in lengths}
+    seed = reduce(DataFrame.union, (windows.where(F.col("length") == n).select(F.split("window", " ").alias("w")).select(F.explode(_grams("w", gram[n], 1)).alias("gram")) for n in lengths))
+    scanned = texts.select("h", words(F.col("text")).alias("w"))
+    scanned = scanned.select("h", F.explode(F.flatten(F.array(*(_grams("w", gram[n], n - gram[n] + 1) for n in lengths)))).alias("gram"))
+    suspects = materialize(scanned.join(known(seed.distinct()), "gram", "left_semi").select("h").distinct())
+    few = _broadcast_if(suspects.count() <= BROADCAST_TEXTS)
+    # small rows for all, and the texts of the few that may be hit
+    marked = texts.join(few(suspects.withColumn("suspect", F.lit(True))), "h", "left").withColumn("held", F.when(F.col("suspect"), F.coalesce("text", F.lit(""))))
+    marked = materialize(marked.select("id", n_words, F.when(F.col("suspect"), text_key(F.col("held"))).alias("key"), "held"))
+    found = marked.where("key is not null").select("key", "held").dropDuplicates(["key"]).select("key", words(F.col("held")).alias("w"))
+    found = found.select("key", F.explode(F.flatten(F.array(*(_windows("w", n) for n in lengths)))).alias("x")).select("key", "x.*")
+    found = found.join(known(windows), ["length", "window"])
+    hits = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    covered = F.aggregate(
+        "spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
+        lambda acc, s: F.struct(F.greatest(acc["end"], s["start"] + s["length"] - 1).alias("end"), (acc["hit"] + F.greatest(F.lit(0), s["start"] + s["length"] - 1 - F.greatest(acc["end"], s["start"] - 1))).alias("hit")),
+        lambda acc: acc["hit"],
+    )
+    hits = hits.select("key", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "spans")
+    hit = marked.where("key is not null").select("id", "n_words", "key").join(hits, "key", "left")
+    clean = marked.where("key is null").select("id", "n_words", "key", *(none.cast(kind).alias(c) for c, kind in HITS.items()))
+    return _result(hit.unionByName(clean), id_col)
+
+
+#: What is known of a document that is hit.
+HITS = {"n_hit": "long", "n_items": "long", "items_sha256": "string", "spans": "array<struct<start: int, length: int>>"}
+
+
+def _broadcast_if(small: bool) -> Callable[[DataFrame], DataFrame]:
+    return F.broadcast if small else lambda df: df
+
+
+def _result(rows: DataFrame, id_col: str) -> DataFrame:
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return counted.select(
+    return rows.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(NO_ITEMS)).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "spans", "key",
     )
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents without those that are contaminated; all columns stay as they are."""
-    bad = contamination(documents, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select("key").distinct()
-    keyed = documents.withColumn("_key", text_key(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(bad, keyed._key == bad.key, "left_anti").drop("_key")
+    """documents without those that are contaminated; all columns stay as they are, whatever their names."""
+    bad = materialize(contamination(documents, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select("key").distinct())
+    few = _broadcast_if(bad.count() <= BROADCAST_TEXTS)
+    keyed = documents.select(F.struct("*").alias("row"), text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("own"))
+    return keyed.join(few(bad), F.col("own") == F.col("key"), "left_anti").select("row.*")
 
 
 ORACLE_SQL = r"""

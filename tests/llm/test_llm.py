@@ -313,6 +313,32 @@ def test_fingerprint_collisions_are_refined(spark, monkeypatch):
     assert rows == {0: (2, 2), 1: (1, 1), 2: (2, 2), 3: (3, 1), 4: (5, 2), 5: (5, 2)}
 
 
+def test_huge_texts_are_hashed_in_pieces(spark, monkeypatch):
+    texts = ["ab" * 5000, "AB" * 5000, "ab" * 4999 + "ac", None, "x", "X"]
+    whole = {r.id: r for r in exact_dedup.with_fingerprints(frame(spark, texts)).collect()}
+    monkeypatch.setattr(exact_dedup, "HUGE", 100)
+    monkeypatch.setattr(exact_dedup, "COMPARED", 512)
+    assert {r.id: r for r in exact_dedup.with_fingerprints(frame(spark, texts)).collect()} == whole
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(frame(spark, texts)).collect()} == {0: (1, 2), 1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (5, 2), 5: (5, 2)}
+
+
+def test_texts_without_id_are_compared(spark, monkeypatch):
+    real = exact_dedup.with_fingerprints
+    monkeypatch.setattr(exact_dedup, "with_fingerprints", lambda *a: real(*a).withColumn("fp", F.lit(1).cast("long")))
+    rows = exact_dedup.exact_dedup(frame(spark, ["abc", "abd", "abd", "ABC"], [None, None, 4, 4])).collect()
+    assert sorted((r.text_sha256[:4], r.keep_id, r.group_size) for r in rows) == sorted((hashlib.sha256(t.encode()).hexdigest()[:4], 4, 2) for t in ("abc", "abd", "abd", "abc"))
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_key", "key", "own", "own_id", "id", "sha", "row", "times", "h", "held", "_id"]
+    df = frame(spark, ["a b c d e", "A b c d e", None, "one two"])
+    df = df.select("doc_id", "text", "source", *(F.lit(n).alias(n) for n in names))
+    benchmark = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    for out in (exact_dedup.keep_one(df), ngram_join.keep_one(df), decontaminate.remove_contaminated(df, benchmark)):
+        assert out.columns == df.columns and all(r[n] == n for r in out.collect() for n in names)
+    assert sorted(r.doc_id for r in decontaminate.remove_contaminated(df, benchmark).collect()) == [0, 1, 2]
+
+
 def test_fingerprints_compose():
     prints = exact_dedup.Fingerprints()
     data = bytes(random.Random(3).randrange(256) for _ in range(3 * exact_dedup.CHUNK + 77))
