@@ -11,8 +11,9 @@ A turn is rendered as
     TEXT
     <|end|>
 
-each line ended by a line feed. In TEXT and ROLE a `<|` becomes `<\\|` (and `<\\|`
-becomes `<\\\\|`, and so on), so markers can't be forged and rendering can be undone.
+each line ended by a line feed. In TEXT a `<|` becomes `<\\|` (and `<\\|`
+becomes `<\\\\|`, and so on). In ROLE `|` becomes `\\p`, a line feed `\\n` and a backslash
+`\\\\`, so a name is one line without `|>`. Markers can't be forged and rendering can be undone.
 """
 
 from __future__ import annotations
@@ -28,14 +29,21 @@ def escaped(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"<(\\*)\|", r"<\\$1|")
 
 
-def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+def escaped_role(c: Column) -> Column:
+    for char, code in (("\\", "\\\\"), ("|", "\\p"), ("\n", "\\n")):
+        c = F.replace(c, F.lit(char), F.lit(code))
+    return c
+
+
+def perspectives(conversations: DataFrame, part_turns: int | None = PART_TURNS) -> DataFrame:
     """One row per conversation, participant and part: conv_id, speaker, part, n_turns, n_chars, n_masked, rendered, mask.
 
     mask: `start-end` character ranges (from 0, end excluded) of the assistant's text and
     end marker, comma-joined. Parts hold `part_turns` consecutive turn numbers; a null
     turn counts as number -1. Turns of one number go by role and text; rows that agree in
     all four columns are one utterance. Null text is an empty utterance; a null or empty
-    role is `unknown`; a null conv_id is a conversation of its own. Conversations of system
+    role is `unknown`; a null conv_id is a conversation of its own. With part_turns None every
+    dialogue is one part, whatever its length. Conversations of system
     turns only have no participant and give no row. Extra columns are ignored.
 
     Participants are gathered by a partial aggregation, parts have bounded turn numbers,
@@ -44,7 +52,7 @@ def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS) -> Data
     role = F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("unknown"))
     turns = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     parts = (
-        turns.withColumn("part", F.floor(F.col("turn") / part_turns))
+        turns.withColumn("part", F.floor(F.col("turn") / part_turns) if part_turns else F.lit(0).cast("long"))
         .groupBy("conv_id", "part")
         .agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     )
@@ -52,7 +60,7 @@ def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS) -> Data
     rows = parts.join(speakers, parts.conv_id.eqNullSafe(speakers.s_conv)).drop("s_conv")
 
     def header(t: Column) -> Column:
-        return F.when(t["role"] == F.col("speaker"), F.lit("<|assistant|>\n")).when(t["role"] == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), escaped(t["role"]), F.lit("|>\n")))
+        return F.when(t["role"] == F.col("speaker"), F.lit("<|assistant|>\n")).when(t["role"] == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), escaped_role(t["role"]), F.lit("|>\n")))
 
     rendered = F.transform("turns", lambda t: F.struct(header(t).alias("head"), F.concat(escaped(t["text"]), F.lit("\n<|end|>\n")).alias("body"), (t["role"] == F.col("speaker")).alias("own")))
     rows = rows.select("conv_id", "speaker", "part", F.size("turns").cast("long").alias("n_turns"), rendered.alias("r"))
@@ -73,7 +81,7 @@ with t as (select distinct conv_id, coalesce(cast(turn as bigint), -1) as turn,
 s as (select distinct conv_id, role as speaker from t where role <> 'system'),
 r as (select t.conv_id, s.speaker, cast(floor(turn / 256.0) as bigint) as part, turn, role, text, role = s.speaker as own,
   case when role = s.speaker then '<|assistant|>' || chr(10) when role = 'system' then '<|system|>' || chr(10)
-    else '<|user name=' || regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10) end as head,
+    else '<|user name=' || replace(replace(replace(role, '\', '\\'), '|', '\p'), chr(10), '\n') || '|>' || chr(10) end as head,
   regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || chr(10) || '<|end|>' || chr(10) as body
   from t join s on t.conv_id is not distinct from s.conv_id),
 o as (select *, sum(length(head) + length(body)) over (partition by conv_id, speaker, part order by turn, role, text rows unbounded preceding) as upto from r)
