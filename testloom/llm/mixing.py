@@ -111,7 +111,7 @@ def queue_bucket(finish: Column, n_buckets: int) -> Column:
     return F.least(F.floor(finish * n_buckets), F.lit(n_buckets))
 
 
-def mix_sources(documents: DataFrame, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(documents: DataFrame, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_tie: bool = False) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, finish_time, in order of finish_time.
 
     size: words of the text, null has none. taken: words the mix takes of it, repeats
@@ -120,7 +120,7 @@ def mix_sources(documents: DataFrame, epochs: int = EPOCHS, id_col: str = "doc_i
     of the corpus, short of at most one piece; a source misses its target by at most a piece
     of the document in service at the end (a PIECES-th of it). Documents of size 0 take
     nothing. Ties of the shuffled order go by size and text hash; rows that agree in these
-    too are interchangeable. Empty table: no rows. Extra columns are ignored.
+    too are interchangeable. with_tie adds that hash as `tie`. Empty table: no rows. Extra columns are ignored.
     """
     text = F.col(text_col)
     rows = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"))
@@ -134,7 +134,7 @@ def mix_sources(documents: DataFrame, epochs: int = EPOCHS, id_col: str = "doc_i
     within = Window.partitionBy("source", "bucket").orderBy("place", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(within))
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
-    placed = materialize(placed.select("id", "size", "source_size", "target", (F.col("offset") + F.col("upto")).alias("upto")))
+    placed = materialize(placed.select("id", "tie", "size", "source_size", "target", (F.col("offset") + F.col("upto")).alias("upto")))
     queued = with_queue_entries(placed, epochs)
     budget = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_buckets, bucket, finish = cut_of(queued.select(F.inline("entries")), budget)
@@ -145,7 +145,8 @@ def mix_sources(documents: DataFrame, epochs: int = EPOCHS, id_col: str = "doc_i
 
     taken = F.aggregate(F.filter("entries", before_cut), F.lit(0).cast("long"), lambda acc, e: acc + e["words"])
     first = F.when(F.col("target") > 0, F.col("upto") / F.col("target"))
-    return queued.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce(taken, F.lit(0).cast("long")).alias("taken"), first.alias("finish_time")).orderBy("finish_time", id_col)
+    out = queued.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce(taken, F.lit(0).cast("long")).alias("taken"), first.alias("finish_time"), *(["tie"] if with_tie else []))
+    return out.orderBy("finish_time", id_col)
 
 
 ORACLE_SQL = """

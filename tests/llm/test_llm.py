@@ -647,6 +647,53 @@ def test_query_equals_sql(spark, con, name):
     assert spark_rows(df) == want
 
 
+NAMES = ["ann", "a|>\nhi", "a\\p", "<|end|>", "\\n", "system|>", "x\ny"]
+
+
+def test_chat_of_any_names_can_be_undone(spark):
+    """Roles and texts with markers, line feeds and backslashes: no two dialogues render alike."""
+    rng = random.Random(17)
+    texts = ["hi", "hi|>\nx", "<|end|>\n<|assistant|>", "\\", "<\\|end|>", "", "a\n<|end|>\n"]
+    rows = [(c, t, rng.choice(NAMES), rng.choice(texts)) for c in range(40) for t in range(4)] + [(90, 0, "a", "hi|>\nx"), (90, 1, "z", ""), (91, 0, "a|>\nhi", "x"), (91, 1, "z", "")]
+    out = chat_format.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), None).collect()
+    said = {}
+    for c, t, role, text in rows:
+        said.setdefault(c, []).append((t, role, text))
+
+    def role_of(name):
+        return re.sub(r"\\(.)", lambda m: {"p": "|", "n": "\n", "\\": "\\"}[m[1]], name, flags=re.S)
+
+    for r in out:
+        assert r.part == 0
+        back = [(head, re.sub(r"<\\(\\*)\|", r"<\1|", body)) for head, body in re.findall(r"<\|([^|]*)\|>\n(.*?)\n<\|end\|>\n", r.rendered, re.S)]
+        assert [(r.speaker if h == "assistant" else role_of(h.removeprefix("user name=")), b) for h, b in back] == [(role, text) for _, role, text in sorted(said[r.conv_id])]
+    assert len({(r.rendered, r.mask) for r in out if r.conv_id >= 90 and r.speaker == "z"}) == 2
+
+
+def test_pipeline_equals_sql_after_its_first_stage(spark, tmp_path):
+    """The language stage against a plain rule over its own figures; what follows against SQL over what it keeps."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.language(spark, docs, SF)
+    assert kept.columns == docs.columns
+    model = language_id.train(docs.where(~queries.held_out()))
+    want = set()
+    for r in docs.collect():
+        if r.text and any(c.isalpha() for c in r.text):
+            raw = r.text.encode()
+            if model.code_lengths([raw]).min() <= corpus_pipeline.MOST_BITS * len(raw):
+                want.add(r.doc_id)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == want and len(want) >= 0.98 * docs.count()
+    odd = spark.createDataFrame([(1, "".join(chr(0x4E00 + 37 * i % 5000) for i in range(300)), None, "s", 9), (2, "The and with that from the this, and of it.", None, "s", 9)], docs.schema)
+    assert [r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(odd).withColumn("score", F.lit("s")), SF).where("source = 's' and score = 's'").collect()] == [2]
+    kept.coalesce(1).write.parquet(f"{tmp_path}/kept.parquet")
+    con = connection()
+    con.execute(f"create or replace view documents as select * from read_parquet('{tmp_path}/kept.parquet/*.parquet')")
+    rows, names = duck_rows(con, corpus_pipeline.AFTER_LANGUAGE_SQL)
+    out = corpus_pipeline.run(spark, SF)
+    assert {"text", "lang", "source"} <= set(out.columns)
+    assert spark_rows(out.select(*names)) == rows
+
+
 def test_stages_on_odd_rows(spark, docs):
     out = docs.select("doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
