@@ -143,9 +143,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.encode(text_col, "UTF-8"), 1, TEXT_BYTES).alias("raw"), F.xxhash64(F.lit("language sample"), F.col(text_col)).alias("h"))
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.avg(F.octet_length("raw")).alias("mean"))
+    # one row a language, of which the model holds far more
     rates = sizes.select("lang", F.least(F.lit(1.0), SAMPLE_TEXTS / F.greatest("n", F.lit(1)), SAMPLE_BYTES / F.greatest(F.col("n") * F.col("mean"), F.lit(1.0))).alias("rate"))
     share = F.pmod("h", F.lit(1 << 30)) / (1 << 30)
-    drawn = rows.join(rates, "lang").where(share < F.col("rate")).groupBy("lang", "h").agg(F.min("raw").alias("raw"))
+    drawn = rows.join(F.broadcast(rates), "lang").where(share < F.col("rate")).groupBy("lang", "h").agg(F.min("raw").alias("raw"))
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
     upto = F.sum(F.octet_length("raw")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = drawn.select("lang", "raw", F.row_number().over(order).alias("place"), upto.alias("upto")).where(f"place <= {SAMPLE_TEXTS} and upto <= {SAMPLE_BYTES}")
