@@ -22,9 +22,12 @@ def uuid5_of_bytes(content: Column, namespace: str = NAMESPACE_OID) -> Column:
 
 
 def _uuid5(content: Column, namespace: str) -> Column:
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), content))
-    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+    def laid_out(h: Column) -> Column:
+        variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+    # the lambda binds the hash: it is taken once, not once for each of its parts
+    return F.transform(F.array(F.sha1(F.concat(F.unhex(F.lit(namespace)), content))), laid_out)[0]
 
 
 def _joined(*parts: Column) -> Column:
@@ -44,7 +47,8 @@ def test_id(org: Column, repo: Column, file: Column, classname: Column, parent:
     base = uuid5(F.concat(_joined(org, repo, file, classname, parent, name, F.lit(KIND)), tail))
     own = uuid5(F.concat(_joined(org, repo, raw), tail))
     first = F.when(raw.startswith(OWN_PREFIX), own).when(raw.rlike(UUID5), F.when(has, uuid5(_joined(raw, var))).otherwise(raw)).otherwise(base)
-    return F.when(has, uuid5(_joined(first, var))).otherwise(first)
+    # bound once too: it is used twice
+    return F.transform(F.array(first), lambda x: F.when(has, uuid5(_joined(x, var))).otherwise(x))[0]
 
 
 def run_id(org: Column, repo: Column, file: Column, classname: Column, parent: Column, name: Column, raw_id: Column, variant: Column) -> Column:

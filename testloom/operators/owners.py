@@ -36,7 +36,9 @@ def github_rule(path: Column) -> tuple[Column, Column]:
     base = F.when(base.endswith("/"), F.concat(base, F.lit("**"))).otherwise(base)
     starred = base.endswith("**") & ~base.endswith("/**") & (F.length(base) > 2)
     stem = F.regexp_replace(base, r"\*\*$", "*")
-    plain = base.rlike(r"^/?(.*/)*((\.?)[^/.*]+)$")
+    # a last part without wildcard or extension may be a directory
+    last = F.regexp_extract(base, "[^/]*$", 0)
+    plain = ~last.contains("*") & ~F.substring(last, 2, 1 << 30).contains(".") & (last != "") & (last != ".")
     fallback = F.when(starred, F.concat(stem, F.lit("/**"))).when(plain, F.concat(base, F.lit("/**")))
     base = F.when(starred, stem).otherwise(base)
     literal = base.contains("/") | F.coalesce(fallback.contains("/"), F.lit(False))

@@ -161,31 +161,32 @@ def ordered_issues(found: DataFrame, file_keys: list[str]) -> DataFrame:
     return found.withColumn("place", F.row_number().over(Window.partitionBy(*file_keys).orderBy(F.col("level").desc(), "error_message")))
 
 
-def limit_report(found: DataFrame, file: str, mode: str = "limited", most_files: int = 8, most_issues: int = 8) -> DataFrame:
-    """L2: issues to show, with the number of files left out.
+def limit_report(found: DataFrame, run_keys: list[str], file: str, mode: str = "limited", most_files: int = 8, most_issues: int = 8) -> DataFrame:
+    """L2: issues to show of each run, with the number of its files left out.
 
-    `limited`: the first files by name, and of each file the first issues of each level.
-    Files are ranked on one row a file.
+    `limited`: the run's first files by name, and of each file the first issues of each
+    level. Files are ranked on one row a file, inside their run.
     """
     if mode == "none":
         return found.limit(0).withColumn("files_left_out", F.lit(0).cast("long"))
     if mode == "full":
         return found.withColumn("files_left_out", F.lit(0).cast("long"))
-    names = found.select(file).distinct()
-    total = names.agg(F.greatest(F.count("*") - most_files, F.lit(0)).alias("files_left_out"))
-    shown = names.orderBy(file).limit(most_files)
-    place = F.row_number().over(Window.partitionBy(file, "level").orderBy("error_message"))
-    return found.join(shown, file, "left_semi").withColumn("place", place).where(F.col("place") <= most_issues).drop("place").join(F.broadcast(total))
+    names = found.select(*run_keys, file).distinct()
+    total = names.groupBy(*run_keys).agg(F.greatest(F.count("*") - most_files, F.lit(0)).alias("files_left_out"))
+    rank = F.row_number().over(Window.partitionBy(*run_keys).orderBy(file))
+    shown = names.withColumn("rank", rank).where(F.col("rank") <= most_files).drop("rank").join(total, run_keys)
+    place = F.row_number().over(Window.partitionBy(*run_keys, file, "level").orderBy("error_message"))
+    return found.join(shown, [*run_keys, file]).withColumn("place", place).where(F.col("place") <= most_issues).drop("place")
 
 
 def validation_summary(files: DataFrame, levels: DataFrame, run_keys: list[str], file_keys: list[str]) -> DataFrame:
     """Per run: valid, warning and error files, issue totals and exit code.
 
-    A file with issues of both levels counts as warning and as error.
+    A valid file has no issue of either level; a file with issues of both levels counts as warning and as error.
     """
     per_file = files.join(levels, file_keys, "left").fillna(0, ["num_invalid", "num_suboptimal"])
     out = per_file.groupBy(*run_keys).agg(
-        F.count_if(F.col("num_invalid") == 0).alias("num_valid_files"),
+        F.count_if((F.col("num_invalid") == 0) & (F.col("num_suboptimal") == 0)).alias("num_valid_files"),
         F.count_if(F.col("num_suboptimal") > 0).alias("num_warning_files"), F.count_if(F.col("num_invalid") > 0).alias("num_error_files"),
         F.sum("num_invalid").alias("num_invalid"), F.sum("num_suboptimal").alias("num_suboptimal"),
     )

@@ -1,11 +1,12 @@
-"""Code owners of the paths in `runs` under literal rule files."""
+"""Code owners of the paths in `runs`, under two literal rule files and under files made of the paths."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from testloom.functions.ids import NAMESPACE_OID
 from testloom.operators import owners as O
-from testloom.plans.adapters import view
+from testloom.plans.adapters import duck_uuid5, view
 from testloom.plans.registry import query
 from testloom.sources import codeowners as S
 
@@ -57,14 +58,47 @@ def references(spark, sf_dir):
     return view(spark, sf_dir, "documents").select("doc_id", F.size(O.owner_emails(F.coalesce("text", F.lit("")))).alias("num_emails"))
 
 
-@query("A17_A18_section_stats", "runs", "select 'gl' as codeowners_id, section, cast(n as bigint) as num_rules, opt as is_optional from (values ('codeowners', 1, false), ('Docs', 2, false), ('Tests', 1, true)) t(section, n, opt) where exists (select 1 from runs where bundle_id % 2 = 1)")
+def rule_files(spark, sf_dir):
+    """A file in either dialect for each bundle, of the folders of its runs: gh<bundle> and gl<bundle>.
+
+    GitHub: a line for each folder. GitLab: a section for each folder, of two rules, the
+    second of which is repeated with another owner.
+    """
+    r = view(spark, sf_dir, "runs").select("bundle_id", F.col("parent_name").alias("d")).distinct()
+    b = F.col("bundle_id").cast("string")
+    line = F.concat(F.lit("/src/"), "d", F.lit("/ @team"), b, F.lit(" nobody "), "d", F.lit("@ex.com"))
+    section = F.concat(F.lit("["), "d", F.lit("] @head"), b, F.lit("\n/src/"), "d", F.lit("/\n*.js @js\n*.js @again"), b)
+    files = r.groupBy("bundle_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("gh"), F.array_join(F.array_sort(F.collect_list(section)), "\n").alias("gl"))
+    return files.select("bundle_id", F.explode(F.create_map(F.lit("gh"), "gh", F.lit("gl"), "gl")).alias("kind", "content")).select("bundle_id", "kind", F.concat("kind", b).alias("codeowners_id"), "content")
+
+
+PLACES = "p as (select bundle_id, d, row_number() over (partition by bundle_id order by d) - 1 as i from (select distinct bundle_id, parent_name as d from runs))"
+
+
+@query("S6_scan_github", "runs", f"with {PLACES} select 'gh' || bundle_id as codeowners_id, cast(i as int) as rule_pos, '/src/' || d || '/' as pattern, '@team' || bundle_id || ',' || d || '@ex.com' as owners from p")
+def scan_github(spark, sf_dir):
+    out = S.scan_codeowners_github(rule_files(spark, sf_dir).where("kind = 'gh'"))
+    return out.select("codeowners_id", "rule_pos", "pattern", F.array_join("owners", ",").alias("owners"))
+
+
+@query("S7_scan_gitlab", "runs", f"""with {PLACES} select 'gl' || bundle_id as codeowners_id, d as section, cast(4 * i + 1 as int) as rule_pos, '/src/' || d || '/**/*' as pattern, '@head' || bundle_id as owners from p
+  union all select 'gl' || bundle_id, d, cast(4 * i + 2 as int), '/**/*.js', '@again' || bundle_id from p""")
+def scan_gitlab(spark, sf_dir):
+    out = S.scan_codeowners_gitlab(rule_files(spark, sf_dir).where("kind = 'gl'"))
+    return out.select("codeowners_id", "section", "rule_pos", "pattern", F.array_join("owners", ",").alias("owners"))
+
+
+@query("A17_A18_section_stats", "runs", f"with {PLACES} select 'gl' || bundle_id as codeowners_id, d as section, cast(2 as bigint) as num_rules, false as is_optional from p")
 def sections(spark, sf_dir):
-    return O.section_stats(gitlab(spark, sf_dir)).drop("section_pos")
+    return O.section_stats(S.scan_codeowners_gitlab(rule_files(spark, sf_dir).where("kind = 'gl'"))).drop("section_pos")
 
 
-@query("S8_S9_resolve_codeowners", "runs", """select bundle_id as repo, case when bundle_id % 3 = 0 then 'docs/CODEOWNERS' else 'CODEOWNERS' end as path, case when bundle_id % 2 = 0 then 'github' else 'gitlab' end as dialect from (select distinct bundle_id from runs)""")
+@query("S8_S9_resolve_codeowners", "runs", f"""with t as (select bundle_id, string_agg('/src/' || d || '/ @team' || bundle_id || ' nobody ' || d || '@ex.com', chr(10) order by '/src/' || d || '/ @team') as gh,
+    string_agg('[' || d || '] @head' || bundle_id || chr(10) || '/src/' || d || '/' || chr(10) || '*.js @js' || chr(10) || '*.js @again' || bundle_id, chr(10) order by d) as gl from (select distinct bundle_id, parent_name as d from runs) group by bundle_id),
+  c as (select bundle_id, case when bundle_id % 2 = 0 then '[] @x' || chr(10) || gh else gl end as content from t)
+  select bundle_id as repo, case when bundle_id % 3 = 0 then 'docs/CODEOWNERS' else 'CODEOWNERS' end as path, case when bundle_id % 2 = 0 then 'github' else 'gitlab' end as dialect, {duck_uuid5("content", NAMESPACE_OID)} as codeowners_id from c""")
 def resolve(spark, sf_dir):
-    b = view(spark, sf_dir, "runs").select(F.col("bundle_id").alias("repo")).distinct()
-    content = F.when(F.col("repo") % 2 == 0, F.lit("[] @x\n* @all\n")).otherwise(F.lit(GITLAB))
-    rows = b.select("repo", F.lit("docs/CODEOWNERS").alias("path"), content.alias("content")).unionByName(b.where("repo % 3 <> 0").select("repo", F.lit("CODEOWNERS").alias("path"), content.alias("content")))
-    return S.resolve_codeowners(rows).select("repo", "path", "dialect")
+    files = rule_files(spark, sf_dir).where((F.col("kind") == "gh") == (F.col("bundle_id") % 2 == 0))
+    b = files.select(F.col("bundle_id").alias("repo"), F.when(F.col("kind") == "gh", F.concat(F.lit("[] @x\n"), "content")).otherwise(F.col("content")).alias("content"))
+    rows = b.select("repo", F.lit("docs/CODEOWNERS").alias("path"), "content").unionByName(b.where("repo % 3 <> 0").select("repo", F.lit("CODEOWNERS").alias("path"), "content"))
+    return S.resolve_codeowners(rows).select("repo", "path", "dialect", "codeowners_id")

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from testloom.plans.adapters import view
+from testloom.plans.adapters import ORG, REPO, duck_uuid5, view
 from testloom.plans.registry import query
 from testloom.sources import bep as E
 from testloom.sources import junit as X
+from testloom.sources import uploads as U
 
 
 def scratch(spark) -> str:
-    """A fresh folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "testloom-checkpoints")
+    """A fresh folder that all executors share; a folder of this machine only if all tasks run in it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "testloom-checkpoints")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -30,9 +36,16 @@ def scan_junit(spark, sf_dir):
     return out.groupBy("parent_name", "name", "classname", F.coalesce("case_file", F.lit("")).alias("file"), "status", F.unix_micros("case_ts").alias("case_us"), F.col("case_time").alias("time_s"), "message").agg(F.count("*").alias("n"))
 
 
-@query("S3_scan_bep", "bep", """select kind, label, attempt, status, cached, epoch_us(start_time) as start_us, case when kind = 'result' and uri like '%.xml' then uri end as uri, count(*) as n
-  from (select kind, label, case when kind = 'result' then attempt else 0 end as attempt, status, kind = 'result' and cached as cached, start_time, uri from bep) group by all""")
+BEP = """select kind, label, attempt, status, cached, epoch_us(start_time) as start_us, case when kind = 'result' and uri like '%.xml' then uri end as uri, count(*) as n
+  from (select kind, label, case when kind = 'result' then attempt else 0 end as attempt, status, kind = 'result' and cached as cached, start_time, uri from bep) group by all"""
+
+
+@query("S3_scan_bep", "bep", BEP)
 def scan_bep(spark, sf_dir):
+    return bep_rows(E.scan_bep(spark, bep_files(spark, sf_dir)))
+
+
+def bep_files(spark, sf_dir):
     path = scratch(spark)
     b = view(spark, sf_dir, "bep")
     stamp = F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -44,5 +57,94 @@ def scan_bep(spark, sf_dir):
         )),
     ).otherwise(F.to_json(F.struct(F.struct(F.struct("label").alias("testSummary")).alias("id"), F.struct(F.col("status").alias("overallStatus"), stamp.alias("firstStartTime")).alias("testSummary"))))
     b.select("bundle_id", event.alias("value")).repartition(20, "bundle_id").select("value").write.text(path)
-    out = E.scan_bep(spark, path)
+    return path
+
+
+def bep_rows(out):
     return out.groupBy("kind", "label", "attempt", "status", "cached", F.unix_micros("start_time").alias("start_us"), "uri").agg(F.count("*").alias("n"))
+
+
+@query("S13_write_bep_events", "bep", BEP)
+def write_bep(spark, sf_dir):
+    """The events of a scan, written again and scanned again."""
+    path = scratch(spark)
+    E.write_bep_events(E.scan_bep(spark, bep_files(spark, sf_dir)), path)
+    return bep_rows(E.scan_bep(spark, path))
+
+
+ISSUES = {
+    0: ("no root here", 1, "no reports found"), 1: ("<testsuites/><testsuites/>", 1, "multiple reports found"), 2: ("<testsuites><testsuite></testsuites>", 3, "could not parse XML"),
+    3: ('<testsuites><testsuite name="s"><testcase classname="c"/></testsuite></testsuites>', 2, "test case found without a name"),
+    4: ('<testsuites><testcase name="t"/><testsuite name="s"></testsuite></testsuites>', 2, "test case found without a test suite"),
+    5: ('<testsuites><testsuite name="s"><testcase name="a"><testcase name="b"/></testcase></testsuite></testsuites>', 2, "test case found inside a test case"),
+    6: ('<testsuites><testsuite name="s"><testcase name="t"/></testsuite></testsuites>', 0, ""),
+}
+
+
+@query("S2_scan_junit_issues", "runs", "with f as (select distinct parent_name, name, bundle_id, (bundle_id + length(parent_name) + length(name)) % 7 as k from runs), m as (select * from (values "
+       + ", ".join(f"({k}, {level}, '{text}')" for k, (_, level, text) in ISSUES.items() if level) + ") v(k, level, error_message)) select level, error_message, count(*) as n from f join m using (k) group by 1, 2")
+def scan_junit_issues(spark, sf_dir):
+    """A file for each test of each bundle, sound or with one of six faults."""
+    path = scratch(spark)
+    kinds = F.create_map(*(F.lit(x) for k, (text, _, _) in ISSUES.items() for x in (k, text)))
+    files = view(spark, sf_dir, "runs").select("parent_name", "name", "bundle_id").distinct()
+    text = kinds[((F.col("bundle_id") + F.length("parent_name") + F.length("name")) % 7).cast("int")]
+    files.repartition(20, "bundle_id").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return X.scan_junit_issues(spark, path).groupBy("level", "error_message").agg(F.count("*").alias("n"))
+
+
+@query("S5_discover_files", "runs", """with d as (select distinct bundle_id, parent_name as a, name as b from runs),
+  f as (select bundle_id, a as x from d group by all union all select bundle_id, a || '/' || b from d)
+  select cast(bundle_id as varchar) as bundle, count(*) as num_files, cast(count(*) - 1 as int) as last_place from f group by 1""")
+def discover(spark, sf_dir):
+    """Files two and five folders below a bundle's folder, one a folder."""
+    path = scratch(spark)
+    r = view(spark, sf_dir, "runs").select("bundle_id", F.col("parent_name").alias("a"), F.col("name").alias("b"))
+    r.select("bundle_id", "a").distinct().withColumn("value", F.lit("x")).repartition("bundle_id", "a").write.partitionBy("bundle_id", "a").text(path)
+    deep = r.distinct().withColumns({"c": F.lit(1), "d": F.lit(2), "value": F.lit("x")})
+    deep.repartition("bundle_id", "a", "b").write.mode("append").partitionBy("bundle_id", "a", "b", "c", "d").text(path)
+    out = U.discover_files(spark, [path], names=("*.txt",), bundle=r"/bundle_id=(\d+)/")
+    return out.groupBy("bundle").agg(F.count("*").alias("num_files"), F.max(F.regexp_extract("bundled_path", r"(\d+)$", 1).cast("int")).alias("last_place"))
+
+
+@query("S10_scan_xcresult", "runs", """select bundle_id, 'Unit.' || parent_name as parent_name, name, classname, case when status = 'UNSPECIFIED' then 'SUCCESS' else status end as status,
+  case when status = 'FAILURE' then message end as message, count(*) as n from runs group by all""")
+def scan_xcresult(spark, sf_dir):
+    """A result tree for each bundle, a suite for each parent."""
+    path = scratch(spark)
+    node = "struct<name: string, nodeType: string>"
+    said = F.when(F.col("message").isNotNull(), F.array(F.struct(F.col("message").alias("name"), F.lit("Failure Message").alias("nodeType")).cast(node)))
+    result = F.when(F.col("status") == "FAILURE", F.lit("Failed")).when(F.col("status") == "SKIPPED", F.lit("Skipped")).otherwise(F.lit("Passed"))
+    case = F.struct("name", F.lit("Test Case").alias("nodeType"), F.concat_ws("/", "classname", "name").alias("nodeIdentifier"), result.alias("result"), F.lit("1s").alias("duration"), said.alias("children"))
+    suites = view(spark, sf_dir, "runs").groupBy("bundle_id", "parent_name").agg(F.collect_list(case).alias("children")).select("bundle_id", F.struct(F.col("parent_name").alias("name"), F.lit("Test Suite").alias("nodeType"), "children").alias("s"))
+    unit = suites.groupBy("bundle_id").agg(F.struct(F.lit("Unit").alias("name"), F.lit("Unit test bundle").alias("nodeType"), F.collect_list("s").alias("children")).alias("u"))
+    plan = F.struct(F.col("bundle_id").cast("string").alias("name"), F.lit("Test Plan").alias("nodeType"), F.array("u").alias("children"))
+    unit.select(F.to_json(F.struct(F.array(plan).alias("testNodes"))).alias("value")).repartition(20).write.option("maxRecordsPerFile", 1).text(path)
+    out = U.scan_xcresult_tests(spark, path, ORG, REPO)
+    return out.groupBy(F.col("plan_name").cast("long").alias("bundle_id"), "parent_name", "name", "classname", "status", "message").agg(F.count("*").alias("n"))
+
+
+@query("S11_scan_runner_logs", "runs", "select cast(bundle_id as varchar) as runner, 'job-' || min(seq) as job_id from runs group by 1")
+def scan_runner_logs(spark, sf_dir):
+    """A log for each bundle: the ids of its runs in order, of which the first counts."""
+    path = scratch(spark)
+    lines = F.transform(F.array_sort(F.collect_list("seq")), lambda n: F.concat(F.lit("[2024 INFO JobRunner] Job ID job-"), n.cast("string"), F.lit(" begins")))
+    view(spark, sf_dir, "runs").groupBy("bundle_id").agg(F.concat(F.lit("started\n"), F.array_join(lines, "\n")).alias("value")).repartition("bundle_id").write.partitionBy("bundle_id").text(path)
+    return U.scan_runner_logs(spark, path).select(F.regexp_extract("runner_dir", r"bundle_id=(\d+)", 1).alias("runner"), "job_id")
+
+
+LEGACY = """lg as (select distinct concat('id', cast(seq % 40 as varchar)) as identifier, 'test://' || name as identifier_url, parent_name as suite_name, name as case_name, case when seq % 40 < 15 then 'My ' || name || '.swift' end as file_name from runs),
+  fb as (select parent_name as target, 'suite/' || parent_name as file from runs where parent_name <> 'click' group by parent_name union all select 'click.' || name, 'case/' || name from runs group by name)"""
+
+
+@query("J12_xcresult_legacy", "runs", f"""with {LEGACY}, o as (select lg.identifier, identifier_url, coalesce(replace(file_name, ' ', '%20'), a.file, b.file) as file from lg left join fb a on a.target = suite_name left join fb b on b.target = suite_name || '.' || case_name),
+  u as (select identifier, min(identifier_url) as url from o group by 1), m as (select u.identifier, url, min(file) as file from u join o on o.identifier = u.identifier and o.identifier_url = u.url group by 1, 2)
+  select seq, {duck_uuid5(f"'{ORG}#{REPO}#' || url")} as raw_id, file as case_file from runs join m on m.identifier = concat('id', cast(seq % 40 as varchar))""")
+def xcresult_legacy(spark, sf_dir):
+    r = view(spark, sf_dir, "runs").withColumn("identifier", F.concat(F.lit("id"), (F.col("seq") % 40).cast("string")))
+    name = F.when(F.col("seq") % 40 < 15, F.concat(F.lit("My "), "name", F.lit(".swift")))
+    none = F.lit(None).cast("string")
+    legacy = r.select("identifier", F.concat(F.lit("test://"), "name").alias("identifier_url"), F.col("parent_name").alias("suite_name"), F.col("name").alias("case_name"), name.alias("file_name"), none.alias("location"), F.array().cast("array<string>").alias("frames")).distinct()
+    suites = r.where("parent_name != 'click'").select(F.col("parent_name").alias("target"), F.concat(F.lit("suite/"), "parent_name").alias("file")).distinct()
+    fallback = suites.unionByName(r.select(F.concat(F.lit("click."), "name").alias("target"), F.concat(F.lit("case/"), "name").alias("file")).distinct())
+    return U.xcresult_legacy(r.select("seq", "identifier"), legacy, fallback, ORG, REPO).select("seq", "raw_id", "case_file")

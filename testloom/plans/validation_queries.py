@@ -101,7 +101,7 @@ def levels(spark, sf_dir):
 
 
 @query("A15_validation_summary", "cases_t", f"""with {ISSUES}, pf as (select c.bundle_id, c.parent_name, count_if(level = 2) as i, count_if(level = 1) as s from cases_t c left join iss using (bundle_id, seq) group by 1, 2)
-  select bundle_id, count_if(i = 0) as num_valid_files, count_if(s > 0) as num_warning_files, count_if(i > 0) as num_error_files, cast(sum(i) as bigint) as num_invalid, cast(sum(s) as bigint) as num_suboptimal, cast(max(case when i > 0 then 1 else 0 end) as int) as exit_code from pf group by 1""")
+  select bundle_id, count_if(i = 0 and s = 0) as num_valid_files, count_if(s > 0) as num_warning_files, count_if(i > 0) as num_error_files, cast(sum(i) as bigint) as num_invalid, cast(sum(s) as bigint) as num_suboptimal, cast(max(case when i > 0 then 1 else 0 end) as int) as exit_code from pf group by 1""")
 def summary(spark, sf_dir):
     files = cases(spark, sf_dir).select("bundle_id", "parent_name").distinct()
     c = cases(spark, sf_dir)
@@ -125,10 +125,11 @@ def ordered(spark, sf_dir):
     return V.ordered_issues(case_issues(spark, sf_dir), list(KEYS))
 
 
-@query("L2_limit_report", "cases_t", f"""with {ISSUES}, f as (select distinct seq from iss order by seq limit 8), w as (select *, row_number() over (partition by seq, level order by error_message) as place from iss where seq in (select seq from f))
-  select bundle_id, seq, level, error_message, greatest((select count(distinct seq) from iss) - 8, 0) as files_left_out from w where place <= 8""")
+@query("L2_limit_report", "cases_t", f"""with {ISSUES}, d as (select distinct bundle_id, seq from iss), f as (select *, row_number() over (partition by bundle_id order by seq) as r, greatest(count(*) over (partition by bundle_id) - 8, 0) as files_left_out from d),
+  w as (select iss.*, files_left_out, row_number() over (partition by bundle_id, seq, level order by error_message) as place from iss join f using (bundle_id, seq) where r <= 8)
+  select bundle_id, seq, level, error_message, files_left_out from w where place <= 8""")
 def limited(spark, sf_dir):
-    return V.limit_report(case_issues(spark, sf_dir), "seq")
+    return V.limit_report(case_issues(spark, sf_dir), ["bundle_id"], "seq")
 
 
 CI = """c as (select bundle_id, case when bundle_id % 6 = 4 then null else ref end as branch, try_cast(pr as bigint) as pr_number, nullif(author_email, '') as author_email, title, commit_ts,

@@ -50,4 +50,4 @@ def scan_bep(spark: SparkSession, path: str) -> DataFrame:
 
 def write_bep_events(events: DataFrame, path: str) -> None:
     """The test events alone, one JSON object a line, as they were read."""
-    events.where("kind in ('result', 'summary')").select("bundle_id", "seq", "line").distinct().sortWithinPartitions("bundle_id", "seq").select(F.col("line").alias("value")).write.text(path)
+    events.where("kind in ('result', 'summary')").select("bundle_id", "seq", "line").distinct().repartition("bundle_id").sortWithinPartitions("bundle_id", "seq").select(F.col("line").alias("value")).write.text(path)

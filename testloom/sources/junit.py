@@ -68,7 +68,8 @@ def scan_junit(spark: SparkSession, path: str) -> DataFrame:
     """One row per case with its outermost suite.
 
     Texts and attributes are trimmed and cut to 8,000 bytes. `error` and `failure` are
-    FAILURE; cases may stand at any depth. Where a case has several kinds the first in the document counts. Files that
+    FAILURE; cases may stand at any depth. Where a case has several kinds, failure goes
+    before error and error before skipped, whatever their order. Files that
     aren't reports, are broken or empty give no row; see scan_junit_issues.
     """
     docs = read_reports(spark, path).where("r is not null and r._corrupt_record is null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,7 @@ from testloom.functions.ids import uuid5
 from testloom.functions.times import legal_seconds
 from testloom.operators.rollups import flat_report, nested_report
 
-# Names of files that may be uploaded; where a job id stands in a worker's log.
-ALLOWED = r"\.(?:xml|junit|bin)$"
+# Where a job id stands in a worker's log.
 JOB_ID = r"INFO JobRunner\] Job ID (\S+)"
 JOB_ID_JSON = r'"jobId"\s*:\s*"([^"]+)"'
 
@@ -35,33 +36,43 @@ def scan_bundle_meta(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("schema_version", schema_version(F.col("bundle_upload_id_v2").isNotNull(), F.col("failed_tests").isNotNull(), F.col("command_line").isNotNull(), F.col("num_files").isNotNull() & F.col("num_tests").isNotNull()))
 
 
-def discover_files(spark: SparkSession, globs: list[str], start: str | None = None) -> DataFrame:
-    """Report files of each glob: set_pos, path, modified, is_internal, bundled_path.
+def discover_files(spark: SparkSession, globs: list[str], start: str | None = None, names: tuple[str, ...] = ("*.xml", "*.bin"), bundle: str = "") -> DataFrame:
+    """Report files of each glob: set_pos, path, modified, bundle, is_internal, bundled_path.
 
-    If no glob matches anything they are taken as folders. Files of other names, and files
-    older than the run's start, are left out. Contents aren't read.
+    If no glob matches anything they are taken as folders, and files of `names` at any depth
+    below them are found. Files of other names, and files older than the run's start, are
+    left out. Contents aren't read. `bundle` is a pattern whose first group in a path is its
+    bundle; places are counted inside a bundle. Without it all files are one bundle.
     """
-    def listed(paths: list[str]) -> DataFrame:
-        out = None
-        for i, p in enumerate(paths):
-            one = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(p).select(F.lit(i).alias("set_pos"), "path", F.col("modificationTime").alias("modified"))
-            out = one if out is None else out.unionByName(one)
-        return out
-
-    def matching(paths: list[str]) -> list[str]:
+    columns = "set_pos int, path string, modified timestamp, bundle string, is_internal boolean, bundled_path string"
+
+    def listed(paths: list[str], options: dict[str, str]) -> list[DataFrame]:
+        read = spark.read.format("binaryFile").options(**options)
+        return [read.load(p).select(F.lit(i).alias("set_pos"), "path", F.col("modificationTime").alias("modified")) for i, p in paths]
+
+    def matching(paths: list[str]) -> list[tuple[int, str]]:
         path = spark._jvm.org.apache.hadoop.fs.Path
         conf = spark._jsc.hadoopConfiguration()
-        return [p for p in paths if (found := path(p).getFileSystem(conf).globStatus(path(p))) and len(found)]
-
-    usable = matching(globs) or matching([f"{g.rstrip('/')}/{tail}" for g in globs for tail in ("*.xml", "*.bin", "*/*.xml", "*/*.bin", "*/*/*.xml", "*/*/*.bin")])
-    if not usable:
-        return spark.createDataFrame([], "set_pos int, path string, modified timestamp, is_internal boolean, bundled_path string")
-    rows = listed(usable).where(F.col("path").rlike(ALLOWED))
+        return [(i, p) for i, p in enumerate(paths) if (found := path(p).getFileSystem(conf).globStatus(path(p))) and len(found)]
+
+    def is_folder(p: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        return "*" not in p and path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+
+    usable = matching(globs)
+    files, folders = [x for x in usable if not is_folder(x[1])], [x for x in usable if is_folder(x[1])]
+    found = listed(files, {})
+    for name in names if not files else ():
+        found += listed(folders, {"recursiveFileLookup": "true", "pathGlobFilter": name})
+    if not found:
+        return spark.createDataFrame([], columns)
+    rows = reduce(DataFrame.unionByName, found)
+    rows = rows.where(F.col("path").rlike("|".join("(?:" + n.replace(".", r"\.").replace("*", "[^/]*") + "$)" for n in names)))
     rows = rows.where(F.col("modified") >= F.lit(start).cast("timestamp")) if start else rows
-    rows = rows.groupBy("path").agg(F.min("set_pos").alias("set_pos"), F.first("modified").alias("modified")).where(F.col("path").rlike(r"\.(?:xml|bin)$"))
-    internal = F.col("path").endswith(".bin")
-    place = F.row_number().over(Window.partitionBy(internal).orderBy("set_pos", "path")) - 1
-    return rows.select("set_pos", "path", "modified", internal.alias("is_internal"), F.concat(F.when(internal, F.lit("internal/")).otherwise(F.lit("junit/")), place.cast("string")).alias("bundled_path"))
+    rows = rows.groupBy("path").agg(F.min("set_pos").alias("set_pos"), F.max("modified").alias("modified"))
+    rows = rows.withColumn("bundle", F.regexp_extract("path", bundle, 1) if bundle else F.lit("")).withColumn("is_internal", F.col("path").endswith(".bin"))
+    place = F.row_number().over(Window.partitionBy("bundle", "is_internal").orderBy("set_pos", "path")) - 1
+    return rows.select("set_pos", "path", "modified", "bundle", "is_internal", F.concat(F.when(F.col("is_internal"), F.lit("internal/")).otherwise(F.lit("junit/")), place.cast("string")).alias("bundled_path"))
 
 
 def scan_runner_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -116,14 +127,14 @@ def xcresult_legacy(cases: DataFrame, legacy: DataFrame, fallback: DataFrame, or
     legacy: identifier, identifier_url, suite_name, case_name, file_name, location, frames (paths of
     the first failure's stack). fallback: target (suite, or `Suite.case`), file. A file comes from the
     failure, else its location, else the stack's last Swift or Objective-C frame, else the
-    fallback by suite, else by `Suite.case`.
+    fallback by suite, else by `Suite.case`. Of several legacy rows the smallest URL counts.
     """
     source = F.try_element_at(F.filter("frames", lambda f: f.rlike(r"\.(?:swift|m)$")), F.lit(-1))
     own = F.replace(F.coalesce("file_name", "location", source), F.lit(" "), F.lit("%20"))
     by_suite = fallback.select(F.col("target").alias("suite_name"), F.col("file").alias("_suite_file"))
     by_case = fallback.select(F.col("target").alias("_case_key"), F.col("file").alias("_case_file"))
     rows = legacy.withColumn("own", own).withColumn("_case_key", F.concat_ws(".", "suite_name", "case_name")).join(by_suite, "suite_name", "left").join(by_case, "_case_key", "left")
-    found = rows.groupBy("identifier").agg(F.first(F.struct("identifier_url", F.coalesce("own", "_suite_file", "_case_file").alias("file"))).alias("x"))
+    found = rows.groupBy("identifier").agg(F.min(F.struct("identifier_url", F.coalesce("own", "_suite_file", "_case_file").alias("file"))).alias("x"))
     out = cases.join(found, "identifier", "left")
     name = F.concat_ws("#", F.lit(org), F.lit(repo), F.coalesce("x.identifier_url", "identifier"))
     return out.withColumn("raw_id", uuid5(name)).withColumn("case_file", F.col("x.file")).drop("x")

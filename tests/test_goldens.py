@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from testloom.functions import ids, text, times
-from testloom.operators import ci, owners, quarantine
+from testloom.operators import ci, owners, quarantine, validation
 from testloom.sources import codeowners, junit, uploads
 
 
@@ -193,3 +193,24 @@ def test_message_lines(spark):
     shown, omitted = text.failure_message_lines(F.lit("\n\ta\r\n\n" + "b\n" * 20))
     r = spark.range(1).select(shown.alias("s"), omitted.alias("o")).first()
     assert r.s[:2] == ["", "    a"] and r.o == 4
+
+
+def test_summary_counts_a_file_with_warnings_as_not_valid(spark):
+    files = spark.createDataFrame([("r", "clean"), ("r", "warned"), ("r", "broken")], "run string, file string")
+    levels = spark.createDataFrame([("warned", 0, 2), ("broken", 1, 0)], "file string, num_invalid long, num_suboptimal long")
+    row = validation.validation_summary(files, levels, ["run"], ["file"]).first()
+    assert (row.num_valid_files, row.num_warning_files, row.num_error_files, row.exit_code) == (1, 1, 1, 1)
+
+
+def test_reports_are_limited_run_by_run(spark):
+    found = spark.createDataFrame([(run, f"f{i:02}", 1, f"m{k}") for run, n in (("a", 10), ("b", 3)) for i in range(n) for k in range(9)], "run string, file string, level int, error_message string")
+    rows = validation.limit_report(found, ["run"], "file").groupBy("run", "files_left_out").count().collect()
+    assert {(r.run, r.files_left_out, r["count"]) for r in rows} == {("a", 2, 64), ("b", 0, 24)}
+
+
+def test_files_five_folders_down_are_found(spark, tmp_path):
+    for place in ("u1/a/b/c/d/e/x.xml", "u1/y.xml", "u2/a/b/z.xml", "u2/a/w.bin", "u2/no.txt"):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_text("x")
+    rows = uploads.discover_files(spark, [str(tmp_path)], bundle=r"/(u\d)/").collect()
+    assert {(r.bundle, r.path.rpartition("/")[2], r.bundled_path) for r in rows} == {("u1", "x.xml", "junit/0"), ("u1", "y.xml", "junit/1"), ("u2", "z.xml", "junit/0"), ("u2", "w.bin", "internal/0")}
