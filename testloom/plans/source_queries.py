@@ -139,7 +139,7 @@ LEGACY = """lg as (select distinct concat('id', cast(seq % 40 as varchar)) as id
 
 @query("J12_xcresult_legacy", "runs", f"""with {LEGACY}, o as (select lg.identifier, identifier_url, coalesce(replace(file_name, ' ', '%20'), a.file, b.file) as file from lg left join fb a on a.target = suite_name left join fb b on b.target = suite_name || '.' || case_name),
   u as (select identifier, min(identifier_url) as url from o group by 1), m as (select u.identifier, url, min(file) as file from u join o on o.identifier = u.identifier and o.identifier_url = u.url group by 1, 2)
-  select seq, {duck_uuid5(f"'{ORG}#{REPO}#' || url")} as raw_id, file as case_file from runs join m on m.identifier = concat('id', cast(seq % 40 as varchar))""")
+  select seq, {duck_uuid5(f"'{ORG}#{REPO}#' || url")} as raw_id, m.file as case_file from runs join m on m.identifier = concat('id', cast(seq % 40 as varchar))""")
 def xcresult_legacy(spark, sf_dir):
     r = view(spark, sf_dir, "runs").withColumn("identifier", F.concat(F.lit("id"), (F.col("seq") % 40).cast("string")))
     name = F.when(F.col("seq") % 40 < 15, F.concat(F.lit("My "), "name", F.lit(".swift")))
