@@ -14,9 +14,13 @@ from testloom.functions.times import legal_seconds, parsed_time
 DEPTH = 4
 #: Tags of suites, and what may hold text that only looks like one.
 _TAGS = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<testsuite(?:\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)?>|</testsuite\s*>"""
+#: Elements whose order in a file counts, and what may hold text that only looks like one.
+_STATUSES, _RERUNS = ("failure", "error", "skipped"), ("rerunFailure", "rerunError", "flakyFailure", "flakyError")
+_ORDERED = rf"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(?:{'|'.join(_STATUSES + _RERUNS)})(?=[\s/>])"
 _ATTRIBUTES = "_name: string, _file: string, _filepath: string, _time: string, _timestamp: string"
-_STATUS = "array<struct<_message: string, _type: string, _VALUE: string>>"
-_CASE = f"struct<{_ATTRIBUTES}, _classname: string, _id: string, _line: string, _attempt_number: string, failure: {_STATUS}, error: {_STATUS}, skipped: {_STATUS}, `system-out`: array<string>, `system-err`: array<string>, rerunFailure: {_STATUS}, flakyFailure: {_STATUS}, _VALUE: string>"
+_STATUS = "array<struct<_testloom_place: int, _message: string, _type: string, _VALUE: string>>"
+_RERUN = "array<struct<_testloom_place: int, _message: string, _type: string, _time: string, _timestamp: string, stackTrace: string, `system-out`: string, `system-err`: string, _VALUE: string>>"
+_CASE = f"struct<{_ATTRIBUTES}, _classname: string, _id: string, _line: string, _attempt_number: string, {', '.join(f'{k}: {_STATUS}' for k in _STATUSES)}, `system-out`: array<string>, `system-err`: array<string>, {', '.join(f'{k}: {_RERUN}' for k in _RERUNS)}, _VALUE: string>"
 
 
 def _suite(depth: int) -> str:
@@ -57,19 +61,28 @@ def _shallow(value: Column) -> Column:
     return F.when(deepest > DEPTH, whole).otherwise(value)
 
 
+def _placed(value: Column) -> Column:
+    """The file with a place in each status and rerun: parsing groups elements by tag, so their order is lost otherwise."""
+    tags = F.regexp_extract_all(value, F.lit(_ORDERED), F.lit(0))
+    marked = F.transform(tags, lambda t, n: F.when(t.rlike("^<[!?]"), t).otherwise(F.concat(t, F.lit(' testloom_place="'), n.cast("string"), F.lit('"'))))
+    whole = F.array_join(F.zip_with(F.split(value, _ORDERED), F.concat(marked, F.array(F.lit(""))), lambda x, t: F.concat(x, t)), "")
+    kinds = sum(value.rlike(rf"<{k}[\s/>]").cast("int") for k in _STATUSES + _RERUNS)
+    return F.when(kinds > 1, whole).otherwise(value)
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """file_path, modified, value, r (the parsed document), is_report of each file that isn't empty."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     has_root = F.col("value").rlike(r"<testsuites?[\s/>]")
-    return files.withColumn("r", F.when(has_root, F.from_xml(_shallow(F.col("value")), _schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))).withColumn("has_root", has_root)
+    return files.withColumn("r", F.when(has_root, F.from_xml(_shallow(_placed(F.col("value"))), _schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))).withColumn("has_root", has_root)
 
 
 def scan_junit(spark: SparkSession, path: str) -> DataFrame:
     """One row per case with its outermost suite.
 
     Texts and attributes are trimmed and cut to 8,000 bytes. `error` and `failure` are
-    FAILURE; cases may stand at any depth. Where a case has several kinds, failure goes
-    before error and error before skipped, whatever their order. Files that
+    FAILURE; the first status in a case counts. Cases may stand at any depth. `reruns` has
+    a case's reruns in order, each with its element's name as `kind`. Files that
     aren't reports, are broken or empty give no row; see scan_junit_issues.
     """
     docs = read_reports(spark, path).where("r is not null and r._corrupt_record is null")
@@ -88,19 +101,28 @@ def scan_junit(spark: SparkSession, path: str) -> DataFrame:
         return text(F.try_element_at(c, F.lit(-1)))
 
     c, s = F.col("c"), F.col("s")
-    fail = F.coalesce(F.try_element_at(c["failure"], F.lit(1)), F.try_element_at(c["error"], F.lit(1)))
-    skip = F.try_element_at(c["skipped"], F.lit(1))
-    status = F.when(fail.isNotNull(), F.lit("FAILURE")).when(skip.isNotNull(), F.lit("SKIPPED")).otherwise(F.lit("SUCCESS"))
-    told = F.when(fail.isNotNull(), fail).otherwise(skip)
+    firsts = [F.try_element_at(c[k], F.lit(1)) for k in _STATUSES]
+    told = F.array_min(F.array_compact(F.array(*(F.when(x.isNotNull(), F.struct(x["_testloom_place"].alias("place"), F.lit("SKIPPED" if k == "skipped" else "FAILURE").alias("status"), *(x[f].alias(f) for f in ("_message", "_type", "_VALUE")))) for k, x in zip(_STATUSES, firsts)))))
+
+    def rerun(kind: str) -> Column:
+        return F.transform(F.coalesce(c[kind], F.array().cast(_RERUN)), lambda r, n: F.struct(
+            r["_testloom_place"].alias("place"), n.alias("n"), F.lit(kind).alias("kind"), text(r["_message"]).alias("message"), text(r["_type"]).alias("type"), F.nullif(text(r["_VALUE"]), F.lit("")).alias("description"),
+            text(r["stackTrace"]).alias("stack_trace"), text(r["system-out"]).alias("system_out"), text(r["system-err"]).alias("system_err"), parsed_time(F.trim(r["_timestamp"])).alias("ts"), legal_seconds(r["_time"]).alias("time"),
+        ))
+
+    def count(*kinds: str) -> Column:
+        return sum(F.coalesce(F.size(c[k]), F.lit(0)) for k in kinds)
+
+    reruns = F.transform(F.sort_array(F.concat(*(rerun(k) for k in _RERUNS))), lambda r: r.dropFields("place", "n"))
     return rows.select(
         "file_path", "suite_pos", "case_pos", F.row_number().over(Window.partitionBy("file_path").orderBy("suite_pos", "case_pos")).cast("long").alias("seq"), text(s["_name"]).alias("parent_name"), text(c["_name"]).alias("name"), text(c["_classname"]).alias("classname"),
         text(c["_file"]).alias("case_file"), text(c["_filepath"]).alias("case_filepath"), text(s["_file"]).alias("suite_file"), text(s["_filepath"]).alias("suite_filepath"),
-        text(c["_line"]).alias("line"), text(c["_attempt_number"]).alias("attempt_number"), text(c["_id"]).alias("raw_id"), status.alias("status"),
+        text(c["_line"]).alias("line"), text(c["_attempt_number"]).alias("attempt_number"), text(c["_id"]).alias("raw_id"), F.coalesce(told["status"], F.lit("SUCCESS")).alias("status"),
         text(told["_message"]).alias("message"), text(told["_type"]).alias("type"), F.nullif(text(F.coalesce(told["_VALUE"], c["_VALUE"])), F.lit("")).alias("description"),
         joined(c["system-out"]).alias("system_out"), joined(c["system-err"]).alias("system_err"), joined(s["system-out"]).alias("suite_system_out"), joined(s["system-err"]).alias("suite_system_err"),
         parsed_time(F.trim(c["_timestamp"])).alias("case_ts"), parsed_time(F.trim(s["_timestamp"])).alias("suite_ts"), "report_ts",
         legal_seconds(c["_time"]).alias("case_time"), legal_seconds(s["_time"]).alias("suite_time"), "report_time",
-        F.coalesce(F.size(c["rerunFailure"]), F.lit(0)).alias("num_reruns"), F.coalesce(F.size(c["flakyFailure"]), F.lit(0)).alias("num_flaky"),
+        count("rerunFailure", "rerunError").alias("num_reruns"), count("flakyFailure", "flakyError").alias("num_flaky"), reruns.alias("reruns"),
     )
 
 

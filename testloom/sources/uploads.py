@@ -96,7 +96,7 @@ DEFAULT_SUITE = "swift"
 
 
 def scan_xcresult_tests(spark: SparkSession, path: str, org: str, repo: str, default_suite: str = DEFAULT_SUITE) -> DataFrame:
-    """Cases of Xcode result trees: plan, suite (`bundle.suite`), case, status, message, time, id, reruns."""
+    """Cases of Xcode result trees: plan, suite (`bundle.suite`), case, status, message, time, id, failed repetitions as reruns."""
     plans = spark.read.schema(f"testNodes array<{_node(5)}>").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file_path"), F.explode("testNodes").alias("plan")).where("plan.nodeType = 'Test Plan'")
     tops = plans.select("file_path", F.col("plan.name").alias("plan_name"), F.posexplode("plan.children").alias("top_pos", "top"))
     bundles = tops.where(F.col("top.nodeType").isin(*BUNDLES))
@@ -110,12 +110,20 @@ def scan_xcresult_tests(spark: SparkSession, path: str, org: str, repo: str, def
         result = c["result"]
         status = F.when(result.isin("Passed", "Expected Failure"), F.lit("SUCCESS")).when(result == "Failed", F.lit("FAILURE")).when(result == "Skipped", F.lit("SKIPPED"))
         kids = F.coalesce(c["children"], F.array())
-        texts = F.transform(F.filter(kids, lambda k: k["nodeType"] == "Failure Message"), lambda k: k["name"])
-        reruns = F.size(F.filter(kids, lambda k: (k["nodeType"] == "Repetition") & (k["result"] == "Failed")))
+
+        def said(nodes: Column) -> Column:
+            texts = F.transform(F.filter(nodes, lambda k: k["nodeType"] == "Failure Message"), lambda k: k["name"])
+            return F.nullif(F.array_join(texts, "\n"), F.lit(""))
+
+        def seconds(node: Column) -> Column:
+            return legal_seconds(F.replace(node["duration"], F.lit("s"), F.lit("")))
+
+        failed = F.filter(kids, lambda k: (k["nodeType"] == "Repetition") & (k["result"] == "Failed") & (status != "SKIPPED"))
+        reruns = F.transform(failed, lambda k: F.struct(said(k["children"]).alias("message"), seconds(k).alias("time")))
         return df.where("c.nodeType = 'Test Case'").select(
             "file_path", "plan_name", "top_pos", "pos", "case_pos", "parent_name", c["name"].alias("name"), F.element_at(F.split(c["nodeIdentifier"], "/"), 1).alias("classname"), c["nodeIdentifier"].alias("identifier"),
-            status.alias("status"), F.when((status == "FAILURE") & (F.size(texts) > 0), F.array_join(texts, "\n")).alias("message"), legal_seconds(F.replace(c["duration"], F.lit("s"), F.lit(""))).alias("case_time"),
-            F.when(status != "SKIPPED", reruns).otherwise(F.lit(0)).alias("num_reruns"), uuid5(F.concat_ws("#", F.lit(org), F.lit(repo), c["nodeIdentifier"])).alias("raw_id"),
+            status.alias("status"), F.when(status == "FAILURE", said(kids)).alias("message"), seconds(c).alias("case_time"),
+            F.size(failed).alias("num_reruns"), reruns.alias("reruns"), uuid5(F.concat_ws("#", F.lit(org), F.lit(repo), c["nodeIdentifier"])).alias("raw_id"),
         ).where("status is not null")
 
     return flat(in_suites).unionByName(flat(dangling)).unionByName(flat(suites))

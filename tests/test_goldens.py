@@ -142,6 +142,21 @@ def test_junit_scan_of_deep_suites(spark, tmp_path):
     assert {(r.file_path[-5:], r.level) for r in junit.scan_junit_issues(spark, str(tmp_path)).collect()} >= {("b.xml", 3)}
 
 
+def test_junit_scan_keeps_the_order_of_statuses_and_reruns(spark, tmp_path):
+    first = '<testcase name="a"><!-- <failure/> --><skipped message="s"/><failure message="f">x</failure></testcase><testcase name="b"><error message="e"/><failure message="f"/></testcase>'
+    again = """<testcase name="c"><failure message="f"/><rerunError message="1" type="T" time="0.5" timestamp="2024-01-09T00:00:00Z"><stackTrace>at x</stackTrace><system-out>o</system-out></rerunError>
+<rerunFailure message="2">why</rerunFailure><rerunError message="3"/></testcase><testcase name="d"><flakyFailure message="4"/><system-out><![CDATA[<error >]]></system-out></testcase>"""
+    (tmp_path / "a.xml").write_text(f'<testsuites><testsuite name="s">{first}{again}</testsuite></testsuites>')
+    (tmp_path / "b.xml").write_text('<testsuites><testsuite name="s"><testcase name="e"><rerunFailure message="z"/><rerunFailure message="y"/></testcase></testsuite></testsuites>')
+    rows = {r.name: r for r in junit.scan_junit(spark, str(tmp_path)).collect()}
+    assert {n: (r.status, r.message) for n, r in rows.items()} == {"a": ("SKIPPED", "s"), "b": ("FAILURE", "e"), "c": ("FAILURE", "f"), "d": ("SUCCESS", None), "e": ("SUCCESS", None)}
+    assert [(r.kind, r.message, r.description) for r in rows["c"].reruns] == [("rerunError", "1", None), ("rerunFailure", "2", "why"), ("rerunError", "3", None)]
+    one = rows["c"].reruns[0]
+    assert (one.type, one.time, one.stack_trace, one.system_out, one.system_err, one.ts.year) == ("T", 0.5, "at x", "o", None, 2024)
+    assert (rows["c"].num_reruns, rows["d"].num_flaky, rows["d"].system_out) == (3, 1, "<error >")
+    assert [r.message for r in rows["e"].reruns] == ["z", "y"]
+
+
 def test_runner_logs(spark, tmp_path):
     d = tmp_path / "runner" / "_diag"
     d.mkdir(parents=True)
@@ -151,7 +166,7 @@ def test_runner_logs(spark, tmp_path):
 
 XCODE = """{"testNodes": [{"name": "Plan", "nodeType": "Test Plan", "children": [{"name": "Bundle", "nodeType": "Unit test bundle", "children": [
  {"name": "Suite", "nodeType": "Test Suite", "children": [{"name": "t1", "nodeType": "Test Case", "nodeIdentifier": "Suite/t1", "result": "Failed", "duration": "1.5s",
-   "children": [{"name": "boom", "nodeType": "Failure Message"}, {"name": "r", "nodeType": "Repetition", "result": "Failed"}]}]},
+   "children": [{"name": "boom", "nodeType": "Failure Message"}, {"name": "r", "nodeType": "Repetition", "result": "Failed", "duration": "2s", "children": [{"name": "bang", "nodeType": "Failure Message"}]}]}]},
  {"name": "t2", "nodeType": "Test Case", "nodeIdentifier": "t2", "result": "Expected Failure"}]}]}]}"""
 
 
@@ -160,7 +175,8 @@ def test_xcode_tree(spark, tmp_path):
     rows = {r.name: r for r in uploads.scan_xcresult_tests(spark, str(tmp_path), "o", "r").collect()}
     t = rows["t1"]
     assert (t.parent_name, t.status, t.message, t.case_time, t.num_reruns, t.classname) == ("Bundle.Suite", "FAILURE", "boom", 1.5, 1, "Suite")
-    assert (rows["t2"].parent_name, rows["t2"].status) == ("Bundle", "SUCCESS")
+    assert [tuple(r) for r in t.reruns] == [("bang", 2.0)]
+    assert (rows["t2"].parent_name, rows["t2"].status, rows["t2"].reruns) == ("Bundle", "SUCCESS", [])
 
 
 def test_xcode_legacy(spark):
