@@ -45,29 +45,33 @@ def _step(tag: Column) -> Column:
     return F.when(tag.startswith("</"), -1).when(tag.startswith("<testsuite") & ~tag.endswith("/>"), 1).otherwise(0)
 
 
+def _with_tags(value: Column, pattern: str, tags: Column) -> Column:
+    """The file with `tags` in place of what matches the pattern."""
+    return F.array_join(F.zip_with(F.split(value, pattern), F.concat(tags, F.array(F.lit(""))), lambda x, t: F.concat(x, t)), "")
+
+
 def _shallow(value: Column) -> Column:
     """The file without the tags of suites deeper than DEPTH; their content stays in the suite around."""
     tags = F.regexp_extract_all(value, F.lit(_TAGS), F.lit(0))
-    deepest = F.aggregate(tags, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda a, t: F.struct((a["d"] + _step(t)).alias("d"), F.greatest(a["m"], a["d"] + _step(t)).alias("m")), lambda a: a["m"])
+    steps = F.transform(tags, _step)
 
-    def add(a: Column, x: Column) -> Column:
-        depth = a["d"] + _step(x["tag"])
-        left_out = (_step(x["tag"]) != 0) & (F.greatest(a["d"], depth) > DEPTH)
-        return F.struct(depth.alias("d"), F.concat(a["s"], F.when(left_out, "").otherwise(F.coalesce(x["tag"], F.lit(""))), x["text"]).alias("s"))
+    def add(a: Column, step: Column) -> Column:
+        depth = a["d"] + step
+        left_out = (step != 0) & (F.greatest(a["d"], depth) > DEPTH)
+        return F.struct(depth.alias("d"), F.concat(a["s"], F.when(left_out, "x").otherwise("-")).alias("s"))
 
-    # the text before the first tag has no tag before it
-    pieces = F.zip_with(F.concat(F.array(F.lit("")), tags), F.split(value, _TAGS), lambda t, x: F.struct(t.alias("tag"), x.alias("text")))
-    whole = F.aggregate(pieces, F.struct(F.lit(0).alias("d"), F.lit("").alias("s")), add, lambda a: a["s"])
-    return F.when(deepest > DEPTH, whole).otherwise(value)
+    # a letter a tag, not the text so far: what is carried along stays small
+    letters = F.regexp_extract_all(F.aggregate(steps, F.struct(F.lit(0).alias("d"), F.lit("").alias("s")), add, lambda a: a["s"]), F.lit("."), F.lit(0))
+    kept = F.zip_with(tags, letters, lambda t, x: F.when(x == "x", "").otherwise(t))
+    return F.when(F.array_contains(letters, "x"), _with_tags(value, _TAGS, kept)).otherwise(value)
 
 
 def _placed(value: Column) -> Column:
     """The file with a place in each status and rerun: parsing groups elements by tag, so their order is lost otherwise."""
     tags = F.regexp_extract_all(value, F.lit(_ORDERED), F.lit(0))
     marked = F.transform(tags, lambda t, n: F.when(t.rlike("^<[!?]"), t).otherwise(F.concat(t, F.lit(' testloom_place="'), n.cast("string"), F.lit('"'))))
-    whole = F.array_join(F.zip_with(F.split(value, _ORDERED), F.concat(marked, F.array(F.lit(""))), lambda x, t: F.concat(x, t)), "")
     kinds = sum(value.rlike(rf"<{k}[\s/>]").cast("int") for k in _STATUSES + _RERUNS)
-    return F.when(kinds > 1, whole).otherwise(value)
+    return F.when(kinds > 1, _with_tags(value, _ORDERED, marked)).otherwise(value)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +96,9 @@ def scan_junit(spark: SparkSession, path: str) -> DataFrame:
     root = F.from_json(F.to_json(F.array("r")), suite_type)  # a bare suite is read as the root itself
     suites = docs.withColumn("suites", F.when(bare, root).otherwise(F.coalesce("r.testsuite", none))).withColumn("report_time", F.when(~bare, legal_seconds(F.col("r._time")))).withColumn("report_ts", F.when(~bare, parsed_time(F.trim("r._timestamp"))))
     suites = suites.select("file_path", "report_time", "report_ts", F.posexplode("suites").alias("suite_pos", "s"))
-    rows = suites.withColumn("cases", _all_cases(F.col("s"))).select("file_path", "report_time", "report_ts", "suite_pos", "s", F.posexplode("cases").alias("case_pos", "c"))
+    # a case's row holds its suite's own fields, not the suite's other cases
+    own = F.struct(*(F.col("s")[f].alias(f) for f in ("_name", "_file", "_filepath", "_time", "_timestamp", "system-out", "system-err"))).alias("s")
+    rows = suites.select("file_path", "report_time", "report_ts", "suite_pos", own, _all_cases(F.col("s")).alias("cases")).select("file_path", "report_time", "report_ts", "suite_pos", "s", F.posexplode("cases").alias("case_pos", "c"))
 
     def text(c: Column) -> Column:
         return truncated(c)
