@@ -72,23 +72,27 @@ def write_bep(spark, sf_dir):
     return bep_rows(E.scan_bep(spark, path))
 
 
-ISSUES = {
-    0: ("no root here", 1, "no reports found"), 1: ("<testsuites/><testsuites/>", 1, "multiple reports found"), 2: ("<testsuites><testsuite></testsuites>", 3, "could not parse XML"),
-    3: ('<testsuites><testsuite name="s"><testcase classname="c"/></testsuite></testsuites>', 2, "test case found without a name"),
-    4: ('<testsuites><testcase name="t"/><testsuite name="s"></testsuite></testsuites>', 2, "test case found without a test suite"),
-    5: ('<testsuites><testsuite name="s"><testcase name="a"><testcase name="b"/></testcase></testsuite></testsuites>', 2, "test case found inside a test case"),
-    6: ('<testsuites><testsuite name="s"><testcase name="t"/></testsuite></testsuites>', 0, ""),
-}
-
-
-@query("S2_scan_junit_issues", "runs", "with f as (select distinct parent_name, name, bundle_id, (bundle_id + length(parent_name) + length(name)) % 7 as k from runs), m as (select * from (values "
-       + ", ".join(f"({k}, {level}, '{text}')" for k, (_, level, text) in ISSUES.items() if level) + ") v(k, level, error_message)) select level, error_message, count(*) as n from f join m using (k) group by 1, 2")
+#: Files with faults: text, level and messages.
+FAULTY = (
+    ("no root here", 1, "no_report"), ("<testsuites/><testsuites/>", 2, "reports"), ("<testsuites><testsuite></testsuites>", 3, ""), ('<testsuites><testsuite name="s">', 1, "no_report"),
+    ('<testsuites><testsuite name="s"><testcase classname="c"/><testcase name=" "></testcase></testsuite></testsuites>', 2, "name", "name"),
+    ('<testsuites><testcase name="t"/><testsuite name="s"></testsuite></testsuites>', 2, "suite"),
+    ('<testsuites><testsuite name="s"><testcase name="a"><testcase name="b"/></testcase></testsuite></testsuites>', 2, "case_end"),
+    ('<testsuite name="s"><failure/><testcase name="a"><rerunError><flakyFailure/></rerunError></testcase><rerunFailure/></testsuite>', 2, "status", "rerun", "rerun_end"),
+    ('<testsuites><testsuite name="s"/><testsuites/></testsuites>', 2, "report_end"),
+    ('<testsuites><testsuite name="s"><testcase name="t"/><!-- <failure/> --></testsuite></testsuites>', 0),
+    ('<testsuite name="s"/><testsuites/><testsuite name="t"/><testsuite name="u"/>', 2, "reports"),
+)
+
+
+@query("S2_scan_junit_issues", "runs", f"with f as (select distinct parent_name, name, bundle_id, (bundle_id + length(parent_name) + length(name)) % {len(FAULTY)} as k from runs), m as (select * from (values "
+       + ", ".join(f"({k}, {level}, '{X.ISSUES.get(m, 'could not parse XML')}')" for k, (_, *found) in enumerate(FAULTY) for level in found[:1] for m in found[1:]) + ") v(k, level, error_message)) select level, error_message, count(*) as n from f join m using (k) group by 1, 2")
 def scan_junit_issues(spark, sf_dir):
-    """A file for each test of each bundle, sound or with one of six faults."""
+    """A file for each test of each bundle, sound or with faults."""
     path = scratch(spark)
-    kinds = F.create_map(*(F.lit(x) for k, (text, _, _) in ISSUES.items() for x in (k, text)))
+    kinds = F.create_map(*(F.lit(x) for k, (text, *_) in enumerate(FAULTY) for x in (k, text)))
     files = view(spark, sf_dir, "runs").select("parent_name", "name", "bundle_id").distinct()
-    text = kinds[((F.col("bundle_id") + F.length("parent_name") + F.length("name")) % 7).cast("int")]
+    text = kinds[((F.col("bundle_id") + F.length("parent_name") + F.length("name")) % len(FAULTY)).cast("int")]
     files.repartition(20, "bundle_id").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return X.scan_junit_issues(spark, path).groupBy("level", "error_message").agg(F.count("*").alias("n"))
 

@@ -17,6 +17,21 @@ _TAGS = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<testsuite(?:\s(?:[^>"'
 #: Elements whose order in a file counts, and what may hold text that only looks like one.
 _STATUSES, _RERUNS = ("failure", "error", "skipped"), ("rerunFailure", "rerunError", "flakyFailure", "flakyError")
 _ORDERED = rf"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(?:{'|'.join(_STATUSES + _RERUNS)})(?=[\s/>])"
+#: Whole pieces of markup, and the name of a case with its quotes.
+_MARKUP = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Z](?:[^<>\[]++|\[.*?\])*+>|</?[^\s<>/!?](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+_CASE_NAME = r"""^<testcase(?:\s+[^\s=]+\s*=\s*(?:"[^"]*+"|'[^']*+'))*?\s+name\s*=\s*("[^"]*+"|'[^']*+')"""
+# What a problem is called.
+ISSUES = {
+    "no_report": "no reports found",
+    "reports": "multiple reports found",
+    "report_end": "report end tag found without start tag",
+    "name": "could not parse test case name",
+    "suite": "test case found without a test suite found",
+    "case_end": "test case end tag found without start tag",
+    "status": "test case status found without a test case found",
+    "rerun": "test rerun found without a test case found",
+    "rerun_end": "test rerun end tag found without start tag",
+}
 _ATTRIBUTES = "_name: string, _file: string, _filepath: string, _time: string, _timestamp: string"
 _STATUS = "array<struct<_testloom_place: int, _message: string, _type: string, _VALUE: string>>"
 _RERUN = "array<struct<_testloom_place: int, _message: string, _type: string, _time: string, _timestamp: string, stackTrace: string, `system-out`: string, `system-err`: string, _VALUE: string>>"
@@ -132,28 +147,81 @@ def scan_junit(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _events(files: DataFrame) -> DataFrame:
+    """A row for each start (step 1) and end (step -1) of an element, in order; an empty element is both.
+
+    Files without elements have one row without a name. `cut`: markup that never ends.
+    """
+    tags = F.filter(F.regexp_extract_all("value", F.lit(_MARKUP), F.lit(0)), lambda t: ~t.rlike("^<[!?]"))
+    rows = files.select("file_path", F.regexp_replace("value", _MARKUP, "").contains("<").alias("cut"), F.posexplode_outer(tags).alias("pos", "tag"))
+    tag = F.col("tag")
+    steps = F.when(tag.startswith("</"), F.array(F.lit(-1))).when(tag.endswith("/>"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
+    case_name = F.regexp_extract("tag", _CASE_NAME, 1)  # with its quotes
+    unnamed = F.trim(F.substring(case_name, 2, F.length(case_name) - 2)) == ""
+    return rows.select("file_path", "cut", "pos", F.regexp_extract("tag", r"^</?([^\s/>]+)", 1).alias("name"), unnamed.alias("unnamed"), F.explode(steps).alias("step"))
+
+
+def _with_state(events: DataFrame) -> DataFrame:
+    """Events with what is open before each: in_suite, in_case, in_rerun, in_report, and `broken` where an end has no start.
+
+    An end outside its parent closes nothing, and an element inside one of its kind takes
+    its place, so what is open is what the last event that could change it did. All windows
+    share one shuffle by file.
+    """
+    name, start, end = F.col("name"), F.col("step") == 1, F.col("step") == -1
+    order = ["pos", F.col("step").desc()]
+    before = Window.partitionBy("file_path").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c).over(before), F.lit(0))
+
+    def is_open(opens: Column, closes: Column) -> Column:
+        return F.coalesce(F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(before), F.lit(False))
+
+    level = total(F.col("step")) + F.when(start, 1).otherwise(0)
+    same = Window.partitionBy("file_path", "level").orderBy(*order)
+    rows = events.withColumn("level", level).withColumn("suites", total(F.when(name == "testsuite", F.col("step")))).withColumn("in_suite", F.col("suites") > 0)
+    rows = rows.withColumn("broken", end & ~F.coalesce((F.lag("step").over(same) == 1) & (F.lag("name").over(same) == name), F.lit(False)))
+    rows = rows.withColumn("in_report", is_open((name == "testsuites") & start, (name == "testsuites") & end)).withColumn("reports", total(((name == "testsuites") & start).cast("int")))
+    rows = rows.withColumn("in_case", is_open((name == "testcase") & start, (name == "testcase") & end & F.col("in_suite")))
+    rerun = name.isin(*_RERUNS)
+    return rows.withColumn("in_rerun", is_open(rerun & start, rerun & end & F.col("in_case")))
+
+
 def scan_junit_issues(spark: SparkSession, path: str) -> DataFrame:
     """File-level problems: file_path, level (1 suboptimal, 2 invalid, 3 unreadable), error_message.
 
+    Found in the order of the file's elements, a row for each place. An unreadable file has
+    that one row. A report that never ends isn't one; suites outside a report are one.
     Empty files, which the text reader skips, are found by comparison with the file list.
     """
-    docs = read_reports(spark, path)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
     # the readers skip empty files, their file index does not
     listed = spark.createDataFrame([(p,) for p in spark.read.format("binaryFile").load(path).inputFiles()], "file_path string")
-    name = F.regexp_replace("file_path", "^file:/+", "file:///")
-    empty = listed.withColumn("file_path", name).join(docs.select(name.alias("file_path")), "file_path", "left_anti").select("file_path", F.lit(False).alias("has_root"), F.lit(0).alias("n_roots"), F.lit(False).alias("broken"), F.lit("").alias("value"))
-    n_roots = F.regexp_count("value", F.lit(r"<testsuites[\s/>]"))
-    broken = F.coalesce(F.col("r._corrupt_record").isNotNull(), F.lit(False))
-    rows = docs.select("file_path", "has_root", n_roots.alias("n_roots"), broken.alias("broken"), "value").unionByName(empty)
-    unnamed = F.col("value").rlike(r"<testcase(?![^>]*\sname=)[\s/>]")
-    outside = F.regexp_replace("value", r"(?s)<testsuite[\s>].*</testsuite>", "").rlike(r"<testcase[\s/>]")
-    nested = F.col("value").rlike(r"(?s)<testcase[\s>](?:(?!</testcase>|/>).)*<testcase[\s>]")
+    plain_name = F.regexp_replace("file_path", "^file:/+", "file:///")
+    empty = listed.withColumn("file_path", plain_name).join(files.select(plain_name.alias("file_path")), "file_path", "left_anti")
+    rows = _with_state(_events(files))
+    name, start, end, in_case = F.col("name"), F.col("step") == 1, F.col("step") == -1, F.col("in_case")
+    case, rerun = name == "testcase", name.isin(*_RERUNS)
     rules = [
-        (~F.col("has_root"), 1, "no reports found"), (F.col("n_roots") > 1, 1, "multiple reports found"), (F.col("broken") & (F.col("n_roots") <= 1), 3, "could not parse XML"),
-        (unnamed, 2, "test case found without a name"), (F.col("has_root") & outside, 2, "test case found without a test suite"), (nested, 2, "test case found inside a test case"),
+        ((name == "testsuites") & end & ~F.col("in_report"), ISSUES["report_end"]), (case & start & F.col("unnamed"), ISSUES["name"]),
+        (case & end & ~F.col("in_suite"), ISSUES["suite"]), (case & end & F.col("in_suite") & ~in_case, ISSUES["case_end"]),
+        (name.isin(*_STATUSES) & start & ~in_case, ISSUES["status"]), (rerun & end & ~in_case, ISSUES["rerun_end"]), (rerun & end & in_case & ~F.col("in_rerun"), ISSUES["rerun"]),
     ]
-    found = F.array_compact(F.array(*(F.when(t, F.struct(F.lit(level).alias("level"), F.lit(m).alias("error_message"))) for t, level, m in rules)))
-    return rows.select("file_path", F.explode(found).alias("x")).select("file_path", "x.*")
+    found = F.array_compact(F.array(*(F.when(t, F.lit(m)) for t, m in rules)))
+    loose_suite = (name == "testsuite") & end & (F.col("suites") == 1) & ~F.col("in_report")
+    by_file = rows.groupBy("file_path").agg(
+        F.max(F.coalesce(F.col("cut") | F.col("broken"), F.lit(False))).alias("unreadable"), (F.count_if((name == "testsuites") & end & F.col("in_report")) + F.count_distinct(F.when(loose_suite, F.col("reports")))).alias("n"),
+        F.sort_array(F.collect_list(F.when(F.size(found) > 0, F.struct("pos", F.col("step").alias("s"), found.alias("m"))))).alias("found"),
+    )
+
+    def issue(level: int, message: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), message.alias("error_message"))
+
+    last = F.when(F.col("n") == 0, F.array(issue(1, F.lit(ISSUES["no_report"])))).when(F.col("n") > 1, F.array(issue(2, F.lit(ISSUES["reports"])))).otherwise(F.array().cast("array<struct<level: int, error_message: string>>"))
+    invalid = F.transform(F.flatten(F.transform("found", lambda x: x["m"])), lambda m: issue(2, m))
+    out = by_file.select("file_path", F.explode(F.when(F.col("unreadable"), F.array(issue(3, F.lit("could not parse XML")))).otherwise(F.concat(invalid, last))).alias("x")).select("file_path", "x.*")
+    return out.unionByName(empty.select("file_path", F.lit(1).alias("level"), F.lit(ISSUES["no_report"]).alias("error_message")))
 
 
 def junit_xml(cases: DataFrame) -> DataFrame:

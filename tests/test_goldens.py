@@ -129,6 +129,34 @@ def test_junit_scan(spark, tmp_path):
     assert ("c.xml", "no reports found") in found and ("e.xml", "no reports found") in found
 
 
+def test_junit_issues_follow_the_order_of_elements(spark, tmp_path):
+    """A row for each place; comments, quoted texts and CDATA hold no elements."""
+    rerun = "<rerunError><stackTrace>x</stackTrace></rerunError>"
+    files = {
+        "a": ('<?xml version="1.0"?><!DOCTYPE testsuites [<!ELEMENT x (y)>]><testsuites><testsuite><testcase note=\' name="q" \' name="a > b"><![CDATA[<failure>]]><error/>' + rerun + "</testcase></testsuite></testsuites>", []),
+        "b": ("<testsuites><skipped/><testsuite><testcase note=' name=\"q\" '/><testcase name=''/><testcase name='t'/></testsuite></testsuites>", ["test case status found without a test case found"] + 2 * ["could not parse test case name"]),
+        # the case outside stays open, so the status after it has a case
+        "c": ("<testsuites><testcase name='t'/><failure/></testsuites>", ["test case found without a test suite found"]),
+        "d": (f"<testsuite><testcase name='t'/>{rerun}<testcase name='u'><rerunError><rerunError/></rerunError></testcase></testsuite>", ["test rerun end tag found without start tag", "test rerun found without a test case found"]),
+        "e": ("<testsuites><testsuite><testcase name='t'></testsuite></testsuites>", ["could not parse XML"]),
+        "f": ("<testsuites", ["could not parse XML"]),
+        "g": ("<testsuites><testsuite><testcase/></testsuite>", ["could not parse test case name", "no reports found"]),
+        "h": ("<testsuite/><testsuite/>", []),
+        "i": ("<testsuite/><testsuites/><testsuite/>", ["multiple reports found"]),
+        "j": ("</testsuites>", ["could not parse XML"]),
+        "k": ("", ["no reports found"]),
+        "l": ("a < b", ["could not parse XML"]),
+        "m": ("<html><body/></html>", ["no reports found"]),
+        "n": (f"<testsuite {'x' * 50000} note='{'<' * 50000}'><failure/></testsuite>", ["test case status found without a test case found"]),
+    }
+    for name, (text, _) in files.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    found = {}
+    for r in junit.scan_junit_issues(spark, str(tmp_path)).collect():
+        found.setdefault(r.file_path[-5], []).append(r.error_message)
+    assert found == {name: want for name, (_, want) in files.items() if want}
+
+
 def test_junit_scan_of_deep_suites(spark, tmp_path):
     """Cases at any depth belong to the outermost suite; text that only looks like a tag stays."""
     xml = '<testcase name="z"/>'
