@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from testloom.functions import text as T
 from testloom.operators import ci as C
 from testloom.plans.adapters import IDS, view
 from testloom.plans.registry import query
-from testloom.sources.uploads import schema_version
+from testloom.plans.source_queries import scratch
+from testloom.sources.uploads import scan_bundle_meta
 
 STABLE = ("main", "master")
 
@@ -56,6 +59,38 @@ def ci_info(spark, sf_dir):
     return info(spark, sf_dir).select("bundle_id", "platform", "branch", "pr_number", "actor", "author_email", "title", "job_url", "workflow")
 
 
+def other_envs(spark, sf_dir):
+    """Environment maps of the platforms that the view `ci` lacks, dealt over its rows."""
+    ref, pr, mail, title, b = (F.col(c) for c in ("ref", "pr", "author_email", "title", "bundle_id"))
+    n, page = b.cast("string"), F.concat(F.lit("https://j/"), b.cast("string"))
+    odd = F.when(b % 2 == 1, page).otherwise("")
+    maps = (
+        {"CUSTOM": F.lit("true"), "JOB_URL": page, "JOB_NAME": title, "AUTHOR_EMAIL": mail, "AUTHOR_NAME": ref, "COMMIT_BRANCH": ref, "COMMIT_MESSAGE": title, "PR_NUMBER": pr, "PR_TITLE": n},
+        {"BUILD_ID": n, "BUILD_URL": page, "CHANGE_BRANCH": ref, "BRANCH_NAME": F.lit("b"), "CHANGE_ID": pr, "CHANGE_AUTHOR_EMAIL": mail, "CHANGE_AUTHOR_DISPLAY_NAME": title},
+        {"SEMAPHORE": F.lit("true"), "SEMAPHORE_ORGANIZATION_URL": odd, "SEMAPHORE_PROJECT_ID": F.lit("p"), "SEMAPHORE_JOB_ID": n, "SEMAPHORE_GIT_PR_BRANCH": odd, "SEMAPHORE_GIT_BRANCH": ref, "SEMAPHORE_GIT_PR_NUMBER": pr,
+         "SEMAPHORE_GIT_COMMIT_AUTHOR": mail, "SEMAPHORE_GIT_COMMITTER": title, "SEMAPHORE_PROJECT_NAME": title, "SEMAPHORE_JOB_NAME": n},
+        {"DRONE": F.lit("true"), "DRONE_SOURCE_BRANCH": ref, "DRONE_PULL_REQUEST": pr, "DRONE_COMMIT_AUTHOR": mail, "DRONE_COMMIT_AUTHOR_NAME": title, "DRONE_COMMIT_AUTHOR_EMAIL": mail, "DRONE_PULL_REQUEST_TITLE": title, "DRONE_BUILD_LINK": odd},
+        {"BITBUCKET_BUILD_NUMBER": n, "BITBUCKET_WORKSPACE": F.lit("w"), "BITBUCKET_REPO_SLUG": F.lit("r"), "BITBUCKET_STEP_UUID": F.when(b % 2 == 1, F.concat(F.lit("{"), n, F.lit("}"))).otherwise(""), "BITBUCKET_BRANCH": ref, "BITBUCKET_PR_ID": pr, "BITBUCKET_PIPELINE_UUID": title},
+        {"bamboo_buildNumber": n, "bamboo_buildResultsUrl": odd, "bamboo_resultsUrl": n, "bamboo_planRepository_branch": odd, "bamboo_planRepository_branchName": ref, "bamboo_repository_pr_key": pr, "bamboo_planRepository_username": mail, "bamboo_planName": title, "bamboo_shortJobName": n},
+        {"TRIGGER_NAME": title, "BUILD_ID": n, "PROJECT_ID": odd, "_HEAD_BRANCH": ref, "BRANCH_NAME": F.lit("b"), "_PR_NUMBER": pr},
+    )
+    one = F.element_at(F.array(*(F.create_map(*(x for k, v in m.items() for x in (F.lit(k), v))) for m in maps)), (b % len(maps) + 1).cast("int"))
+    return view(spark, sf_dir, "ci").select("bundle_id", one.alias("envs"))
+
+
+@query("P12_other_platforms", "ci", """with p as (select bundle_id, bundle_id % 7 as k, nullif(ref, '') as ref, nullif(author_email, '') as mail, nullif(title, '') as title, cast(bundle_id as varchar) as n,
+    case when bundle_id % 2 = 1 then 'https://j/' || cast(bundle_id as varchar) end as odd, case when regexp_matches(pr, '^[0-9]+$') then cast(pr as bigint) end as pr_number from ci)
+  select bundle_id, ['CUSTOM', 'BUILD_ID', 'SEMAPHORE', 'DRONE', 'BITBUCKET_BUILD_NUMBER', 'bamboo_buildNumber', 'TRIGGER_NAME'][k + 1] as platform, pr_number,
+    case k when 0 then 'https://j/' || n when 1 then 'https://j/' || n when 2 then odd || '/projects/p/jobs/' || n when 3 then odd when 4 then 'https://bitbucket.org/w/r/pipelines/results/' || n || case when odd is null then '' else '/steps/%7B' || n || '%7D' end
+      when 5 then coalesce(odd, n) else 'https://console.cloud.google.com/cloud-build/builds/' || n || '?project=' || odd end as job_url,
+    case k when 1 then coalesce(ref, 'b') when 2 then coalesce(odd, ref) when 5 then coalesce(odd, ref) when 6 then coalesce(ref, 'b') else ref end as branch,
+    case when k in (0, 1, 2, 3, 5) then mail end as actor, case k when 0 then ref when 1 then title when 2 then title when 3 then title end as committer_name, case when k in (0, 1, 3) then mail end as committer_email,
+    case k when 0 then ref when 1 then title when 2 then mail when 3 then title end as author_name, case when k in (0, 1, 3) then mail end as author_email, case when k = 0 then title end as commit_message,
+    case k when 0 then n when 3 then title end as title, case when k in (0, 2, 4, 5, 6) then title end as workflow, case k when 0 then title when 2 then n when 4 then case when odd is not null then '{' || n || '}' end when 5 then n when 6 then n end as job from p""")
+def other_ci_info(spark, sf_dir):
+    return C.extract_ci_info(other_envs(spark, sf_dir).withColumn("platform", C.detect_platform(F.col("envs")))).drop("envs")
+
+
 @query("P13_classify_branches", "ci", f"with {PARSED} select bundle_id, branch, {CLASS.format(b='branch')} as branch_class from b")
 def branches(spark, sf_dir):
     return C.classify_branches(info(spark, sf_dir), STABLE).select("bundle_id", "branch", "branch_class")
@@ -101,20 +136,39 @@ def variant(spark, sf_dir):
     return view(spark, sf_dir, "runs").select("seq", C.truncate_variant(F.concat(F.repeat(F.lit("é"), (F.col("seq") % 50).cast("int")), F.col("name"))).alias("variant"))
 
 
-VERSIONED = "m as (select bundle_id, bundle_id % 2 = 0 as has_counts, bundle_id % 4 = 0 as has_command, bundle_id % 8 = 0 as has_v2, bundle_id % 16 = 0 as has_failed from ci)"
+#: Fields that a version of bundle metadata must have; each version has those of the older ones too.
+REQUIRED = (("0.5.34", ("num_files", "num_tests")), ("0.6.2", ("command_line",)), ("0.7.7", ("bundle_upload_id_v2",)), ("0.7.8", ("failed_tests",)))
 
 
-@query("S4_bundle_meta_version", "ci", f"with {VERSIONED} select bundle_id, case when has_failed then '0.7.8' when has_v2 then '0.7.7' when has_command then '0.6.2' when has_counts then '0.5.34' else '0.5.29' end as schema_version from m")
+@query("S4_bundle_meta_version", "ci", """select bundle_id, case bundle_id % 6 when 0 then '0.5.29' when 1 then '0.5.34' when 2 then '0.6.2' when 3 then '0.7.7' when 4 then '0.7.8' else '0.5.29' end as schema_version,
+  case when bundle_id % 6 between 1 and 4 then bundle_id end as num_files, case when bundle_id % 6 in (2, 3, 4, 5) then title end as command_line, nullif(ref, '') as branch, case when bundle_id % 6 = 4 then 1 else 0 end as n_failed from ci""")
 def meta_version(spark, sf_dir):
+    """Metadata files of five versions, and of one without the number of files, written and scanned."""
     b = F.col("bundle_id")
-    return view(spark, sf_dir, "ci").select("bundle_id", schema_version(b % 8 == 0, b % 16 == 0, b % 4 == 0, b % 2 == 0).alias("schema_version"))
-
-
-@query("P22_as_meta_version", "ci", "select bundle_id, '0.6.3' as version, case when bundle_id % 3 = 0 then cast(bundle_id as varchar) else 'v2' end as bundle_upload_id_v2, bundle_id as num_files from ci")
+    level = F.when(b % 6 < 5, b % 6).otherwise(F.lit(2))
+    values = {"num_files": F.when(b % 6 < 5, b), "num_tests": b, "command_line": F.col("title"), "bundle_upload_id_v2": F.col("title"), "failed_tests": F.array(F.struct(F.col("title").alias("name")))}
+    fields = [F.when(level > k, values[f]).alias(f) for k, (_, names) in enumerate(REQUIRED) for f in names]
+    meta = F.to_json(F.struct(b.cast("string").alias("bundle_upload_id"), F.struct(F.nullif(F.col("ref"), F.lit("")).alias("repo_head_branch")).alias("repo"), *fields))
+    files = view(spark, sf_dir, "ci").groupBy(F.floor(b / 1000)).agg(F.concat(F.lit("["), F.array_join(F.collect_list(meta), ","), F.lit("]")).alias("value"))
+    path = scratch(spark)
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    out = scan_bundle_meta(spark, path)
+    return out.select(F.col("bundle_upload_id").cast("long").alias("bundle_id"), "schema_version", "num_files", "command_line", F.col("repo.repo_head_branch").alias("branch"), F.coalesce(F.size("failed_tests"), F.lit(0)).alias("n_failed"))
+
+
+@query("P22_as_meta_version", "ci", """with m as (select *, cast(bundle_id % 7 as int) as k, cast(bundle_id as varchar) as b from ci)
+  select bundle_id, ['0.5.29', '0.5.34', '0.6.2', '0.6.3', '0.7.6', '0.7.7', '0.7.8'][k + 1] as version, case when k >= 1 then bundle_id end as num_files, case when k >= 2 then title end as command_line,
+    case when k = 3 then coalesce(nullif(author_email, ''), b) when k > 3 then nullif(author_email, '') end as bundle_upload_id_v2, case when k >= 4 then ref end as variant, case when k >= 5 then pr end as internal_bundled_file, case when k >= 6 then title end as failed_tests from m""")
 def old_meta(spark, sf_dir):
+    """Each bundle as one of the seven versions has it."""
     b = F.col("bundle_id")
-    m = view(spark, sf_dir, "ci").select("bundle_id", b.cast("string").alias("bundle_upload_id"), F.when(b % 3 != 0, F.lit("v2")).alias("bundle_upload_id_v2"), b.alias("num_files"), F.lit("x").alias("variant"), F.array(F.lit("t")).alias("failed_tests"))
-    return C.as_meta_version(m, "0.6.3").drop("bundle_upload_id")
+    m = view(spark, sf_dir, "ci").select(
+        "bundle_id", b.cast("string").alias("bundle_upload_id"), F.nullif(F.col("author_email"), F.lit("")).alias("bundle_upload_id_v2"), b.alias("num_files"), F.col("title").alias("command_line"),
+        F.col("ref").alias("variant"), F.col("pr").alias("internal_bundled_file"), F.col("title").alias("failed_tests"),
+    )
+    versions = [v for v, _ in reversed(C.META_VERSIONS)]
+    rows = [C.as_meta_version(m.where(b % len(versions) == k), v) for k, v in enumerate(versions)]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows).drop("bundle_upload_id")
 
 
 @query("P23_test_collection", "ci", "select bundle_id, case when ref <> '' and pr <> '' then ref end as ref, case when ref <> '' and pr <> '' then title end as title from ci")
@@ -123,13 +177,18 @@ def collection(spark, sf_dir):
     return view(spark, sf_dir, "ci").select("bundle_id", one.alias("x")).select("bundle_id", F.col("x.a").alias("ref"), F.col("x.c").alias("title"))
 
 
-@query("S15_upload_metrics", "ci", "select bundle_id, 0 as major, cast(bundle_id % 10 as int) as minor, 3 as patch, 'beta' as suffix, 'h' as host, bundle_id % 9 = 0 as failed from ci")
+@query("S15_upload_metrics", "ci", """select bundle_id, case when author_email = '' then 0 else 1 end as major, cast(bundle_id % 10 as int) as minor, 3 as patch, case when pr = '' then '' else pr end as suffix, 'h' as host, title as name,
+  bundle_id % 9 = 0 as failed, case when bundle_id % 9 = 0 then title else '' end as failure_reason, commit_ts as upload_started_at, commit_ts + interval 3 second as upload_finished_at, case when ref <> '' then commit_ts - interval 1 day end as command_started_at from ci""")
 def metrics(spark, sf_dir):
-    b = F.col("bundle_id")
-    none = F.lit(None).cast("timestamp")
+    b, at = F.col("bundle_id"), F.col("commit_ts")
+    number = F.concat(F.when(F.col("author_email") == "", "client 0.").otherwise("client 1."), (b % 10).cast("string"), F.lit(".3"))
     rows = view(spark, sf_dir, "ci").select(
-        "bundle_id", F.concat(F.lit("client 0."), (b % 10).cast("string"), F.lit(".3-beta")).alias("client_version"), F.lit("h").alias("host"), F.lit("o").alias("owner"), F.lit("n").alias("name"),
-        none.alias("upload_started_at"), none.alias("upload_finished_at"), none.alias("command_started_at"), F.when(b % 9 == 0, F.lit(True)).alias("failed"), F.lit(None).cast("string").alias("failure_reason"), F.lit("SUCCESS").alias("quarantine_query"),
+        "bundle_id", F.concat(number, F.when(F.col("pr") == "", "").otherwise(F.concat(F.lit("-"), "pr"))).alias("client_version"), F.lit("h").alias("host"), F.lit("o").alias("owner"), F.col("title").alias("name"),
+        at.alias("upload_started_at"), (at + F.expr("interval 3 second")).alias("upload_finished_at"), F.when(F.col("ref") != "", at - F.expr("interval 1 day")).alias("command_started_at"),
+        F.when(b % 9 == 0, F.lit(True)).alias("failed"), F.when(b % 9 == 0, F.col("title")).alias("failure_reason"), F.lit("SUCCESS").alias("quarantine_query"),
     )
     v = F.col("client_version")
-    return C.upload_metrics(rows).select("bundle_id", v["major"].alias("major"), v["minor"].alias("minor"), v["patch"].alias("patch"), v["suffix"].alias("suffix"), F.col("repo.host").alias("host"), "failed")
+    return C.upload_metrics(rows).select(
+        "bundle_id", v["major"].alias("major"), v["minor"].alias("minor"), v["patch"].alias("patch"), v["suffix"].alias("suffix"), F.col("repo.host").alias("host"), F.col("repo.name").alias("name"),
+        "failed", "failure_reason", "upload_started_at", "upload_finished_at", "command_started_at",
+    )
