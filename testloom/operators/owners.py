@@ -1,7 +1,8 @@
 """Code owners: patterns as regexes, and the owners of paths.
 
 Rules of a file are one array, so each distinct path meets its rules inside one row: no
-pair of path and rule is ever a row, and the last match is the end of a filtered array.
+pair of path and rule is ever a row, and the last match is the end of a filtered array. A
+rule's regex is only compiled for paths that hold the longest literal part of its pattern.
 """
 
 from __future__ import annotations
@@ -84,8 +85,23 @@ def section_stats(rules: DataFrame) -> DataFrame:
     return rules.groupBy("codeowners_id", "section").agg(F.min("section_pos").alias("section_pos"), F.count("pattern").alias("num_rules"), F.coalesce(F.bool_and("optional"), F.lit(True)).alias("is_optional"))
 
 
+def _lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _needle(rules: DataFrame) -> Column:
+    """The longest part of a pattern that every path it matches must hold, in lower case; empty without a pattern."""
+    if "pattern" not in rules.columns:
+        return F.lit("").alias("needle")
+    parts = F.split(F.regexp_replace("pattern", r"\[[^\]]*\]", "*"), r"[*?/\\\s\[\]]+")
+    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), _lower(p).alias("p"))))
+    return F.coalesce(longest["p"], F.lit("")).alias("needle")
+
+
 def _paths(files: DataFrame) -> DataFrame:
-    return files.select("codeowners_id", "path").where("codeowners_id is not null and path is not null").distinct()
+    """Distinct paths, dealt over all tasks: they are few bytes but much work, so they aren't merged by their size."""
+    one = files.select("codeowners_id", "path").where("codeowners_id is not null and path is not null").distinct()
+    return one.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("codeowners_id", "path"))
 
 
 def owners_github(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -94,17 +110,18 @@ def owners_github(files: DataFrame, rules: DataFrame) -> DataFrame:
     A path matches as it is, without a leading `./`, or by one of its parent directories
     unless the rule is for direct children. rules: codeowners_id, rule_pos, regex, direct, owners.
     """
-    lists = rules.groupBy("codeowners_id").agg(F.sort_array(F.collect_list(F.struct("rule_pos", "regex", "direct", "owners"))).alias("rules"))
+    lists = rules.groupBy("codeowners_id").agg(F.sort_array(F.collect_list(F.struct("rule_pos", "regex", "direct", "owners", _needle(rules)))).alias("rules"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     own = F.array_compact(F.array(F.col("path"), F.when(F.col("path").startswith("./"), F.substring("path", 3, 1 << 30))))
-    rows = _paths(files).withColumn("own", own).withColumn("above", above).join(lists, "codeowners_id")
+    rows = _paths(files).withColumn("own", own).withColumn("above", above).withColumn("low", _lower(F.col("path"))).join(lists, "codeowners_id")
 
     def matches(r: Column) -> Column:
-        return F.exists("own", lambda p: F.regexp_like(p, r["regex"])) | (~r["direct"] & F.exists("above", lambda p: F.regexp_like(p, r["regex"])))
+        met = F.exists("own", lambda p: F.regexp_like(p, r["regex"])) | (~r["direct"] & F.exists("above", lambda p: F.regexp_like(p, r["regex"])))
+        return F.col("low").contains(r["needle"]) & met
 
-    found = F.try_element_at(F.filter("rules", matches), F.lit(-1))
-    return rows.select("codeowners_id", "path", found["owners"].alias("owners")).where("owners is not null")
+    # exploded rather than filtered by its result, which would be computed twice
+    return rows.select("codeowners_id", "path", F.explode_outer(F.slice(F.filter("rules", matches), -1, 1)).alias("rule")).select("codeowners_id", "path", "rule.owners").where("owners is not null")
 
 
 def owners_gitlab(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -112,13 +129,13 @@ def owners_gitlab(files: DataFrame, rules: DataFrame) -> DataFrame:
 
     rules: codeowners_id, section, section_pos, rule_pos, regex, owners.
     """
-    sections = rules.groupBy("codeowners_id", "section_pos").agg(F.sort_array(F.collect_list(F.struct("rule_pos", "regex", "owners"))).alias("rules"))
+    sections = rules.groupBy("codeowners_id", "section_pos").agg(F.sort_array(F.collect_list(F.struct("rule_pos", "regex", "owners", _needle(rules)))).alias("rules"))
     lists = sections.groupBy("codeowners_id").agg(F.sort_array(F.collect_list(F.struct("section_pos", "rules"))).alias("sections"))
     rooted = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit("/"), F.regexp_replace("path", r"^\./", "")))
-    rows = _paths(files).withColumn("rooted", rooted).join(lists, "codeowners_id")
+    rows = _paths(files).withColumn("rooted", rooted).withColumn("low", _lower(F.col("path"))).join(lists, "codeowners_id")
 
     def last(s: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.filter(s["rules"], lambda r: F.regexp_like(F.col("rooted"), r["regex"])), F.lit(-1))["owners"], F.array().cast("array<string>"))
+        return F.coalesce(F.try_element_at(F.filter(s["rules"], lambda r: F.col("low").contains(r["needle"]) & F.regexp_like(F.col("rooted"), r["regex"])), F.lit(-1))["owners"], F.array().cast("array<string>"))
 
     return rows.select("codeowners_id", "path", F.flatten(F.transform("sections", last)).alias("owners"))
 

@@ -75,6 +75,18 @@ def rule_files(spark, sf_dir):
 PLACES = "p as (select bundle_id, d, row_number() over (partition by bundle_id order by d) - 1 as i from (select distinct bundle_id, parent_name as d from runs))"
 
 
+@query("J9_own_rule_files", "runs", f"""with {PLACES}, n as (select bundle_id, count(*) as dirs from p group by 1)
+  select seq, case when bundle_id % 2 = 0 then '@team' || bundle_id || ',' || parent_name || '@ex.com' when seq % 3 = 0 then rtrim(repeat('@again' || bundle_id || ',', cast(dirs as int)), ',') else '@head' || bundle_id end as owners from runs join n using (bundle_id)""")
+def own_rule_files(spark, sf_dir):
+    """Every run's path under its own bundle's file of rules, of either dialect."""
+    kind = F.when(F.col("bundle_id") % 2 == 0, F.lit("gh")).otherwise(F.lit("gl"))
+    path = F.concat(F.lit("src/"), "parent_name", F.lit("/t"), F.col("seq").cast("string"), F.when(F.col("seq") % 3 == 0, F.lit(".js")).otherwise(F.lit(".py")))
+    paths = view(spark, sf_dir, "runs").select("seq", F.concat(kind, F.col("bundle_id").cast("string")).alias("codeowners_id"), path.alias("path"))
+    files = rule_files(spark, sf_dir).where((F.col("kind") == "gh") == (F.col("bundle_id") % 2 == 0))
+    found = O.associate_owners(paths, S.scan_codeowners_github(files.where("kind = 'gh'")), S.scan_codeowners_gitlab(files.where("kind = 'gl'")))
+    return found.select("seq", F.array_join("owners", ",").alias("owners"))
+
+
 @query("S6_scan_github", "runs", f"with {PLACES} select 'gh' || bundle_id as codeowners_id, cast(i as int) as rule_pos, '/src/' || d || '/' as pattern, '@team' || bundle_id || ',' || d || '@ex.com' as owners from p")
 def scan_github(spark, sf_dir):
     out = S.scan_codeowners_github(rule_files(spark, sf_dir).where("kind = 'gh'"))

@@ -84,6 +84,18 @@ def test_gitlab_rules(spark):
     assert [(r.section, r.pattern, r.owners) for r in rules] == [("codeowners", "/**/*", ["@a"]), ("codeowners", "/**/#file.rb", ["@pound"]), ("codeowners", "/**/README x/**/*", ["me@x.com", "@sp"]), ("Docs", "/**/docs", ["@e"]), ("Opt", "/**/*.md", [])]
 
 
+def test_literals_of_patterns_only_save_work(spark):
+    """Owners are the same when every rule's regex meets every path."""
+    patterns = ["*", "**", "*.JS", "/Docs/", "src/**/x", "a[b-d]efgh", "?ile.txt", "/x/*", "**/deep/**", "./y", "UP/low*", "m[!a]n.md", "logs", "a+b(c).txt"]
+    files = spark.createDataFrame([("f", "\n".join(f"{p} @o{n}" for n, p in enumerate(patterns)))], "codeowners_id string, content string")
+    paths = ["q.js", "docs/a", "src/1/2/x", "src/x", "acefgh", "abefgh/z", "File.txt", "x/1", "x/1/2", "u/deep/v", "./y", "y", "up/LOWER", "mbn.md", "man.md", "logs/1", "a+b(c).txt", "none", "", "Σ/ς"]
+    rows = spark.createDataFrame([("f", p) for p in paths], "codeowners_id string, path string")
+    for rules, find in ((codeowners.scan_codeowners_github(files), owners.owners_github), (codeowners.scan_codeowners_gitlab(files), owners.owners_gitlab)):
+        got = sorted(find(rows, rules).collect())
+        assert len(got) == len(paths) and got == sorted(find(rows, rules.drop("pattern")).collect())
+    assert len({tuple(r.owners) for r in owners.owners_github(rows, codeowners.scan_codeowners_github(files)).collect()}) > 5
+
+
 def test_codeowners_errors(spark):
     content = "[] @x\n^[S][2] @x\n[T] nobody\n[unclosed\n*.rb nobody\n*.go @ok\n"
     found = codeowners.codeowners_errors(spark.createDataFrame([("f", content)], "codeowners_id string, content string")).collect()
