@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts
+from testloom.llm import centroids, chat_format, decontaminate, exact_dedup, html_extract, language_id, mixing, ngram_join, ranked_search, simhash, substring_dedup, suffix_dedup, token_counts
 from testloom.llm.common import table
 
 
@@ -58,6 +58,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -65,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_language_id, op3_html_extract, op4_decontaminate, op5_exact_dedup, op6_ngram_join, op7_mixing, op8_substring_dedup, op9_suffix_dedup, op10_chat_format)
+    ops = (op1_token_counts, op2_language_id, op3_html_extract, op4_decontaminate, op5_exact_dedup, op6_ngram_join, op7_mixing, op8_substring_dedup, op9_suffix_dedup, op10_chat_format, op11_simhash, op12_ranked_search, op13_centroids)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -77,4 +89,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.ORACLE_SQL,
         "op8_substring_dedup": substring_dedup.ORACLE_SQL,
         "op10_chat_format": chat_format.ORACLE_SQL,
+        "op12_ranked_search": ranked_search.ORACLE_SQL,
+        "op13_centroids": centroids.ORACLE_SQL,
     }  # the pipeline's first stage is a trained model, which SQL can't express
