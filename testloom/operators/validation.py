@@ -146,9 +146,12 @@ def lift_report_issues(case_issues: DataFrame, file_keys: list[str]) -> DataFram
 
 
 def issue_levels(found: DataFrame, file_keys: list[str]) -> DataFrame:
-    """Per file: greatest level, greatest level of report issues, counts by level."""
+    """Per file: greatest level, greatest level of report issues, counts by level.
+
+    An unreadable file's issue (level 3) counts as invalid.
+    """
     report = F.coalesce(F.max(F.when(F.col("scope") == "report", F.col("level"))), F.lit(0))
-    return found.groupBy(*file_keys).agg(F.max("level").alias("max_level"), report.alias("report_level"), F.count_if(F.col("level") == INVALID).alias("num_invalid"), F.count_if(F.col("level") == SUBOPTIMAL).alias("num_suboptimal"))
+    return found.groupBy(*file_keys).agg(F.max("level").alias("max_level"), report.alias("report_level"), F.count_if(F.col("level") >= INVALID).alias("num_invalid"), F.count_if(F.col("level") == SUBOPTIMAL).alias("num_suboptimal"))
 
 
 def files_without_issues(files: DataFrame, found: DataFrame, file_keys: list[str]) -> DataFrame:

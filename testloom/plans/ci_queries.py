@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from testloom.functions.steps import shared_folder
 from testloom.functions import text as T
 from testloom.operators import ci as C
 from testloom.plans.adapters import IDS, view
 from testloom.plans.registry import query
-from testloom.plans.source_queries import scratch
 from testloom.sources.uploads import scan_bundle_meta
 
 STABLE = ("main", "master")
@@ -150,7 +150,7 @@ def meta_version(spark, sf_dir):
     fields = [F.when(level > k, values[f]).alias(f) for k, (_, names) in enumerate(REQUIRED) for f in names]
     meta = F.to_json(F.struct(b.cast("string").alias("bundle_upload_id"), F.struct(F.nullif(F.col("ref"), F.lit("")).alias("repo_head_branch")).alias("repo"), *fields))
     files = view(spark, sf_dir, "ci").groupBy(F.floor(b / 1000)).agg(F.concat(F.lit("["), F.array_join(F.collect_list(meta), ","), F.lit("]")).alias("value"))
-    path = scratch(spark)
+    path = shared_folder(spark)
     files.select("value").write.option("maxRecordsPerFile", 1).text(path)
     out = scan_bundle_meta(spark, path)
     return out.select(F.col("bundle_upload_id").cast("long").alias("bundle_id"), "schema_version", "num_files", "command_line", F.col("repo.repo_head_branch").alias("branch"), F.coalesce(F.size("failed_tests"), F.lit(0)).alias("n_failed"))

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from testloom.functions.steps import shared_folder
 from testloom.plans.adapters import ORG, REPO, duck_uuid5, view
 from testloom.plans.registry import query
 from testloom.sources import bep as E
@@ -16,28 +12,44 @@ from testloom.sources import junit as X
 from testloom.sources import uploads as U
 
 
-def scratch(spark) -> str:
-    """A fresh folder that all executors share; a folder of this machine only if all tasks run in it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "testloom-checkpoints")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+ROUND_TRIP = """select parent_name, name, classname, coalesce(file, '') as file, status, epoch_us(case_ts) as case_us, time_s, message, count(*) as n
+  from (select parent_name, name, classname, file, case when status = 'UNSPECIFIED' then 'SUCCESS' else status end as status, case_ts, time_s, case when status = 'FAILURE' then message end as message from runs) group by all"""
 
 
-@query("S1_scan_junit", "runs", """select parent_name, name, classname, coalesce(file, '') as file, status, epoch_us(case_ts) as case_us, time_s, message, count(*) as n
-  from (select parent_name, name, classname, file, case when status = 'UNSPECIFIED' then 'SUCCESS' else status end as status, case_ts, time_s, case when status = 'FAILURE' then message end as message from runs) group by all""")
-def scan_junit(spark, sf_dir):
-    path = scratch(spark)
+def junit_files(spark, sf_dir):
     cases = view(spark, sf_dir, "runs").withColumn("raw_id", F.lit(None).cast("string"))
-    X.junit_xml(cases).select("value").repartition(20).sortWithinPartitions("value").write.option("maxRecordsPerFile", 1).text(path)
-    out = X.scan_junit(spark, path)
+    return X.junit_xml(cases)
+
+
+@query("S1_scan_junit", "runs", ROUND_TRIP)
+def scan_junit(spark, sf_dir):
+    path = shared_folder(spark)
+    junit_files(spark, sf_dir).select("value").repartition(20).sortWithinPartitions("value").write.option("maxRecordsPerFile", 1).text(path)
+    return round_trip(X.scan_junit(spark, path))
+
+
+def round_trip(out):
     return out.groupBy("parent_name", "name", "classname", F.coalesce("case_file", F.lit("")).alias("file"), "status", F.unix_micros("case_ts").alias("case_us"), F.col("case_time").alias("time_s"), "message").agg(F.count("*").alias("n"))
 
 
-BEP = """select kind, label, attempt, status, cached, epoch_us(start_time) as start_us, case when kind = 'result' and uri like '%.xml' then uri end as uri, count(*) as n
-  from (select kind, label, case when kind = 'result' then attempt else 0 end as attempt, status, kind = 'result' and cached as cached, start_time, uri from bep) group by all"""
+@query("S1_reports_of_any_shape", "runs", f"""with shaped as (select bundle_id, parent_name, name, seq, status from runs) select bundle_id, parent_name, name, case when status = 'UNSPECIFIED' then 'SUCCESS' else status end as status,
+  row_number() over (partition by bundle_id order by first, parent_name, seq) as place from (select *, min(seq) over (partition by bundle_id, parent_name) as first from shaped)""")
+def reports_of_any_shape(spark, sf_dir):
+    """A file for each bundle: byte order mark, prolog, comment and DOCTYPE, and suites bare, in one report or in a report each; cases in document order."""
+    path = shared_folder(spark)
+    inner = F.regexp_replace("value", "^<testsuites>|</testsuites>$", "")
+    shapes = [inner, F.concat(F.lit("<testsuites>"), inner, F.lit("</testsuites>")), F.regexp_replace(F.regexp_replace(inner, "<testsuite ", "<testsuites><testsuite "), "</testsuite>", "</testsuite></testsuites>")]
+    body = F.when(F.col("bundle_id") % 3 == 0, shapes[0]).when(F.col("bundle_id") % 3 == 1, shapes[1]).otherwise(shapes[2])
+    heads = ["", "\ufeff", '<?xml version="1.0"?>\n<!-- two\nlines <testsuites> -->', "<!DOCTYPE testsuites [<!ELEMENT a (b)>]>"]
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("bundle_id") % 4 + 1).cast("int"))
+    files = junit_files(spark, sf_dir).select("bundle_id", F.concat(head, body).alias("value"))
+    files.repartition(20, "bundle_id").write.option("maxRecordsPerFile", 1).partitionBy("bundle_id").text(path)
+    out = X.scan_junit(spark, f"{path}/*")
+    return out.select(F.regexp_extract("file_path", r"bundle_id=(\d+)", 1).cast("long").alias("bundle_id"), "parent_name", "name", "status", F.col("seq").alias("place"))
+
+
+BEP = """select cast(bundle_id as varchar) as bundle_id, kind, label, attempt, status, cached, epoch_us(start_time) as start_us, case when kind = 'result' and uri like '%.xml' then uri end as uri, count(*) as n
+  from (select bundle_id, kind, label, case when kind = 'result' then attempt else 0 end as attempt, status, kind = 'result' and cached as cached, start_time, uri from bep) group by all"""
 
 
 @query("S3_scan_bep", "bep", BEP)
@@ -46,7 +58,7 @@ def scan_bep(spark, sf_dir):
 
 
 def bep_files(spark, sf_dir):
-    path = scratch(spark)
+    path = shared_folder(spark)
     b = view(spark, sf_dir, "bep")
     stamp = F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     event = F.when(
@@ -56,18 +68,18 @@ def bep_files(spark, sf_dir):
             F.struct("status", F.col("cached").alias("cachedLocally"), stamp.alias("testAttemptStart"), F.lit("3s").alias("testAttemptDuration"), F.array(F.struct(F.regexp_extract("uri", "[^/]*$", 0).alias("name"), "uri")).alias("testActionOutput")).alias("testResult"),
         )),
     ).otherwise(F.to_json(F.struct(F.struct(F.struct("label").alias("testSummary")).alias("id"), F.struct(F.col("status").alias("overallStatus"), stamp.alias("firstStartTime")).alias("testSummary"))))
-    b.select("bundle_id", event.alias("value")).repartition(20, "bundle_id").select("value").write.text(path)
+    b.select("bundle_id", event.alias("value")).repartition(20, "bundle_id").write.partitionBy("bundle_id").text(path)
     return path
 
 
 def bep_rows(out):
-    return out.groupBy("kind", "label", "attempt", "status", "cached", F.unix_micros("start_time").alias("start_us"), "uri").agg(F.count("*").alias("n"))
+    return out.groupBy("bundle_id", "kind", "label", "attempt", "status", "cached", F.unix_micros("start_time").alias("start_us"), "uri").agg(F.count("*").alias("n"))
 
 
 @query("S13_write_bep_events", "bep", BEP)
 def write_bep(spark, sf_dir):
     """The events of a scan, written again and scanned again."""
-    path = scratch(spark)
+    path = shared_folder(spark)
     E.write_bep_events(E.scan_bep(spark, bep_files(spark, sf_dir)), path)
     return bep_rows(E.scan_bep(spark, path))
 
@@ -89,7 +101,7 @@ FAULTY = (
        + ", ".join(f"({k}, {level}, '{X.ISSUES.get(m, 'could not parse XML')}')" for k, (_, *found) in enumerate(FAULTY) for level in found[:1] for m in found[1:]) + ") v(k, level, error_message)) select level, error_message, count(*) as n from f join m using (k) group by 1, 2")
 def scan_junit_issues(spark, sf_dir):
     """A file for each test of each bundle, sound or with faults."""
-    path = scratch(spark)
+    path = shared_folder(spark)
     kinds = F.create_map(*(F.lit(x) for k, (text, *_) in enumerate(FAULTY) for x in (k, text)))
     files = view(spark, sf_dir, "runs").select("parent_name", "name", "bundle_id").distinct()
     text = kinds[((F.col("bundle_id") + F.length("parent_name") + F.length("name")) % len(FAULTY)).cast("int")]
@@ -102,7 +114,7 @@ def scan_junit_issues(spark, sf_dir):
   select cast(bundle_id as varchar) as bundle, count(*) as num_files, cast(count(*) - 1 as int) as last_place from f group by 1""")
 def discover(spark, sf_dir):
     """Files two and five folders below a bundle's folder, one a folder."""
-    path = scratch(spark)
+    path = shared_folder(spark)
     r = view(spark, sf_dir, "runs").select("bundle_id", F.col("parent_name").alias("a"), F.col("name").alias("b"))
     r.select("bundle_id", "a").distinct().withColumn("value", F.lit("x")).repartition("bundle_id", "a").write.partitionBy("bundle_id", "a").text(path)
     deep = r.distinct().withColumns({"c": F.lit(1), "d": F.lit(2), "value": F.lit("x")})
@@ -111,11 +123,25 @@ def discover(spark, sf_dir):
     return out.groupBy("bundle").agg(F.count("*").alias("num_files"), F.max(F.regexp_extract("bundled_path", r"(\d+)$", 1).cast("int")).alias("last_place"))
 
 
+@query("S5_discover_globs", "runs", """with f as (select distinct cast(bundle_id as varchar) as bundle, parent_name as a, name as b, (length(name) + bundle_id) % 4 as kind from runs)
+  select 0 as set_pos, bundle, count(*) as n from f where kind = 0 group by all union all select 1, bundle, count(*) from f where kind = 1 and a = 'click' group by all union all select 2, bundle, count(*) from f where kind in (0, 1) and b like 'test_1_' group by all""")
+def discover_globs(spark, sf_dir):
+    """Folders at any depth, names with wildcards and sets of characters, files of several sets, other names."""
+    path = shared_folder(spark)
+    files = view(spark, sf_dir, "runs").select("bundle_id", F.col("parent_name").alias("a"), F.col("name").alias("b")).distinct()
+    kind = (F.length("b") + F.col("bundle_id")) % 4
+    for k, name in enumerate(("x.xml", "y.xml.txt")):
+        rows = files.where(kind == k).withColumn("value", F.lit("x"))
+        rows.repartition(8, "bundle_id").write.partitionBy("bundle_id", "a", "b").text(f"{path}/{name}")
+    out = U.discover_files(spark, [f"{path}/x.xml/**/part-*.txt", f"{path}/y*/*/a=[b-d]lick/**", f"{path}/**/b=test_1?/*.t[!a]t"], names=("*.txt",), bundle=r"/bundle_id=(\d+)/")
+    return out.groupBy("set_pos", "bundle").agg(F.count("*").alias("n"))
+
+
 @query("S10_scan_xcresult", "runs", """select bundle_id, 'Unit.' || parent_name as parent_name, name, classname, case when status = 'UNSPECIFIED' then 'SUCCESS' else status end as status,
   case when status = 'FAILURE' then message end as message, count(*) as n from runs group by all""")
 def scan_xcresult(spark, sf_dir):
     """A result tree for each bundle, a suite for each parent."""
-    path = scratch(spark)
+    path = shared_folder(spark)
     node = "struct<name: string, nodeType: string>"
     said = F.when(F.col("message").isNotNull(), F.array(F.struct(F.col("message").alias("name"), F.lit("Failure Message").alias("nodeType")).cast(node)))
     result = F.when(F.col("status") == "FAILURE", F.lit("Failed")).when(F.col("status") == "SKIPPED", F.lit("Skipped")).otherwise(F.lit("Passed"))
@@ -131,7 +157,7 @@ def scan_xcresult(spark, sf_dir):
 @query("S11_scan_runner_logs", "runs", "select cast(bundle_id as varchar) as runner, 'job-' || min(seq) as job_id from runs group by 1")
 def scan_runner_logs(spark, sf_dir):
     """A log for each bundle: the ids of its runs in order, of which the first counts."""
-    path = scratch(spark)
+    path = shared_folder(spark)
     lines = F.transform(F.array_sort(F.collect_list("seq")), lambda n: F.concat(F.lit("[2024 INFO JobRunner] Job ID job-"), n.cast("string"), F.lit(" begins")))
     view(spark, sf_dir, "runs").groupBy("bundle_id").agg(F.concat(F.lit("started\n"), F.array_join(lines, "\n")).alias("value")).repartition("bundle_id").write.partitionBy("bundle_id").text(path)
     return U.scan_runner_logs(spark, path).select(F.regexp_extract("runner_dir", r"bundle_id=(\d+)", 1).alias("runner"), "job_id")

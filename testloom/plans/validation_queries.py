@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from testloom.functions.steps import shared_folder
 from testloom.functions.times import not_defaulted
 from testloom.operators import validation as V
 from testloom.plans.adapters import view
 from testloom.plans.registry import query
+from testloom.sources import junit
 
 KEYS = ("bundle_id", "seq")
 OLD, STALE = "(> 24 hour(s)) timestamp", "(> 1 hour(s)) timestamp"
@@ -110,6 +112,23 @@ def summary(spark, sf_dir):
     return V.validation_summary(files, V.issue_levels(found, keys), ["bundle_id"], keys)
 
 
+#: Report files by kind, and what each is found to be: invalid and suboptimal issues.
+PARSED = (("<testsuites><testsuite>", 0, 1), ("<testsuites></testsuite>", 1, 0), ("<testsuites/><testsuites/>", 1, 0), ("<testsuites><testsuite/></testsuites>", 0, 0), ("<a><failure/><testsuites/></a>", 1, 0))
+
+
+@query("A15_parse_issues", "cases_t", f"""with f as (select distinct bundle_id, parent_name, (bundle_id + length(parent_name)) % {len(PARSED)} as k from cases_t), v(k, i, s) as (values {', '.join(f'({k}, {i}, {s})' for k, (_, i, s) in enumerate(PARSED))})
+  select bundle_id, count_if(i = 0 and s = 0) as num_valid_files, count_if(s > 0) as num_warning_files, count_if(i > 0) as num_error_files, cast(sum(i) as bigint) as num_invalid, cast(sum(s) as bigint) as num_suboptimal, max(i) as exit_code from f join v using (k) group by 1""")
+def parse_issues(spark, sf_dir):
+    """A run's files with their parse issues: unreadable ones are errors."""
+    path = shared_folder(spark)
+    files = cases(spark, sf_dir).select("bundle_id", "parent_name").distinct()
+    text = F.element_at(F.array(*(F.lit(t) for t, *_ in PARSED)), ((F.col("bundle_id") + F.length("parent_name")) % len(PARSED) + 1).cast("int"))
+    files.withColumn("value", text).repartition(8, "bundle_id").write.partitionBy("bundle_id", "parent_name").text(path)
+    found = junit.scan_junit_issues(spark, f"{path}/*/*").withColumns({"bundle_id": F.regexp_extract("file_path", r"bundle_id=(\d+)", 1).cast("long"), "parent_name": F.regexp_extract("file_path", "parent_name=([^/]+)", 1), "scope": F.lit("report")})
+    keys = ["bundle_id", "parent_name"]
+    return V.validation_summary(files, V.issue_levels(found, keys), ["bundle_id"], keys)
+
+
 @query("A16_owner_coverage", "cases_t", "select bundle_id, max(case when file is null then 1 else 0 end) = 1 and bundle_id % 2 = 0 as owners_but_no_file from cases_t group by bundle_id")
 def owner_coverage(spark, sf_dir):
     return V.owner_coverage_warning(cases(spark, sf_dir), F.col("bundle_id") % 2 == 0, ["bundle_id"])

@@ -21,11 +21,15 @@ def _seconds(c: Column) -> Column:
 def scan_bep(spark: SparkSession, path: str) -> DataFrame:
     """S3: test results and summaries of event files, a row per event and XML output.
 
-    Columns bundle_id (the file), seq, kind, label, attempt, status, cached, start_time,
+    Columns bundle_id (of folders `bundle_id=..`, else the file), seq, kind, label, attempt, status, cached, start_time,
     end_time, uri, error. A file ends at its first bad line, which is a row of kind `error`.
     Pretty-printed files, where events follow each other as `}` and `{` lines, are cut first.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("bundle_id"), "value")
+    reader = spark.read
+    if "bundle_id" in reader.text(path).columns:  # a folder a bundle; ids are texts
+        reader = reader.schema("value string, bundle_id string")
+    files = reader.text(path, wholetext=True).withColumn("file_path", F.col("_metadata.file_path"))
+    files = files.select(F.col("bundle_id" if "bundle_id" in files.columns else "file_path").alias("bundle_id"), "value")
     text = F.when(F.col("value").rlike(r"\n\}\s*\n\{"), F.split("value", r"(?<=\n\})\s*\n(?=\{)")).otherwise(F.split("value", "\n"))
     lines = files.select("bundle_id", F.posexplode(text).alias("seq", "line")).where(F.length(F.trim("line")) > 0)
     parsed = lines.withColumn("e", F.from_json("line", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
@@ -49,5 +53,9 @@ def scan_bep(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_bep_events(events: DataFrame, path: str) -> None:
-    """The test events alone, one JSON object a line, as they were read."""
-    events.where("kind in ('result', 'summary')").select("bundle_id", "seq", "line").distinct().repartition("bundle_id").sortWithinPartitions("bundle_id", "seq").select(F.col("line").alias("value")).write.text(path)
+    """The test events alone, one JSON object a line, as they were read; a file in a folder for each bundle.
+
+    Files appear when the job commits; a failed task leaves none.
+    """
+    lines = events.where("kind in ('result', 'summary')").select("bundle_id", "seq", "line").distinct()
+    lines.repartition("bundle_id").sortWithinPartitions("bundle_id", "seq").select("bundle_id", F.col("line").alias("value")).write.partitionBy("bundle_id").text(path)

@@ -1,25 +1,45 @@
-"""JUnit XML report files."""
+"""JUnit XML report files.
+
+A file is a sequence of tokens: a piece of markup and the text after it. What is open at a
+token (suites, a case, a rerun, a report) follows from sums and last values over the tokens
+before it, and an element's content is the tokens between its start and its end; no schema
+of the whole document is needed, so nothing is lost to depth, order or a second root.
+
+Files of up to LARGE_FILE bytes are one value each. Larger ones are read by several tasks
+as records between `<` signs. For each chunk of records one function tells in what state
+(content, comment, CDATA, instruction, document type) it ends for every state in which it
+may begin; these functions are composed along the file. Then chunks are cut before the first
+case that begins in each, so that no piece of markup and no case lies in two, and sums and
+last values go on from chunk to chunk.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from testloom.functions.text import truncated
+from testloom.functions.steps import written
+from testloom.functions.text import TEXT_BYTES, trimmed, truncated
 from testloom.functions.times import legal_seconds, parsed_time
+from testloom.sources.listing import list_files
+
+#: Bytes up to which a file is one value, and the records of a larger file's chunk as a power of two.
+LARGE_FILE = 32 << 20
+CHUNK_BITS = 15
 
-#: Depth of suites inside suites in the schema; cases of inner suites belong to the outermost,
-#: and tags of suites further down are left out before the file is parsed.
-DEPTH = 4
-#: Tags of suites, and what may hold text that only looks like one.
-_TAGS = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<testsuite(?:\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)?>|</testsuite\s*>"""
-#: Elements whose order in a file counts, and what may hold text that only looks like one.
 _STATUSES, _RERUNS = ("failure", "error", "skipped"), ("rerunFailure", "rerunError", "flakyFailure", "flakyError")
-_ORDERED = rf"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(?:{'|'.join(_STATUSES + _RERUNS)})(?=[\s/>])"
-#: Whole pieces of markup, and the name of a case with its quotes.
-_MARKUP = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Z](?:[^<>\[]++|\[.*?\])*+>|</?[^\s<>/!?](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
-_CASE_NAME = r"""^<testcase(?:\s+[^\s=]+\s*=\s*(?:"[^"]*+"|'[^']*+'))*?\s+name\s*=\s*("[^"]*+"|'[^']*+')"""
+_TEXTS = ("system-out", "system-err", "stackTrace")
+#: A piece of markup and the text after it. Quoted values may hold `<` and `>`.
+_TOKEN = r"""(?s)<!--.*?(?:-->|\z)[^<]*+|<!\[CDATA\[.*?(?:\]\]>|\z)[^<]*+|<\?.*?(?:\?>|\z)[^<]*+|<![^\[<>]*+(?:\[.*?\]\s*+>|>|\z)[^<]*+|</?[^\s<>/!?](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>[^<]*+|<[^<]*+"""
+#: The markup of a token; none if it never ends.
+_MARKUP = r"""(?s)^(?:<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^\[<>]*+(?:\[.*?\]\s*+)?>|</?[^\s<>/!?](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>)"""
+_ATTRIBUTE = r"""([^\s=<>"'/]+)\s*=\s*["']((?<=")[^"]*+(?=")|(?<=')[^']*+(?='))["']"""
+#: A value with blanks at an end.
+_LOOSE = r"""=\s*["'][\s\p{Z}\x{85}]|[\s\p{Z}\x{85}]["'](?=[\s/>])"""
+_REFERENCE = r"&[^;&\s]*;"
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 # What a problem is called.
 ISSUES = {
     "no_report": "no reports found",
@@ -32,196 +52,385 @@ ISSUES = {
     "rerun": "test rerun found without a test case found",
     "rerun_end": "test rerun end tag found without start tag",
 }
-_ATTRIBUTES = "_name: string, _file: string, _filepath: string, _time: string, _timestamp: string"
-_STATUS = "array<struct<_testloom_place: int, _message: string, _type: string, _VALUE: string>>"
-_RERUN = "array<struct<_testloom_place: int, _message: string, _type: string, _time: string, _timestamp: string, stackTrace: string, `system-out`: string, `system-err`: string, _VALUE: string>>"
-_CASE = f"struct<{_ATTRIBUTES}, _classname: string, _id: string, _line: string, _attempt_number: string, {', '.join(f'{k}: {_STATUS}' for k in _STATUSES)}, `system-out`: array<string>, `system-err`: array<string>, {', '.join(f'{k}: {_RERUN}' for k in _RERUNS)}, _VALUE: string>"
 
 
-def _suite(depth: int) -> str:
-    inner = f", testsuite: array<{_suite(depth - 1)}>" if depth > 1 else ""
-    return f"struct<{_ATTRIBUTES}, `system-out`: array<string>, `system-err`: array<string>, testcase: array<{_CASE}>{inner}>"
+# --- tokens ------------------------------------------------------------------------
 
 
-def _schema() -> StructType:
-    return StructType.fromDDL(f"r struct<{_ATTRIBUTES}, `system-out`: array<string>, `system-err`: array<string>, testcase: array<{_CASE}>, testsuite: array<{_suite(DEPTH)}>, _corrupt_record: string>")["r"].dataType
+def _small_files(spark: SparkSession, path: str, most: int) -> DataFrame:
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"), "value")
+    return files.where(F.col("size") <= most).select("file_path", "value")
 
 
-def _all_cases(suite: Column, depth: int = DEPTH) -> Column:
-    none = F.array().cast(f"array<{_CASE}>")
-    own = F.coalesce(suite["testcase"], none)
-    if depth <= 1:
-        return own
-    return F.concat(own, F.coalesce(F.flatten(F.transform(suite["testsuite"], lambda s: _all_cases(s, depth - 1))), none))
-
+def _large_files(spark: SparkSession, path: str, least: int) -> DataFrame:
+    """(file_path, chunk, n, value): the text between two `<` signs as a record, in order of chunk and n."""
+    rows = spark.read.text(path, lineSep="<").select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("n"), "value",
+    )
+    return rows.where(F.col("size") > least).select("file_path", (F.shiftleft("start", 33 - CHUNK_BITS) + F.shiftright("n", CHUNK_BITS)).alias("chunk"), "n", "value")
 
-def _step(tag: Column) -> Column:
-    """1 where a suite begins, -1 where one ends."""
-    return F.when(tag.startswith("</"), -1).when(tag.startswith("<testsuite") & ~tag.endswith("/>"), 1).otherwise(0)
 
+def _transition(record: Column) -> Column:
+    """The state after a record for each state before it, a digit each: 0 content, 1 comment, 2 CDATA, 3 instruction, 4 document type."""
+    ends = {"1": record.contains("-->"), "2": record.contains("]]>"), "3": record.contains("?>"), "4": record.rlike(r"\]\s*>")}
 
-def _with_tags(value: Column, pattern: str, tags: Column) -> Column:
-    """The file with `tags` in place of what matches the pattern."""
-    return F.array_join(F.zip_with(F.split(value, pattern), F.concat(tags, F.array(F.lit(""))), lambda x, t: F.concat(x, t)), "")
+    def open_(state: str) -> Column:
+        return F.when(ends[state], "0").otherwise(state)
 
+    opened = F.when(record.startswith("!--"), open_("1")).when(record.startswith("![CDATA["), open_("2")).when(record.startswith("?"), open_("3")).when(record.rlike(r"^![^\[<>]*\["), open_("4")).otherwise("0")
+    return F.concat(opened, *(open_(s) for s in "1234"))
 
-def _shallow(value: Column) -> Column:
-    """The file without the tags of suites deeper than DEPTH; their content stays in the suite around."""
-    tags = F.regexp_extract_all(value, F.lit(_TAGS), F.lit(0))
-    steps = F.transform(tags, _step)
 
-    def add(a: Column, step: Column) -> Column:
-        depth = a["d"] + step
-        left_out = (step != 0) & (F.greatest(a["d"], depth) > DEPTH)
-        return F.struct(depth.alias("d"), F.concat(a["s"], F.when(left_out, "x").otherwise("-")).alias("s"))
+def _chunks(records: DataFrame) -> DataFrame:
+    """(file_path, chunk, value): texts of large files, cut before a case each.
 
-    # a letter a tag, not the text so far: what is carried along stays small
-    letters = F.regexp_extract_all(F.aggregate(steps, F.struct(F.lit(0).alias("d"), F.lit("").alias("s")), add, lambda a: a["s"]), F.lit("."), F.lit(0))
-    kept = F.zip_with(tags, letters, lambda t, x: F.when(x == "x", "").otherwise(t))
-    return F.when(F.array_contains(letters, "x"), _with_tags(value, _TAGS, kept)).otherwise(value)
+    A chunk's value begins with its first case tag in content; what stands before it goes
+    to the last chunk before that has one, or to the file's first chunk.
+    """
+    same = F.lit("01234")
+
+    def then(f: Column, g: Column) -> Column:
+        return F.call_function("translate", f, same, g)
+
+    steps = F.sort_array(F.collect_list(F.when(F.col("f") != same, F.struct("n", "f"))))
+    ends = records.withColumn("f", _transition(F.col("value"))).groupBy("file_path", "chunk").agg(steps.alias("steps"))
+    ends = written(ends.select("file_path", "chunk", F.aggregate("steps", same, lambda f, x: then(f, x["f"])).alias("f")))
+    # the state at each chunk's start: one digit a chunk is carried along
+    states = F.aggregate("fs", F.struct(F.lit("0").alias("now"), F.lit("").alias("all")), lambda a, x: F.struct(F.substring(x["f"], a["now"].cast("int") + 1, F.lit(1)).alias("now"), F.concat(a["all"], a["now"]).alias("all")), lambda a: a["all"])
+    starts = ends.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("chunk", "f"))).alias("fs")).select("file_path", states.alias("states"), F.posexplode("fs").alias("k", "x"))
+    starts = starts.select("file_path", "x.chunk", (F.col("k") == 0).alias("first"), F.substring("states", F.col("k") + 1, F.lit(1)).alias("state"))
+    arrays = records.groupBy("file_path", "chunk").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("r")).join(starts, ["file_path", "chunk"])
+
+    def next_(a: Column, x: Column) -> Column:
+        is_case = (a["state"] == "0") & x["value"].rlike(r"^testcase[\s/>]")
+        return F.struct((a["i"] + 1).alias("i"), F.when((a["at"] < 0) & is_case, a["i"]).otherwise(a["at"]).alias("at"), then(a["state"], _transition(x["value"])).alias("state"))
+
+    begin = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("at"), F.col("state"))
+    cut = written(arrays.select("file_path", "chunk", "first", F.aggregate("r", begin, next_, lambda a: a["at"]).alias("at"), F.transform("r", lambda x: x["value"]).alias("r")))
+    # whose the part before the cut is: a row a chunk
+    of = Window.partitionBy("file_path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    owner = cut.select("file_path", "chunk", F.last(F.when(F.col("first") | (F.col("at") >= 0), F.col("chunk")), ignorenulls=True).over(of).alias("before"))
+
+    def text(values: Column) -> Column:
+        return F.when(F.size(values) > 0, F.concat(F.lit("<"), F.array_join(values, "<"))).otherwise("")
+
+    at = F.when(F.col("first"), 0).when(F.col("at") < 0, F.size("r")).otherwise(F.col("at"))
+    head, tail = F.slice("r", F.lit(1), at), F.slice("r", at + 1, F.size("r"))
+    own = F.when(F.col("first"), F.array_join("r", "<")).otherwise(text(tail))  # nothing stands before a file's first record
+    pieces = F.array(F.struct(F.col("before").alias("chunk"), text(head).alias("value")), F.struct(F.when(F.col("first") | (F.col("at") >= 0), F.col("chunk")).alias("chunk"), own.alias("value")))
+    rows = cut.join(owner, ["file_path", "chunk"]).select("file_path", F.col("chunk").alias("from"), F.explode(pieces).alias("p")).where("p.chunk is not null")
+    return rows.groupBy("file_path", F.col("p.chunk").alias("chunk")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from", "p.value"))), lambda x: x["value"]), "").alias("value"))
+
+
+def _unescaped(c: Column) -> Column:
+    """c with references replaced; null where one isn't known."""
+    def decoded(ref: Column) -> Column:
+        body = F.substring(ref, F.lit(2), F.length(ref) - 2)
+        code = F.when(body.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10)).when(body.rlike("^#[0-9]{1,7}$"), F.substring(body, F.lit(2), F.length(body))).cast("long")
+        char = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return reduce(lambda found, x: F.when(body == x[0], x[1]).otherwise(found), _NAMED.items(), char)
+
+    parts, refs = F.split(c, _REFERENCE, -1), F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)), decoded)
+    joined = F.array_join(F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    bad = F.exists(refs, lambda r: r.isNull()) | F.exists(parts, lambda p: p.contains("&"))
+    return F.when(~c.contains("&"), c).when(~bad, joined)
+
+
+def _events(values: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each token: keys, pos, name, opening, closing, empty, a, text, cut (markup that never ends).
+
+    A file without tokens has one row without a name. `text` is what follows the markup, or
+    the content of CDATA; null if blank. `a` has the attributes of tags that matter.
+    """
+    t = F.col("t")
+    rows = values.select(*keys, F.posexplode_outer(F.regexp_extract_all("value", F.lit(_TOKEN), F.lit(0))).alias("pos", "t"))
+    rows = rows.select(*keys, "pos", F.regexp_extract(t, _MARKUP, 0).alias("m"), "t")
+    m, element = F.col("m"), F.col("m").rlike("^<[^!?]")
+    after = F.replace(F.substring(t, F.length(m) + 1, F.length(t)), F.lit("\r\n"), F.lit("\n"))
+    after = F.when(after.rlike(r"[^\s]"), _unescaped(after))
+    quoted = F.when(m.startswith("<![CDATA["), F.replace(F.substring(m, F.lit(10), F.length(m) - 12), F.lit("\r\n"), F.lit("\n")))
+    name = F.when(element, F.regexp_extract(m, r"^</?([^\s/>]+)", 1))
+    wanted = F.col("name").isin("testsuites", "testsuite", "testcase", *_STATUSES, *_RERUNS)
+    rows = rows.select(
+        *keys, "pos", name.alias("name"), F.coalesce(element & m.startswith("</"), F.lit(False)).alias("closing"), F.coalesce(element & m.endswith("/>"), F.lit(False)).alias("empty"), "m",
+        F.coalesce(after, quoted).alias("text"), F.coalesce((m == "") & t.isNotNull(), F.lit(False)).alias("cut"),
+    )
+    # attributes of what matters: without quotes and references, trimmed and cut; step by step, so that no expression is repeated
+    tag = F.when(F.col("name").isin("testsuites", "testsuite", "testcase", *_STATUSES, *_RERUNS) & ~F.col("closing"), m)
+    rows = rows.withColumns({"names": F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), "values": F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)), "text": F.when(F.col("text").isNotNull(), truncated(F.col("text")))})
+    for needed, f in ((m.contains("&"), _unescaped), (m.rlike(_LOOSE) | m.contains("&"), trimmed), (F.octet_length(m) > TEXT_BYTES, truncated)):
+        rows = rows.withColumn("values", F.when(needed, F.transform("values", f)).otherwise(F.col("values")))
+    tags = F.struct("names", "values")
+    rows = rows.withColumn("stamp", F.when(F.col("names").isNotNull(), _attribute(tags, "timestamp")))
+    a = F.struct("names", "values", F.when(F.col("stamp").isNotNull(), parsed_time(F.col("stamp"))).alias("ts"), legal_seconds(_attribute(tags, "time")).alias("time"))
+    return rows.select(*keys, "pos", "name", (F.col("name").isNotNull() & ~F.col("closing") & ~F.col("empty")).alias("opening"), "closing", "empty", F.when(F.col("names").isNotNull(), a).alias("a"), "text", "cut")
 
 
-def _placed(value: Column) -> Column:
-    """The file with a place in each status and rerun: parsing groups elements by tag, so their order is lost otherwise."""
-    tags = F.regexp_extract_all(value, F.lit(_ORDERED), F.lit(0))
-    marked = F.transform(tags, lambda t, n: F.when(t.rlike("^<[!?]"), t).otherwise(F.concat(t, F.lit(' testloom_place="'), n.cast("string"), F.lit('"'))))
-    kinds = sum(value.rlike(rf"<{k}[\s/>]").cast("int") for k in _STATUSES + _RERUNS)
-    return F.when(kinds > 1, _with_tags(value, _ORDERED, marked)).otherwise(value)
+def _attribute(a: Column, name: str) -> Column:
+    """The value of a tag's attribute."""
+    return F.try_element_at(a["values"], F.nullif(F.array_position(a["names"], F.lit(name)).cast("int"), F.lit(0)))
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """file_path, modified, value, r (the parsed document), is_report of each file that isn't empty."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    has_root = F.col("value").rlike(r"<testsuites?[\s/>]")
-    return files.withColumn("r", F.when(has_root, F.from_xml(_shallow(_placed(F.col("value"))), _schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))).withColumn("has_root", has_root)
+# --- what is open at a token -------------------------------------------------------
 
 
-def scan_junit(spark: SparkSession, path: str) -> DataFrame:
-    """One row per case with its outermost suite.
+def _running(rows: DataFrame, keys: list[str], sums: dict[str, Column], lasts: dict[str, Column]) -> DataFrame:
+    """Sums, and last values that aren't null, over the tokens of the file before each.
 
-    Texts and attributes are trimmed and cut to 8,000 bytes. `error` and `failure` are
-    FAILURE; the first status in a case counts. Cases may stand at any depth. `reruns` has
-    a case's reruns in order, each with its element's name as `kind`. Files that
-    aren't reports, are broken or empty give no row; see scan_junit_issues.
+    With chunks they are taken inside a chunk first; a row a chunk then tells what comes
+    before it.
     """
-    docs = read_reports(spark, path).where("r is not null and r._corrupt_record is null")
-    bare = F.col("value").rlike(r"^\s*(?:<\?xml[^>]*\?>)?\s*(?:<!--.*?-->\s*)*<testsuite[\s/>]")
-    suite_type = f"array<{_suite(DEPTH)}>"
-    none = F.array().cast(suite_type)
-    root = F.from_json(F.to_json(F.array("r")), suite_type)  # a bare suite is read as the root itself
-    suites = docs.withColumn("suites", F.when(bare, root).otherwise(F.coalesce("r.testsuite", none))).withColumn("report_time", F.when(~bare, legal_seconds(F.col("r._time")))).withColumn("report_ts", F.when(~bare, parsed_time(F.trim("r._timestamp"))))
-    suites = suites.select("file_path", "report_time", "report_ts", F.posexplode("suites").alias("suite_pos", "s"))
-    # a case's row holds its suite's own fields, not the suite's other cases
-    own = F.struct(*(F.col("s")[f].alias(f) for f in ("_name", "_file", "_filepath", "_time", "_timestamp", "system-out", "system-err"))).alias("s")
-    rows = suites.select("file_path", "report_time", "report_ts", "suite_pos", own, _all_cases(F.col("s")).alias("cases")).select("file_path", "report_time", "report_ts", "suite_pos", "s", F.posexplode("cases").alias("case_pos", "c"))
-
-    def text(c: Column) -> Column:
-        return truncated(c)
-
-    def joined(c: Column) -> Column:
-        return text(F.try_element_at(c, F.lit(-1)))
-
-    c, s = F.col("c"), F.col("s")
-    firsts = [F.try_element_at(c[k], F.lit(1)) for k in _STATUSES]
-    told = F.array_min(F.array_compact(F.array(*(F.when(x.isNotNull(), F.struct(x["_testloom_place"].alias("place"), F.lit("SKIPPED" if k == "skipped" else "FAILURE").alias("status"), *(x[f].alias(f) for f in ("_message", "_type", "_VALUE")))) for k, x in zip(_STATUSES, firsts)))))
-
-    def rerun(kind: str) -> Column:
-        return F.transform(F.coalesce(c[kind], F.array().cast(_RERUN)), lambda r, n: F.struct(
-            r["_testloom_place"].alias("place"), n.alias("n"), F.lit(kind).alias("kind"), text(r["_message"]).alias("message"), text(r["_type"]).alias("type"), F.nullif(text(r["_VALUE"]), F.lit("")).alias("description"),
-            text(r["stackTrace"]).alias("stack_trace"), text(r["system-out"]).alias("system_out"), text(r["system-err"]).alias("system_err"), parsed_time(F.trim(r["_timestamp"])).alias("ts"), legal_seconds(r["_time"]).alias("time"),
-        ))
-
-    def count(*kinds: str) -> Column:
-        return sum(F.coalesce(F.size(c[k]), F.lit(0)) for k in kinds)
-
-    reruns = F.transform(F.sort_array(F.concat(*(rerun(k) for k in _RERUNS))), lambda r: r.dropFields("place", "n"))
-    return rows.select(
-        "file_path", "suite_pos", "case_pos", F.row_number().over(Window.partitionBy("file_path").orderBy("suite_pos", "case_pos")).cast("long").alias("seq"), text(s["_name"]).alias("parent_name"), text(c["_name"]).alias("name"), text(c["_classname"]).alias("classname"),
-        text(c["_file"]).alias("case_file"), text(c["_filepath"]).alias("case_filepath"), text(s["_file"]).alias("suite_file"), text(s["_filepath"]).alias("suite_filepath"),
-        text(c["_line"]).alias("line"), text(c["_attempt_number"]).alias("attempt_number"), text(c["_id"]).alias("raw_id"), F.coalesce(told["status"], F.lit("SUCCESS")).alias("status"),
-        text(told["_message"]).alias("message"), text(told["_type"]).alias("type"), F.nullif(text(F.coalesce(told["_VALUE"], c["_VALUE"])), F.lit("")).alias("description"),
-        joined(c["system-out"]).alias("system_out"), joined(c["system-err"]).alias("system_err"), joined(s["system-out"]).alias("suite_system_out"), joined(s["system-err"]).alias("suite_system_err"),
-        parsed_time(F.trim(c["_timestamp"])).alias("case_ts"), parsed_time(F.trim(s["_timestamp"])).alias("suite_ts"), "report_ts",
-        legal_seconds(c["_time"]).alias("case_time"), legal_seconds(s["_time"]).alias("suite_time"), "report_time",
-        count("rerunFailure", "rerunError").alias("num_reruns"), count("flakyFailure", "flakyError").alias("num_flaky"), reruns.alias("reruns"),
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    local = {k: F.coalesce(F.sum(c).over(w), F.lit(0)) for k, c in sums.items()} | {k: F.last(c, ignorenulls=True).over(w) for k, c in lasts.items()}
+    out = rows.withColumns(local)
+    if keys == ["file_path"]:
+        return out
+    whole = rows.groupBy(*keys).agg(*(F.sum(c).alias(k) for k, c in sums.items()), *(F.max_by(c, F.when(c.isNotNull(), F.col("pos"))).alias(k) for k, c in lasts.items()))
+    b = Window.partitionBy("file_path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a chunk, written so that the tokens aren't planned twice
+    before = written(whole).select(*keys, *(F.coalesce(F.sum(k).over(b), F.lit(0)).alias(f"before_{k}") for k in sums), *(F.last(k, ignorenulls=True).over(b).alias(f"before_{k}") for k in lasts))
+    joined = out.join(before, keys)
+    return joined.withColumns({k: F.col(k) + F.col(f"before_{k}") for k in sums} | {k: F.coalesce(k, f"before_{k}") for k in lasts}).drop(*(f"before_{k}" for k in (*sums, *lasts)))
+
+
+def _states(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Events with what is open before each token.
+
+    level, suites: depth of elements and of suites; reports, suite_no, case_no, rerun_no:
+    starts so far, of suites only outermost ones; suite, report: attributes of the last of these;
+    in_report, in_case, in_rerun, in_text. An end outside its parent closes nothing, and an
+    element inside one of its kind takes its place.
+    """
+    name, opening, closing, empty = F.col("name"), F.col("opening"), F.col("closing"), F.col("empty")
+    start, end = opening | empty, closing | empty
+    step = opening.cast("int") - closing.cast("int")
+    rows = _running(_events(values, keys), keys, {"level": step, "suites": F.when(name == "testsuite", step).otherwise(0)}, {})
+    rows = rows.withColumn("outer", F.coalesce((name == "testsuite") & start & (F.col("suites") <= 0), F.lit(False)))
+    report, case, rerun = name == "testsuites", name == "testcase", name.isin(*_RERUNS)
+    in_suite, none = F.col("suites") > 0, F.lit(None).cast("boolean")
+
+    def counted(c: Column) -> Column:
+        return F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+
+    rows = _running(
+        rows, keys,
+        {"reports": counted(report & start), "suite_no": counted(F.col("outer")), "case_no": counted(case & start), "rerun_no": counted(rerun & start)},
+        {
+            "in_report": F.when(report, opening), "report": F.when(report & start, F.col("a")), "suite": F.when(F.col("outer"), F.col("a")),
+            "in_case": F.when(case & opening, True).when(case & empty, ~in_suite).when(case & closing & in_suite, False).otherwise(none),
+            "in_text": F.when(name.isin(*_TEXTS) & opening, name).when(name.isin(*_TEXTS) & closing, F.lit("")),
+        },
+    )
+    rows = rows.withColumns({"in_report": F.coalesce("in_report", F.lit(False)), "in_case": F.coalesce("in_case", F.lit(False)), "in_text": F.coalesce("in_text", F.lit(""))})
+    in_case = F.col("in_case")
+    rows = _running(rows, keys, {}, {"in_rerun": F.when(rerun & opening, True).when(rerun & empty, ~in_case).when(rerun & closing & in_case, False).otherwise(none)})
+    rows = rows.withColumns({"in_rerun": F.coalesce("in_rerun", F.lit(False)), "end": end, "start": start})
+    return rows if keys == ["file_path"] else written(rows)
+
+
+def _wrong(before: Column) -> Column:
+    """Markup that never ends, or an end whose level begins with something else."""
+    return F.col("cut") | (F.col("closing") & ~F.coalesce(before["opening"] & (before["name"] == F.col("name")), F.lit(False)))
+
+
+def _marked(states: DataFrame) -> DataFrame:
+    """States of whole files with `broken`."""
+    tags = F.when(F.col("opening") | F.col("closing"), F.struct("opening", "name"))
+    level = F.when(F.col("opening") | F.col("closing"), F.col("level") + F.col("opening").cast("int"))
+    return states.withColumn("broken", _wrong(F.lag(tags).over(Window.partitionBy("file_path", level).orderBy("pos"))))
+
+
+def _broken(states: DataFrame, keys: list[str]) -> DataFrame:
+    """(file_path, broken): files with ends that have no start of their name at their level, or markup that never ends."""
+    if keys == ["file_path"]:
+        return _marked(states).where("broken").select("file_path", "broken")
+    tags = states.where("opening or closing or cut").select(*keys, "pos", "name", "opening", "closing", "cut", (F.col("level") + F.col("opening").cast("int")).alias("at"))
+    w, own = Window.partitionBy(*keys, "at").orderBy("pos"), F.struct("opening", "name")
+    rows = tags.withColumns({"prev": F.lag(own).over(w), "next": F.lag(own, -1).over(w)})
+    inner = rows.where(F.col("prev").isNotNull() | F.col("cut")).select("file_path", _wrong(F.col("prev")).alias("broken"))
+    # what a chunk leaves open at either end meets its counterpart in another: a few rows a chunk
+    edges = rows.where((F.col("closing") & F.col("prev").isNull()) | (F.col("opening") & F.col("next").isNull()))
+    across = edges.withColumn("prev", F.lag(own).over(Window.partitionBy("file_path", "at").orderBy("chunk", "pos")))
+    return inner.union(across.select("file_path", _wrong(F.col("prev")).alias("broken"))).where("broken")
+
+
+def _sources(spark: SparkSession, path: str, large_file: int) -> list[tuple[DataFrame, list[str]]]:
+    """Values with their keys: whole small files, and chunks of large ones if there are any."""
+    out = [(_small_files(spark, path, large_file), ["file_path"])]
+    large = _large_files(spark, path, large_file)
+    if not large.isEmpty():
+        out.append((written(_chunks(large)), ["file_path", "chunk"]))
+    return out
+
+
+# --- cases -------------------------------------------------------------------------
+
+
+def _case_rows(states: DataFrame, keys: list[str], of_file: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each closed case, and one for each suite that has texts of its own (`is_suite`); columns of the file stay."""
+    name, pos = F.col("name"), F.col("pos")
+    case, status, rerun = name == "testcase", name.isin(*_STATUSES), name.isin(*_RERUNS)
+    start, end, in_case = F.col("start"), F.col("end"), F.col("in_case")
+    in_suite = F.col("suites") > 0
+
+    def now(before: str, opens: Column, closes: Column) -> Column:
+        return F.when(F.coalesce(closes, F.lit(False)), False).when(F.coalesce(opens, F.lit(False)), True).otherwise(F.col(before))
+
+    rows = states.withColumns({
+        "case_now": F.col("case_no") + (case & start).cast("long"), "rerun_now": F.col("rerun_no") + (rerun & start).cast("long"),
+        "suite_now": F.col("suite_no") + F.col("outer").cast("long"),
+        "in_case_now": now("in_case", case & F.col("opening"), case & end & in_suite), "in_rerun_now": now("in_rerun", rerun & F.col("opening"), rerun & end & in_case),
+        "in_text_now": F.when(name.isin(*_TEXTS) & F.col("opening"), name).when(name.isin(*_TEXTS) & F.col("closing"), "").otherwise(F.col("in_text")),
+        "depth_now": F.col("suites") + F.when(name == "testsuite", F.col("opening").cast("int") - F.col("closing").cast("int")).otherwise(0),
+    }).withColumns({"case_now": F.coalesce("case_now", "case_no"), "rerun_now": F.coalesce("rerun_now", "rerun_no")})
+    rows = rows.withColumn("of_suite", F.col("text").isNotNull() & F.col("in_text_now").isin("system-out", "system-err") & ~F.col("in_case_now") & ~F.col("in_rerun_now") & (F.col("depth_now") > 0))
+    rows = rows.where((case & start) | in_case | F.col("of_suite")).withColumn("unit", F.when(F.col("of_suite"), -F.col("suite_now")).otherwise(F.col("case_now")))
+    text, kind = F.col("text"), F.col("in_text_now")
+    plain = text.isNotNull() & ~F.col("in_rerun_now")
+
+    def last(c: Column) -> Column:
+        return F.max_by(F.when(c, F.struct(pos, text.alias("text"))), F.when(c, pos))
+
+    closing = case & end & in_suite & (in_case | F.col("empty"))
+    rerun_part = F.when(rerun & start, F.lit("start")).when(rerun & F.col("closing") & F.col("in_rerun") & in_case, F.lit("end")).when(text.isNotNull() & F.col("in_rerun_now"), F.when(kind == "", "text").otherwise(kind))
+    # an element that is one tag both starts and ends; the text after an end isn't the rerun's
+    part = F.when(rerun_part.isNotNull(), F.struct(pos, F.col("rerun_now").alias("no"), rerun_part.alias("what"), F.when(rerun & start, name).alias("kind"), F.col("a"), (F.when(F.col("in_rerun_now"), text)).alias("text"), F.when(F.col("in_rerun_now"), kind).alias("where"), (rerun & F.col("empty")).alias("whole")))
+    return rows.groupBy(*keys, "unit").agg(
+        F.max("of_suite").alias("is_suite"), F.max("suite_now").alias("suite_now"), F.max(F.when(case & start, F.col("a"))).alias("a"),
+        F.max(F.when(closing, F.struct(pos, F.col("suite_no"), F.col("suite"), F.col("in_report"), F.col("reports"), F.col("report")))).alias("closed"),
+        F.min(F.when(status & start & in_case, F.struct(pos, name.alias("name"), F.col("a")))).alias("status"),
+        last(plain & (kind == "") & F.col("in_case_now")).alias("said"), last(plain & (kind == "system-out")).alias("out"), last(plain & (kind == "system-err")).alias("err"),
+        F.sort_array(F.collect_list(part)).alias("parts"), *(F.first(k).alias(k) for k in of_file),
+    ).where("is_suite or closed is not null")
+
+
+def _reruns(parts: Column) -> Column:
+    """Closed reruns of a case in order, each with its element's name as `kind`."""
+    texts = {"": "description", "stackTrace": "stack_trace", "system-out": "system_out", "system-err": "system_err"}
+
+    def said(no: Column, where: str) -> Column:
+        own = F.filter(parts, lambda p: (p["no"] == no) & (p["where"] == where) & p["text"].isNotNull())
+        return F.try_element_at(own, F.lit(-1))["text"]
+
+    closed = F.filter(parts, lambda p: p["kind"].isNotNull() & (p["whole"] | F.exists(parts, lambda q: (q["what"] == "end") & (q["no"] == p["no"]))))
+    return F.transform(closed, lambda p: F.struct(
+        p["kind"].alias("kind"), *(_attribute(p["a"], k).alias(k) for k in ("message", "type")), *(F.nullif(said(p["no"], w), F.lit("")).alias(k) for w, k in texts.items()), p["a"]["ts"].alias("ts"), p["a"]["time"].alias("time"),
+    ))
+
+
+def _cases(values: DataFrame, keys: list[str]) -> DataFrame:
+    states, name = _states(values, keys), F.col("name")
+    # what only the whole file tells: whether it is readable, and what is never closed
+    closes = F.coalesce((name == "testsuites") & ((F.col("closing") & F.col("in_report")) | F.col("empty")), F.lit(False))
+    told = {
+        "depth": F.sum(F.when(name == "testsuite", F.col("opening").cast("int") - F.col("closing").cast("int"))), "n_suites": F.count_if("outer"),
+        "closed_reports": F.collect_set(F.when(closes, F.col("reports") + F.col("empty").cast("long"))),
+    }
+    if keys == ["file_path"]:
+        whole = Window.partitionBy("file_path")
+        states = _marked(states).withColumns({"bad": F.max("broken").over(whole)} | {k: c.over(whole) for k, c in told.items()}).where("not bad")
+    rows = _case_rows(states, keys, () if "chunk" in keys else tuple(told))
+    x = F.col("closed")
+    order, chunked = [x["pos"]], keys != ["file_path"]
+    suite_no = F.when(F.col("is_suite"), F.col("suite_now")).otherwise(x["suite_no"])
+    rows = rows.withColumn("suite_no", suite_no)
+    if chunked:
+        suites = rows.where("is_suite").groupBy("file_path", "suite_no").agg(F.max_by("out.text", F.when(F.col("out").isNotNull(), F.struct("chunk", "out.pos"))).alias("suite_out"), F.max_by("err.text", F.when(F.col("err").isNotNull(), F.struct("chunk", "err.pos"))).alias("suite_err"))
+        rows = rows.where("not is_suite").join(suites, ["file_path", "suite_no"], "left")
+    else:
+        by_suite = Window.partitionBy("file_path", "suite_no")
+        rows = rows.withColumns({k: F.max(F.when(F.col("is_suite"), F.col(f"{c}.text"))).over(by_suite) for k, c in (("suite_out", "out"), ("suite_err", "err"))}).where("not is_suite")
+    if chunked:
+        files = states.groupBy("file_path").agg(*(c.alias(k) for k, c in told.items()))
+        rows = rows.join(files.join(_broken(states, keys).distinct(), "file_path", "left_anti"), "file_path")
+    kept = rows.where(((F.col("depth") <= 0) | (F.col("suite_no") < F.col("n_suites"))) & (~x["in_report"] | F.array_contains("closed_reports", x["reports"])))
+    seq = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    place = F.row_number().over(Window.partitionBy(*keys, "suite_no").orderBy(*order)) - 1
+    kept = kept.withColumns({"seq": seq.cast("long"), "case_pos": place})
+    if chunked:
+        kept = written(kept)
+        counts = kept.groupBy(*keys, "suite_no").agg(F.count("*").alias("c"))
+        offsets = counts.select(*keys, "suite_no", F.coalesce(F.sum("c").over(Window.partitionBy("file_path", "suite_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("in_suite_before"))
+        whole = counts.groupBy(*keys).agg(F.sum("c").alias("c")).select(*keys, F.coalesce(F.sum("c").over(Window.partitionBy("file_path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("in_file_before"))
+        kept = kept.join(whole, keys).join(offsets, [*keys, "suite_no"]).withColumns({"seq": F.col("seq") + F.col("in_file_before"), "case_pos": (F.col("case_pos") + F.col("in_suite_before")).cast("int")})
+
+    said = F.when(F.col("status").isNull() | (F.col("said.pos") >= F.col("status.pos")), F.col("said.text"))
+    c, st, s, r, in_report = F.col("a"), F.col("status.a"), x["suite"], x["report"], x["in_report"]
+    kind = F.when(F.col("status").isNull(), "SUCCESS").when(F.col("status.name") == "skipped", "SKIPPED").otherwise("FAILURE")
+    names = {"name": "name", "classname": "classname", "case_file": "file", "case_filepath": "filepath", "line": "line", "attempt_number": "attempt_number", "raw_id": "id"}
+    texts = {"system_out": F.col("out.text"), "system_err": F.col("err.text"), "suite_system_out": F.col("suite_out"), "suite_system_err": F.col("suite_err")}
+    rows = kept.select(
+        "file_path", (F.col("suite_no") - 1).cast("int").alias("suite_pos"), "case_pos", "seq", _attribute(s, "name").alias("parent_name"), *(_attribute(c, k).alias(n) for n, k in names.items()),
+        _attribute(s, "file").alias("suite_file"), _attribute(s, "filepath").alias("suite_filepath"), kind.alias("status"), _attribute(st, "message").alias("message"), _attribute(st, "type").alias("type"),
+        F.nullif(said, F.lit("")).alias("description"), *(t.alias(k) for k, t in texts.items()), c["ts"].alias("case_ts"), s["ts"].alias("suite_ts"), F.when(in_report, r["ts"]).alias("report_ts"),
+        c["time"].alias("case_time"), s["time"].alias("suite_time"), F.when(in_report, r["time"]).alias("report_time"),
+        F.when(F.size("parts") > 0, _reruns(F.col("parts"))).otherwise(F.array()).alias("reruns"), (2 * x["reports"] + (~in_report).cast("int")).alias("report_no"),
     )
 
+    def count(*kinds: str) -> Column:
+        return F.size(F.filter("reruns", lambda q: q["kind"].isin(*kinds)))
 
-def _events(files: DataFrame) -> DataFrame:
-    """A row for each start (step 1) and end (step -1) of an element, in order; an empty element is both.
+    return rows.select(*(k for k in rows.columns if k not in ("reruns", "report_no")), count("rerunFailure", "rerunError").alias("num_reruns"), count("flakyFailure", "flakyError").alias("num_flaky"), "reruns", "report_no")
 
-    Files without elements have one row without a name. `cut`: markup that never ends.
-    """
-    tags = F.filter(F.regexp_extract_all("value", F.lit(_MARKUP), F.lit(0)), lambda t: ~t.rlike("^<[!?]"))
-    rows = files.select("file_path", F.regexp_replace("value", _MARKUP, "").contains("<").alias("cut"), F.posexplode_outer(tags).alias("pos", "tag"))
-    tag = F.col("tag")
-    steps = F.when(tag.startswith("</"), F.array(F.lit(-1))).when(tag.endswith("/>"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
-    case_name = F.regexp_extract("tag", _CASE_NAME, 1)  # with its quotes
-    unnamed = F.trim(F.substring(case_name, 2, F.length(case_name) - 2)) == ""
-    return rows.select("file_path", "cut", "pos", F.regexp_extract("tag", r"^</?([^\s/>]+)", 1).alias("name"), unnamed.alias("unnamed"), F.explode(steps).alias("step"))
 
+def scan_junit(spark: SparkSession, path: str, large_file: int = LARGE_FILE) -> DataFrame:
+    """One row per case with its outermost suite, in the order in which cases end.
 
-def _with_state(events: DataFrame) -> DataFrame:
-    """Events with what is open before each: in_suite, in_case, in_rerun, in_report, and `broken` where an end has no start.
-
-    An end outside its parent closes nothing, and an element inside one of its kind takes
-    its place, so what is open is what the last event that could change it did. All windows
-    share one shuffle by file.
+    Cases of all reports of a file, and of suites outside reports; suite_pos counts a file's
+    outermost suites, report_no rises from report to report. Texts and attributes are
+    trimmed and cut to 8,000 bytes. `error` and `failure` are FAILURE; the first status in a
+    case counts. `reruns` has a case's closed reruns in order. Suites and reports that never
+    end, and files that aren't reports, are broken or empty, give no row; see
+    scan_junit_issues. Files of more than `large_file` bytes are read by several tasks.
     """
-    name, start, end = F.col("name"), F.col("step") == 1, F.col("step") == -1
-    order = ["pos", F.col("step").desc()]
-    before = Window.partitionBy("file_path").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-
-    def total(c: Column) -> Column:
-        return F.coalesce(F.sum(c).over(before), F.lit(0))
+    return reduce(DataFrame.unionByName, (_cases(values, keys) for values, keys in _sources(spark, path, large_file)))
 
-    def is_open(opens: Column, closes: Column) -> Column:
-        return F.coalesce(F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(before), F.lit(False))
 
-    level = total(F.col("step")) + F.when(start, 1).otherwise(0)
-    same = Window.partitionBy("file_path", "level").orderBy(*order)
-    rows = events.withColumn("level", level).withColumn("suites", total(F.when(name == "testsuite", F.col("step")))).withColumn("in_suite", F.col("suites") > 0)
-    rows = rows.withColumn("broken", end & ~F.coalesce((F.lag("step").over(same) == 1) & (F.lag("name").over(same) == name), F.lit(False)))
-    rows = rows.withColumn("in_report", is_open((name == "testsuites") & start, (name == "testsuites") & end)).withColumn("reports", total(((name == "testsuites") & start).cast("int")))
-    rows = rows.withColumn("in_case", is_open((name == "testcase") & start, (name == "testcase") & end & F.col("in_suite")))
-    rerun = name.isin(*_RERUNS)
-    return rows.withColumn("in_rerun", is_open(rerun & start, rerun & end & F.col("in_case")))
+# --- issues ------------------------------------------------------------------------
 
 
-def scan_junit_issues(spark: SparkSession, path: str) -> DataFrame:
-    """File-level problems: file_path, level (1 suboptimal, 2 invalid, 3 unreadable), error_message.
-
-    Found in the order of the file's elements, a row for each place. An unreadable file has
-    that one row. A report that never ends isn't one; suites outside a report are one.
-    Empty files, which the text reader skips, are found by comparison with the file list.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
-    # the readers skip empty files, their file index does not
-    listed = spark.createDataFrame([(p,) for p in spark.read.format("binaryFile").load(path).inputFiles()], "file_path string")
-    plain_name = F.regexp_replace("file_path", "^file:/+", "file:///")
-    empty = listed.withColumn("file_path", plain_name).join(files.select(plain_name.alias("file_path")), "file_path", "left_anti")
-    rows = _with_state(_events(files))
-    name, start, end, in_case = F.col("name"), F.col("step") == 1, F.col("step") == -1, F.col("in_case")
-    case, rerun = name == "testcase", name.isin(*_RERUNS)
+def _issues(values: DataFrame, keys: list[str]) -> DataFrame:
+    states = _states(values, keys)
+    name, start, end, in_case = F.col("name"), F.col("start"), F.col("end"), F.col("in_case")
+    case, rerun, report = name == "testcase", name.isin(*_RERUNS), name == "testsuites"
+    unnamed = F.coalesce(_attribute(F.col("a"), "name"), F.lit("")) == ""
+    in_suite, closing, empty = F.col("suites") > 0, F.col("closing"), F.col("empty")
     rules = [
-        ((name == "testsuites") & end & ~F.col("in_report"), ISSUES["report_end"]), (case & start & F.col("unnamed"), ISSUES["name"]),
-        (case & end & ~F.col("in_suite"), ISSUES["suite"]), (case & end & F.col("in_suite") & ~in_case, ISSUES["case_end"]),
-        (name.isin(*_STATUSES) & start & ~in_case, ISSUES["status"]), (rerun & end & ~in_case, ISSUES["rerun_end"]), (rerun & end & in_case & ~F.col("in_rerun"), ISSUES["rerun"]),
+        (report & closing & ~F.col("in_report"), ISSUES["report_end"]), (case & start & unnamed, ISSUES["name"]),
+        (case & end & ~in_suite, ISSUES["suite"]), (case & closing & in_suite & ~in_case, ISSUES["case_end"]),
+        (name.isin(*_STATUSES) & start & ~in_case, ISSUES["status"]), (rerun & end & ~in_case, ISSUES["rerun_end"]), (rerun & closing & in_case & ~F.col("in_rerun"), ISSUES["rerun"]),
     ]
     found = F.array_compact(F.array(*(F.when(t, F.lit(m)) for t, m in rules)))
-    loose_suite = (name == "testsuite") & end & (F.col("suites") == 1) & ~F.col("in_report")
-    by_file = rows.groupBy("file_path").agg(
-        F.max(F.coalesce(F.col("cut") | F.col("broken"), F.lit(False))).alias("unreadable"), (F.count_if((name == "testsuites") & end & F.col("in_report")) + F.count_distinct(F.when(loose_suite, F.col("reports")))).alias("n"),
-        F.sort_array(F.collect_list(F.when(F.size(found) > 0, F.struct("pos", F.col("step").alias("s"), found.alias("m"))))).alias("found"),
+    loose_suite = (name == "testsuite") & (closing & (F.col("suites") == 1) | empty & (F.col("suites") == 0)) & ~F.col("in_report")
+    chunk = F.col("chunk") if "chunk" in keys else F.lit(0).cast("long")
+    whole = keys == ["file_path"]
+    states = _marked(states) if whole else states.withColumn("broken", F.lit(False))
+    by_file = states.groupBy("file_path").agg(
+        F.max("broken").alias("broken"), (F.count_if(report & (closing & F.col("in_report") | empty)) + F.count_distinct(F.when(loose_suite, F.col("reports")))).alias("n"),
+        F.sort_array(F.collect_list(F.when(F.size(found) > 0, F.struct(chunk.alias("chunk"), "pos", found.alias("m"))))).alias("found"),
     )
+    if not whole:
+        by_file = by_file.drop("broken").join(_broken(states.drop("broken"), keys).distinct(), "file_path", "left")
 
     def issue(level: int, message: Column) -> Column:
         return F.struct(F.lit(level).alias("level"), message.alias("error_message"))
 
     last = F.when(F.col("n") == 0, F.array(issue(1, F.lit(ISSUES["no_report"])))).when(F.col("n") > 1, F.array(issue(2, F.lit(ISSUES["reports"])))).otherwise(F.array().cast("array<struct<level: int, error_message: string>>"))
     invalid = F.transform(F.flatten(F.transform("found", lambda x: x["m"])), lambda m: issue(2, m))
-    out = by_file.select("file_path", F.explode(F.when(F.col("unreadable"), F.array(issue(3, F.lit("could not parse XML")))).otherwise(F.concat(invalid, last))).alias("x")).select("file_path", "x.*")
-    return out.unionByName(empty.select("file_path", F.lit(1).alias("level"), F.lit(ISSUES["no_report"]).alias("error_message")))
+    return by_file.select("file_path", F.explode(F.when(F.col("broken"), F.array(issue(3, F.lit("could not parse XML")))).otherwise(F.concat(invalid, last))).alias("x")).select("file_path", "x.*")
+
+
+def scan_junit_issues(spark: SparkSession, path: str, large_file: int = LARGE_FILE) -> DataFrame:
+    """File-level problems: file_path, level (1 suboptimal, 2 invalid, 3 unreadable), error_message.
+
+    Found in the order of the file's elements, a row for each place. An unreadable file has
+    that one row. A report that never ends isn't one; suites outside a report are one.
+    Empty files, which the text reader skips, are found by their length.
+    """
+    listed = list_files(spark, [f"{path.rstrip('/')}/**", path]).where(F.col("size") == 0).where(~F.regexp_extract("path", "[^/]*$", 0).rlike("^[._]"))
+    empty = listed.select(F.col("path").alias("file_path"), F.lit(1).alias("level"), F.lit(ISSUES["no_report"]).alias("error_message"))
+    return reduce(DataFrame.unionByName, [*(_issues(values, keys) for values, keys in _sources(spark, path, large_file)), empty])
 
 
 def junit_xml(cases: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from testloom.functions.ids import uuid5
 from testloom.functions.times import legal_seconds
 from testloom.operators.rollups import flat_report, nested_report
+from testloom.sources.listing import list_files
 
+# Names of files that may be uploaded, and the ending of those that bundles leave out.
+NAMES = ("*.xml", "*.junit", "*.bin")
+UNBUNDLED = ".junit"
 # Where a job id stands in a worker's log.
 JOB_ID = r"INFO JobRunner\] Job ID (\S+)"
 JOB_ID_JSON = r'"jobId"\s*:\s*"([^"]+)"'
@@ -36,43 +38,30 @@ def scan_bundle_meta(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("schema_version", schema_version(F.col("bundle_upload_id_v2").isNotNull(), F.col("failed_tests").isNotNull(), F.col("command_line").isNotNull(), F.col("num_files").isNotNull() & F.col("num_tests").isNotNull()))
 
 
-def discover_files(spark: SparkSession, globs: list[str], start: str | None = None, names: tuple[str, ...] = ("*.xml", "*.bin"), bundle: str = "") -> DataFrame:
+def discover_files(spark: SparkSession, globs: list[str], start: str | None = None, names: tuple[str, ...] = NAMES, bundle: str = "") -> DataFrame:
     """Report files of each glob: set_pos, path, modified, bundle, is_internal, bundled_path.
 
-    If no glob matches anything they are taken as folders, and files of `names` at any depth
-    below them are found. Files of other names, and files older than the run's start, are
-    left out. Contents aren't read. `bundle` is a pattern whose first group in a path is its
-    bundle; places are counted inside a bundle. Without it all files are one bundle.
+    `**` stands for any number of folders. If nothing that can be bundled is found, globs are
+    taken as folders and files of `names` at any depth below them are found, a set for each
+    folder and name. Files of other names, and files older than the run's start, are left
+    out. Files of one bundle and kind are numbered in order of their sets and paths; a file of
+    two sets is bundled twice, and one of an allowed name that bundles don't take (`.junit`) has a
+    row without bundled_path. Contents aren't read, and tasks list the folders. `bundle` is a
+    pattern whose first group in a path is its bundle. Without it all files are one.
     """
-    columns = "set_pos int, path string, modified timestamp, bundle string, is_internal boolean, bundled_path string"
-
-    def listed(paths: list[str], options: dict[str, str]) -> list[DataFrame]:
-        read = spark.read.format("binaryFile").options(**options)
-        return [read.load(p).select(F.lit(i).alias("set_pos"), "path", F.col("modificationTime").alias("modified")) for i, p in paths]
-
-    def matching(paths: list[str]) -> list[tuple[int, str]]:
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        conf = spark._jsc.hadoopConfiguration()
-        return [(i, p) for i, p in enumerate(paths) if (found := path(p).getFileSystem(conf).globStatus(path(p))) and len(found)]
-
-    def is_folder(p: str) -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        return "*" not in p and path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-
-    usable = matching(globs)
-    files, folders = [x for x in usable if not is_folder(x[1])], [x for x in usable if is_folder(x[1])]
-    found = listed(files, {})
-    for name in names if not files else ():
-        found += listed(folders, {"recursiveFileLookup": "true", "pathGlobFilter": name})
-    if not found:
-        return spark.createDataFrame([], columns)
-    rows = reduce(DataFrame.unionByName, found)
-    rows = rows.where(F.col("path").rlike("|".join("(?:" + n.replace(".", r"\.").replace("*", "[^/]*") + "$)" for n in names)))
-    rows = rows.where(F.col("modified") >= F.lit(start).cast("timestamp")) if start else rows
-    rows = rows.groupBy("path").agg(F.min("set_pos").alias("set_pos"), F.max("modified").alias("modified"))
+    allowed = "|".join("(?:" + n.replace(".", r"\.").replace("*", "[^/]*") + "$)" for n in names)
+
+    def found(which: list[str]) -> DataFrame:
+        rows = list_files(spark, which).where(F.col("path").rlike(allowed))
+        return rows.where(F.col("modified") >= F.lit(start).cast("timestamp")) if start else rows
+
+    bundled = ~F.col("path").endswith(UNBUNDLED)
+    rows = found(globs)
+    if rows.where(bundled).isEmpty():
+        rows = found([f"{g.rstrip('/')}/**/{n}" for g in globs for n in names if not n.endswith(UNBUNDLED)])
     rows = rows.withColumn("bundle", F.regexp_extract("path", bundle, 1) if bundle else F.lit("")).withColumn("is_internal", F.col("path").endswith(".bin"))
-    place = F.row_number().over(Window.partitionBy("bundle", "is_internal").orderBy("set_pos", "path")) - 1
-    return rows.select("set_pos", "path", "modified", "bundle", "is_internal", F.concat(F.when(F.col("is_internal"), F.lit("internal/")).otherwise(F.lit("junit/")), place.cast("string")).alias("bundled_path"))
+    place = F.count_if(bundled).over(Window.partitionBy("bundle", "is_internal").orderBy("set_pos", F.split("path", "/"))) - 1
+    return rows.select("set_pos", "path", "modified", "bundle", "is_internal", F.when(bundled, F.concat(F.when(F.col("is_internal"), F.lit("internal/")).otherwise(F.lit("junit/")), place.cast("string"))).alias("bundled_path"))
 
 
 def scan_runner_logs(spark: SparkSession, path: str) -> DataFrame:
