@@ -42,29 +42,44 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+#: Columns the last stage adds.
+MIXED = ("size", "source_size", "target", "taken", "finish_time")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus in the order of the mix: the documents with the words to take of each.
 
-    The texts are all different by now, so an id and a text's hash are one document.
+    Adds size, source_size, target, taken and finish_time; a given column of one of these
+    names is replaced, all others stay. The texts are all different by now, so an id and a
+    text's hash are one document.
     """
-    taken = mixing.mix_sources(docs, with_tie=True)
-    rows = docs.select(*(F.col(c) for c in docs.columns if c not in taken.columns or c == "doc_id"), F.xxhash64("text").alias("tie_of_text"))
-    joined = rows.join(taken.withColumnRenamed("doc_id", "id_of_taken"), F.col("doc_id").eqNullSafe(F.col("id_of_taken")) & (F.col("tie_of_text") == F.col("tie")))
-    return joined.drop("tie_of_text", "id_of_taken", "tie").orderBy("finish_time", "doc_id")
+    taken = mixing.mix_sources(docs, with_tie=True).select(F.col("doc_id").alias("id"), "tie", F.struct(*MIXED).alias("mix"))
+    rows = docs.select(F.struct(*(c for c in docs.columns if c not in MIXED)).alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text").alias("hash"))
+    joined = rows.join(taken, F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("tie")))
+    return joined.orderBy("mix.finish_time", "of").select("row.*", "mix.*")
 
 
 STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("contaminated", contaminated), ("mixed", mixed)]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+def apply(stages: list[tuple], spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each stage over what the one before kept; all results but the last are written."""
+    for name, stage in stages:
         docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
+        if name != stages[-1][0]:
             docs = materialize(docs)
     return docs
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply(STAGES, spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def run_after_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages two to five over all documents, which SQL can express."""
+    return apply(STAGES[1:], spark, table(spark, sf_dir, "documents"), sf_dir).select("doc_id", *MIXED)
+
+
 def _over(sql: str, source: str) -> str:
     return sql.replace("from documents", f"from {source}").replace("documents d", f"{source} d")
 

@@ -76,9 +76,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
+def pipeline_after_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages two to five of the pipeline over all documents: what SQL can check."""
+    from corpus_pipeline import run_after_language
+
+    return run_after_language(spark, sf_dir)
+
+
+def _pipeline_sql() -> str:
+    from corpus_pipeline import AFTER_LANGUAGE_SQL
+
+    return AFTER_LANGUAGE_SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_token_counts, op2_language_id, op3_html_extract, op4_decontaminate, op5_exact_dedup, op6_ngram_join, op7_mixing, op8_substring_dedup, op9_suffix_dedup, op10_chat_format, op11_simhash, op12_ranked_search, op13_centroids)
-    return {f.__name__: f for f in ops} | {"pipeline": pipeline}
+    return {f.__name__: f for f in ops} | {"pipeline": pipeline, "pipeline_after_language": pipeline_after_language}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -91,4 +104,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_chat_format": chat_format.ORACLE_SQL,
         "op12_ranked_search": ranked_search.ORACLE_SQL,
         "op13_centroids": centroids.ORACLE_SQL,
+        "pipeline_after_language": _pipeline_sql(),
     }  # the pipeline's first stage is a trained model, which SQL can't express

@@ -701,3 +701,23 @@ def test_stages_on_odd_rows(spark, docs):
         assert out.columns == before.columns and out.count() <= before.count()
         assert stage(spark, before.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, out, SF).count() == out.count()
+
+
+def test_last_stage_keeps_given_columns(spark):
+    """Names of the stage's own steps are free; names of its results are replaced."""
+    given = frame(spark, ["a b c", "d e", None, "f"]).withColumns({c: F.lit("given") for c in ("tie_of_text", "id_of_taken", "tie", "row", "of", "hash", "mix", "size", "taken")})
+    rows = corpus_pipeline.mixed(spark, given, SF).collect()
+    assert len(rows) == 4 and {r[c] for r in rows for c in ("tie_of_text", "id_of_taken", "tie", "row", "of", "hash", "mix", "id")} == {"given", 7}
+    assert sorted((r.doc_id, r.size) for r in rows) == [(0, 3), (1, 2), (2, 0), (3, 1)]
+
+
+def test_language_stage_says_what_it_rejects(spark):
+    """Of documents that nothing is learned from: prose stays, bytes by chance and other scripts go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(2)
+    noise = ["".join(chr(rng.randrange(33, 127)) for _ in range(900)) for _ in range(20)] + ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200)) for _ in range(20)] + ["1234 5678 !!", ""]
+    odd = spark.createDataFrame([(10**6 + i, t, None, "noise", len(t)) for i, t in enumerate(noise)], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.unionByName(odd), SF)
+    good = docs.where(queries.held_out() & F.col("text").rlike(r"\p{L}"))
+    assert kept.where("source = 'noise'").count() == 0
+    assert kept.join(good.select("doc_id"), "doc_id", "left_semi").count() >= 0.99 * good.count()
