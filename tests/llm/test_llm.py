@@ -721,3 +721,84 @@ def test_language_stage_says_what_it_rejects(spark):
     good = docs.where(queries.held_out() & F.col("text").rlike(r"\p{L}"))
     assert kept.where("source = 'noise'").count() == 0
     assert kept.join(good.select("doc_id"), "doc_id", "left_semi").count() >= 0.99 * good.count()
+
+
+PARAGRAPH = "This is one paragraph of {0}, with some words and marks; it goes on for about one hundred and ten characters. "
+
+
+def html_cases():
+    """(page, blocks that must be there in order, text that must not)."""
+    p = "<p>" + PARAGRAPH.format("the story") + "</p>"
+    story, other = PARAGRAPH.format("the story").strip(), "<p>" + PARAGRAPH.format("a reply") + "</p>"
+    replies = "".join(f"<div class='msg'>{other * 4}</div>" for _ in range(8))
+    return {
+        "page_wide_form": (f"<form id='aspnetForm'><div class='content'>{p * 3}</div></form>", [story] * 3, "reply"),
+        "small_form": (f"<div><h1>T</h1>{p * 3}<form><p>Write to us, if you like it.</p><input></form></div>", ["T", *[story] * 3], "Write"),
+        "long_replies": (f"<article><h1>T</h1>{p * 2}</article><section id='discussion'>{replies}</section>", ["T", story, story], "reply"),
+        "many_replies": (f"<article><h1>T</h1>{p * 8}</article><section id='discussion'>{replies}{replies}</section>", ["T", *[story] * 8], "reply"),
+        "labelled_replies": (f"<main>{p * 2}" + f"<article class='comment'>{other}</article>" * 8 + "</main>", [story, story], "reply"),
+        "replies_without_article": (f"<div class='a1'><h1>T</h1><div class='x'>{p * 3}</div></div><div class='b2'>{replies}</div>", ["T", *[story] * 3], "reply"),
+        "title_in_a_header": (f"<article><div class='header'><h1>T</h1></div>{p * 2}</article>", ["T", story, story], "reply"),
+        "byline": (f"<h1>T</h1><div class='byline'>By Ann</div>{p * 3}", ["T", "By Ann", *[story] * 3], "reply"),
+        "paragraph_called_social": (f"<article><h1>T</h1>{p}<p class='social'>So it was said.</p>{p}</article>", ["T", story, "So it was said.", story], "reply"),
+        "formula": (f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given.</p>{p}</article>", ["Let x=2 be given.", story], "reply"),
+        "sections": ("<div class='doc'><h1>T</h1>" + "".join(f"<section><h2>S{k}</h2>{p * 2}</section>" for k in range(4)) + "</div>", ["T", *(x for k in range(4) for x in (f"S{k}", story, story))], "reply"),
+    }
+
+
+@pytest.mark.parametrize("name", html_cases())
+def test_html_cases(name):
+    page, want, not_there = html_cases()[name]
+    got = html_extract.main_blocks(f"<html><body>{page}</body></html>")
+    assert got == want and not_there not in " ".join(got)
+
+
+def pages_without_article(n):
+    """Pages of div elements whose class names say nothing, with the words of their story."""
+    rng = random.Random(12)
+
+    def sentence(kind, k):
+        return " ".join(f"{kind}{rng.randrange(10**6)}" for _ in range(k)) + rng.choice([".", ".", "!", "?"])
+
+    def prose(kind, k):
+        return ", ".join(sentence(kind, rng.randint(5, 14)) for _ in range(k))
+
+    for _ in range(n):
+        links = lambda k: "".join(f"<li><a href='#'>x{rng.randrange(999)} y</a></li>" for _ in range(k))
+        paragraphs = [f"<p>{prose('s', rng.randint(2, 5))}</p>" for _ in range(rng.randint(3, 12))]
+        for i in range(len(paragraphs)):
+            if rng.random() < 0.15:
+                paragraphs[i] = f"<h2>{sentence('s', 3)}</h2>" + paragraphs[i]
+            if rng.random() < 0.1:
+                paragraphs[i] += f"<blockquote>{prose('s', 2)}</blockquote>"
+        story = f"<h1>{sentence('s', 5)}</h1>" + "".join(paragraphs)
+        beside = f"<div class='c3'><div>x{rng.randrange(99)} offers</div><ul>{links(6)}</ul><div>{sentence('x', 3)}</div></div>"
+        replies = "".join(f"<div class='c7'><span>x{k}</span><p>{prose('x', rng.randint(1, 4))}</p></div>" for k in range(rng.choice([0, 0, 4, 9])))
+        parts = [f"<div class='c1'><ul>{links(8)}</ul></div>", f"<div class='c2'><div class='c4'>{story}</div></div>", beside, f"<div class='c6'>{replies}</div>" if replies else "", f"<div class='c5'><div>x 2024 x</div><ul>{links(5)}</ul></div>"]
+        if rng.random() < 0.5:
+            parts[1], parts[2] = parts[2], parts[1]
+        page = "<html><head><title>x</title></head><body>" + "".join(parts) + "</body></html>"
+        yield page, re.findall(r"s\d+", story)
+
+
+def test_html_without_article(monkeypatch):
+    found = want = right = 0
+    pages = list(pages_without_article(120))
+    texts = [html_extract.main_blocks(page) for page, _ in pages]
+    for text, (_, story) in zip(texts, pages, strict=True):
+        got = Counter(re.findall(r"[a-z]\d+", " ".join(text)))
+        right += sum((got & Counter(story)).values())
+        found, want = found + got.total(), want + len(story)
+    assert right >= 0.95 * want and right >= 0.95 * found, (right, found, want)
+    # the ratios decide: with all of them one, pages come out otherwise
+    plain = html_extract.fused_ratios
+    monkeypatch.setattr(html_extract, "fused_ratios", lambda blocks: (html_extract.label_weights(blocks), plain(blocks)[1]))
+    assert sum(html_extract.main_blocks(page) != text for text, (page, _) in zip(texts, pages, strict=True)) >= 0.1 * len(pages)
+
+
+def test_html_of_empty_tables_and_lost_ids(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long, id long"
+    assert html_extract.extract_text(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, None, None, "x", 1, 2), (None, "u", "", "x", 1, 2), (1, "u", "<p>One, two.</p>", "x", 1, 2), (1, "u", "<p>One, two.</p>", "x", 1, 2)]
+    out = html_extract.extract_text(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out) == [(0, "", 0), (0, "", 0), (1, "One, two.", 9), (1, "One, two.", 9)]
