@@ -61,6 +61,22 @@ def flag_quarantined(runs: DataFrame, quarantine: DataFrame, keys: tuple[str, ..
     return runs.join(q, list(keys), "left").withColumn("is_quarantined", F.coalesce("_q", F.lit(False))).drop("_q")
 
 
+def flag_quarantined_as_of(runs: DataFrame, versions: DataFrame, keys: tuple[str, ...] = ("bundle_id",), time: str = "time_ms") -> DataFrame:
+    """J5 for lists that change: runs with `list_ms`, the newest version at or before the run's time, and is_quarantined by it.
+
+    versions: keys, list_ms, test_id, a row for each member of a version; a null test_id makes
+    an empty version known. Before the first version, or without a time, nothing is
+    quarantined. Versions of a list are one sorted array, so a run finds its own inside its
+    row, and members are joined by equality: there is no range join, and no window that a
+    list with many runs would fill.
+    """
+    lists = versions.groupBy(*keys).agg(F.sort_array(F.collect_set("list_ms")).alias("_versions"))
+    at = F.try_element_at(F.filter("_versions", lambda v: v <= F.col(time)), F.lit(-1))
+    rows = runs.join(lists, list(keys), "left").withColumn("list_ms", at).drop("_versions")
+    members = versions.where("test_id is not null").select(*keys, "list_ms", "test_id").distinct().withColumn("_q", F.lit(True))
+    return rows.join(members, [*keys, "list_ms", "test_id"], "left").withColumn("is_quarantined", F.coalesce("_q", F.lit(False))).drop("_q")
+
+
 def split_quarantined(failures: DataFrame, quarantine: DataFrame) -> DataFrame:
     """Failures with `quarantined`: listed, or flagged by the run itself."""
     flagged = F.coalesce(F.col("is_quarantined"), F.lit(False)) if "is_quarantined" in failures.columns else F.lit(False)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from testloom.functions.text import BRANCH_BYTES, EMAIL_BYTES, FIELD_BYTES, SHA_BYTES, too_long, too_short
@@ -196,6 +196,21 @@ def validation_summary(files: DataFrame, levels: DataFrame, run_keys: list[str],
     return out.withColumn("exit_code", F.when(F.col("num_error_files") > 0, F.lit(1)).otherwise(F.lit(0)))
 
 
+def write_issues(found: DataFrame, path: str) -> DataFrame:
+    """Write issues as Parquet; one row with the run's totals, observed while they are written.
+
+    Columns num_issues, max_level, num_invalid, num_suboptimal: the issues are computed once.
+    """
+    totals = Observation()
+    level = F.col("level")
+    found.observe(
+        totals, F.count(F.lit(1)).alias("num_issues"), F.coalesce(F.max(level), F.lit(0)).alias("max_level"),
+        F.count_if(level >= INVALID).alias("num_invalid"), F.count_if(level == SUBOPTIMAL).alias("num_suboptimal"),
+    ).write.parquet(path)
+    seen = totals.get
+    return found.sparkSession.createDataFrame([tuple(seen[k] for k in ("num_issues", "max_level", "num_invalid", "num_suboptimal"))], "num_issues long, max_level int, num_invalid long, num_suboptimal long")
+
+
 def owner_coverage_warning(cases: DataFrame, has_owners: Column, run_keys: list[str]) -> DataFrame:
     """Whether owners exist but some case has no file."""
     return cases.groupBy(*run_keys).agg(F.max(has_owners & (F.coalesce("file", F.lit("")) == "")).alias("owners_but_no_file"))

@@ -6,12 +6,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from testloom.functions.steps import shared_folder
 from testloom.functions import text as T
+from testloom.functions.steps import shared_folder
 from testloom.operators import ci as C
 from testloom.plans.adapters import IDS, view
 from testloom.plans.registry import query
-from testloom.sources.uploads import scan_bundle_meta
+from testloom.sources.uploads import bundle_meta_json, scan_bundle_meta
 
 STABLE = ("main", "master")
 
@@ -156,6 +156,28 @@ def meta_version(spark, sf_dir):
     return out.select(F.col("bundle_upload_id").cast("long").alias("bundle_id"), "schema_version", "num_files", "command_line", F.col("repo.repo_head_branch").alias("branch"), F.coalesce(F.size("failed_tests"), F.lit(0)).alias("n_failed"))
 
 
+#: What a metadata file has beside its fields: kinds of unknown values, and fields that are null.
+BESIDE = ('"x": 1.5', '"x": "1.5"', '"x": {"a": [1, null, "é"]}', '"num_tests": null', '"variant": null, "x": false', '"org": "o"')
+
+
+@query("S4_meta_unknown_fields", "ci", f"""with k as (select bundle_id, cast(bundle_id % {len(BESIDE)} as int) as k from ci)
+  select bundle_id, case when k in (3) then '0.5.29' else '0.7.7' end as schema_version, case k when 0 then '{{"x":1.5}}' when 1 then '{{"x":"1.5"}}' when 2 then '{{"x":{{"a":[1,null,"é"]}}}}' when 4 then '{{"x":false}}' end as unknown,
+  case k when 3 then 'num_tests' when 4 then 'variant' else '' end as nulls, case when k = 5 then 'o' end as org from k""")
+def meta_unknown_fields(spark, sf_dir):
+    """Files scanned, written again and scanned again: unknown fields keep their types, null and absent stay apart."""
+    b = F.col("bundle_id")
+    beside = F.element_at(F.array(*map(F.lit, BESIDE)), (b % len(BESIDE) + 1).cast("int"))
+    known = F.when(b % len(BESIDE) == 3, "").otherwise('"num_tests": 2, ')
+    text = F.concat(F.lit('{"bundle_upload_id": "'), b.cast("string"), F.lit('", "num_files": 1, '), known, F.lit('"command_line": "c", "bundle_upload_id_v2": "v", '), beside, F.lit("}"))
+    files = view(spark, sf_dir, "ci").groupBy(F.floor(b / 1000)).agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ","), F.lit("]")).alias("value"))
+    path, again = shared_folder(spark), shared_folder(spark)
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    written = scan_bundle_meta(spark, path).select(bundle_meta_json().alias("value"), F.floor(F.col("bundle_upload_id").cast("long") / 1000).alias("k"))
+    written.groupBy("k").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(again)
+    out = scan_bundle_meta(spark, again)
+    return out.select(F.col("bundle_upload_id").cast("long").alias("bundle_id"), "schema_version", "unknown", F.array_join("nulls", ",").alias("nulls"), "org")
+
+
 @query("P22_as_meta_version", "ci", """with m as (select *, cast(bundle_id % 7 as int) as k, cast(bundle_id as varchar) as b from ci)
   select bundle_id, ['0.5.29', '0.5.34', '0.6.2', '0.6.3', '0.7.6', '0.7.7', '0.7.8'][k + 1] as version, case when k >= 1 then bundle_id end as num_files, case when k >= 2 then title end as command_line,
     case when k = 3 then coalesce(nullif(author_email, ''), b) when k > 3 then nullif(author_email, '') end as bundle_upload_id_v2, case when k >= 4 then ref end as variant, case when k >= 5 then pr end as internal_bundled_file, case when k >= 6 then title end as failed_tests from m""")

@@ -65,6 +65,23 @@ def flag_quarantined(spark, sf_dir):
     return Q.flag_quarantined(r, quarantine_list(r)).select("seq", "test_id", "is_quarantined")
 
 
+#: Three versions of each bundle's list, over the time of its runs; every version has members of its own.
+VERSIONS = """span as (select bundle_id, min(time_ms) as t0, max(time_ms) - min(time_ms) as d from ids group by 1),
+  versions as (select bundle_id, t0 + (d // 4) * k as list_ms, test_id from span join (select distinct bundle_id, test_id from ids) using (bundle_id), (values (1, '0'), (2, '4'), (3, '8')) v(k, c)
+    where substr(md5(test_id), k, 1) >= c)"""
+
+
+@query("J5_flag_quarantined_as_of", "runs", f"""with {IDS}, {VERSIONS}, x as (select ids.bundle_id, seq, ids.test_id, max(l.list_ms) as list_ms from ids left join (select distinct bundle_id, list_ms from versions) l on l.bundle_id = ids.bundle_id and l.list_ms <= ids.time_ms group by all)
+  select seq, x.list_ms, v.test_id is not null as is_quarantined from x left join versions v on v.bundle_id = x.bundle_id and v.list_ms = x.list_ms and v.test_id = x.test_id""")
+def flag_quarantined_as_of(spark, sf_dir):
+    r = runs(spark, sf_dir)
+    span = r.groupBy("bundle_id").agg(F.min("time_ms").alias("t0"), (F.max("time_ms") - F.min("time_ms")).alias("d"))
+    tests = r.select("bundle_id", "test_id").distinct().join(span, "bundle_id")
+    member = F.array_compact(F.array(*(F.when(F.substring(F.md5("test_id"), k, 1) >= c, F.lit(k)) for k, c in ((1, "0"), (2, "4"), (3, "8")))))
+    versions = tests.withColumn("k", F.explode(member)).select("bundle_id", (F.col("t0") + F.floor(F.col("d") / 4) * F.col("k")).alias("list_ms"), "test_id")
+    return Q.flag_quarantined_as_of(r, versions).select("seq", "list_ms", "is_quarantined")
+
+
 @query(
     "J6_is_quarantined", "runs",
     f"""with {IDS}, {QUARANTINE}, sw as (select distinct bundle_id, bundle_id % 7 = 0 as d from runs where bundle_id % 11 <> 0)

@@ -154,12 +154,15 @@ def scan_xcresult(spark, sf_dir):
     return out.groupBy(F.col("plan_name").cast("long").alias("bundle_id"), "parent_name", "name", "classname", "status", "message").agg(F.count("*").alias("n"))
 
 
-@query("S11_scan_runner_logs", "runs", "select cast(bundle_id as varchar) as runner, 'job-' || min(seq) as job_id from runs group by 1")
+@query("S11_scan_runner_logs", "runs", "select cast(bundle_id as varchar) as runner, 'job-' || max(seq) as job_id from runs group by 1")
 def scan_runner_logs(spark, sf_dir):
-    """A log for each bundle: the ids of its runs in order, of which the first counts."""
+    """Three logs for each bundle: the newest has no id, the one before has its runs from the last on, the oldest from the first on."""
     path = shared_folder(spark)
-    lines = F.transform(F.array_sort(F.collect_list("seq")), lambda n: F.concat(F.lit("[2024 INFO JobRunner] Job ID job-"), n.cast("string"), F.lit(" begins")))
-    view(spark, sf_dir, "runs").groupBy("bundle_id").agg(F.concat(F.lit("started\n"), F.array_join(lines, "\n")).alias("value")).repartition("bundle_id").write.partitionBy("bundle_id").text(path)
+    said = F.lit("[2024 INFO JobRunner] Job ID job-")
+    for order in (F.array_sort, lambda c: F.sort_array(c, asc=False), None):
+        lines = F.lit("nothing") if order is None else F.array_join(F.transform(order(F.collect_list("seq")), lambda n: F.concat(said, n.cast("string"), F.lit(" begins"))), "\n")
+        logs = view(spark, sf_dir, "runs").groupBy("bundle_id").agg(F.concat(F.lit("started\n"), lines).alias("value"))
+        logs.repartition("bundle_id").write.mode("append").partitionBy("bundle_id").text(path)
     return U.scan_runner_logs(spark, path).select(F.regexp_extract("runner_dir", r"bundle_id=(\d+)", 1).alias("runner"), "job_id")
 
 

@@ -112,6 +112,11 @@ def summary(spark, sf_dir):
     return V.validation_summary(files, V.issue_levels(found, keys), ["bundle_id"], keys)
 
 
+@query("A15_totals_while_writing", "cases_t", f"with {ISSUES} select count(*) as num_issues, cast(max(level) as int) as max_level, count_if(level = 2) as num_invalid, count_if(level = 1) as num_suboptimal from iss")
+def totals_while_writing(spark, sf_dir):
+    return V.write_issues(case_issues(spark, sf_dir), shared_folder(spark))
+
+
 #: Report files by kind, and what each is found to be: invalid and suboptimal issues.
 PARSED = (("<testsuites><testsuite>", 0, 1), ("<testsuites></testsuite>", 1, 0), ("<testsuites/><testsuites/>", 1, 0), ("<testsuites><testsuite/></testsuites>", 0, 0), ("<a><failure/><testsuites/></a>", 1, 0))
 

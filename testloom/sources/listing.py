@@ -7,6 +7,7 @@ folder in which no state is left isn't listed.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import sys
@@ -215,3 +216,36 @@ def list_files(spark: SparkSession, globs: list[str]) -> DataFrame:
         rows = rows.where(rows.path.rlike(automaton))
         out = rows if out is None else out.union(rows)
     return out
+
+
+def first_match(pattern: str):
+    """For mapInArrow over (runner_dir, paths): runner_dir, job_id, bytes_read; the id is the first group that matches in the first line with a match of the first path with one, bytes read.
+
+    Paths after that aren't opened, and a file is read up to its match.
+    """
+
+    def found(path: str) -> tuple[str | None, int]:
+        fs, inner, _ = file_system(path)
+        size = 0
+        with fs.open_input_stream(inner) as stream:
+            for line in io.BufferedReader(stream):
+                size += len(line)
+                if m := re.search(pattern, line.decode("utf-8", "replace")):
+                    return next(g for g in m.groups() if g is not None).strip(), size
+        return None, size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, sizes = [], []
+            for paths in batch.column(1).to_pylist():
+                value, total = None, 0
+                for path in paths:
+                    value, size = found(path)
+                    total += size
+                    if value is not None:
+                        break
+                values.append(value)
+                sizes.append(total)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string()), pa.array(sizes, pa.int64())], ["runner_dir", "job_id", "bytes_read"])
+
+    return run

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from testloom.functions.ids import uuid5
 from testloom.functions.times import legal_seconds
 from testloom.operators.rollups import flat_report, nested_report
-from testloom.sources.listing import list_files
+from testloom.sources.listing import first_match, knows, list_files
 
 # Names of files that may be uploaded, and the ending of those that bundles leave out.
 NAMES = ("*.xml", "*.junit", "*.bin")
@@ -32,12 +33,37 @@ def schema_version(has_v2: Column, has_failed: Column, has_command: Column, has_
     return F.when(has_counts & has_command & has_v2 & has_failed, F.lit("0.7.8")).when(has_counts & has_command & has_v2, F.lit("0.7.7")).when(has_counts & has_command, F.lit("0.6.2")).when(has_counts, F.lit("0.5.34")).otherwise(F.lit("0.5.29"))
 
 
+def _fields() -> dict[str, str]:
+    """Names and types of the fields in META."""
+    return {f.name: f.dataType.simpleString() for f in StructType.fromDDL(META).fields}
+
+
 def scan_bundle_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata files of any version in one schema, with schema_version."""
-    rows = spark.read.schema(META).json(path, multiLine=True)
+    """Metadata files of any version in one schema, with schema_version, unknown and nulls.
+
+    A file is an object or an array of objects. `unknown`: JSON of the fields no version
+    has, with their types, null without any; `nulls`: known fields that are there as null.
+    A file that isn't JSON gives a row of nulls.
+    """
+    rows, known = spark.read.text(path, wholetext=True), _fields()
+    others = [c for c in rows.columns if c != "value"]  # of partitioned folders
+    value = F.try_parse_json("value")
+    rows = rows.select(*others, F.explode(F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))).alias("v"))
+    rows = rows.select(*others, F.try_variant_get("v", "$", f"struct<{', '.join(f'{k}: {t}' for k, t in known.items())}>").alias("m"), F.try_variant_get("v", "$", "map<string, variant>").alias("fields"))
+    unknown = F.map_filter("fields", lambda k, _: ~k.isin(*known))
+    nulls = F.array_sort(F.map_keys(F.map_filter("fields", lambda k, v: k.isin(*known) & F.is_variant_null(v))))
+    rows = rows.select("m.*", *others, F.when(F.size(unknown) > 0, F.to_json(unknown)).alias("unknown"), F.coalesce(nulls, F.array().cast("array<string>")).alias("nulls"))
     return rows.withColumn("schema_version", schema_version(F.col("bundle_upload_id_v2").isNotNull(), F.col("failed_tests").isNotNull(), F.col("command_line").isNotNull(), F.col("num_files").isNotNull() & F.col("num_tests").isNotNull()))
 
 
+def bundle_meta_json() -> Column:
+    """A scanned row as JSON again: known fields, those that were null, and unknown ones as they were."""
+    known = F.to_json(F.struct(*_fields()))
+    nulls = F.array_join(F.transform("nulls", lambda n: F.concat(F.lit('"'), n, F.lit('":null'))), ",")
+    parts = F.array(F.substring(known, F.lit(2), F.length(known) - 2), nulls, F.substring("unknown", F.lit(2), F.length("unknown") - 2))
+    return F.concat(F.lit("{"), F.array_join(F.filter(parts, lambda p: p != ""), ","), F.lit("}"))
+
+
 def discover_files(spark: SparkSession, globs: list[str], start: str | None = None, names: tuple[str, ...] = NAMES, bundle: str = "") -> DataFrame:
     """Report files of each glob: set_pos, path, modified, bundle, is_internal, bundled_path.
 
@@ -65,11 +91,24 @@ def discover_files(spark: SparkSession, globs: list[str], start: str | None = No
 
 
 def scan_runner_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Job id of each runner folder: the newest log with one, its first line with one."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.posexplode(F.split("value", "\n")).alias("line_number", "line"))
+    """runner_dir, job_id, bytes_read: of each runner's folder the newest log with an id, its first line with one.
+
+    Logs are ranked by their times before any is read; a task opens a folder's logs newest
+    first and stops at the first id. Of logs of one time the later name comes first. Folders
+    without an id have no row. A store that only the JVM can open is read as a whole.
+    """
+    glob = f"{path.rstrip('/')}/**"
+    runner = F.regexp_replace("file", r"/(?:_diag/)?[^/]*$", "").alias("runner_dir")
+    if knows(glob):
+        files = list_files(spark, [glob]).where(~F.regexp_extract("path", "[^/]*$", 0).rlike("^[._]")).withColumnRenamed("path", "file")
+        newest = F.transform(F.sort_array(F.collect_list(F.struct("modified", "file")), asc=False), lambda x: x["file"])
+        logs = files.select(runner, "modified", "file").groupBy("runner_dir").agg(newest.alias("files"))
+        found = logs.mapInArrow(first_match(f"{JOB_ID}|{JOB_ID_JSON}"), "runner_dir string, job_id string, bytes_read long")
+        return found.where("job_id != ''")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.octet_length("value").alias("size"), F.posexplode(F.split("value", "\n")).alias("line_number", "line"))
     first, second = F.regexp_extract("line", JOB_ID, 1), F.regexp_extract("line", JOB_ID_JSON, 1)
-    found = rows.withColumn("job_id", F.trim(F.when(first != "", first).otherwise(second))).where("job_id != ''").withColumn("runner_dir", F.regexp_replace("file", r"/(?:_diag/)?[^/]*$", ""))
-    return found.groupBy("runner_dir").agg(F.max_by("job_id", F.struct("modified", -F.col("line_number"))).alias("job_id"))
+    found = rows.withColumn("job_id", F.trim(F.when(first != "", first).otherwise(second))).where("job_id != ''")
+    return found.groupBy(runner).agg(F.max_by("job_id", F.struct("modified", "file", -F.col("line_number"))).alias("job_id"), F.sum("size").cast("long").alias("bytes_read"))
 
 
 _LEAF = "name: string, nodeType: string, nodeIdentifier: string, result: string, duration: string"
