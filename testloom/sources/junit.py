@@ -35,7 +35,7 @@ _TEXTS = ("system-out", "system-err", "stackTrace")
 _TOKEN = r"""(?s)<!--.*?(?:-->|\z)[^<]*+|<!\[CDATA\[.*?(?:\]\]>|\z)[^<]*+|<\?.*?(?:\?>|\z)[^<]*+|<![^\[<>]*+(?:\[.*?\]\s*+>|>|\z)[^<]*+|</?[^\s<>/!?](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>[^<]*+|<[^<]*+"""
 #: The markup of a token; none if it never ends.
 _MARKUP = r"""(?s)^(?:<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^\[<>]*+(?:\[.*?\]\s*+)?>|</?[^\s<>/!?](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>)"""
-_ATTRIBUTE = r"""([^\s=<>"'/]+)\s*=\s*["']((?<=")[^"]*+(?=")|(?<=')[^']*+(?='))["']"""
+_ATTRIBUTE = r"""(?<=[\s"'])([^\s=<>"'/]++)\s*+=\s*+["']((?<=")[^"]*+(?=")|(?<=')[^']*+(?='))["']"""
 #: A value with blanks at an end.
 _LOOSE = r"""=\s*["'][\s\p{Z}\x{85}]|[\s\p{Z}\x{85}]["'](?=[\s/>])"""
 _REFERENCE = r"&[^;&\s]*;"
@@ -161,15 +161,19 @@ def _events(values: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.withColumns({"names": F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), "values": F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)), "text": F.when(F.col("text").isNotNull(), truncated(F.col("text")))})
     for needed, f in ((m.contains("&"), _unescaped), (m.rlike(_LOOSE) | m.contains("&"), trimmed), (F.octet_length(m) > TEXT_BYTES, truncated)):
         rows = rows.withColumn("values", F.when(needed, F.transform("values", f)).otherwise(F.col("values")))
-    tags = F.struct("names", "values")
-    rows = rows.withColumn("stamp", F.when(F.col("names").isNotNull(), _attribute(tags, "timestamp")))
-    a = F.struct("names", "values", F.when(F.col("stamp").isNotNull(), parsed_time(F.col("stamp"))).alias("ts"), legal_seconds(_attribute(tags, "time")).alias("time"))
-    return rows.select(*keys, "pos", "name", (F.col("name").isNotNull() & ~F.col("closing") & ~F.col("empty")).alias("opening"), "closing", "empty", F.when(F.col("names").isNotNull(), a).alias("a"), "text", "cut")
+    rows = rows.select(*keys, "pos", "name", F.expr("name is not null and not closing and not empty").alias("opening"), "closing", "empty", F.struct("names", "values").alias("a"), "text", "cut")
+    rows = rows.withColumns({"stamp": _attribute("a", "timestamp"), "seconds": _attribute("a", "time")})
+    a = F.struct("a.names", "a.values", F.when(F.col("stamp").isNotNull(), parsed_time(F.col("stamp"))).alias("ts"), legal_seconds(F.col("seconds")).alias("time"))
+    return rows.select(*keys, "pos", "name", "opening", "closing", "empty", F.when(F.col("a.names").isNotNull(), a).alias("a"), "text", "cut")
 
 
-def _attribute(a: Column, name: str) -> Column:
-    """The value of a tag's attribute."""
-    return F.try_element_at(a["values"], F.nullif(F.array_position(a["names"], F.lit(name)).cast("int"), F.lit(0)))
+def _value_of(a: str, name: str) -> str:
+    """SQL of the value of a tag's attribute; a: the tag's attributes."""
+    return f"try_element_at({a}.values, nullif(cast(array_position({a}.names, '{name}') as int), 0))"
+
+
+def _attribute(a: str, name: str) -> Column:
+    return F.expr(_value_of(a, name))
 
 
 # --- what is open at a token -------------------------------------------------------
@@ -305,18 +309,15 @@ def _case_rows(states: DataFrame, keys: list[str], of_file: tuple[str, ...] = ()
     ).where("is_suite or closed is not null")
 
 
-def _reruns(parts: Column) -> Column:
+def _reruns() -> Column:
     """Closed reruns of a case in order, each with its element's name as `kind`."""
-    texts = {"": "description", "stackTrace": "stack_trace", "system-out": "system_out", "system-err": "system_err"}
+    def said(where: str) -> str:
+        return f"nullif(try_element_at(filter(parts, q -> q.no = p.no and q.where = '{where}' and q.text is not null), -1).text, '')"
 
-    def said(no: Column, where: str) -> Column:
-        own = F.filter(parts, lambda p: (p["no"] == no) & (p["where"] == where) & p["text"].isNotNull())
-        return F.try_element_at(own, F.lit(-1))["text"]
-
-    closed = F.filter(parts, lambda p: p["kind"].isNotNull() & (p["whole"] | F.exists(parts, lambda q: (q["what"] == "end") & (q["no"] == p["no"]))))
-    return F.transform(closed, lambda p: F.struct(
-        p["kind"].alias("kind"), *(_attribute(p["a"], k).alias(k) for k in ("message", "type")), *(F.nullif(said(p["no"], w), F.lit("")).alias(k) for w, k in texts.items()), p["a"]["ts"].alias("ts"), p["a"]["time"].alias("time"),
-    ))
+    texts = {"": "description", "stackTrace": "stack_trace", "system-out": "system_out", "system-err": "system_err"}
+    values = [f"'{k}', {_value_of('p.a', k)}" for k in ("message", "type")] + [f"'{k}', {said(w)}" for w, k in texts.items()]
+    closed = "filter(parts, p -> p.kind is not null and (p.whole or exists(parts, q -> q.what = 'end' and q.no = p.no)))"
+    return F.expr(f"transform({closed}, p -> named_struct('kind', p.kind, {', '.join(values)}, 'ts', p.a.ts, 'time', p.a.time))")
 
 
 def _cases(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -356,16 +357,16 @@ def _cases(values: DataFrame, keys: list[str]) -> DataFrame:
         kept = kept.join(whole, keys).join(offsets, [*keys, "suite_no"]).withColumns({"seq": F.col("seq") + F.col("in_file_before"), "case_pos": (F.col("case_pos") + F.col("in_suite_before")).cast("int")})
 
     said = F.when(F.col("status").isNull() | (F.col("said.pos") >= F.col("status.pos")), F.col("said.text"))
-    c, st, s, r, in_report = F.col("a"), F.col("status.a"), x["suite"], x["report"], x["in_report"]
+    c, s, r, in_report = F.col("a"), x["suite"], x["report"], x["in_report"]
     kind = F.when(F.col("status").isNull(), "SUCCESS").when(F.col("status.name") == "skipped", "SKIPPED").otherwise("FAILURE")
     names = {"name": "name", "classname": "classname", "case_file": "file", "case_filepath": "filepath", "line": "line", "attempt_number": "attempt_number", "raw_id": "id"}
     texts = {"system_out": F.col("out.text"), "system_err": F.col("err.text"), "suite_system_out": F.col("suite_out"), "suite_system_err": F.col("suite_err")}
     rows = kept.select(
-        "file_path", (F.col("suite_no") - 1).cast("int").alias("suite_pos"), "case_pos", "seq", _attribute(s, "name").alias("parent_name"), *(_attribute(c, k).alias(n) for n, k in names.items()),
-        _attribute(s, "file").alias("suite_file"), _attribute(s, "filepath").alias("suite_filepath"), kind.alias("status"), _attribute(st, "message").alias("message"), _attribute(st, "type").alias("type"),
+        "file_path", (F.col("suite_no") - 1).cast("int").alias("suite_pos"), "case_pos", "seq", _attribute("closed.suite", "name").alias("parent_name"), *(_attribute("a", k).alias(n) for n, k in names.items()),
+        _attribute("closed.suite", "file").alias("suite_file"), _attribute("closed.suite", "filepath").alias("suite_filepath"), kind.alias("status"), _attribute("status.a", "message").alias("message"), _attribute("status.a", "type").alias("type"),
         F.nullif(said, F.lit("")).alias("description"), *(t.alias(k) for k, t in texts.items()), c["ts"].alias("case_ts"), s["ts"].alias("suite_ts"), F.when(in_report, r["ts"]).alias("report_ts"),
         c["time"].alias("case_time"), s["time"].alias("suite_time"), F.when(in_report, r["time"]).alias("report_time"),
-        F.when(F.size("parts") > 0, _reruns(F.col("parts"))).otherwise(F.array()).alias("reruns"), (2 * x["reports"] + (~in_report).cast("int")).alias("report_no"),
+        _reruns().alias("reruns"), (2 * x["reports"] + (~in_report).cast("int")).alias("report_no"),
     )
 
     def count(*kinds: str) -> Column:
@@ -394,7 +395,7 @@ def _issues(values: DataFrame, keys: list[str]) -> DataFrame:
     states = _states(values, keys)
     name, start, end, in_case = F.col("name"), F.col("start"), F.col("end"), F.col("in_case")
     case, rerun, report = name == "testcase", name.isin(*_RERUNS), name == "testsuites"
-    unnamed = F.coalesce(_attribute(F.col("a"), "name"), F.lit("")) == ""
+    unnamed = F.coalesce(_attribute("a", "name"), F.lit("")) == ""
     in_suite, closing, empty = F.col("suites") > 0, F.col("closing"), F.col("empty")
     rules = [
         (report & closing & ~F.col("in_report"), ISSUES["report_end"]), (case & start & unnamed, ISSUES["name"]),
