@@ -5,12 +5,12 @@ Input: codeowners_id, content (text), and where files are to be chosen, repo and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from testloom.functions.ids import uuid5_of_bytes
 from testloom.functions.text import trimmed
-from testloom.operators.owners import dedupe_rules, github_rule, gitlab_pattern, gitlab_regex, owner_emails, owner_names, owner_references
+from testloom.operators.owners import dedupe_rules, github_rule, gitlab_pattern, gitlab_regex, is_github_glob, owner_emails, owner_names, owner_references
 
 # The places of the file in order, the section of rules before any header, errors.
 LOCATIONS = (".github", ".bitbucket", ".", "docs", ".gitlab")
@@ -26,13 +26,18 @@ def _lines(files: DataFrame) -> DataFrame:
 
 
 def scan_codeowners_github(files: DataFrame) -> DataFrame:
-    """Ordered rules; words that aren't owners are dropped, a rule without owners stays."""
-    lines = _lines(files).where("line != '' and not startswith(line, '#')")
+    """Ordered rules; words that aren't owners are dropped, a rule without owners stays. A file with a pattern
+    that isn't a sound glob has no rules."""
+
+    def unsound(line: Column) -> Column:
+        return ~line.startswith("#") & ~is_github_glob(F.regexp_extract(line, r"^\s*(\S*)", 1))
+
+    sound = files.where(~F.exists(F.split("content", "\r?\n"), unsound))
+    lines = _lines(sound).where("line != '' and not startswith(line, '#')")
     words = F.filter(F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "), lambda w: w != "")
-    rows = lines.withColumn("words", words).where(F.size("words") > 0).withColumn("pattern", F.element_at("words", 1))
-    regex, direct = github_rule(F.col("pattern"))
+    rows = lines.withColumn("words", words).where(F.size("words") > 0).withColumn("pattern", F.element_at("words", 1)).withColumn("rule", github_rule(F.col("pattern")))
     owners = F.filter(F.slice("words", 2, 1 << 30), lambda w: w.rlike(GITHUB_OWNER))
-    return rows.select("codeowners_id", F.lit("github").alias("dialect"), F.col("line_number").alias("rule_pos"), "pattern", regex.alias("regex"), direct.alias("direct"), owners.alias("owners"))
+    return rows.select("codeowners_id", F.lit("github").alias("dialect"), F.col("line_number").alias("rule_pos"), "pattern", "rule.regex", "rule.direct", owners.alias("owners"))
 
 
 def _gitlab_lines(files: DataFrame) -> DataFrame:
@@ -57,7 +62,8 @@ def _gitlab_lines(files: DataFrame) -> DataFrame:
 
 
 def scan_codeowners_gitlab(files: DataFrame) -> DataFrame:
-    """Rules with their section; a header's owners stand in for rules without owners."""
+    """Rules with their section; a header's owners stand in for rules without owners. A pattern that isn't a
+    sound glob keeps its rule, without a regex: it matches nothing."""
     rows = _gitlab_lines(files).where("not is_header")
     text = F.when(F.col("own") != "", F.col("own")).otherwise(F.coalesce("h.default_owners", F.lit("")))
     full = gitlab_pattern(F.col("pattern_text"))
