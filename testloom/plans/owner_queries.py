@@ -53,9 +53,11 @@ def associate(spark, sf_dir):
 
 
 @query("U2_owner_references", sql="""with m as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^@\\s]{1,100}@[^@\\s]*[a-zA-Z0-9_]')) as x from documents)
-  select d.doc_id, cast(coalesce(n, 0) as int) as num_emails from documents d left join (select doc_id, count(distinct x) as n from m group by doc_id) using (doc_id)""")
+  select d.doc_id, cast(coalesce(n, 0) as int) as num_emails, coalesce(emails, '') as emails from documents d
+  left join (select doc_id, count(distinct x) as n, string_agg(distinct x, ',' order by x) as emails from m group by doc_id) using (doc_id)""")
 def references(spark, sf_dir):
-    return view(spark, sf_dir, "documents").select("doc_id", F.size(O.owner_emails(F.coalesce("text", F.lit("")))).alias("num_emails"))
+    emails = view(spark, sf_dir, "documents").select("doc_id", O.owner_emails(F.coalesce("text", F.lit(""))).alias("emails"))
+    return emails.select("doc_id", F.size("emails").alias("num_emails"), F.array_join("emails", ",").alias("emails"))
 
 
 def rule_files(spark, sf_dir):
@@ -114,3 +116,36 @@ def resolve(spark, sf_dir):
     b = files.select(F.col("bundle_id").alias("repo"), F.when(F.col("kind") == "gh", F.concat(F.lit("[] @x\n"), "content")).otherwise(F.col("content")).alias("content"))
     rows = b.select("repo", F.lit("docs/CODEOWNERS").alias("path"), "content").unionByName(b.where("repo % 3 <> 0").select("repo", F.lit("CODEOWNERS").alias("path"), "content"))
     return S.resolve_codeowners(rows).select("repo", "path", "dialect", "codeowners_id")
+
+
+@query("U2_owner_references_of_runs", "runs", """select seq, case when bundle_id % 3 = 0 then '@' || parent_name || '/a' || bundle_id else '@' || classname || ',@g/' || parent_name || ',' || parent_name || '@ex.com' end as refs from runs""")
+def references_of_runs(spark, sf_dir):
+    r = view(spark, sf_dir, "runs")
+    name = F.concat(F.lit("@"), "parent_name", F.lit("/a"), F.col("bundle_id").cast("string"))
+    several = F.concat("parent_name", F.lit("@ex.com x @g/"), "parent_name", F.lit(" @"), "classname", F.lit(", "), "parent_name", F.lit("@ex.com nobody"))
+    text = F.when(F.col("bundle_id") % 3 == 0, F.concat(name, F.lit(" "), name)).otherwise(several)
+    return r.select("seq", F.array_join(F.array_sort(O.owner_references(text)), ",").alias("refs"))
+
+
+@query("S8_codeowners_errors", "runs", f"""with {PLACES}, e as (select bundle_id, d, i, i % 6 as kind from p)
+  select 'e' || bundle_id as codeowners_id, cast(2 * i + nth as int) as line_number, error, error not in ('invalid entry owner format', 'missing entry owner') as fatal from (
+    select bundle_id, i, 0 as nth, 'missing section name' as error from e where kind = 0
+    union all select bundle_id, i, 0, 'invalid approval requirement' from e where kind = 1
+    union all select bundle_id, i, 0, 'invalid section owner format' from e where kind = 2
+    union all select bundle_id, i, 0, 'invalid section format' from e where kind = 3
+    union all select bundle_id, i, 0, 'invalid entry owner format' from e where kind = 3
+    union all select bundle_id, i, 1, 'invalid entry owner format' from e where kind = 4
+    union all select bundle_id, i, 1, 'missing entry owner' from e where kind = 5)""")
+def codeowners_errors(spark, sf_dir):
+    """A file for each bundle with two lines for each folder of its runs: by turns each error of the dialect."""
+    r = view(spark, sf_dir, "runs").select("bundle_id", F.col("parent_name").alias("d")).distinct()
+    dirs = r.groupBy("bundle_id").agg(F.array_sort(F.collect_list("d")).alias("dirs"))
+
+    def lines(d, i):
+        sound = F.concat(F.lit("\n/"), d, F.lit("/ @own"))
+        texts = [F.concat(F.lit("[] @x"), sound), F.concat(F.lit("^["), d, F.lit("][2] @x"), sound), F.concat(F.lit("["), d, F.lit("] nobody"), sound),
+                 F.concat(F.lit("["), d, F.lit(" nobody"), sound), F.concat(F.lit("["), d, F.lit("] @x\n/"), d, F.lit(" nobody")), F.concat(F.lit("["), d, F.lit("]\n/"), d)]
+        return F.coalesce(*(F.when(i % 6 == k, t) for k, t in enumerate(texts)))
+
+    files = dirs.select(F.concat(F.lit("e"), F.col("bundle_id").cast("string")).alias("codeowners_id"), F.array_join(F.transform("dirs", lines), "\n").alias("content"))
+    return S.codeowners_errors(files).select("codeowners_id", "line_number", "error", "fatal")
