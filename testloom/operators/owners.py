@@ -192,7 +192,8 @@ def _index(rules: DataFrame, *fields: str) -> DataFrame:
     """Rules of a file by key: codeowners_id, key, rules (fields and needle). A rule stands under the one of its
     keys that the fewest rules of its file have; the empty key is there for each file."""
     keys = _rule_keys(F.coalesce("pattern", F.lit(""))) if "pattern" in rules.columns else F.array(F.lit(""))
-    rows = rules.where("codeowners_id is not null").select("codeowners_id", F.struct(*fields, _needle(rules)).alias("rule"), F.explode(keys).alias("key"))
+    # one shuffle, by file, serves the window and both aggregations
+    rows = rules.where("codeowners_id is not null").repartition("codeowners_id").select("codeowners_id", F.struct(*fields, _needle(rules)).alias("rule"), F.explode(keys).alias("key"))
     n = F.count("*").over(Window.partitionBy("codeowners_id", "key"))
     rank = F.struct((F.col("key") == "").alias("last"), n.alias("n"), (-F.length("key")).alias("short"), "key")
     chosen = rows.select("codeowners_id", "rule", rank.alias("rank")).groupBy("codeowners_id", "rule").agg(F.min("rank").alias("rank"))
