@@ -137,19 +137,23 @@ def discover_globs(spark, sf_dir):
     return out.groupBy("set_pos", "bundle").agg(F.count("*").alias("n"))
 
 
+#: Runs of the table, of all bundles, that are uploaded together as result trees.
+TREE_SEQ = 100_000
+
+
 @query("S10_scan_xcresult", "runs", """select bundle_id, 'Unit.' || parent_name as parent_name, name, classname, case when status = 'UNSPECIFIED' then 'SUCCESS' else status end as status,
   case when status = 'FAILURE' then message end as message, count(*) as n from runs group by all""")
 def scan_xcresult(spark, sf_dir):
-    """A result tree for each bundle, a suite for each parent."""
+    """A result tree for each bundle and TREE_SEQ runs of the table, a suite for each parent: more runs are more trees, not larger ones."""
     path = shared_folder(spark)
     node = "struct<name: string, nodeType: string>"
     said = F.when(F.col("message").isNotNull(), F.array(F.struct(F.col("message").alias("name"), F.lit("Failure Message").alias("nodeType")).cast(node)))
     result = F.when(F.col("status") == "FAILURE", F.lit("Failed")).when(F.col("status") == "SKIPPED", F.lit("Skipped")).otherwise(F.lit("Passed"))
     case = F.struct("name", F.lit("Test Case").alias("nodeType"), F.concat_ws("/", "classname", "name").alias("nodeIdentifier"), result.alias("result"), F.lit("1s").alias("duration"), said.alias("children"))
-    suites = view(spark, sf_dir, "runs").groupBy("bundle_id", "parent_name").agg(F.collect_list(case).alias("children")).select("bundle_id", F.struct(F.col("parent_name").alias("name"), F.lit("Test Suite").alias("nodeType"), "children").alias("s"))
-    unit = suites.groupBy("bundle_id").agg(F.struct(F.lit("Unit").alias("name"), F.lit("Unit test bundle").alias("nodeType"), F.collect_list("s").alias("children")).alias("u"))
+    suites = view(spark, sf_dir, "runs").groupBy("bundle_id", F.floor(F.col("seq") / TREE_SEQ).alias("part"), "parent_name").agg(F.collect_list(case).alias("children")).select("bundle_id", "part", F.struct(F.col("parent_name").alias("name"), F.lit("Test Suite").alias("nodeType"), "children").alias("s"))
+    unit = suites.groupBy("bundle_id", "part").agg(F.struct(F.lit("Unit").alias("name"), F.lit("Unit test bundle").alias("nodeType"), F.collect_list("s").alias("children")).alias("u"))
     plan = F.struct(F.col("bundle_id").cast("string").alias("name"), F.lit("Test Plan").alias("nodeType"), F.array("u").alias("children"))
-    unit.select(F.to_json(F.struct(F.array(plan).alias("testNodes"))).alias("value")).repartition(20).write.option("maxRecordsPerFile", 1).text(path)
+    unit.select(F.to_json(F.struct(F.array(plan).alias("testNodes"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     out = U.scan_xcresult_tests(spark, path, ORG, REPO)
     return out.groupBy(F.col("plan_name").cast("long").alias("bundle_id"), "parent_name", "name", "classname", "status", "message").agg(F.count("*").alias("n"))
 

@@ -118,43 +118,63 @@ def _node(depth: int) -> str:
     return f"struct<{_LEAF}>" if depth == 0 else f"struct<{_LEAF}, children: array<{_node(depth - 1)}>>"
 
 
+def _leaf_of(c: Column) -> Column:
+    """A case with what is read of it: its own fields, its children and theirs."""
+    leaf = [x.split(":")[0] for x in _LEAF.split(", ")]
+    kid = lambda k: F.struct(*(k[x].alias(x) for x in leaf), F.transform(k["children"], lambda g: F.struct(*(g[x].alias(x) for x in leaf))).alias("children"))
+    return F.struct(*(c[x].alias(x) for x in leaf), F.transform(c["children"], kid).alias("children"))
+
+
 # Kinds of nodes and the name of a suite that has none.
 BUNDLES = ("Unit test bundle", "UI test bundle")
 DEFAULT_SUITE = "swift"
 
 
 def scan_xcresult_tests(spark: SparkSession, path: str, org: str, repo: str, default_suite: str = DEFAULT_SUITE) -> DataFrame:
-    """Cases of Xcode result trees: plan, suite (`bundle.suite`), case, status, message, time, id, failed repetitions as reruns."""
-    plans = spark.read.schema(f"testNodes array<{_node(5)}>").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file_path"), F.explode("testNodes").alias("plan")).where("plan.nodeType = 'Test Plan'")
-    tops = plans.select("file_path", F.col("plan.name").alias("plan_name"), F.posexplode("plan.children").alias("top_pos", "top"))
-    bundles = tops.where(F.col("top.nodeType").isin(*BUNDLES))
-    inner = bundles.select("file_path", "plan_name", "top_pos", F.col("top.name").alias("bundle"), F.posexplode("top.children").alias("pos", "n"))
-    in_suites = inner.where("n.nodeType = 'Test Suite'").select("file_path", "plan_name", "top_pos", "pos", F.concat_ws(".", "bundle", "n.name").alias("parent_name"), F.posexplode("n.children").alias("case_pos", "c"))
-    dangling = inner.where("n.nodeType = 'Test Case'").select("file_path", "plan_name", "top_pos", F.lit(1 << 30).alias("pos"), F.coalesce("bundle", F.lit(default_suite)).alias("parent_name"), F.col("pos").alias("case_pos"), F.col("n").alias("c"))
-    suites = tops.where("top.nodeType = 'Test Suite'").select("file_path", "plan_name", "top_pos", F.lit(0).alias("pos"), F.col("top.name").alias("parent_name"), F.posexplode("top.children").alias("case_pos", "c"))
-
-    def flat(df: DataFrame) -> DataFrame:
-        c = F.col("c")
-        result = c["result"]
-        status = F.when(result.isin("Passed", "Expected Failure"), F.lit("SUCCESS")).when(result == "Failed", F.lit("FAILURE")).when(result == "Skipped", F.lit("SKIPPED"))
-        kids = F.coalesce(c["children"], F.array())
-
-        def said(nodes: Column) -> Column:
-            texts = F.transform(F.filter(nodes, lambda k: k["nodeType"] == "Failure Message"), lambda k: k["name"])
-            return F.nullif(F.array_join(texts, "\n"), F.lit(""))
-
-        def seconds(node: Column) -> Column:
-            return legal_seconds(F.replace(node["duration"], F.lit("s"), F.lit("")))
-
-        failed = F.filter(kids, lambda k: (k["nodeType"] == "Repetition") & (k["result"] == "Failed") & (status != "SKIPPED"))
-        reruns = F.transform(failed, lambda k: F.struct(said(k["children"]).alias("message"), seconds(k).alias("time")))
-        return df.where("c.nodeType = 'Test Case'").select(
-            "file_path", "plan_name", "top_pos", "pos", "case_pos", "parent_name", c["name"].alias("name"), F.element_at(F.split(c["nodeIdentifier"], "/"), 1).alias("classname"), c["nodeIdentifier"].alias("identifier"),
-            status.alias("status"), F.when(status == "FAILURE", said(kids)).alias("message"), seconds(c).alias("case_time"),
-            F.size(failed).alias("num_reruns"), reruns.alias("reruns"), uuid5(F.concat_ws("#", F.lit(org), F.lit(repo), c["nodeIdentifier"])).alias("raw_id"),
-        ).where("status is not null")
-
-    return flat(in_suites).unionByName(flat(dangling)).unionByName(flat(suites))
+    """Cases of Xcode result trees: plan, suite (`bundle.suite`), case, status, message, time, id, failed repetitions as reruns.
+
+    A tree is read once and is one value in its task. Its cases become one array of small
+    structs, and only that is exploded: no case carries the suite it comes from.
+    """
+    trees = spark.read.schema(f"testNodes array<{_node(5)}>").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file_path"), "testNodes")
+    none = F.expr(f"cast(array() as array<struct<plan_name: string, top_pos: int, pos: int, case_pos: int, parent_name: string, c: {_node(2)}>>)")
+
+    def each(nodes: Column, f) -> Column:
+        """The arrays that f gives for the nodes and their places, one after the other."""
+        return F.flatten(F.transform(F.coalesce(nodes, F.array()), lambda n, i: F.coalesce(f(n, i), none)))
+
+    def found(plan: Column, top_pos: Column, pos: Column, parent_name: Column, cases: Column, place=None) -> Column:
+        kept = F.transform(cases, lambda c, i: F.struct(plan["name"].alias("plan_name"), top_pos.alias("top_pos"), pos.alias("pos"), (i if place is None else place).alias("case_pos"), parent_name.alias("parent_name"), _leaf_of(c).alias("c")))
+        return F.filter(kept, lambda x: x["c"]["nodeType"] == "Test Case")
+
+    def in_suite(plan: Column, t: Column, i: Column):
+        return lambda n, j: F.when(n["nodeType"] == "Test Suite", found(plan, i, j, F.concat_ws(".", t["name"], n["name"]), n["children"])).when(
+            n["nodeType"] == "Test Case", found(plan, i, F.lit(1 << 30), F.coalesce(t["name"], F.lit(default_suite)), F.array(n), j))
+
+    def in_plan(plan: Column):
+        return lambda t, i: F.when(t["nodeType"].isin(*BUNDLES), each(t["children"], in_suite(plan, t, i))).when(t["nodeType"] == "Test Suite", found(plan, i, F.lit(0), t["name"], t["children"]))
+
+    cases = each(F.col("testNodes"), lambda p, _: F.when(p["nodeType"] == "Test Plan", each(p["children"], in_plan(p))))
+    rows = trees.select("file_path", F.inline(cases))
+    c = F.col("c")
+    result = c["result"]
+    status = F.when(result.isin("Passed", "Expected Failure"), F.lit("SUCCESS")).when(result == "Failed", F.lit("FAILURE")).when(result == "Skipped", F.lit("SKIPPED"))
+    kids = F.coalesce(c["children"], F.array())
+
+    def said(nodes: Column) -> Column:
+        texts = F.transform(F.filter(nodes, lambda k: k["nodeType"] == "Failure Message"), lambda k: k["name"])
+        return F.nullif(F.array_join(texts, "\n"), F.lit(""))
+
+    def seconds(node: Column) -> Column:
+        return legal_seconds(F.replace(node["duration"], F.lit("s"), F.lit("")))
+
+    failed = F.filter(kids, lambda k: (k["nodeType"] == "Repetition") & (k["result"] == "Failed") & (status != "SKIPPED"))
+    reruns = F.transform(failed, lambda k: F.struct(said(k["children"]).alias("message"), seconds(k).alias("time")))
+    return rows.select(
+        "file_path", "plan_name", "top_pos", "pos", "case_pos", "parent_name", c["name"].alias("name"), F.element_at(F.split(c["nodeIdentifier"], "/"), 1).alias("classname"), c["nodeIdentifier"].alias("identifier"),
+        status.alias("status"), F.when(status == "FAILURE", said(kids)).alias("message"), seconds(c).alias("case_time"),
+        F.size(failed).alias("num_reruns"), reruns.alias("reruns"), uuid5(F.concat_ws("#", F.lit(org), F.lit(repo), c["nodeIdentifier"])).alias("raw_id"),
+    ).where("status is not null")
 
 
 def xcresult_legacy(cases: DataFrame, legacy: DataFrame, fallback: DataFrame, org: str, repo: str) -> DataFrame:

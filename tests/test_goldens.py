@@ -1,6 +1,8 @@
 """Values the operators must give, as literals."""
 
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,6 +259,21 @@ def test_xcode_tree(spark, tmp_path):
     assert (rows["t2"].parent_name, rows["t2"].status, rows["t2"].reruns) == ("Bundle", "SUCCESS", [])
 
 
+def test_xcode_cases_leave_their_suite(spark, tmp_path):
+    """Cases of all three places, from one read; an exploded case carries no tree or suite."""
+    case = {"nodeType": "Test Case", "result": "Passed"}
+    suite = {"name": "S", "nodeType": "Test Suite", "children": [case | {"name": f"c{k}", "nodeIdentifier": f"S/c{k}"} for k in range(300)]}
+    bundle = {"name": "B", "nodeType": "UI test bundle", "children": [case | {"name": "d", "nodeIdentifier": "d"}, suite, {"name": "E", "nodeType": "Test Suite"}]}
+    for k in range(2):
+        (tmp_path / f"{k}.json").write_text(json.dumps({"devices": [{"name": "x"}], "testNodes": [{"name": f"p{k}", "nodeType": "Test Plan", "children": [bundle, suite]}, {"name": "q", "nodeType": "Other", "children": [bundle]}]}))
+    df = uploads.scan_xcresult_tests(spark, str(tmp_path), "o", "r")
+    rows = {(r.plan_name, r.top_pos, r.pos, r.case_pos): (r.parent_name, r.name) for r in df.collect()}
+    assert rows == {k: v for p in ("p0", "p1") for k, v in [((p, 0, 1 << 30, 0), ("B", "d")), *(x for i in range(300) for x in (((p, 0, 1, i), ("B.S", f"c{i}")), ((p, 1, 0, i), ("S", f"c{i}"))))]}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1 and plan.count("Generate ") == 1 and len(rows) == df.count()
+    assert re.search(r"Generate inline\(.*\), \[file_path#\d+\], false", plan)
+
+
 def test_xcode_legacy(spark):
     cases = spark.createDataFrame([("S/t1",), ("S/t2",), ("S/t3",)], "identifier string")
     legacy = spark.createDataFrame(
