@@ -13,6 +13,7 @@ DEFAULTED_DAYS = 30
 _DATE = r"\d{4}-\d{2}-\d{2}"
 _TIME = r"\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?"
 _ZONE = r"(?:[zZ]|[+-]\d{2}:?\d{2})?"
+PLAIN = rf"^{_DATE}T\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d{{1,9}})?Z$"
 SHAPE = rf"^{_DATE}(?:[T _]{_TIME}{_ZONE})?$"
 
 
@@ -22,7 +23,8 @@ def parsed_time(c: Column) -> Column:
     text = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
     text = F.when(F.length(text) > 10, text).otherwise(F.concat(F.substring(text, 1, 10), F.lit("T00:00:00Z")))
     text = F.when(text.rlike(r"(?:[zZ]|[+-]\d{2}:\d{2})$"), F.regexp_replace(text, "z$", "Z")).otherwise(F.concat(text, F.lit("Z")))
-    return F.when(c.rlike(SHAPE), text.try_cast("timestamp"))
+    # what needs no replacement is spared all of them
+    return F.when(c.rlike(PLAIN), c.try_cast("timestamp")).when(c.rlike(SHAPE), text.try_cast("timestamp"))
 
 
 def legal_seconds(c: Column) -> Column:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from testloom.sources import junit, listing, uploads
 
@@ -110,6 +111,38 @@ def test_large_files_equal_small_ones(spark, tmp_path, monkeypatch):
     assert any(r.level == 3 and "wrong" in r.file_path for r in issues)
 
 
+def test_tokens_of_large_files_are_made_once(spark, tmp_path, monkeypatch):
+    """What later steps read of the tokens is written; none makes them again."""
+    (tmp_path / "a.xml").write_text(long_file(random.Random(2), 5))
+    plans, write = [], junit.written
+    monkeypatch.setattr(junit, "written", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df))[1])
+    rows = junit.scan_junit(spark, str(tmp_path), 0)
+    plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+    made = [p for p in plans if "posexplode(regexp_extract_all(" in p]
+    small = [p for p in made if "wholetext" in p or p is plans[-1]]
+    assert len(made) - len(small) == 1 and rows.count() > 0
+
+
+def test_lines_are_documents(spark, tmp_path):
+    """A bundle's lines are its report; no group holds a document."""
+    cases = [(b, n, f"{'ts'[(n + b) % 2]} &", f"c{n}", "FAILURE" if n % 3 == 0 else "SUCCESS", f"<{n}>") for b in (1, 2) for n in range(40)]
+    df = spark.createDataFrame(cases, "bundle_id long, seq long, parent_name string, name string, status string, message string")
+    empty = {k: F.lit(None).cast(t) for k, t in (("classname", "string"), ("file", "string"), ("raw_id", "string"), ("time_s", "double"), ("case_ts", "timestamp"))}
+    lines = junit.junit_xml_lines(df.withColumns(empty))
+    assert "collect_list" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    junit.write_junit(lines, str(tmp_path / "out"))
+    for large_file in (junit.LARGE_FILE, 0):
+        rows = junit.scan_junit(spark, str(tmp_path / "out" / "*"), large_file).collect()
+        found_cases = sorted((int(r.file_path.split("bundle_id=")[1].split("/")[0]), r.seq, r.parent_name, r.name, r.status, r.message) for r in rows)
+        want = []
+        for b in (1, 2):
+            own = [c for c in cases if c[0] == b]
+            first = {c[2]: c[1] for c in reversed(own)}
+            ordered = sorted(own, key=lambda c: (first[c[2]], c[1]))
+            want += [(b, k + 1, c[2], c[3], c[4], c[5] if c[4] == "FAILURE" else None) for k, c in enumerate(ordered)]
+        assert found_cases == want and len({r.file_path for r in rows}) == 2 and {r.suite_pos for r in rows} == {0, 1}
+
+
 # --- files under globs
 
 
