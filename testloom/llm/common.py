@@ -14,7 +14,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +49,23 @@ def shared_path(spark: SparkSession) -> str:
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Small rows that are broadcast, up to this many; beyond, Spark chooses the join.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if(small: bool) -> Callable[[DataFrame], DataFrame]:
+    return F.broadcast if small else lambda df: df
+
+
+def without(documents: DataFrame, ids: DataFrame, id_col: str, how: str = "left_anti") -> DataFrame:
+    """documents but those whose id (or null) is in the written table ids (id); columns stay, whatever their names.
+
+    No text is shuffled while the counted ids are few. how: "left_semi" gives those documents instead.
+    """
+    few = broadcast_if(ids.count() <= BROADCAST_ROWS)
+    return documents.alias("d").join(few(ids).alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")), how)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there.
 

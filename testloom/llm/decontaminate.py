@@ -9,16 +9,16 @@ whole windows, and the words of every occurrence are hit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testloom.llm.common import ascii_lower, materialize, text_key
+from testloom.llm.common import ascii_lower, broadcast_if, materialize, text_key
 
 WINDOW = 13
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The set of windows is broadcast up to this many; beyond, Spark may choose the join.
 BROADCAST_WINDOWS = 2_000_000
 #: Texts whose hashes or keys are broadcast, up to this many.
@@ -27,7 +27,8 @@ NO_ITEMS = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  #
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    # cut at what lies between: much faster than to extract each word
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def _grams(words_col: str, length: int, step: int) -> Column:
@@ -65,25 +66,30 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     and hashes of texts that hold a gram, only while these are at most BROADCAST_TEXTS;
     beyond, Spark chooses the join.
     """
+    return _marked(documents, benchmark, window, id_col, text_col).drop("h")
+
+
+def _marked(documents: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, how: str = "left") -> DataFrame:
+    """contamination and h, the texts' hash; how "inner": only of documents that hold a gram of a window."""
     windows = materialize(benchmark_windows(benchmark, window))
     sizes = windows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `window` rows
-    known = _broadcast_if(sum(r.n for r in sizes) <= BROADCAST_WINDOWS)
+    known = broadcast_if(sum(r.n for r in sizes) <= BROADCAST_WINDOWS)
     text, lengths = F.col(text_col), sorted(r.length for r in sizes)
     texts = documents.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    n_words = F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+    n_words = F.size(words(F.col("text"))).cast("long").alias("n_words")
     none = F.lit(None)
     if not lengths:
-        clean = texts.select("id", n_words)
+        clean = texts.select("id", n_words, "h")
         return _result(clean.select("*", none.cast("binary").alias("key"), *(none.cast(kind).alias(c) for c, kind in HITS.items())), id_col)
     gram = {n: max(1, n // 2) for n in lengths}
     seed = reduce(DataFrame.union, (windows.where(F.col("length") == n).select(F.split("window", " ").alias("w")).select(F.explode(_grams("w", gram[n], 1)).alias("gram")) for n in lengths))
     scanned = texts.select("h", words(F.col("text")).alias("w"))
     scanned = scanned.select("h", F.explode(F.flatten(F.array(*(_grams("w", gram[n], n - gram[n] + 1) for n in lengths)))).alias("gram"))
     suspects = materialize(scanned.join(known(seed.distinct()), "gram", "left_semi").select("h").distinct())
-    few = _broadcast_if(suspects.count() <= BROADCAST_TEXTS)
+    few = broadcast_if(suspects.count() <= BROADCAST_TEXTS)
     # small rows for all, and the texts of the few that may be hit
-    marked = texts.join(few(suspects.withColumn("suspect", F.lit(True))), "h", "left").withColumn("held", F.when(F.col("suspect"), F.coalesce("text", F.lit(""))))
-    marked = materialize(marked.select("id", n_words, F.when(F.col("suspect"), text_key(F.col("held"))).alias("key"), "held"))
+    marked = texts.join(few(suspects.withColumn("suspect", F.lit(True))), "h", how).withColumn("held", F.when(F.col("suspect"), F.coalesce("text", F.lit(""))))
+    marked = materialize(marked.select("id", n_words, "h", F.when(F.col("suspect"), text_key(F.col("held"))).alias("key"), "held"))
     found = marked.where("key is not null").select("key", "held").dropDuplicates(["key"]).select("key", words(F.col("held")).alias("w"))
     found = found.select("key", F.explode(F.flatten(F.array(*(_windows("w", n) for n in lengths)))).alias("x")).select("key", "x.*")
     found = found.join(known(windows), ["length", "window"])
@@ -94,8 +100,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         lambda acc: acc["hit"],
     )
     hits = hits.select("key", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "spans")
-    hit = marked.where("key is not null").select("id", "n_words", "key").join(hits, "key", "left")
-    clean = marked.where("key is null").select("id", "n_words", "key", *(none.cast(kind).alias(c) for c, kind in HITS.items()))
+    hit = marked.where("key is not null").select("id", "n_words", "h", "key").join(hits, "key", "left")
+    clean = marked.where("key is null").select("id", "n_words", "h", "key", *(none.cast(kind).alias(c) for c, kind in HITS.items()))
     return _result(hit.unionByName(clean), id_col)
 
 
@@ -103,24 +109,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 HITS = {"n_hit": "long", "n_items": "long", "items_sha256": "string", "spans": "array<struct<start: int, length: int>>"}
 
 
-def _broadcast_if(small: bool) -> Callable[[DataFrame], DataFrame]:
-    return F.broadcast if small else lambda df: df
-
-
 def _result(rows: DataFrame, id_col: str) -> DataFrame:
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(NO_ITEMS)).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "spans", "key",
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "spans", "key", "h",
     )
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents without those that are contaminated; all columns stay as they are, whatever their names."""
-    bad = materialize(contamination(documents, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select("key").distinct())
-    few = _broadcast_if(bad.count() <= BROADCAST_TEXTS)
-    keyed = documents.select(F.struct("*").alias("row"), text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("own"))
-    return keyed.join(few(bad), F.col("own") == F.col("key"), "left_anti").select("row.*")
+    bad = materialize(_marked(documents, benchmark, WINDOW, id_col, text_col, "inner").where("contaminated").select("h", "key").distinct())
+    few = broadcast_if(bad.count() <= BROADCAST_TEXTS)
+    text = F.col(text_col)
+    hashed = documents.select(F.struct("*").alias("row"), text.alias("text"), F.xxhash64(text).alias("own_h"))
+    # only texts with the hash of a contaminated one need their key
+    hashed = hashed.join(few(bad.select("h").distinct()), F.col("own_h") == F.col("h"), "left")
+    keyed = hashed.select("row", F.when(F.col("h").isNotNull(), text_key(F.coalesce("text", F.lit("")))).alias("own"))
+    return keyed.join(few(bad.select("key")), F.col("own") == F.col("key"), "left_anti").select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -9,6 +9,7 @@ chunk, so a collision can't remove a document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testloom.llm.common import ascii_lower, materialize
+from testloom.llm.common import BROADCAST_ROWS, ascii_lower, broadcast_if, materialize, without
 
 PRIMES = (2147483647, 2147483629)
 BASE = 263
@@ -62,29 +63,35 @@ class Fingerprints:
 
 
 def with_fingerprints(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, n_bytes, fp (the two fingerprints in one long) and text_sha256 of each normalised text.
+    """id, n_bytes, fp (the two fingerprints in one long) and text_sha256 of each normalised text, h (hash) of the text as it is.
 
     Texts of more than HUGE bytes are dealt over tasks in pieces; the pieces' fingerprints
     are combined by a small aggregate, once for all copies of a text.
     """
 
+    def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = Fingerprints()
+        for batch in batches:
+            texts = [t.as_py().lower() for t in batch.column(2)]  # of bytes: A-Z only
+            found = np.array([prints.of(t) for t in texts], np.int64).reshape(-1, 2)
+            digests = [hashlib.sha256(t).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "h", "text_sha256", "n_bytes", "a", "b"])
+
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints()
         for batch in batches:
             found = np.array([prints.of(t.as_buffer()) for t in batch.column(2)], np.int64).reshape(-1, 2)
-            lengths = [t.as_buffer().size for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "text_sha256", "n_bytes", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "text_sha256", "a", "b"])
 
-    text = normalised(text_col)
     size = F.coalesce(F.octet_length(text_col), F.lit(0))  # lower-casing A-Z keeps it
-    texts = documents.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("text_sha256"), text.alias("raw"), size.alias("n"))
+    texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"), size.alias("n"))
     kind = texts.schema["id"].dataType.simpleString()
     fp = (F.shiftleft(F.col("a"), 31) + F.col("b")).alias("fp")
-    small = texts.where(F.col("n") <= HUGE).select("id", "text_sha256", "raw").mapInArrow(fingerprint, f"id {kind}, text_sha256 string, n_bytes long, a long, b long")
-    small = small.select("id", "n_bytes", fp, "text_sha256")
-    huge = texts.where(F.col("n") > HUGE)
+    small = texts.where(F.col("n") <= HUGE).select("id", "h", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    small = small.mapInArrow(whole_texts, f"id {kind}, h long, text_sha256 string, n_bytes long, a long, b long").select("id", "n_bytes", fp, "text_sha256", "h")
+    huge = texts.where(F.col("n") > HUGE).select("id", "h", "n", normalised("text").alias("raw")).withColumn("text_sha256", F.sha2("raw", 256))
     pieces = chunks(huge.withColumnRenamed("text_sha256", "sha"), "sha").groupBy("sha", "at").agg(F.min("chunk").alias("chunk"))
-    hashed = pieces.select("at", "sha", "chunk").mapInArrow(fingerprint, "id int, text_sha256 string, n_bytes long, a long, b long")
+    hashed = pieces.select("at", "sha", "chunk").mapInArrow(fingerprint, "id int, text_sha256 string, a long, b long")
     ordered = hashed.groupBy("text_sha256").agg(F.reverse(F.array_sort(F.collect_list(F.struct("id", "a", "b")))).alias("parts"))
 
     def combined(part: str, prime: int) -> Column:
@@ -92,7 +99,7 @@ def with_fingerprints(documents: DataFrame, text_col: str = "text", id_col: str
         return F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: (x[part] + acc * shift) % prime).alias(part)
 
     whole = ordered.select("text_sha256", combined("a", PRIMES[0]), combined("b", PRIMES[1])).select("text_sha256", fp)
-    return small.unionByName(huge.select("id", F.col("n").cast("long").alias("n_bytes"), "text_sha256").join(whole, "text_sha256"))
+    return small.unionByName(huge.select("id", F.col("n").cast("long").alias("n_bytes"), "text_sha256", "h").join(whole, "text_sha256"))
 
 
 def normalised(text_col: str) -> Column:
@@ -123,9 +130,12 @@ def exact_dedup(documents: DataFrame, text_col: str = "text", id_col: str = "doc
     rows = materialize(with_fingerprints(documents, text_col, id_col))
     one = rows.groupBy("fp", "n_bytes").agg(F.min("text_sha256").alias("model"), F.count("*").alias("n")).where("n > 1").drop("n")
     # pre-aggregated: copies of a text are one row here
-    members = rows.select("fp", "n_bytes", "text_sha256").distinct().join(one, ["fp", "n_bytes"]).select("fp", F.col("text_sha256").alias("sha"), "model")
-    texts = documents.select(normalised(text_col).alias("raw")).withColumn("sha", F.sha2("raw", 256))
-    left = chunks(texts.join(members.select("fp", "sha", "model"), "sha"), "fp", "model")
+    members = materialize(rows.select("fp", "n_bytes", "text_sha256", "h").distinct().join(one, ["fp", "n_bytes"]).select("fp", F.col("text_sha256").alias("sha"), "model", "h"))
+    few = broadcast_if(members.count() <= BROADCAST_ROWS)
+    # texts that may be in a group are told by their hash, so the others aren't lower-cased, digested or moved
+    texts = documents.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).join(few(members.select("h").distinct()), "h", "left_semi")
+    texts = materialize(texts.select(normalised("text").alias("raw")).withColumn("sha", F.sha2("raw", 256)))
+    left = chunks(texts.join(members.select("fp", "sha", "model").distinct(), "sha"), "fp", "model")
     right = chunks(texts.join(one.select(F.col("model").alias("sha")).distinct(), "sha"), "sha").groupBy("sha", "at").agg(F.min("chunk").alias("other"))
     unequal = left.join(right, (F.col("model") == F.col("sha")) & (left.at == right.at)).where(~F.col("chunk").eqNullSafe(F.col("other"))).select("fp").distinct()
     # a fingerprint under which texts differ is refined by the digest of the whole text
@@ -136,11 +146,17 @@ def exact_dedup(documents: DataFrame, text_col: str = "text", id_col: str = "doc
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents without the copies; columns stay, whatever their names. Rows that repeat an id and its text collapse to one."""
-    kept = exact_dedup(documents, text_col, id_col).where("kept").groupBy(F.col(id_col).alias("id"), "text_sha256").agg(F.count("*").alias("times"))
-    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.sha2(normalised(text_col), 256).alias("sha"))
-    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("text_sha256"))).select("row", "own_id", "sha", "times")
-    once = rows.where("times = 1").select("row.*")
-    return once.unionByName(rows.where("times > 1").dropDuplicates(["own_id", "sha"]).select("row.*"))
+    groups = materialize(exact_dedup(documents, text_col, id_col).select(F.col(id_col).alias("id"), "kept", "text_sha256"))
+    # ids of dropped rows and ids that repeat; all other rows stay as they are
+    odd = materialize(groups.groupBy("id").agg(F.count("*").alias("times"), F.count_if("kept").alias("kept")).where("times > 1 or kept = 0"))
+    once = without(documents, odd.select("id"), id_col)
+    repeated = odd.where("kept > 0").select("id")
+    if repeated.isEmpty():
+        return once
+    kept = without(groups.where("kept"), repeated, "id", "left_semi").select("id", "text_sha256").distinct()
+    rows = without(documents, repeated, id_col, "left_semi").select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.sha2(normalised(text_col), 256).alias("sha"))
+    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("text_sha256"))).select("row", "own_id", "sha")
+    return once.unionByName(rows.dropDuplicates(["own_id", "sha"]).select("row.*"))
 
 
 ORACLE_SQL = """

@@ -32,12 +32,14 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from testloom.llm.common import WordBlock, blocks, materialize, release, windows
+from testloom.llm.common import BROADCAST_ROWS, WordBlock, blocks, broadcast_if, materialize, release, windows, without
 
 SHINGLE = 4
 THRESHOLD = 85  # per cent
 #: Documents whose shingles share one bucket of the frequency count, on average.
 BUCKET_DOCS = 2000
+#: Shingles that are dealt to the buckets at once; the rows grow with buckets times these.
+POSTED = 1 << 20
 #: Bits of a set's sketch, partners each entry of a list is first checked against, and pairs
 #: of a list that are looked at together.
 SKETCH_BITS = 512
@@ -123,16 +125,27 @@ def _classes(shingle: int):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[dict[bytes, np.ndarray]]:
+    """Different sets by signature, of as many blocks as hold POSTED shingles: their rows are one a bucket."""
+    own, size = {}, 0
+    for batch in batches:
+        for _, sets in _each(batch, 0, shingle):
+            for s in sets:
+                if len(s) and own.setdefault(signature(s), s) is s:
+                    size += len(s)
+            if size >= POSTED:
+                yield own
+                own, size = {}, 0
+    yield own
+
+
 def _postings(shingle: int, n_buckets: int, common):
     """Codes of every class's shingles by bucket, packed: sorted by class, with the run lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_last = common.value
-        for batch in batches:
-            for _, sets in _each(batch, 0, shingle):
-                own = {signature(s): s for s in sets if len(s)}
-                if not own:
-                    continue
+        for own in _gathered(batches, shingle):
+            if own:
                 sigs = list(own)
                 values = codes(np.concatenate(list(own.values())))
                 owner = np.repeat(np.arange(len(sigs)), [len(s) for s in own.values()])
@@ -348,8 +361,9 @@ def _survivors(rows: DataFrame, docs: DataFrame, sigs: DataFrame, shingle: int,
             for at, sets in _each(batch, 0, shingle):
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary())], ["want", "sig", "n", "shingles", "bits"])
 
-    one = docs.join(sigs, "sig").groupBy("sig").agg(F.min("id").alias("id"))
-    found = rows.join(one, "id").select("raw", F.col("sig").alias("want"))
+    one = materialize(docs.join(sigs, "sig").groupBy("sig").agg(F.min("id").alias("id")))
+    few = broadcast_if(one.count() <= BROADCAST_ROWS)  # no text is shuffled then
+    found = rows.join(few(one), "id").select("raw", F.col("sig").alias("want"))
     nameless = docs.join(sigs, "sig").groupBy("sig").agg(F.max("id").alias("id")).where("id is null").select(F.col("sig").alias("want"))
     if not nameless.isEmpty():  # classes whose rows all lack an id: found by their set
         every = rows.where("id is null").select("raw", F.lit(None).cast("binary").alias("want")).mapInArrow(run, "want binary, sig binary, n long, shingles array<long>, bits binary")
@@ -445,8 +459,9 @@ def _derived(rest: DataFrame, leaders: DataFrame, sets: DataFrame, t: int) -> Da
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents with one row of each group, that of the smallest id; columns stay."""
     groups = jaccard_groups(documents, shingle, threshold, id_col, text_col)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col)).distinct()
-    return documents.alias("d").join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"k.{id_col}")), "left_semi")
+    first = F.col(id_col).eqNullSafe(F.col("component_id"))
+    dropped = groups.groupBy(F.col(id_col).alias("id")).agg(F.max(first).alias("kept")).where("not kept").select("id")
+    return without(documents, materialize(dropped), id_col)
 
 
 ORACLE_SQL = r"""

@@ -703,6 +703,41 @@ def test_stages_on_odd_rows(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, out, SF).count() == out.count()
 
 
+def test_stages_move_no_text_for_what_they_drop(spark):
+    """The ids and hashes of dropped rows are counted and sent to the texts, whatever Spark's own threshold."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, stage in corpus_pipeline.STAGES[1:4]:
+            out = stage(spark, docs, SF)
+            assert 0 < out.count() < docs.count(), name
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_exact_copies_of_repeated_ids(spark):
+    """Rows of one id: each of its texts that stays once, whatever its case, those that another id keeps not at all."""
+    given = [(1, "a"), (1, "A"), (1, "b"), (2, "b"), (3, "c"), (3, "c"), (None, "d"), (None, "D"), (None, "e"), (4, "e"), (5, "f"), (6, None), (7, "")]
+    rows = exact_dedup.keep_one(frame(spark, [t for _, t in given], [i for i, _ in given])).collect()
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in rows), key=str) == sorted([(1, "a"), (2, "b"), (3, "c"), (None, "d"), (4, "e"), (5, "f"), (7, "")], key=str)
+
+
+def test_postings_of_several_blocks_share_rows():
+    """Else their number is that of blocks times buckets, which grows with the square of the documents."""
+    import pyarrow as pa
+
+    class Common:
+        value = np.zeros(0, np.uint64)
+
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.random()) for _ in range(50_000)).encode() for _ in range(4)]  # each fills a block
+    rows = [r for b in ngram_join._postings(4, 8, Common)(iter([pa.record_batch([pa.array(texts)], ["raw"])])) for r in b.to_pylist()]
+    assert len(rows) == 8 and sum(len(r["shingles"]) for r in rows) == 6 * 4 * (50_000 - 3)
+
+
 def test_last_stage_keeps_given_columns(spark):
     """Names of the stage's own steps are free; names of its results are replaced."""
     given = frame(spark, ["a b c", "d e", None, "f"]).withColumns({c: F.lit("given") for c in ("tie_of_text", "id_of_taken", "tie", "row", "of", "hash", "mix", "size", "taken")})
