@@ -23,11 +23,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the tree of every language. Given columns stay, whatever their names.
     """
     model = language_id.train(docs.where(~held_out()))
-    told = language_id.predict(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), model)
+    given = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    told = language_id.predict(given, model, given.columns[[c.lower() for c in docs.columns].index("text")])
     kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS))
     if LANGUAGES is not None:
         kept = kept.where(F.col("lang_pred").isin(*LANGUAGES))
-    return kept.select("row.*")
+    return kept.select(*given.columns).toDF(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ ORDER = 3
 SAMPLE_TEXTS = 1000
 SAMPLE_BYTES = 2_000_000
 TEXT_BYTES = 20_000
+#: Rows that a task gives back at once.
+SENT_ROWS = 1000
 UNKNOWN = "und"
 
 
@@ -164,18 +166,21 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
     priors, 2**-bits normalised over the languages; bits_per_byte is the code length of the
     text under it. Whole texts count; a long one is coded in pieces that keep their
     contexts. The model's size is bounded by the sample: at most SAMPLE_BYTES nodes a
-    language, with a number for each language, so it is broadcast.
+    language, with a number for each language, so it is broadcast. The text is sent to the
+    tasks' Python once, as the given column if it is one.
     """
     names = ("lang_pred", "score", "bits_per_byte")
     given = [c for c in documents.columns if c not in names]
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    once = text_col in given and documents.schema[text_col].dataType.simpleString() == "string"
+    at_text = given.index(text_col) if once else len(given)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            raw = batch.column(batch.num_columns - 1)
+            raw, told = batch.column(at_text).cast(pa.binary()), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             bits = np.zeros((batch.num_rows, len(model.languages)))
-            rows = ((i, x) for i, v in enumerate(raw) if (x := v.as_py()))
+            rows = ((i, raw[i].as_py()) for i in np.flatnonzero(told).tolist())
             pieces = ((i, x[max(0, at - ORDER) : at + BLOCK_BYTES], at > 0) for i, x in rows for at in range(0, len(x), BLOCK_BYTES))
             later = []
 
@@ -192,13 +197,15 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
             if model.languages:
                 best = bits.argmin(1)
                 chance = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-            told = raw.is_valid().to_numpy(zero_copy_only=False) if model.languages else np.zeros(batch.num_rows, bool)
+            else:
+                told = np.zeros(batch.num_rows, bool)
             langs = [model.languages[best[i]] if told[i] else UNKNOWN for i in range(batch.num_rows)]
             scores = [float(chance[i]) if told[i] else 0.0 for i in range(batch.num_rows)]
             rates = [float(bits[i, best[i]]) / len(raw[i].as_buffer()) if told[i] else None for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*given, *names])
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(given)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*given, *names])
+            yield from (out.slice(k, SENT_ROWS) for k in range(0, out.num_rows, SENT_ROWS))
 
-    has_letter = F.col(text_col).rlike(r"\p{L}")
-    rows = documents.select(*given, F.when(has_letter, F.encode(text_col, "UTF-8")).alias("_raw"))
+    text = F.col(text_col).cast("string")
+    rows = documents.select(*given, *([] if once else [text.alias("_text")]), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_told"))
     schema = documents.select(*given).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
     return rows.mapInArrow(score, schema)

@@ -738,6 +738,15 @@ def test_postings_of_several_blocks_share_rows():
     assert len(rows) == 8 and sum(len(r["shingles"]) for r in rows) == 6 * 4 * (50_000 - 3)
 
 
+def test_language_sends_a_text_once(spark):
+    """Its columns go to Python with the text, which isn't sent a second time as bytes; they come back whatever their names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"a.b": F.lit(1), "lang_pred": F.lit("given"), "_raw": F.lit("raw")})
+    out = corpus_pipeline.language(spark, docs, SF)
+    assert "encode(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.columns == docs.columns
+    assert 0 < out.count() == out.join(docs.select("doc_id", F.col("text").alias("t"), F.col("`a.b`").alias("x")), "doc_id").where("text = t and `a.b` = x and lang_pred = 'given' and _raw = 'raw'").count()
+
+
 def test_last_stage_keeps_given_columns(spark):
     """Names of the stage's own steps are free; names of its results are replaced."""
     given = frame(spark, ["a b c", "d e", None, "f"]).withColumns({c: F.lit("given") for c in ("tie_of_text", "id_of_taken", "tie", "row", "of", "hash", "mix", "size", "taken")})
