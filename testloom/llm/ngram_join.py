@@ -36,10 +36,12 @@ from testloom.llm.common import BROADCAST_ROWS, WordBlock, blocks, broadcast_if,
 
 SHINGLE = 4
 THRESHOLD = 85  # per cent
-#: Documents whose shingles share one bucket of the frequency count, on average.
-BUCKET_DOCS = 2000
-#: Shingles that are dealt to the buckets at once; the rows grow with buckets times these.
+#: Shingles that share one bucket of the frequency count, on average.
+BUCKET_SHINGLES = 1 << 19
+#: Shingles that are dealt to the buckets at once, a chunk; the rows grow with buckets times
+#: these. Sets of a chunk: their numbers take two bytes.
 POSTED = 1 << 20
+CHUNK_SETS = 1 << 16
 #: Bits of a set's sketch, partners each entry of a list is first checked against, and pairs
 #: of a list that are looked at together.
 SKETCH_BITS = 512
@@ -54,6 +56,8 @@ LIST_ENTRIES = 10_000
 COMMON_SHARE = 0.005
 COMMON_LEAST = 50
 COMMON_DF = 2**31 - 1
+#: Columns of the row that tells of its chunk, null in the others.
+CHUNK = "sigs binary, sizes binary, total long"
 
 
 def _least_overlap(n, m, t):
@@ -126,13 +130,16 @@ def _classes(shingle: int):
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[dict[bytes, np.ndarray]]:
-    """Different sets by signature, of as many blocks as hold POSTED shingles: their rows are one a bucket."""
+    """Different sets by signature, in chunks of as many blocks as hold POSTED shingles: their rows are one a bucket."""
     own, size = {}, 0
     for batch in batches:
         for _, sets in _each(batch, 0, shingle):
             for s in sets:
                 if len(s) and own.setdefault(signature(s), s) is s:
                     size += len(s)
+                    if len(own) == CHUNK_SETS:
+                        yield own
+                        own, size = {}, 0
             if size >= POSTED:
                 yield own
                 own, size = {}, 0
@@ -140,57 +147,96 @@ def _gathered(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[dict[
 
 
 def _postings(shingle: int, n_buckets: int, common):
-    """Codes of every class's shingles by bucket, packed: sorted by class, with the run lengths."""
+    """Codes of every class's shingles by bucket, packed: of each its set's number in the chunk.
+
+    Two bytes name a set, however few of its shingles a bucket gets. The signatures and sizes
+    of a chunk's sets, and the number of its shingles, go with one of its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_last = common.value
         for own in _gathered(batches, shingle):
             if own:
-                sigs = list(own)
+                sigs, sizes = b"".join(own), np.fromiter(map(len, own.values()), np.uint32, len(own))
+                chunk = int.from_bytes(hashlib.blake2b(sigs, digest_size=8).digest(), "little", signed=True)
                 values = codes(np.concatenate(list(own.values())))
-                owner = np.repeat(np.arange(len(sigs)), [len(s) for s in own.values()])
-                is_common = np.isin(values, rare_last)
-                # common shingles only pass through: they are dealt by class
-                bucket = np.where(is_common, owner * 7919 % n_buckets, (values % np.uint64(n_buckets)).astype(np.int64))
-                order = np.lexsort((owner, is_common, bucket))
-                values, owner, bucket, is_common = values[order], owner[order], bucket[order], is_common[order]
-                part = bucket * 2 + is_common
-                cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
-                out = ([], [], [], [], [])
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    who, runs = np.unique(owner[a:b], return_counts=True)
-                    for column, x in zip(out, (int(bucket[a]), bool(is_common[a]), packed(values[a:b]), b"".join(sigs[i] for i in who), runs.astype(np.uint32).tobytes()), strict=True):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1]), *(pa.array(x, pa.binary()) for x in out[2:])], ["bucket", "common", "shingles", "sigs", "runs"])
+                own.clear()
+                part = (values % np.uint64(n_buckets)).astype(np.min_scalar_type(n_buckets))
+                if len(rare_last):  # common shingles only pass through, in one row
+                    part[rare_last[np.minimum(np.searchsorted(rare_last, values), len(rare_last) - 1)] == values] = n_buckets
+                order = np.argsort(part, kind="stable")
+                values, part = values[order], part[order]
+                owner = np.repeat(np.arange(len(sizes), dtype="<u2"), sizes)[order]
+                cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])).tolist()
+                buckets = part[cuts[:-1]].astype(np.int64)
+                named = chunk % len(buckets)
+                names = [None] * len(buckets)
+                columns = [
+                    pa.array(np.where(buckets < n_buckets, buckets, chunk % n_buckets)), pa.array(np.full(len(buckets), chunk)), pa.array(buckets == n_buckets),
+                    *(pa.array([f(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for f in (lambda a, b: packed(values[a:b]), lambda a, b: owner[a:b].tobytes())),
+                    *(pa.array([*names[:named], x, *names[named + 1 :]], kind) for x, kind in ((sigs, pa.binary()), (sizes.astype("<u4").tobytes(), pa.binary()), (len(values), pa.int64()))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "common", "shingles", "owners", "sigs", "sizes", "total"])
 
     return run
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
+    """All binary values of a column in a row, and the bytes of each."""
+    return b"".join(x.as_py() or b"" for x in column), np.array([len(x.as_py() or b"") for x in column], np.int64)
+
+
 def _frequencies(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """(sig, shingle, df) for shingles that two classes share."""
-    found = []
-    for common in (False, True):
-        rows = [r for r in table.to_pylist() if r["common"] == common]
-        if not rows:
-            continue
-        values = unpacked(b"".join(r["shingles"] for r in rows))
-        sigs = np.frombuffer(b"".join(r["sigs"] for r in rows), ">u8").reshape(-1, 2).astype(np.uint64)
-        runs = np.frombuffer(b"".join(r["runs"] for r in rows), np.uint32)
-        _, number = np.unique(sigs[:, 0] ^ (sigs[:, 1] * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
-        first = np.zeros(number.max() + 1, np.int64)
-        first[number] = np.arange(len(number))
-        owner = np.repeat(number, runs)
-        order = np.lexsort((owner, values))
-        values, owner = values[order], owner[order]
-        once = np.concatenate(([True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])))
-        values, owner = values[once], owner[once]
-        _, of, df = np.unique(values, return_inverse=True, return_counts=True)
-        df = np.full(len(values), COMMON_DF) if common else df[of]
-        keep = df > 1
-        found.append((sigs[first[owner[keep]]], values[keep].view(np.int64), df[keep].astype(np.int64)))
-    sig = np.concatenate([f[0] for f in found]).astype(">u8")
-    flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())])
-    return pa.table({"sig": flat.cast(pa.binary()), "shingle": np.concatenate([f[1] for f in found]), "df": np.concatenate([f[2] for f in found])})
+    """The rows of a bucket with those shingles only that two sets share, their df, and how many there were."""
+    data, lengths = _flat(table.column("shingles"))
+    values, seen = unpacked(data), lengths // 6
+    owners = np.frombuffer(_flat(table.column("owners"))[0], "<u2")
+    row = np.repeat(np.arange(len(seen), dtype=np.int32), seen)
+    common = table.column("common").to_numpy()
+    df = np.full(len(values), COMMON_DF, np.int32)
+    at = np.flatnonzero(~common[row])
+    at = at[np.argsort(values[at], kind="stable")]
+    # one row a chunk by now, its sets in order: a code that a set has twice stands in a row
+    again = np.zeros(len(at), bool)
+    again[1:] = (values[at][1:] == values[at][:-1]) & (owners[at][1:] == owners[at][:-1]) & (row[at][1:] == row[at][:-1])
+    df[at[again]] = 0
+    at = at[~again]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), values[at][1:] != values[at][:-1])))
+    times = np.diff(np.append(first, len(at)))
+    df[at] = np.repeat(times, times)
+    keep = df > 1
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(seen))))).tolist()
+    values, owners, df = values[keep], owners[keep], df[keep]
+    columns = {k: pa.array([f(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for k, f in (("shingles", lambda a, b: packed(values[a:b])), ("owners", lambda a, b: owners[a:b].tobytes()), ("dfs", lambda a, b: df[a:b].astype("<i4").tobytes()))}
+    return pa.table({"chunk": table.column("chunk"), **columns, "seen": pa.array(seen), **{k: table.column(k) for k in ("sigs", "sizes", "total")}})
+
+
+def _prefixes(t: int):
+    """(sig, n, shingle, at) of a chunk's sets: the first shared shingles of each, rare ones first."""
+
+    def run(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = sum(x or 0 for x in table.column("total").to_pylist())
+        if total != sum(table.column("seen").to_pylist()):
+            raise ValueError("rows of a chunk are missing: documents came in another order when a task ran again")
+        names = table.column("sigs").drop_null()[0].as_py()
+        sizes = np.frombuffer(table.column("sizes").drop_null()[0].as_py(), "<u4").astype(np.int64)
+        values, owners, df = unpacked(_flat(table.column("shingles"))[0]).view(np.int64), np.frombuffer(_flat(table.column("owners"))[0], "<u2"), np.frombuffer(_flat(table.column("dfs"))[0], "<i4")
+        order = np.lexsort((values, df, owners))
+        values, owners = values[order], owners[order].astype(np.int64)
+        if len(values):  # equal chunks stand here together
+            once = np.concatenate(([True], (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])))
+            values, owners = values[once], owners[once]
+        shared = np.bincount(owners, minlength=len(sizes))
+        alone = sizes - shared
+        pos = np.arange(len(owners)) - np.repeat(np.cumsum(shared) - shared, shared)
+        # one entry more than the prefix filter asks for: two shingles of a set may share a code
+        keep = pos < (prefix_size(sizes, t) + 1 - alone)[owners]
+        owners = owners[keep]
+        sigs = np.frombuffer(names, np.uint8).reshape(-1, 16)[owners]
+        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(owners), [None, pa.py_buffer(np.ascontiguousarray(sigs).tobytes())])
+        return pa.table({"sig": flat.cast(pa.binary()), "n": sizes[owners], "shingle": values[keep], "at": alone[owners] + pos[keep]})
+
+    return run
 
 
 def size_block(n: np.ndarray, t: int) -> np.ndarray:
@@ -319,16 +365,17 @@ def jaccard_groups(documents: DataFrame, shingle: int = SHINGLE, threshold: int
     n_docs = docs.count()
     often = scan.where("sig is null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= max(COMMON_LEAST, COMMON_SHARE * n_docs))
     common = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in often.select("shingle").collect()], np.int64).view(np.uint64)))
-    n_buckets = max(8, n_docs // BUCKET_DOCS)
-    packed = rows.select("raw").mapInArrow(_postings(shingle, n_buckets, common), "bucket long, common boolean, shingles binary, sigs binary, runs binary")
-    shared = packed.groupBy("bucket").applyInArrow(_frequencies, "sig binary, shingle long, df long")
     classes = docs.groupBy("sig").agg(F.min("id").alias("least"), F.first("n").alias("n"))
-    gathered = shared.groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("s")).join(classes.select("sig", "n"), "sig")
-    alone = F.col("n") - F.size("s")
-    # one entry more than the prefix filter asks for: two shingles of a set may share a code
-    open_ = F.expr(f"n + floor(-{threshold} * n / 100.0D) + 2").cast("long") - alone
-    entries = gathered.where(open_ > 0).select("sig", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(open_, F.lit(0)).cast("int"))))
-    index = materialize(entries.select("sig", "n", F.col("col.shingle").alias("shingle"), (F.col("alone") + F.col("pos")).cast("long").alias("at")))
+    n_buckets = max(8, (classes.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES)
+    # another row of a class only makes its shingles look shared, so copies may stay where they are too many to be sent
+    copies = docs.join(classes.select("sig", "least"), "sig").groupBy("id").agg(F.max(F.col("id").eqNullSafe(F.col("least"))).alias("kept")).where("not kept and id is not null").select("id")
+    copies = materialize(copies)
+    few = copies.count() <= BROADCAST_ROWS
+    posted = rows.join(F.broadcast(copies), "id", "left_anti") if few else rows
+    dealt = posted.select("raw").mapInArrow(_postings(shingle, n_buckets, common), f"bucket long, chunk long, common boolean, shingles binary, owners binary, {CHUNK}")
+    shared = dealt.groupBy("bucket").applyInArrow(_frequencies, f"chunk long, shingles binary, owners binary, dfs binary, seen long, {CHUNK}")
+    entries = shared.groupBy("chunk").applyInArrow(_prefixes(threshold), "sig binary, n long, shingle long, at long")
+    index = materialize(entries if few else entries.dropDuplicates(["sig", "shingle"]))
     alive = index.groupBy("shingle").agg(F.count("*").alias("d")).where("d > 1").select("shingle")
     every, index = index, materialize(index.join(alive, "shingle"))
     release(every)

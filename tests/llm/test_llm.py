@@ -738,6 +738,55 @@ def test_postings_of_several_blocks_share_rows():
     assert len(rows) == 8 and sum(len(r["shingles"]) for r in rows) == 6 * 4 * (50_000 - 3)
 
 
+def test_postings_do_not_grow_with_the_buckets():
+    """A bucket that gets a shingle or two of each set isn't told the set's signature for them."""
+    import pyarrow as pa
+
+    class Common:
+        value = np.zeros(0, np.uint64)
+
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.random()) for _ in range(300)).encode() for _ in range(700)]
+    for n_buckets in (8, 2000):
+        batches = ngram_join._postings(4, n_buckets, Common)(iter([pa.record_batch([pa.array(texts)], ["raw"])]))
+        rows = [r for b in batches for r in b.to_pylist()]
+        posted = sum(len(v) for r in rows for v in r.values() if isinstance(v, bytes))
+        assert 6 * 700 * 297 < posted < 8.2 * 700 * 297
+        assert len({r["bucket"] for r in rows}) == len(rows) == n_buckets
+
+
+@pytest.mark.parametrize("sent", [1000, 0])
+def test_shared_shingles_of_many_chunks(spark, monkeypatch, sent):
+    """Groups stay exact when sets meet across chunks, ids repeat or are missing, and copies are too many to be sent."""
+    monkeypatch.setattr(ngram_join, "POSTED", 200)
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 5)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(ngram_join, "COMMON_LEAST", 4)
+    rng = random.Random(12)
+    texts = []
+    for k in range(12):
+        base = [f"k{k}w{i}" for i in range(60)] + ["the", "same", "last", "words", "of", "all"]
+        for _ in range(4):
+            near = base.copy()
+            for _ in range(rng.choice((0, 1, 4))):
+                near[rng.randrange(len(near))] = "new"
+            texts.append(" ".join(near))
+    texts += texts[:7] + ["a b", "A B", "", None]
+    rng.shuffle(texts)
+    ids = [None if i % 17 == 5 else i // 2 * 2 if i % 9 == 0 else i for i in range(len(texts))]
+    sets = [{tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if (w := words(t)) else set() for t in (t and t.lower() for t in texts)]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if root[i] != root[j] and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    least = {r: min((ids[i] for i in range(len(ids)) if root[i] == r and ids[i] is not None), default=None) for r in root}
+    want = Counter((ids[i], len(sets[i]), least[root[i]] if sets[i] else ids[i]) for i in range(len(ids)))
+    got = ngram_join.jaccard_groups(frame(spark, texts, ids).repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_language_sends_a_text_once(spark):
     """Its columns go to Python with the text, which isn't sent a second time as bytes; they come back whatever their names."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"a.b": F.lit(1), "lang_pred": F.lit("given"), "_raw": F.lit("raw")})
